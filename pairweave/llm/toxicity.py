@@ -30,6 +30,9 @@ FEATURES = 4096
 THRESHOLD = 0.3
 BEGINNING = 5
 WORD = re.compile(r"[^\W\d_]+").findall
+#: A feature takes part if this many positives have it, its share among positives stands out by so many standard
+#: deviations, and so large a share of the documents with it seem positive.
+LEAST_COUNT, LEAST_STANDING, LEAST_PURITY = 3, 4.0, 0.4
 ROUNDS, RATE, DECAY = 400, 0.05, 2e-4
 
 
@@ -59,9 +62,10 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
     p, u = (in_p + 0.5) / (len(positive) + 1), (in_u + 0.5) / (len(unlabelled) + 1)
     both = (in_p + in_u + 1) / (len(positive) + len(unlabelled) + 2)
     standing = (p - u) / np.sqrt(both * (1 - both) * (1 / len(positive) + 1 / len(unlabelled)))
-    standing[in_p < 2] = 0
+    # prior * p / u estimates how often a document with the feature is positive.
+    standing[(in_p < LEAST_COUNT) | (standing < LEAST_STANDING) | (prior * p / u < LEAST_PURITY)] = 0
     chosen = np.argsort(-standing, kind="stable")[:FEATURES]
-    chosen = np.sort(chosen[standing[chosen] > 3])
+    chosen = np.sort(chosen[standing[chosen] > 0])
     if not len(chosen):
         return {}, float(np.log(prior / (1 - prior)))
     column = np.full(BUCKETS, -1)
@@ -131,7 +135,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, doc_id: str = "doc_id
     ids = chosen_p.withColumn("positive", F.lit(True)).union(chosen_u.withColumn("positive", F.lit(False)))
     sample = rows.where(learn).join(F.broadcast(ids), "doc_id").select("positive", "doc_id", feature_buckets("text").alias("buckets")).toArrow()
     sample = sorted(zip(sample.column(0).to_pylist(), sample.column(1).to_pylist(), (np.array(x, dtype=np.int64) for x in sample.column(2).to_pylist()), strict=True), key=lambda r: (r[0], r[1], len(r[2])))
-    p, u = ([x for positive, _, x in sample if positive == kind] for kind in (True, False))
+    # Equal texts count once: a group of copies must not stand for a word's frequency.
+    p, u = (list({x.tobytes(): x for positive, _, x in sample if positive == kind}.values()) for kind in (True, False))
     if not p or not u:
         return Toxicity({}, 0.0, False)
     return Toxicity(*train(p, u, min(0.9, max(1e-4, toxic / n))), True)
