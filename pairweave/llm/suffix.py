@@ -175,7 +175,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
                 yield pa.RecordBatch.from_arrays([keys.take(pa.array(whose)), pa.array(first.astype(np.int32)), pa.array(windows.astype(np.int16)), pa.array(anchor), pa.array(piece)], names=["k", "first", "windows", "anchor", "piece"])
 
     every = written(long_enough.mapInArrow(cut, f"k {kind}, first int, windows smallint, anchor bigint, piece bigint"), "pieces")
-    anchors = every.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("piece") != F.max("piece")).alias("several")).where("n > 1").select("anchor", "several")
+    # Written, so that the join below has plain exchanges on both sides, which Spark can split where an anchor is hot.
+    anchors = written(every.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("piece") != F.max("piece")).alias("several")).where("n > 1").select("anchor", "several"), "anchors")
     shared = written(every.join(anchors, "anchor"), "shared")
     span = F.struct(F.col("first").alias("b"), (F.col("first") + F.col("windows") + (length - 1)).alias("e"))
     alike = shared.where("NOT several").select("k", span.alias("span"))
