@@ -29,4 +29,4 @@ def bound_label(session: Column) -> Column:
 def expired_session(bound: Column) -> Column:
     """The 9th of the latest month, 3 to 6 months before ``bound`` (a first of a month), whose bound month is ``bound``; null if none is."""
     tries = F.transform(F.sequence(F.lit(3), F.lit(6)), lambda k: F.date_add(F.add_months(bound, -k), 8))
-    return F.element_at(F.filter(tries, lambda d: bound_month(d) == bound), 1)
+    return F.try_element_at(F.filter(tries, lambda d: bound_month(d) == bound), F.lit(1))
