@@ -209,7 +209,8 @@ def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle:
     linked = components(local_links(fps.select("fp"), radius, shard))
     of_root = linked.join(fps, linked["node"] == fps["fp"]).select("node", "root", "least")
     of_root = of_root.join(of_root.groupBy("root").agg(F.min("least").alias("component_id")), "root").select(F.col("node").alias("fp"), "component_id")
-    of_fp = fps.join(of_root, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    # Written, so that the join has plain exchanges on both sides, which Spark can split where many texts share a fingerprint.
+    of_fp = written(fps.join(of_root, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "classes")
     return docs.join(of_fp, "fp").select("doc_id", "fp", "component_id")
 
 
