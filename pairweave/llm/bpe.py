@@ -30,9 +30,9 @@ from .common import Memo, fresh, text_list
 
 #: Pieces up to this many characters are remembered.
 REMEMBERED_LENGTH = 64
-REMEMBERED_CHUNKS = 600_000
-REMEMBERED_WORDS = 500_000
-REMEMBERED_PAIRS = 1_000_000
+REMEMBERED_CHUNKS = 200_000
+REMEMBERED_WORDS = 150_000
+REMEMBERED_PAIRS = 250_000
 #: Unicode's White_Space characters: before a run of them, after any other character, the pattern always ends a piece.
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 CHUNK = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")

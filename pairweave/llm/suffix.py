@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import bytes_list, fresh, groups_of, mix64, sliding_min, written
 
 LENGTH, GRAM = 200, 64
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 HOT = 4_000
 
 _ROLL = 0x9E3779B97F4A7C15
@@ -81,6 +81,8 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     else:
         order = np.lexsort(triples[::-1])
         new = np.any([t[order][1:] != t[order][:-1] for t in triples], axis=0)
+    del triples
+    key = None
     names = np.empty(len(sampled), dtype=np.int64)
     names[order] = np.concatenate(([1], 1 + np.cumsum(new)))
     if not new.all():
@@ -168,7 +170,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     def cut(batches):
         for batch in batches:
             keys, data = batch.column(0), bytes_list(batch.column(1))
-            for start, end in groups_of(data, 1 << 21):
+            for start, end in groups_of(data, 1 << 20):
                 found = [pieces(x, length, gram) for x in data[start:end]]
                 whose = np.repeat(np.arange(start, end), [len(f[0]) for f in found])
                 first, windows, anchor, piece = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -187,6 +189,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
 
     # Anchors all of whose pieces are copies need no sorting: every window of theirs repeats.
     kinds = different.groupBy("anchor").agg(F.count("*").alias("kinds"), F.count_if(F.col("n") == 1).alias("lone")).where("lone > 0").select("anchor", (F.col("kinds") > hot).alias("hot"))
+    kinds = written(kinds, "kinds")
     sorted_ones = different.join(kinds, "anchor").select("at.*", "anchor", "n", "hot")
     total = sorted_ones.where("NOT hot").agg(F.sum(F.col("windows").cast("long") + length)).first()[0] or 0
     shards = max(1, -(-int(total) // shard_bytes))

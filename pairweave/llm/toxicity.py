@@ -115,7 +115,7 @@ class Toxicity:
         def run(texts: pa.Array) -> pa.Array:
             model = shared.value
             if not hasattr(model, "remembered"):
-                model.remembered = Memo(lambda f: model.weights.get(bucket(f), 0.0), 1_000_000)
+                model.remembered = Memo(lambda f: model.weights.get(bucket(f), 0.0), 150_000)
             return pa.array([model.score_text(x, model.remembered) for x in text_list(texts)], pa.float64())
 
         return run(text)
@@ -134,7 +134,11 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, doc_id: str = "doc_id
     chosen_u = rows.where(learn & F.col("doc_id").isNotNull()).select("doc_id").orderBy(chance, "doc_id").limit(unlabelled)
     ids = chosen_p.withColumn("positive", F.lit(True)).union(chosen_u.withColumn("positive", F.lit(False)))
     sample = rows.where(learn).join(F.broadcast(ids), "doc_id").select("positive", "doc_id", feature_buckets("text").alias("buckets")).toArrow()
-    sample = sorted(zip(sample.column(0).to_pylist(), sample.column(1).to_pylist(), (np.array(x, dtype=np.int64) for x in sample.column(2).to_pylist()), strict=True), key=lambda r: (r[0], r[1], len(r[2])))
+    lists = sample.column(2).combine_chunks()
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) and lists.num_chunks else lists
+    values, ends = (lists.values.to_numpy(), lists.offsets.to_numpy()) if sample.num_rows else (np.zeros(0, np.int32), np.zeros(1, np.int32))
+    rows = sorted(zip(sample.column(0).to_pylist(), sample.column(1).to_pylist(), range(sample.num_rows), strict=True))
+    sample = [(positive, doc, values[ends[i] : ends[i + 1]]) for positive, doc, i in rows]
     # Equal texts count once: a group of copies must not stand for a word's frequency.
     p, u = (list({x.tobytes(): x for positive, _, x in sample if positive == kind}.values()) for kind in (True, False))
     if not p or not u:

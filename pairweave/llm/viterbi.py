@@ -22,7 +22,7 @@ from .common import Memo, text_list
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-REMEMBERED_WORDS = 1_000_000
+REMEMBERED_WORDS = 300_000
 REMEMBERED_LENGTH = 64
 
 
