@@ -30,14 +30,15 @@ from .common import Memo, fresh, text_list
 
 #: Pieces up to this many characters are remembered.
 REMEMBERED_LENGTH = 64
-REMEMBERED_CHUNKS = 200_000
-REMEMBERED_WORDS = 150_000
+REMEMBERED_CHUNKS = 500_000
 REMEMBERED_PAIRS = 250_000
 #: Unicode's White_Space characters: before a run of them, after any other character, the pattern always ends a piece.
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-CHUNK = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
-#: A word of Latin letters with or without punctuation after it: any pattern of this family makes just these pieces of it.
-SIMPLE = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?]*)").fullmatch
+#: A word of Latin letters with only punctuation between it and the next white space, and that punctuation, are pieces by
+#: themselves; anything else is taken up to the next such place and left to the pattern.
+LATIN, MARKS = "A-Za-zÀ-ÖØ-öø-ɏ", ".,;:!?"
+CHUNK = re.compile(f" ?[{LATIN}]+(?=[{MARKS}]*(?:[{WHITE}]|\\Z))|[{MARKS}]+(?=[{WHITE}]|\\Z)|[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
+PIECE = re.compile(f" ?[{LATIN}]+|[{MARKS}]+").fullmatch
 
 
 def parse_ranks(data: bytes) -> dict[bytes, int]:
@@ -74,8 +75,8 @@ class BytePairs:
             if len(t) > 1:
                 self.automaton.add_word(t.decode("latin-1"), (len(t) - 1, ranks[t]))
         self.automaton.make_automaton()
+        self.size = max(ranks.values(), default=0) + 1
         self.fits = Memo(self._fits, REMEMBERED_PAIRS)
-        self.words = Memo(self._word, REMEMBERED_WORDS)
         self.chunks = Memo(self._chunk, REMEMBERED_CHUNKS)
 
     def _merged(self, token: bytes, below: int) -> list[bytes]:
@@ -88,10 +89,10 @@ class BytePairs:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def _fits(self, pair: tuple[int, int]) -> bool:
+    def _fits(self, pair: int) -> bool:
         """Whether two neighbouring tokens survive: no merge across their border comes before those inside them."""
-        left, right = pair
-        limit = len(self.ranks) + 1 << 1
+        left, right = divmod(pair, self.size)
+        limit = self.size + 1
         while True:
             if self.joined.get((left, right), limit) < limit:
                 return False
@@ -116,14 +117,14 @@ class BytePairs:
         longest = list(map(self.single.__getitem__, piece))
         for end, (n, token) in self.automaton.iter(piece.decode("latin-1")):
             longest[end - n] = token  # ends ascend, so the longest stays
-        lengths, shorter, fits, size = self.lengths, self.shorter, self.fits, len(piece)
+        lengths, shorter, fits, size, base = self.lengths, self.shorter, self.fits, len(piece), self.size
         shut_ends: set[int] = set()
         out: list[int] = []
         at, last, token = 0, None, longest[0] if size else None
         while token is not None:
             while token is not None:
                 end = at + lengths[token]
-                if (last is None or fits[last, token]) and end not in shut_ends:
+                if (last is None or fits[last * base + token]) and end not in shut_ends:
                     out.append(token)
                     at, last, token = end, token, longest[end] if end < size else None
                     break
@@ -135,13 +136,13 @@ class BytePairs:
                 last = out[-1] if out else None
         return out
 
-    def _word(self, word: str) -> bytes:
-        return array("I", self.encode_piece(word.encode())).tobytes()
-
     def _chunk(self, chunk: str) -> bytes:
-        if simple := SIMPLE(chunk):
-            return b"".join([self.words[w] for w in simple.groups() if w]) if len(chunk) <= REMEMBERED_LENGTH else b"".join([self._word(w) for w in simple.groups() if w])
-        return b"".join([self.words[w] if len(w) <= REMEMBERED_LENGTH else self._word(w) for w in self.pieces(chunk)])
+        if PIECE(chunk):
+            return array("I", self.encode_piece(chunk.encode())).tobytes()
+        ids: list[int] = []
+        for piece in self.pieces(chunk):
+            ids += self.encode_piece(piece.encode())
+        return array("I", ids).tobytes()
 
     def encode(self, text: str) -> bytes:
         """The ids of a whole text as little-endian unsigned 32-bit integers."""

@@ -89,15 +89,18 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
 
 
 class Memo(dict):
-    """A dictionary that computes what it lacks and starts anew once it holds ``limit`` entries."""
+    """A dictionary that computes what it lacks and holds at most ``limit`` entries: a new and an old half, of which the old one goes."""
 
     def __init__(self, compute, limit: int):
         super().__init__()
-        self.compute, self.limit = compute, limit
+        self.compute, self.half, self.old = compute, max(1, limit // 2), {}
 
     def __missing__(self, key):
-        value = self.compute(key)
-        if len(self) >= self.limit:
+        value = self.old.get(key)
+        if value is None:
+            value = self.compute(key)
+        if len(self) >= self.half:
+            self.old = dict(self)
             self.clear()
         self[key] = value
         return value

@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from .bpe import CHUNK, REMEMBERED_CHUNKS, parse_ranks
 from .common import Memo, text_list
 
-#: Tokens that a task gathers before it packs them: 4 MB of ids, a thousand packs of 2,048.
-BUFFER_TOKENS = 1 << 20
+#: Tokens that a task gathers before it packs them: 2 MB of ids, 256 packs of 2,048.
+BUFFER_TOKENS = 1 << 19
 
 
 class FreeSpace:
@@ -160,5 +160,5 @@ def _library(data: bytes, pattern: str) -> Memo:
 
         encode = tiktoken.Encoding(key[0], pat_str=pattern, mergeable_ranks=parse_ranks(data), special_tokens={}).encode_ordinary
         _ENCODERS.clear()
-        _ENCODERS[key] = Memo(lambda chunk: array("I", encode(chunk)).tobytes(), REMEMBERED_CHUNKS)
+        _ENCODERS[key] = Memo(lambda chunk: array("I", encode(chunk)).tobytes(), REMEMBERED_CHUNKS // 2)
     return _ENCODERS[key]
