@@ -26,7 +26,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, fresh, text_list
+from .common import Memo, by_slices, fresh, text_list
 
 #: Pieces up to this many characters are remembered.
 REMEMBERED_LENGTH = 64
@@ -174,7 +174,7 @@ def encoder(ranks: Broadcast, pattern: str):
     @F.arrow_udf("binary")
     def encode(texts: pa.Array) -> pa.Array:
         encode_one = made(ranks.value, pattern).encode
-        return pa.array([encode_one(x) for x in text_list(texts)], pa.binary())
+        return by_slices(texts, pa.binary(), lambda some: pa.array(map(encode_one, text_list(some)), pa.binary()))
 
     return encode
 
@@ -185,11 +185,28 @@ def decoder(ranks: Broadcast, pattern: str):
     @F.arrow_udf("binary")
     def decode(ids: pa.Array) -> pa.Array:
         decode_one = made(ranks.value, pattern).decode
-        return pa.array([None if x is None else decode_one(x) for x in ids.to_pylist()], pa.binary())
+        return by_slices(ids, pa.binary(), lambda some: pa.array([None if x is None else decode_one(x) for x in some.to_pylist()], pa.binary()))
 
     return decode
 
 
+def round_trip(ranks: Broadcast, pattern: str):
+    """Column function: text to struct(ids, decoded), as ``encoder`` and then ``decoder`` give them; each text is encoded once."""
+    kind = pa.struct([("ids", pa.binary()), ("decoded", pa.binary())])
+
+    @F.arrow_udf("struct<ids:binary,decoded:binary>")
+    def both(texts: pa.Array) -> pa.Array:
+        own = made(ranks.value, pattern)
+
+        def run(some: pa.Array) -> pa.Array:
+            ids = [own.encode(x) for x in text_list(some)]
+            return pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(map(own.decode, ids), pa.binary())], fields=list(kind))
+
+        return by_slices(texts, kind, run)
+
+    return both
+
+
 def encode_decode(df: DataFrame, vocabulary: str, pattern: str, text: str = "text") -> DataFrame:
     """``df`` with two new columns: ``ids`` (binary) and ``decoded`` (binary), under names that are still free.
 
@@ -197,9 +214,10 @@ def encode_decode(df: DataFrame, vocabulary: str, pattern: str, text: str = "tex
     """
     with open(vocabulary, "rb") as f:
         ranks = df.sparkSession.sparkContext.broadcast(f.read())
-    ids = fresh(df, "ids")
-    out = df.withColumn(ids, encoder(ranks, pattern)(F.col(text)))
-    return out.withColumn(fresh(out, "decoded"), decoder(ranks, pattern)(F.col(ids)))
+    both, ids, decoded = fresh(df, "both"), fresh(df, "ids"), fresh(df, "decoded")
+    # One function for both: Spark would run encode again inside decode(encode(text)).
+    out = df.withColumn(both, round_trip(ranks, pattern)(F.col(text)))
+    return out.select(*df.columns, F.col(f"{both}.ids").alias(ids), F.col(f"{both}.decoded").alias(decoded))
 
 
 def hex_sha256(column: Column) -> Column:

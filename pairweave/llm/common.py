@@ -56,6 +56,12 @@ def text_list(column: pa.Array) -> list[str]:
     return ["" if x is None else x for x in column.to_pylist()]
 
 
+def by_slices(column: pa.Array, kind: pa.DataType, run, rows: int = 128) -> pa.Array:
+    """``run`` over a few rows of a batch at a time, so that a worker holds the Python values of those rows only."""
+    parts = [run(column.slice(at, rows)) for at in range(0, len(column), rows)]
+    return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+
 def groups_of(items: list[bytes], limit: int) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive items with at most ``limit`` bytes together (or one longer item)."""
     start = size = 0

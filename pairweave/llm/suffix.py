@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_list, fresh, groups_of, mix64, sliding_min, written
+from .common import by_slices, bytes_list, fresh, groups_of, mix64, sliding_min, written
 
 LENGTH, GRAM = 200, 64
 SHARD_BYTES = 1 << 20
@@ -267,14 +267,18 @@ def deduplicated(df: DataFrame, doc_id: str = "doc_id", text: str = "text", leng
     docs = keyed.select(F.col("_k").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("body"))
     spans = repeated_spans(docs, length, **kept)
 
+    kind = pa.struct([("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
+
     @F.arrow_udf(RESULT)
     def apply(texts: pa.Array, found: pa.Array) -> pa.Array:
-        rows = []
-        for data, some in zip(bytes_list(texts), found.to_pylist(), strict=True):
-            left, removed, runs = kept_bytes(data, [(s["b"], s["e"]) for s in some or []], whole_characters)
-            rows.append((len(data), removed, runs, left))
-        columns = zip(*rows, strict=True) if rows else [[]] * 4
-        return pa.StructArray.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["n_bytes", "n_removed", "n_spans", "kept"])
+        def run(both: pa.Array) -> pa.Array:
+            rows = []
+            for data, some in zip(bytes_list(both.field(0)), both.field(1).to_pylist(), strict=True):
+                left, removed, runs = kept_bytes(data, [(s["b"], s["e"]) for s in some or []], whole_characters)
+                rows.append((len(data), removed, runs, left))
+            return pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kind, strict=True)], fields=list(kind))
+
+        return by_slices(pa.StructArray.from_arrays([texts, found], ["text", "found"]), kind, run)
 
     joined = keyed.join(spans.select(F.col("k").alias("_k"), F.col("spans").alias("_spans")), "_k", "left")
     return joined.withColumn(name, apply(F.col(text), F.col("_spans"))).drop("_k", "_spans"), name

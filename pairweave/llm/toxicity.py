@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, text_list
+from .common import Memo, by_slices, text_list
 
 POSITIVES, UNLABELLED = 4_000, 8_000
 BUCKETS = 1 << 20
@@ -50,7 +50,8 @@ def feature_buckets(text: str) -> Column:
     @F.arrow_udf("array<int>")
     def run(texts: pa.Array) -> pa.Array:
         of = Memo(bucket, 200_000)
-        return pa.array([np.unique(np.fromiter((of[f] for f in features(x)), dtype=np.int32)) for x in text_list(texts)], pa.list_(pa.int32()))
+        kind = pa.list_(pa.int32())
+        return by_slices(texts, kind, lambda some: pa.array([np.unique(np.fromiter((of[f] for f in features(x)), dtype=np.int32)) for x in text_list(some)], kind))
 
     return run(text)
 
@@ -116,7 +117,7 @@ class Toxicity:
             model = shared.value
             if not hasattr(model, "remembered"):
                 model.remembered = Memo(lambda f: model.weights.get(bucket(f), 0.0), 150_000)
-            return pa.array([model.score_text(x, model.remembered) for x in text_list(texts)], pa.float64())
+            return by_slices(texts, pa.float64(), lambda some: pa.array([model.score_text(x, model.remembered) for x in text_list(some)], pa.float64()))
 
         return run(text)
 
