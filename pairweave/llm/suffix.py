@@ -31,6 +31,8 @@ from .common import by_slices, bytes_list, fresh, groups_of, mix64, sliding_min,
 
 LENGTH, GRAM = 200, 64
 SHARD_BYTES = 1 << 20
+#: A shard sorts whole anchors together until they hold so many bytes: windows of different anchors differ.
+SORTED_BYTES = 1 << 18
 HOT = 4_000
 
 _ROLL = 0x9E3779B97F4A7C15
@@ -63,50 +65,72 @@ def pieces(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndar
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
-    """The suffix array of positive numbers, by difference cover modulo 3."""
+    """The suffix array (int32) of positive numbers, by difference cover modulo 3.
+
+    Arrays go as soon as they have been used, before the recursion above all, so that a level holds 40 bytes a number at most.
+    """
     n = len(s)
     if n < 3:
-        return np.array(sorted(range(n), key=lambda i: s[i:].tolist()), dtype=np.int64)
+        return np.array(sorted(range(n), key=lambda i: s[i:].tolist()), dtype=np.int32)
     top = int(s.max()) + 1
-    padded = np.concatenate((s.astype(np.int64), np.zeros(3, dtype=np.int64)))
-    # A place n, of zeros only, keeps a triple that runs over the end apart from those of the other residue.
-    ones, twos = np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)
-    sampled = np.concatenate((ones, twos))
-    triples = [padded[sampled + i] for i in range(3)]
+    padded = np.zeros(n + 3, dtype=np.int32)
+    padded[:n] = s
+
+    def sample() -> np.ndarray:
+        # A place n, of zeros only, keeps a triple that runs over the end apart from those of the other residue.
+        return np.concatenate((np.arange(1, n + (n % 3 == 1), 3, dtype=np.int32), np.arange(2, n, 3, dtype=np.int32)))
+
+    sampled = sample()
     if top < 1 << 20:
-        key = (triples[0] * top + triples[1]) * top + triples[2]
-        order = np.argsort(key, kind="stable")
+        key = padded[sampled].astype(np.int64)
+        for i in (1, 2):
+            key *= top
+            key += padded[sampled + i]
+        order = np.argsort(key, kind="stable").astype(np.int32)
         key = key[order]
         new = key[1:] != key[:-1]
+        del key
     else:
-        order = np.lexsort(triples[::-1])
+        triples = [padded[sampled + i] for i in range(3)]
+        order = np.lexsort(triples[::-1]).astype(np.int32)
         new = np.any([t[order][1:] != t[order][:-1] for t in triples], axis=0)
-    del triples
-    key = None
-    names = np.empty(len(sampled), dtype=np.int64)
-    names[order] = np.concatenate(([1], 1 + np.cumsum(new)))
+        del triples
     if not new.all():
+        names = np.empty(len(sampled), dtype=np.int32)
+        names[order[0]] = 1
+        names[order[1:]] = 1 + np.cumsum(new, dtype=np.int32)
+        del order, sampled, new
         order = suffix_array(names)
+        del names
+        sampled = sample()
     ordered = sampled[order]
-    rank = np.zeros(n + 3, dtype=np.int64)
-    rank[ordered] = np.arange(1, len(ordered) + 1)
-    rest, m = np.arange(0, n, 3), len(ordered) + 1
-    key = padded[rest] * m + rank[rest + 1]
+    del order, sampled
+    rank = np.zeros(n + 3, dtype=np.int32)
+    rank[ordered] = np.arange(1, len(ordered) + 1, dtype=np.int32)
+    rest, m = np.arange(0, n, 3, dtype=np.int32), len(ordered) + 1
+    ordered = ordered[ordered < n]
+
+    def symbol_and_rank(at: np.ndarray) -> np.ndarray:
+        return padded[at].astype(np.int64) * m + rank[at + 1]
+
+    key = symbol_and_rank(rest)
     by = np.argsort(key, kind="stable")
     rest, key = rest[by], key[by]
-    ordered = ordered[ordered < n]
-    first, second = ordered[ordered % 3 == 1], ordered[ordered % 3 == 2]
-    before = np.searchsorted(padded[first] * m + rank[first + 1], key)
-    if top < 1 << 20 and m < 1 << 23:
-        pair, width = padded[:-1] * top + padded[1:], m
-    else:
-        pair, width = np.unique(padded[:-1] * top + padded[1:], return_inverse=True)[1], m
-    before += np.searchsorted(pair[second] * width + rank[second + 2], pair[rest] * width + rank[rest + 2])
-    out = np.empty(n, dtype=np.int64)
-    at = before + np.arange(len(rest))
+    del by
+    before = np.searchsorted(symbol_and_rank(ordered[ordered % 3 == 1]), key)
+    del key
+    second = ordered[ordered % 3 == 2]
+    pairs = [padded[at].astype(np.int64) * top + padded[at + 1] for at in (second, rest)]
+    if top >= 1 << 20 or m >= 1 << 23:
+        pairs = np.split(np.unique(np.concatenate(pairs), return_inverse=True)[1], [len(second)])
+    pairs = [pair * m + rank[at + 2] for pair, at in zip(pairs, (second, rest), strict=True)]
+    before += np.searchsorted(*pairs)
+    del pairs, second, rank, padded
+    before += np.arange(len(rest))
     taken = np.zeros(n, dtype=bool)
-    taken[at] = True
-    out[at], out[~taken] = rest, ordered
+    taken[before] = True
+    out = np.empty(n, dtype=np.int32)
+    out[before], out[~taken] = rest, ordered
     return out
 
 
@@ -117,12 +141,13 @@ def repeated_windows(texts: list[bytes], length: int = LENGTH) -> list[np.ndarra
     sizes = np.array([len(t) for t in texts])
     starts = np.concatenate(([0], np.cumsum(sizes + 1)))[:-1]
     size = int(sizes.sum() + len(texts))
-    symbols = raw[:size].astype(np.int64) + 1
+    symbols = raw[:size].astype(np.int32) + 1
     symbols[starts + sizes] = 257  # ends
     valid = np.zeros(size, dtype=bool)
     for a, n in zip(starts.tolist(), sizes.tolist(), strict=True):
         valid[a : a + n - length + 1] = n >= length
     order = suffix_array(symbols)
+    del symbols
     order = order[valid[order]]
     words = np.ndarray((len(joined) - 7,), dtype="<u8", buffer=joined, strides=(1,))
     a, b = order[:-1], order[1:]
@@ -208,11 +233,20 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     bodies = written(bodies, "bodies")
 
     def sort(table: pa.Table) -> pa.Table:
-        whole = {}
+        anchors: dict[int, dict[bytes, tuple]] = {}
         for key, first, anchor, n, body in zip(*(table.column(c).to_pylist() for c in ("k", "first", "anchor", "n", "body")), strict=True):
-            whole.setdefault((anchor, body), (key, first, n))  # rows with an equal k ask twice
-        found = repeated_windows([body for _, body in whole], length)
-        rows = [(key, first + a, first + b) for (key, first, n), w in zip(whole.values(), found, strict=True) if n == 1 for a, b in covered(w, length)]
+            anchors.setdefault(anchor, {}).setdefault(body, (key, first, n))  # rows with an equal k ask twice
+        rows: list[tuple] = []
+        block: list[tuple[bytes, tuple]] = []
+        size = 0
+        while anchors:
+            some = anchors.popitem()[1]
+            block += some.items()
+            size += sum(map(len, some))
+            if not anchors or size >= SORTED_BYTES:
+                found = repeated_windows([body for body, _ in block], length)
+                rows += [(key, first + a, first + b) for (_, (key, first, n)), w in zip(block, found, strict=True) if n == 1 for a, b in covered(w, length)]
+                block, size = [], 0
         columns = list(zip(*rows, strict=True)) if rows else [[], [], []]
         return pa.table([pa.array(columns[0], arrow_kind), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int32())], names=["k", "b", "e"])
 
