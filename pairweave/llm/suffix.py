@@ -210,8 +210,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
 
     several = shared.where("several")
     different = written(several.groupBy("anchor", "piece").agg(F.count("*").alias("n"), F.min(F.struct("k", "first", "windows")).alias("at")), "different")
-    # Written as well: Spark can then split a piece that a large share of all documents hold.
-    copies = written(several.join(different.where("n > 1").select("anchor", "piece"), ["anchor", "piece"]).select("k", span.alias("span")), "copies")
+    # Written and merged: Spark can then split a piece that a large share of all documents hold, which it doesn't once a join turns into a broadcast.
+    copies = written(several.join(different.where("n > 1").select("anchor", "piece").hint("merge"), ["anchor", "piece"]).select("k", span.alias("span")), "copies")
 
     # Anchors all of whose pieces are copies need no sorting: every window of theirs repeats.
     kinds = different.groupBy("anchor").agg(F.count("*").alias("kinds"), F.count_if(F.col("n") == 1).alias("lone")).where("lone > 0").select("anchor", (F.col("kinds") > hot).alias("hot"))
