@@ -78,16 +78,33 @@ def wilcoxon(df: DataFrame, difference: str, by: list[str], least: int = 5) -> D
     return sums.withColumn("z", F.when(n >= least, z)).drop("_t")
 
 
-def mcnemar_power(pairs: Column, discordance: Column, share: Column, alpha: float = 0.05, largest: int = 400) -> Column:
-    """Power of the one-sided exact test: a mixture over the number of discordant pairs of the chance to reach its critical value."""
-    log_binomial = lambda n, k, p: F.exp(_log_choose(n, k) + k * F.log(p) + (n - k) * F.log(1 - p))
+def mcnemar_power(pairs: Column, discordance: Column, share: Column, alpha: float = 0.05) -> Column:
+    """Power of the one-sided exact test: a mixture over the number of discordant pairs of the chance to reach its critical value.
 
-    def reach(m: Column) -> Column:
-        wanted = F.filter(F.sequence(F.lit(0), m), lambda b: stats.upper_tail(b, m) <= alpha)
-        return F.aggregate(wanted, F.lit(0.0), lambda s, b: s + log_binomial(m, b, share))
-
-    return F.aggregate(F.sequence(F.lit(0), F.least(pairs, F.lit(largest)).cast("int")), F.lit(0.0), lambda s, m: s + log_binomial(pairs, m, discordance) * reach(m))
-
-
-def _log_choose(n: Column, k: Column) -> Column:
-    return F.aggregate(F.sequence(F.lit(0), k.cast("int")), F.lit(0.0), lambda s, j: s + F.when(j == 0, 0.0).otherwise(F.log((n - j + 1) / j)))
+    One pass over 0..pairs, for any number of pairs: with one more discordant pair the critical value stays or rises by one,
+    so both tails (of 1/2 and of ``share``) follow from those before. Point masses are kept as logarithms.
+    """
+    log_half = F.lit(-0.6931471805599453)
+    # at: critical value - 1; half, own: tails from the critical value on; log_half, log_own: masses at ``at``; log_weight: mass of d discordant pairs.
+    start = F.struct(F.lit(0).cast("long").alias("at"), *[F.lit(0.0).alias(x) for x in ("half", "own", "log_half", "log_own")], (pairs * F.log(1 - discordance)).cast("double").alias("log_weight"), F.lit(0.0).alias("reached"), F.lit(0.0).alias("whole"))
+
+    def step(s: Column, d: Column) -> Column:
+        # From d - 1 to d discordant pairs at the same critical value ...
+        half, own = s["half"] + F.exp(s["log_half"] + log_half), s["own"] + F.exp(s["log_own"] + F.log(share))
+        grown = F.log(d.cast("double")) - F.log((d - s["at"]).cast("double"))
+        at_half, at_own = s["log_half"] + grown + log_half, s["log_own"] + grown + F.log(1 - share)
+        # ... and to the next one where that no longer holds the level.
+        rises = half > alpha
+        odds = F.log((d - s["at"]).cast("double")) - F.log((s["at"] + 1).cast("double"))
+        next_half, next_own = at_half + odds, at_own + odds + F.log(share) - F.log(1 - share)
+        own = F.when(rises, F.greatest(F.lit(0.0), own - F.exp(next_own))).otherwise(own)
+        weight = s["log_weight"] + F.log((pairs - d + 1).cast("double")) - F.log(d.cast("double")) + F.log(discordance) - F.log(1 - discordance)
+        return F.struct(
+            (s["at"] + rises.cast("long")).alias("at"), F.when(rises, F.greatest(F.lit(0.0), half - F.exp(next_half))).otherwise(half).alias("half"), own.alias("own"),
+            F.when(rises, next_half).otherwise(at_half).alias("log_half"), F.when(rises, next_own).otherwise(at_own).alias("log_own"),
+            weight.alias("log_weight"), (s["reached"] + F.exp(weight) * own).alias("reached"), (s["whole"] + F.exp(weight)).alias("whole"),
+        )
+
+    # No discordant pair reaches no critical value; its weight is left to add. Weights are over their sum, 1 but for rounding.
+    done = F.aggregate(F.sequence(F.lit(1).cast("long"), pairs.cast("long")), start, step)
+    return F.when(pairs == 0, 0.0).otherwise(done["reached"] / (done["whole"] + F.exp(pairs * F.log(1 - discordance))))
