@@ -1,5 +1,6 @@
 """Queries do the whole job: against brute force, where their SQL is cut or too slow."""
 
+from collections import Counter
 from math import comb, exp, lgamma, log
 
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry_module
 from pairweave.operators import tests as operators
 
+SMALL = "/root/testdata/sf0.001"
 LARGER = "/root/testdata/sf0.1"
 
 
@@ -38,3 +40,10 @@ def test_x21_keeps_frames_of_over_400_pairs(spark):
     rows = entry_module.queries()["x21_mcnemar_power"](spark, LARGER).collect()
     assert sorted(r.frame for r in rows) == list(range(8))
     assert all(0 <= r.power <= 1 for r in rows)
+
+
+def test_p05_explodes_whole_texts(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").collect()
+    assert any(len(r.text) > 200 for r in docs if r.text is not None)
+    want = Counter((r.doc_id, w, r.lang) for r in docs if r.text is not None for w in r.text.split(" "))
+    assert Counter(map(tuple, entry_module.queries()["p05_explode"](spark, SMALL).collect())) == want
