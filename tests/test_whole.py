@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_module
+from pairweave.operators import contained
 from pairweave.operators import tests as operators
 
 SMALL = "/root/testdata/sf0.001"
@@ -47,3 +48,33 @@ def test_p05_explodes_whole_texts(spark):
     assert any(len(r.text) > 200 for r in docs if r.text is not None)
     want = Counter((r.doc_id, w, r.lang) for r in docs if r.text is not None for w in r.text.split(" "))
     assert Counter(map(tuple, entry_module.queries()["p05_explode"](spark, SMALL).collect())) == want
+
+
+def brute_counts(texts, items):
+    out = {}
+    for name, item in items:
+        if item and any(item in t for t in texts if t):
+            n = out.setdefault(name, [0, 0])
+            n[0] += sum(t.count(item) for t in texts if t)
+            n[1] += sum(item in t for t in texts if t)
+    return out
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 20, 150])
+def test_contained_counts_of_any_strings(spark, block_bytes):
+    long = "a passage of well over forty characters, which departs only at its end"
+    texts = [f"x {long}: one", f"{long}: two {long}: two", f"{long}", None, "", "aaaaa", "grün grün", "ab", "c", f"so {long[30:]}"]
+    items = [(1, f"{long}: one"), (2, f"{long}: two"), (3, long), (4, "aa"), (5, "ün"), (6, "bc"), (7, ""), (8, None), (9, "a"), (9, "c"), (10, "aa"), (10, "aa"), (None, "grün"), (11, long[30:])]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(2)
+    got = contained.counts(docs, spark.createDataFrame(items, "item_id bigint, text string"), block_bytes=block_bytes).collect()
+    assert {r.item_id: [r.n, r.documents] for r in got} == brute_counts(texts, items)
+    assert len(got) == len({r.item_id for r in got})
+
+
+def test_j14_counts_whole_items(spark, tmp_path):
+    start = "the same forty characters begin each item, "
+    items, texts = [(1, f"{start}one"), (2, f"{start}two"), (3, "short")], [f"{start}one", f"{start}three", "two short short"]
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = entry_module.queries()["j14_contained_counts"](spark, str(tmp_path)).collect()
+    assert {r.item_id: [r.n, r.documents] for r in got} == brute_counts(texts, items) == {1: [1, 1], 3: [2, 1]}
