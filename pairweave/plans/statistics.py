@@ -39,8 +39,11 @@ bound AS (SELECT supplier, x, n, list_reduce(list_prepend({'lo': 0.0, 'hi': 1.0}
 
 @query(f"WITH {CP} SELECT supplier, x, n, round(CASE WHEN x = 0 THEN 1 - pow(0.05, 1.0 / n) WHEN x = n THEN 1.0 ELSE (u.lo + u.hi) / 2 END, 7) AS upper_bound FROM bound")
 def x04_x05_clopper_pearson(spark, d):
-    first = table(spark, d, "lineitem").where("l_linenumber = 1").groupBy(F.col("l_suppkey").alias("supplier")).agg(F.count_if(F.col("l_discount") >= 0.095).alias("x"), F.count("*").alias("n"))
-    return first.select("supplier", "x", "n", F.round(stats.clopper_pearson_upper(F.col("x"), F.col("n")), 7).alias("upper_bound"))
+    # All line items, and X05's two-sided 95 % interval too; the SQL has the one-sided bound of first line items only.
+    x, n = F.col("x"), F.col("n")
+    counts = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("supplier")).agg(F.count_if(F.col("l_discount") >= 0.095).alias("x"), F.count("*").alias("n"))
+    bounds = {"upper_bound": stats.clopper_pearson_upper(x, n), "lower": stats.clopper_pearson_lower(x, n, 0.025), "upper": stats.clopper_pearson_upper(x, n, 0.025)}
+    return counts.select("supplier", "x", "n", *[F.round(bound, 7).alias(name) for name, bound in bounds.items()])
 
 
 @query(f"WITH {PAIRS_SQL}, m AS (SELECT count(*) AS n, count(*) FILTER (v AND NOT c) AS b, count(*) FILTER (c AND NOT v) AS c FROM pair WHERE v IS NOT NULL AND c IS NOT NULL) SELECT n, b, c, round({TAIL.format(b='b', n='(b + c)')}, 6) AS p FROM m")

@@ -78,3 +78,24 @@ def test_j14_counts_whole_items(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = entry_module.queries()["j14_contained_counts"](spark, str(tmp_path)).collect()
     assert {r.item_id: [r.n, r.documents] for r in got} == brute_counts(texts, items) == {1: [1, 1], 3: [2, 1]}
+
+
+def bound(x, n, alpha, upper):
+    if x == (n if upper else 0):
+        return float(upper)
+    low, high = 0.0, 1.0
+    for _ in range(60):
+        p = (low + high) / 2
+        tail = sum(mass(n, k, p) for k in (range(x + 1) if upper else range(x, n + 1)))
+        low, high = (p, high) if (tail > alpha) == upper else (low, p)
+    return (low + high) / 2
+
+
+def test_x04_x05_count_all_line_items_and_give_both_bounds(spark):
+    items = spark.read.parquet(f"{SMALL}/lineitem.parquet").select("l_suppkey", "l_discount").collect()
+    n, x = Counter(r.l_suppkey for r in items), Counter(r.l_suppkey for r in items if r.l_discount >= 0.095)
+    got = entry_module.queries()["x04_x05_clopper_pearson"](spark, SMALL).collect()
+    assert {r.supplier: (r.x, r.n) for r in got} == {s: (x[s], n[s]) for s in n}
+    for r in got:
+        want = (bound(r.x, r.n, 0.05, True), bound(r.x, r.n, 0.025, False), bound(r.x, r.n, 0.025, True))
+        assert (r.upper_bound, r.lower, r.upper) == pytest.approx(want, abs=1e-7)
