@@ -66,6 +66,27 @@ def hash_draws(groups: DataFrame, group: str, replicates: int, seed: str) -> Dat
     return draws.join(F.broadcast(ordered.drop("_n")), "_at").drop("_at")
 
 
+def cluster_draws(clusters: DataFrame, key: str, replicates: int, seed: str, by: list[str], bucket_rows: int = 100_000) -> DataFrame:
+    """Draws with replacement of as many clusters as each group of ``by`` has, for each replicate, by sha256 as in ``hash_draws``.
+
+    ``clusters`` has one row a cluster and may be large. They are numbered within hashed buckets, to which the rows of the
+    buckets before are added, and draws are joined to them by group and place: no group is in one task or broadcast.
+    """
+    # The buckets are a function of the key, so that places are the same whenever they are computed.
+    buckets = max(1, -(-clusters.count() // bucket_rows))
+    placed = clusters.withColumn("_bucket", F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(buckets)))
+    sizes = placed.groupBy(*by, "_bucket").agg(F.count("*").alias("_rows"))  # a few rows for each 100,000 clusters
+    group = Window.partitionBy(*(by or [F.lit(0)]))
+    upward = group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
+    sizes = sizes.select(*by, "_bucket", (F.sum("_rows").over(upward) - F.col("_rows")).alias("_before"), F.sum("_rows").over(group).alias("_n"))
+    placed = placed.withColumn("_at", F.row_number().over(Window.partitionBy(*by, "_bucket").orderBy(key)) - 1)
+    placed = placed.join(sizes, [*by, "_bucket"]).withColumn("_at", F.col("_at") + F.col("_before")).drop("_bucket", "_before")
+    draws = placed.select(*by, F.col("_at").alias("_draw"), "_n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
+    digest = F.sha2(F.concat_ws("|", F.lit(seed), *[F.col(c).cast("string") for c in by], F.col("replicate").cast("string"), F.col("_draw").cast("string")), 256)
+    draws = draws.select(*by, "replicate", F.pmod(F.conv(F.substring(digest, 1, 12), 16, 10).cast("long"), F.col("_n")).alias("_at"))
+    return draws.join(placed.drop("_n").hint("merge"), [*by, "_at"]).drop("_at")
+
+
 def wilcoxon(df: DataFrame, difference: str, by: list[str], least: int = 5) -> DataFrame:
     """Signed-rank sums without zeros, average ranks for ties, and the normal two-sided p with tie correction; null under ``least`` pairs."""
     d = df.where((F.col(difference) != 0) & F.col(difference).isNotNull()).withColumn("_abs", F.abs(difference))

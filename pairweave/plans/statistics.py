@@ -12,6 +12,9 @@ from .relational import PAIRS_SQL, day_pairs, events
 
 query = Registry()
 
+#: Replicates of the cluster bootstrap.
+REPLICATES = 10_000
+
 #: SQL for the upper tail of Binomial(n, 1/2) at b.
 TAIL = "CASE WHEN {n} = 0 OR {b} <= 0 THEN 1.0 ELSE least(1.0, list_sum(list_transform(range({b}, {n} + 1), lambda k: exp(lgamma({n} + 1) - lgamma(k + 1) - lgamma({n} - k + 1) - {n} * ln(2))))) END"
 LOWER = "CASE WHEN {n} = 0 OR {b} >= {n} THEN 1.0 ELSE least(1.0, list_sum(list_transform(range(0, {b} + 1), lambda k: exp(lgamma({n} + 1) - lgamma(k + 1) - lgamma({n} - k + 1) - {n} * ln(2))))) END"
@@ -149,8 +152,19 @@ def x15_x18_x19_frame_bootstrap(spark, d):
   draw AS (SELECT replicate, CAST(('0x' || left(sha256(concat_ws('|', 'users', replicate, place)), 8)) AS BIGINT) % groups AS pick FROM o, (SELECT unnest(range(50)) AS replicate))
   SELECT replicate, CAST(sum(n) AS BIGINT) AS n, CAST(sum(b) AS BIGINT) AS b, CAST(sum(c) AS BIGINT) AS c FROM draw JOIN o ON pick = place GROUP BY 1""")
 def x16_x17_cluster_bootstrap(spark, d):
-    users = pairs.discordant(day_pairs(spark, d), F.col("view"), F.col("click"), ["user_id"])
-    return tests.hash_draws(users, "user_id", 50, "users").groupBy(F.col("replicate").cast("bigint").alias("replicate")).agg(F.sum("n").alias("n"), F.sum("b").alias("b"), F.sum("c").alias("c"))
+    # X16 draws users within frames, X17 over all; the SQL has the sums of 50 replicates of X17 only.
+    users = pairs.discordant(day_pairs(spark, d), F.col("view"), F.col("click"), ["user_id"]).withColumn("frame", F.col("user_id") % 8)
+    v = F.col("v")
+    low, high = stats.index_interval(v)
+
+    def interval(kind: str, by: list[str]):
+        drawn = tests.cluster_draws(users, "user_id", REPLICATES, "users", by).groupBy("replicate")
+        rd = drawn.agg(F.coalesce(F.try_divide(F.sum(F.col("b") - F.col("c")), F.sum("n")), F.lit(0.0)).alias("rd"))
+        values = rd.agg(F.array_sort(F.collect_list(F.round("rd", 9))).alias("v"))  # as many values as replicates
+        ranks = {name: stats.nearest_rank(v, q) for name, q in (("low", 0.025), ("middle", 0.5), ("high", 0.975))}
+        return values.select(F.lit(kind).alias("drawn"), F.size(v).alias("replicates"), *[x.alias(name) for name, x in ranks.items()], low.alias("index_low"), high.alias("index_high"))
+
+    return interval("within frames", ["frame"]).union(interval("over all", []))
 
 
 @query("""SELECT o_orderstatus, l[CAST(round_even(0.1 * (len(l) - 1), 0) AS BIGINT) + 1] AS p10, l[CAST(round_even(0.5 * (len(l) - 1), 0) AS BIGINT) + 1] AS p50 FROM (SELECT o_orderstatus, list_sort(list(o_totalprice)) AS l FROM orders GROUP BY 1)""")

@@ -99,3 +99,22 @@ def test_x04_x05_count_all_line_items_and_give_both_bounds(spark):
     for r in got:
         want = (bound(r.x, r.n, 0.05, True), bound(r.x, r.n, 0.025, False), bound(r.x, r.n, 0.025, True))
         assert (r.upper_bound, r.lower, r.upper) == pytest.approx(want, abs=1e-7)
+
+
+@pytest.mark.parametrize("by", [["frame"], []])
+def test_cluster_draws_against_brute_force(spark, by):
+    users = [(u, u % 3, u * u) for u in range(40)]
+    draws = operators.cluster_draws(spark.createDataFrame(users, "user_id bigint, frame bigint, x bigint"), "user_id", 200, "s", by, bucket_rows=7).collect()
+    size = Counter((r.replicate, r.frame) for r in draws)
+    if by:
+        assert size == {(k, f): sum(u % 3 == f for u in range(40)) for k in range(200) for f in range(3)}
+    assert Counter(r.replicate for r in draws) == dict.fromkeys(range(200), 40)
+    assert all(r.x == r.user_id**2 and r.frame == r.user_id % 3 for r in draws)
+    seen = Counter(r.user_id for r in draws)  # 200 draws of each are expected, with a deviation of about 14
+    assert len(seen) == 40 and all(120 < n < 280 for n in seen.values())
+
+
+def test_x16_x17_give_intervals_of_10000_replicates(spark):
+    rows = {r.drawn: r for r in entry_module.queries()["x16_x17_cluster_bootstrap"](spark, SMALL).collect()}
+    assert set(rows) == {"within frames", "over all"}
+    assert all(r.replicates == 10_000 and -1 <= r.low <= r.middle <= r.high <= 1 for r in rows.values())
