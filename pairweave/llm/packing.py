@@ -3,17 +3,17 @@
 A task fills a buffer of a fixed number of tokens from its rows, sorts the buffer's segments by falling length and puts
 each into the fullest pack that still has room, found by a segment tree over free capacities. Documents longer than a
 pack are cut into whole packs and a rest, losing nothing. There is no shuffle; memory is bounded by the buffer and the
-longest document. What a pack holds depends on how Spark splits the input, never on timing, so a task that runs again
-on another executor gives the same packs.
+longest document; a text of any length is encoded and cut whole. What a pack holds, and its ``pack_id``, depend on how
+Spark splits the input, never on timing, so a task that runs again on another executor gives the same packs; two runs
+that split the input otherwise hold the same segments in other packs.
 
-Null and empty texts have no tokens and appear in no pack. Repeated rows are packed once each. Null ids stay null in
-``doc_ids``. Only the id and the token ids are carried.
+Null and empty texts have no tokens and appear in no pack; an empty table gives no packs. Repeated rows are packed once
+each. Null ids stay null in ``doc_ids``. Only the id and the token ids are carried, so no other column can clash.
 """
 
 from __future__ import annotations
 
 import hashlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,11 +22,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import CHUNK, REMEMBERED_CHUNKS, parse_ranks
-from .common import Memo, text_list
+from .bpe import made, parse_ranks
+from .common import text_list
 
 #: Tokens that a task gathers before it packs them: 2 MB of ids, 256 packs of 2,048.
 BUFFER_TOKENS = 1 << 19
+#: Rows of a batch whose values are Python objects at a time, and characters without white space that the library isn't given.
+SLICE, ENDLESS = 128, 8_192
 
 
 class FreeSpace:
@@ -93,16 +95,27 @@ def _packed(segments: list[tuple], capacity: int, pad: int, first: int, schema:
 
 
 def pack(df: DataFrame, capacity: int = 2048, pad: int = 0, doc_id: str = "doc_id", ids: str = "ids", buffer_tokens: int = BUFFER_TOKENS) -> DataFrame:
-    """Packs of the token ids (binary, little-endian unsigned 32-bit) of each row.
+    """Packs of the token ids (binary, little-endian unsigned 32-bit; null: none) of each row.
 
     Returns pack_id long, n_tokens int, doc_ids array, starts array<long> (where a segment begins in its document),
     cu_seqlens array<int> (from 0 to n_tokens), input_ids binary and position_ids binary (``capacity`` little-endian
     32-bit numbers each; positions begin at 0 with each segment; the rest is ``pad`` and 0).
     """
+
+    def rows_of(batch: pa.RecordBatch) -> Iterator[tuple]:
+        for at in range(0, batch.num_rows, SLICE):
+            some = batch.slice(at, SLICE)
+            for key, value in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
+                yield key, np.frombuffer(value or b"", dtype="<u4")
+
+    return _pack(df.select(F.col(doc_id).alias("doc_id"), F.col(ids).alias("ids")), rows_of, capacity, pad, buffer_tokens)
+
+
+def _pack(source: DataFrame, rows_of, capacity: int, pad: int, buffer_tokens: int) -> DataFrame:
+    """``rows_of``: id and token ids of each row of a batch of ``source``, whose first column is doc_id."""
     if capacity < 1:
         raise ValueError("capacity must be positive")
-    kind = df.schema[doc_id].dataType.simpleString()
-    source = df.select(F.col(doc_id).alias("doc_id"), F.col(ids).alias("ids"))
+    kind = source.schema["doc_id"].dataType.simpleString()
     out = f"pack_id bigint, n_tokens int, doc_ids array<{kind}>, starts array<bigint>, cu_seqlens array<int>, input_ids binary, position_ids binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,16 +123,18 @@ def pack(df: DataFrame, capacity: int = 2048, pad: int = 0, doc_id: str = "doc_i
         schema, segments, held = None, [], 0
         for batch in batches:
             if schema is None:
-                numbers = pa.list_(pa.int32())
-                schema = pa.schema([("pack_id", pa.int64()), ("n_tokens", pa.int32()), ("doc_ids", pa.list_(batch.schema.field(0).type)), ("starts", pa.list_(pa.int64())), ("cu_seqlens", numbers), ("input_ids", pa.binary()), ("position_ids", pa.binary())])
-            for key, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                tokens = np.frombuffer(value or b"", dtype="<u4")
+                numbers, key_kind = pa.list_(pa.int32()), batch.schema.field(0).type
+                schema = pa.schema([
+                    ("pack_id", pa.int64()), ("n_tokens", pa.int32()), ("doc_ids", pa.list_(key_kind)), ("starts", pa.list_(pa.int64())),
+                    ("cu_seqlens", numbers), ("input_ids", pa.binary()), ("position_ids", pa.binary()),
+                ])
+            for key, tokens in rows_of(batch):
                 for at in range(0, len(tokens), capacity):
                     segments.append((key, at, tokens[at : at + capacity]))
                     held += len(segments[-1][2])
                     if held >= buffer_tokens:
-                        yield (made := _packed(segments, capacity, pad, first, schema))
-                        first, segments, held = first + made.num_rows, [], 0
+                        yield (full := _packed(segments, capacity, pad, first, schema))
+                        first, segments, held = first + full.num_rows, [], 0
         if segments:
             yield _packed(segments, capacity, pad, first, schema)
 
@@ -136,29 +151,39 @@ def write_packs(packs: DataFrame, path: str) -> None:
     packs.write.mode("errorifexists").parquet(path)
 
 
-def library_encoder(ranks, pattern: str):
-    """Column function: text to ids (binary) by the public tiktoken library, for packs whose ids need no operator of ours.
+def pack_texts(df: DataFrame, ranks, pattern: str, capacity: int = 2048, pad: int = 0, doc_id: str = "doc_id", text: str = "text", buffer_tokens: int = BUFFER_TOKENS) -> DataFrame:
+    """``pack`` of the ids that the public library gives for each text, encoded in the task that packs them.
 
-    ``ranks``: a broadcast rank file. Chunks that a word ends are remembered, as the library splits there anyway.
+    ``ranks``: a broadcast rank file. Ids never leave the Python worker but as packs.
     """
 
-    @F.arrow_udf("binary")
-    def encode(texts: pa.Array) -> pa.Array:
-        one = _library(ranks.value, pattern)
-        return pa.array([b"".join(map(one.__getitem__, CHUNK.findall(x))) for x in text_list(texts)], pa.binary())
+    def rows_of(batch: pa.RecordBatch) -> Iterator[tuple]:
+        encode = _library(ranks.value, pattern)
+        for at in range(0, batch.num_rows, SLICE):
+            some = batch.slice(at, SLICE)
+            for key, value in zip(some.column(0).to_pylist(), text_list(some.column(1)), strict=True):
+                yield key, np.array(encode(value), dtype="<u4")
 
-    return encode
+    return _pack(df.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")), rows_of, capacity, pad, buffer_tokens)
 
 
-_ENCODERS: dict[tuple[str, str], Memo] = {}
+_ENCODERS: dict[tuple[str, str], object] = {}
 
 
-def _library(data: bytes, pattern: str) -> Memo:
+def _library(data: bytes, pattern: str):
+    """Text to its ids, by the library; texts with an endless word go to the linear encoder of operator 1, with equal ids."""
     key = hashlib.sha256(data).hexdigest(), pattern
     if key not in _ENCODERS:
         import tiktoken
 
-        encode = tiktoken.Encoding(key[0], pat_str=pattern, mergeable_ranks=parse_ranks(data), special_tokens={}).encode_ordinary
+        ordinary = tiktoken.Encoding(key[0], pat_str=pattern, mergeable_ranks=parse_ranks(data), special_tokens={}).encode_ordinary
+
+        def encode(text: str) -> list[int] | np.ndarray:
+            # The library's merging takes the square of a word's length.
+            if len(text) > ENDLESS and max(map(len, text.split()), default=0) > ENDLESS:
+                return np.frombuffer(made(data, pattern).encode(text), dtype="<u4")
+            return ordinary(text)
+
         _ENCODERS.clear()
-        _ENCODERS[key] = Memo(lambda chunk: array("I", encode(chunk)).tobytes(), REMEMBERED_CHUNKS // 2)
+        _ENCODERS[key] = encode
     return _ENCODERS[key]

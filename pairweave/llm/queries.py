@@ -20,11 +20,11 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_token_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     with open(public_tokenizers.path(BPE_RANKS), "rb") as f:
         ranks = spark.sparkContext.broadcast(f.read())
-    packs = packing.pack(docs.withColumn("ids", packing.library_encoder(ranks, public_tokenizers.PATTERN)("text")), PACK_WIDTH)
-    return packs.select("pack_id", "n_tokens", "doc_ids", "starts", "cu_seqlens", F.sha2("input_ids", 256).alias("ids_sha256"), F.sha2("position_ids", 256).alias("positions_sha256"))
+    packs = packing.pack_texts(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, PACK_WIDTH)
+    digest = {f"{name}_sha256": F.sha2(column, 256) for name, column in (("ids", "input_ids"), ("positions", "position_ids"))}
+    return packs.select("pack_id", "n_tokens", "doc_ids", "starts", "cu_seqlens", *[x.alias(name) for name, x in digest.items()])
 
 
 def op3_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -64,21 +64,63 @@ def test_bpe_on_random_pieces():
         assert np.frombuffer(own.encode(s), "<u4").tolist() == library.encode_ordinary(s)
 
 
-def test_packs_lose_nothing(spark, texts):
-    with open(RANKS, "rb") as f:
-        ranks = spark.sparkContext.broadcast(f.read())
-    docs = frame(spark, [(i, t) for i, t in texts if i not in (None, 1, 4)]).withColumn("ids", packing.library_encoder(ranks, P.PATTERN)("text"))
-    rows = packing.pack(docs, capacity=64, buffer_tokens=2000).collect()
-    parts = {}
+def segments_of(rows, capacity):
+    """(id, start, ids) of every segment of packs, whose layout is checked on the way."""
+    out = Counter()
     for r in rows:
         ids, positions = np.frombuffer(r.input_ids, "<u4"), np.frombuffer(r.position_ids, "<i4")
-        assert len(ids) == 64 and r.cu_seqlens[0] == 0 and r.cu_seqlens[-1] == r.n_tokens <= 64
+        assert len(ids) == len(positions) == capacity
+        assert r.cu_seqlens[0] == 0 and r.cu_seqlens[-1] == r.n_tokens <= capacity
         for d, start, a, b in zip(r.doc_ids, r.starts, r.cu_seqlens, r.cu_seqlens[1:]):
-            parts.setdefault(d, []).append((start, ids[a:b].tobytes()))
-            assert positions[a:b].tolist() == list(range(b - a))
-        assert not ids[r.n_tokens :].any()
+            out[d, start, ids[a:b].tobytes()] += 1
+            assert positions[a:b].tolist() == list(range(b - a)) and b > a
+        assert not ids[r.n_tokens :].any() and not positions[r.n_tokens :].any()
     assert len({r.pack_id for r in rows}) == len(rows)
-    assert {d: b"".join(x for _, x in sorted(p)) for d, p in parts.items()} == {r.doc_id: bytes(r.ids) for r in docs.collect() if r.ids}
+    return out
+
+
+def brute_segments(rows, capacity):
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.parse_ranks(open(RANKS, "rb").read()), special_tokens={})
+    out = Counter()
+    for i, t in rows:
+        ids = library.encode_ordinary(t or "")
+        out.update((i, a, np.array(ids[a : a + capacity], "<u4").tobytes()) for a in range(0, len(ids), capacity))
+    return out
+
+
+def test_packs_lose_nothing(spark, texts, tmp_path):
+    """Null, empty, repeated ids and rows, and texts longer than many packs."""
+    with open(RANKS, "rb") as f:
+        ranks = spark.sparkContext.broadcast(f.read())
+    rows = [*texts, texts[20], (77, "the end " * 20_000)]
+    packs = packing.pack_texts(frame(spark, rows).repartition(3), ranks, P.PATTERN, capacity=64, buffer_tokens=2000)
+    assert segments_of(packs.collect(), 64) == brute_segments(rows, 64)
+    packing.write_packs(packs, f"{tmp_path}/packs")
+    back = spark.read.parquet(f"{tmp_path}/packs").orderBy("pack_id").collect()
+    assert segments_of(back, 64) == brute_segments(rows, 64)
+    first = packs.orderBy("pack_id").collect()
+    ids, positions = packing.matrix([r.input_ids for r in back]), packing.matrix([r.position_ids for r in back], "<i4")
+    assert ids.shape == positions.shape == (len(back), 64)
+    assert ids.tobytes() == b"".join(bytes(r.input_ids) for r in first) and (positions.max(1) < 64).all()
+    with pytest.raises(Exception, match="already exists"):
+        packing.write_packs(packs, f"{tmp_path}/packs")
+    assert packing.pack_texts(frame(spark, []), ranks, P.PATTERN).count() == 0
+    assert packing.matrix([]).size == 0
+
+
+def test_packs_of_given_ids(spark):
+    rows = [(1, np.arange(150, dtype="<u4").tobytes()), (None, np.arange(7, dtype="<u4").tobytes()), (1, None), (2, b"")]
+    packs = packing.pack(spark.createDataFrame(rows, "doc_id int, ids binary"), capacity=64, pad=0).collect()
+    want = Counter({(1, a, np.arange(a, min(150, a + 64), dtype="<u4").tobytes()): 1 for a in (0, 64, 128)})
+    want[None, 0, np.arange(7, dtype="<u4").tobytes()] = 1
+    assert segments_of(packs, 64) == want
+
+
+def test_endless_words_have_the_library_s_ids():
+    encode = packing._library(open(RANKS, "rb").read(), P.PATTERN)
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.parse_ranks(open(RANKS, "rb").read()), special_tokens={})
+    for s in ("ab" * 6000, "x " + "ba" * 5000 + " 12 é", "short"):
+        assert list(encode(s)) == library.encode_ordinary(s)
 
 
 def test_best_fit_decreasing():
