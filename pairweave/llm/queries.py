@@ -72,6 +72,7 @@ QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_token_packs, op3_syncmer_fi
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
 ORACLES = {
+    "op5_url_verdicts": urls.sql(URL_RULES),
     "op4_benchmark_matches": f"""
 WITH doc AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 item AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {_WORDS} AS w FROM benchmark),

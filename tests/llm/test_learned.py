@@ -1,10 +1,11 @@
 """The learned operators: URL models against brute force, toxicity and language on edge cases and held-out rows."""
 
+import hashlib
 import math
 import random
-import zlib
 from collections import Counter
 
+import duckdb
 import pytest
 from pairweave.llm import langid, queries, toxicity, urls
 from pairweave.llm.common import split_remainder
@@ -34,47 +35,44 @@ def brute_rule(host, path):
     return max(fits, key=lambda x: len(x[1]), default=None)
 
 
-def brute_symbols(url):
-    plain = "".join(c.lower() if c.isascii() else c for c in url or "")
-    return [urls.SYMBOLS.find("0" if c in "123456789" else c) + 1 for c in plain]
+def brute_signs(url):
+    return "\2" * urls.ORDER + "".join(c.lower() if c.isascii() else c for c in url or "") + "\3"
 
 
 class BruteModel:
-    def __init__(self, texts):
-        self.n = [Counter(), Counter(), Counter()]
+    """Contexts of 0 to ORDER characters, mixed by recursion."""
+
+    def __init__(self, texts, signs):
+        self.n, self.after, self.signs = Counter(), {}, signs
         for t in texts:
-            s = [urls.END, urls.END, *brute_symbols(t), urls.END]
-            for i in range(2, len(s)):
-                for k in range(3):
-                    self.n[k][tuple(s[i - k : i + 1])] += 1
+            s = brute_signs(t)
+            for i in range(urls.ORDER, len(s)):
+                for k in range(urls.ORDER + 1):
+                    self.n[s[i - k : i + 1]] += 1
+                    self.after.setdefault(s[i - k : i], Counter())[s[i]] += 1
 
     def p(self, gram):
-        k = len(gram) - 1
-        if k == 0:
-            return (self.n[0][gram] + 1) / (sum(self.n[0].values()) + urls.V)
-        after = [self.n[k][gram[:-1] + (c,)] for c in range(urls.V)]
-        kinds, lower = sum(x > 0 for x in after), self.p(gram[1:])
-        return (self.n[k][gram] + kinds * lower) / (sum(after) + kinds) if kinds else lower
+        if len(gram) == 1:
+            return (self.n[gram] + 1) / (sum(self.after.get("", {}).values()) + self.signs)
+        after, lower = self.after.get(gram[:-1]), self.p(gram[1:])
+        return (self.n[gram] + len(after) * lower) / (sum(after.values()) + len(after)) if after else lower
 
 
 def brute_urls(rows):
     parsed = [(i, u, *brute_host_path(u)) for i, u in rows]
     rules = [brute_rule(h, p) for _, _, h, p in parsed]
-    judged = [(u, r[0]) for (_, u, _, _), r in zip(parsed, rules) if r and u is not None]
-    out = lambda u: zlib.crc32(u.encode()) % 5 == 0
-    good, bad = (BruteModel([u for u, v in judged if v == kind and not out(u)]) for kind in ("allow", "block"))
-
-    known = {}
+    judged = [(u, r[0]) for (_, u, _, _), r in zip(parsed, rules) if r]
+    out = lambda u: int(hashlib.sha256(u.encode()).hexdigest()[:8], 16) % 5 == 0
+    train = {kind: [u for u, v in judged if v == kind and not out(u)] for kind in ("allow", "block")}
+    signs = len({c for texts in train.values() for u in texts for c in brute_signs(u)[urls.ORDER :]}) + 1
+    good, bad = (BruteModel(train[kind], signs) for kind in ("allow", "block"))
 
     def score(u):
-        s = [urls.END, urls.END, *brute_symbols(u), urls.END]
-        grams = [tuple(s[i - 2 : i + 1]) for i in range(2, len(s))]
-        for g in grams:
-            if g not in known:
-                known[g] = math.log(good.p(g)) - math.log(bad.p(g))
-        return sum(known[g] for g in grams) / len(grams)
-
-    left = [(max(-urls.STEPS, min(urls.STEPS, math.floor(score(u) / urls.STEP))), v) for u, v in judged if out(u)]
+        s = brute_signs(u)
+        each = [s[i - urls.ORDER : i + 1] for i in range(urls.ORDER, len(s))]
+        return sum(math.log(good.p(g)) - math.log(bad.p(g)) for g in each) / len(each)
+
+    left = [(max(-urls.STEPS, min(urls.STEPS, math.floor(round(score(u), 9) / urls.STEP))), v) for u, v in judged if out(u)]
     allowed, blocked = [s for s, v in left if v == "allow"], [s for s, v in left if v == "block"]
     assert allowed and blocked
     right = lambda at: round(sum(s >= at for s in allowed) / len(allowed) + 1 - sum(s >= at for s in blocked) / len(blocked), 9)
@@ -92,6 +90,24 @@ def test_urls_equal_brute_force(spark):
     assert [r[5] for r in sorted(map(tuple, got), key=key)] == pytest.approx([r[5] for r in sorted(want, key=key)], abs=2e-6)
 
 
+@pytest.mark.parametrize("hot", [4096, 20])
+def test_urls_equal_sql(spark, tmp_path, monkeypatch, hot):
+    """Both ways to look ratios up; null, empty, repeated and very long urls and characters beyond ASCII."""
+    monkeypatch.setattr(urls, "HOT", hot)
+    long = "http://x.org/" + "ab1/" * 5_000
+    rows = [*page_rows(), (900, long), *[(901, "http://shop.com/en/hot")] * 50, (902, "http://漢字.net/é"), (903, "HTTP://B.NET/ES/Q")]
+    spark.createDataFrame(rows, "page_id long, url string").repartition(3).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    df = queries.op5_url_verdicts(spark, str(tmp_path))
+    names = ["page_id", "host", "path", "rule", "verdict", "score"]
+    want = con.execute(f"SELECT {', '.join(names)} FROM ({urls.sql(queries.URL_RULES)})").fetchall()
+    got = [tuple(r) for r in df.select(*names).collect()]
+    assert len(got) == len(rows) and Counter(r[:5] for r in got) == Counter(r[:5] for r in want)
+    key = lambda r: (r[0] is None, r[0] or 0, r[1], r[2], r[5])
+    assert [r[5] for r in sorted(got, key=key)] == pytest.approx([r[5] for r in sorted(want, key=key)], abs=2e-6)
+
+
 def test_urls_without_training(spark):
     pages = spark.createDataFrame([(1, "http://x.org/a"), (2, None)], "page_id long, url string")
     assert [(r.verdict, r.score) for r in urls.judge(pages, queries.URL_RULES).collect()] == [("allow", 0.0)] * 2
