@@ -79,17 +79,17 @@ def log_ratios(counts: DataFrame) -> DataFrame:
 
     P for a context of j characters is (count + kinds * P of j - 1) / (total + kinds), with the kinds of characters that
     followed the context; for an unseen context it is P of j - 1; for none it is (count + 1) / (total + all kinds + 1).
+    Without training urls of both kinds every ratio is 0.
     """
     level = {ORDER: counts}
     for j in range(ORDER - 1, -1, -1):
         sums = [F.sum(c).alias(c) for c in ("n1", "n0")]
         level[j] = level[j + 1].groupBy(F.substring("gram", 2, j + 1).alias("gram")).agg(*sums)
-    both = level[0].agg(
-        F.coalesce(F.sum("n1"), F.lit(0)).alias("total1"), F.coalesce(F.sum("n0"), F.lit(0)).alias("total0"),
-        (F.count_if((F.col("n1") > 0) | (F.col("n0") > 0)) + 1).alias("signs"),
-    )
-    known = level[0].join(F.broadcast(both))  # one row
-    known = known.select("gram", *[((F.col(f"n{k}") + 1) / (F.col(f"total{k}") + F.col("signs"))).alias(f"p{k}") for k in (1, 0)])
+    total1, total0, signs = level[0].agg(F.sum("n1"), F.sum("n0"), F.count_if((F.col("n1") > 0) | (F.col("n0") > 0)) + 1).first()
+    totals = {1: total1 or 0, 0: total0 or 0}
+    if not all(totals.values()):
+        return counts.select("gram", "n", F.lit(0.0).alias("ratio"))
+    known = level[0].select("gram", *[((F.col(f"n{k}") + 1) / F.lit(float(totals[k] + signs))).alias(f"p{k}") for k in (1, 0)])
     for j in range(1, ORDER + 1):
         context, shorter = F.substring("gram", 1, j).alias("context"), F.substring("gram", 2, j).alias("shorter")
         of = [x for k in (1, 0) for x in (F.sum(f"n{k}").alias(f"of{k}"), F.count_if(F.col(f"n{k}") > 0).alias(f"kinds{k}"))]
@@ -102,7 +102,7 @@ def log_ratios(counts: DataFrame) -> DataFrame:
 
 def looked_up(rows: DataFrame, table: DataFrame, key: str, reduced) -> DataFrame:
     """``reduced`` of ``rows`` with the columns of ``table`` (key, n: the key's rows, values), hot keys apart from the others."""
-    total = table.agg(F.coalesce(F.sum("n"), F.lit(0))).scalar()
+    total = table.agg(F.sum("n")).first()[0] or 0
     hot, others = table.where(F.col("n") * HOT > total).drop("n"), table.where(F.col("n") * HOT <= total).drop("n")
     return reduced(rows.join(F.broadcast(hot), key)).unionByName(reduced(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(others, key)))
 
@@ -139,8 +139,8 @@ def judge(pages: DataFrame, rules: list[Rule], page_id: str = "page_id", url: st
     # Equal urls have equal hosts, paths and rules.
     distinct = written(known.groupBy("url").agg(F.count("*").alias("n"), F.any_value(allowed).alias("allowed")), "urls")
     counts = written(counted(distinct.withColumn("trains", F.when(~left_out, F.col("allowed")))), "grams")
-    trained = counts.agg((F.sum("n1") > 0) & (F.sum("n0") > 0)).scalar()
-    found = written(scores(distinct, log_ratios(counts)).join(distinct, "url").withColumn("score", F.when(trained, F.col("score")).otherwise(0.0)), "scores")
+    ratios = written(log_ratios(counts), "ratios")  # written, as several plans below read it
+    found = written(scores(distinct, ratios).join(distinct, "url"), "scores")
     limit = threshold(found.where(left_out & F.col("allowed").isNotNull())).scalar()
     own = F.when(F.round("score", 9) >= F.coalesce(limit, F.lit(0.0)), "allow").otherwise("block")
     out = looked_up(known, found.select("url", "n", "score"), "url", lambda x: x)
