@@ -40,6 +40,13 @@ def kappa_of(df: DataFrame, a: str, b: str, certain: float | None = 1.0) -> Data
     return total.withColumn("_one", F.lit(1)).join(products.withColumn("_one", F.lit(1)), "_one").select("n", "agree", stats.kappa(F.col("n"), F.col("agree"), F.col("expected"), certain).alias("kappa"))
 
 
+def binary_kappa(df: DataFrame, a: str, b: str, classes: tuple[str, str], certain: float | None = 1.0) -> DataFrame:
+    """``kappa_of`` on the rows where both labels are one of two classes, with how many other rows there were (``excluded``)."""
+    both = F.col(a).isin(*classes) & F.col(b).isin(*classes)
+    excluded = df.agg(F.count_if(~F.coalesce(both, F.lit(False)))).scalar()
+    return kappa_of(df.where(both), a, b, certain).withColumn("excluded", excluded)
+
+
 def leave_one_out(groups: DataFrame, group: str, counts: list[str]) -> DataFrame:
     """For each group (one row each), the sums of the counts over all other groups: totals minus its own, no pairs of groups."""
     whole = Window.partitionBy(F.lit(0))
@@ -66,37 +73,56 @@ def hash_draws(groups: DataFrame, group: str, replicates: int, seed: str) -> Dat
     return draws.join(F.broadcast(ordered.drop("_n")), "_at").drop("_at")
 
 
-def cluster_draws(clusters: DataFrame, key: str, replicates: int, seed: str, by: list[str], bucket_rows: int = 100_000) -> DataFrame:
-    """Draws with replacement of as many clusters as each group of ``by`` has, for each replicate, by sha256 as in ``hash_draws``.
+def placed(df: DataFrame, key: str, by: list[str], bucket_rows: int = 100_000) -> tuple[DataFrame, int]:
+    """``df`` with ``_at``, its place (from 0) by ``key`` in its group of ``by``, and ``_n``, the group's rows; and all rows' number.
 
-    ``clusters`` has one row a cluster and may be large. They are numbered within hashed buckets, to which the rows of the
-    buckets before are added, and draws are joined to them by group and place: no group is in one task or broadcast.
+    Rows are ordered within ranges of the (numeric) key, to which the rows of the ranges before are added: no group is in
+    one task, however large. The ranges' ends are approximate quantiles; they decide how even the ranges are, not the places.
     """
-    # The buckets are a function of the key, so that places are the same whenever they are computed.
-    buckets = max(1, -(-clusters.count() // bucket_rows))
-    placed = clusters.withColumn("_bucket", F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(buckets)))
-    sizes = placed.groupBy(*by, "_bucket").agg(F.count("*").alias("_rows"))  # a few rows for each 100,000 clusters
+    total = df.count()
+    buckets = max(1, -(-total // bucket_rows))
+    ends = sorted(set(df.approxQuantile(key, [i / buckets for i in range(1, buckets)], 0.2 / buckets))) if buckets > 1 else []
+    bucket = F.size(F.filter(F.array(*map(F.lit, ends)), lambda e: e < F.col(key))) if ends else F.lit(0)
+    ranged = df.withColumn("_bucket", bucket)
+    sizes = ranged.groupBy(*by, "_bucket").agg(F.count("*").alias("_rows"))  # a few rows for each bucket_rows
     group = Window.partitionBy(*(by or [F.lit(0)]))
     upward = group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
     sizes = sizes.select(*by, "_bucket", (F.sum("_rows").over(upward) - F.col("_rows")).alias("_before"), F.sum("_rows").over(group).alias("_n"))
-    placed = placed.withColumn("_at", F.row_number().over(Window.partitionBy(*by, "_bucket").orderBy(key)) - 1)
-    placed = placed.join(sizes, [*by, "_bucket"]).withColumn("_at", F.col("_at") + F.col("_before")).drop("_bucket", "_before")
-    draws = placed.select(*by, F.col("_at").alias("_draw"), "_n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
-    digest = F.sha2(F.concat_ws("|", F.lit(seed), *[F.col(c).cast("string") for c in by], F.col("replicate").cast("string"), F.col("_draw").cast("string")), 256)
+    at = F.row_number().over(Window.partitionBy(*by, "_bucket").orderBy(key)) - 1
+    out = ranged.withColumn("_at", at).join(sizes, [*by, "_bucket"]).withColumn("_at", F.col("_at") + F.col("_before"))
+    return out.drop("_bucket", "_before"), total
+
+
+def cluster_draws(clusters: DataFrame, key: str, replicates: int, seed: str, by: list[str], bucket_rows: int = 100_000, small: int = 200_000) -> DataFrame:
+    """Draws with replacement of as many clusters as each group of ``by`` has, for each replicate, by sha256 as in ``hash_draws``.
+
+    ``clusters`` has one row a cluster and may be large. Draws are joined to them by group and place: no group is in one
+    task. Up to ``small`` clusters are broadcast (their number is counted); the draws are the same either way.
+    """
+    at, total = placed(clusters, key, by, bucket_rows)
+    draws = at.select(*by, F.col("_at").alias("_draw"), "_n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
+    names = [F.lit(seed), *[F.col(c).cast("string") for c in by], F.col("replicate").cast("string"), F.col("_draw").cast("string")]
+    digest = F.sha2(F.concat_ws("|", *names), 256)
     draws = draws.select(*by, "replicate", F.pmod(F.conv(F.substring(digest, 1, 12), 16, 10).cast("long"), F.col("_n")).alias("_at"))
-    return draws.join(placed.drop("_n").hint("merge"), [*by, "_at"]).drop("_at")
+    return draws.join(F.broadcast(at.drop("_n")) if total <= small else at.drop("_n").hint("merge"), [*by, "_at"]).drop("_at")
 
 
 def wilcoxon(df: DataFrame, difference: str, by: list[str], least: int = 5) -> DataFrame:
-    """Signed-rank sums without zeros, average ranks for ties, and the normal two-sided p with tie correction; null under ``least`` pairs."""
+    """n, w_plus, z and p: signed-rank sums without zeros, average ranks for ties, and the normal two-sided p with tie correction.
+
+    z and p are null under ``least`` pairs. Equal sizes are added up first; a group's distinct sizes are ranked by running
+    counts, so that what a task orders is the group's distinct sizes, not its rows.
+    """
     d = df.where((F.col(difference) != 0) & F.col(difference).isNotNull()).withColumn("_abs", F.abs(difference))
-    part = Window.partitionBy(*by)
-    ranked = d.withColumns({"_ties": F.count("*").over(Window.partitionBy(*by, "_abs")), "_rank": F.rank().over(part.orderBy("_abs"))})
-    ranked = ranked.withColumn("_rank", F.col("_rank") + (F.col("_ties") - 1) / 2)
-    sums = ranked.groupBy(*by).agg(F.count("*").alias("n"), F.sum(F.when(F.col(difference) > 0, F.col("_rank")).otherwise(0.0)).alias("w_plus"), F.sum((F.col("_ties") * F.col("_ties") - 1).cast("double")).alias("_t"))
+    sizes = d.groupBy(*by, "_abs").agg(F.count("*").alias("_ties"), F.count_if(F.col(difference) > 0).alias("_up"))
+    upward = Window.partitionBy(*by).orderBy("_abs").rowsBetween(Window.unboundedPreceding, 0)
+    rank = F.sum("_ties").over(upward) - (F.col("_ties") - 1) / 2
+    t = F.col("_ties").cast("double")
+    sums = sizes.withColumn("_rank", rank).groupBy(*by).agg(F.sum("_ties").alias("n"), F.sum(F.col("_up") * F.col("_rank")).alias("w_plus"), F.sum(t * (t * t - 1)).alias("_t"))
     n = F.col("n").cast("double")
     z = (F.col("w_plus") - n * (n + 1) / 4) / F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("_t") / 48)
-    return sums.withColumn("z", F.when(n >= least, z)).drop("_t")
+    out = sums.withColumn("z", F.when(n >= least, z)).drop("_t")
+    return out.withColumn("p", stats.normal_two_sided(F.col("z")))
 
 
 def mcnemar_power(pairs: Column, discordance: Column, share: Column, alpha: float = 0.05) -> Column:

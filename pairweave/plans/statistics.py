@@ -34,21 +34,34 @@ def x01_x02_x03_binomial_tails(spark, d):
     return suppliers(spark, d).select("supplier", "b", "n", F.round(stats.upper_tail(b, n), 9).alias("upper"), F.round(stats.lower_tail(b, n), 9).alias("lower"), F.round(stats.two_sided(b, n), 9).alias("two_sided"))
 
 
-CP = """s AS (SELECT l_suppkey AS supplier, count(*) FILTER (l_discount >= 0.095) AS x, count(*) AS n FROM lineitem WHERE l_linenumber = 1 GROUP BY 1),
-bound AS (SELECT supplier, x, n, list_reduce(list_prepend({'lo': 0.0, 'hi': 1.0}, list_transform(range(60), lambda k: {'lo': 0.0, 'hi': 1.0})), lambda s, k:
-  CASE WHEN list_sum(list_transform(range(0, x + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln((s.lo + s.hi) / 2) + (n - j) * ln(1 - (s.lo + s.hi) / 2)))) > 0.05
-  THEN {'lo': (s.lo + s.hi) / 2, 'hi': s.hi} ELSE {'lo': s.lo, 'hi': (s.lo + s.hi) / 2} END) AS u FROM s)"""
-
-
-@query(f"WITH {CP} SELECT supplier, x, n, round(CASE WHEN x = 0 THEN 1 - pow(0.05, 1.0 / n) WHEN x = n THEN 1.0 ELSE (u.lo + u.hi) / 2 END, 7) AS upper_bound FROM bound")
+def bisected(alpha: float, upper: bool) -> str:
+    """SQL for a Clopper-Pearson bound of x of n, by 60 halvings of [0, 1]."""
+    p = "((s.lo + s.hi) / 2)"
+    terms = "range(0, x + 1)" if upper else "range(x, n + 1)"
+    tail = f"list_sum(list_transform({terms}, lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({p}) + (n - j) * ln(1 - {p}))))"
+    right, left = f"{{'lo': {p}, 'hi': s.hi}}", f"{{'lo': s.lo, 'hi': {p}}}"
+    steps = f"list_reduce(list_prepend({{'lo': 0.0, 'hi': 1.0}}, list_transform(range(60), lambda k: {{'lo': 0.0, 'hi': 1.0}})), lambda s, k: CASE WHEN {tail} {'>' if upper else '<'} {alpha} THEN {right} ELSE {left} END)"
+    return f"CASE WHEN {'x = n' if upper else 'x = 0'} THEN {1.0 if upper else 0.0} ELSE ({steps}.lo + {steps}.hi) / 2 END"
+
+
+@query(f"""WITH s AS (SELECT l_suppkey AS supplier, count(*) FILTER (l_discount >= 0.095) AS x, count(*) AS n FROM lineitem GROUP BY 1)
+  SELECT supplier, x, n, round({bisected(0.05, True)}, 7) AS upper_bound, round({bisected(0.025, False)}, 7) AS lower, round({bisected(0.025, True)}, 7) AS upper FROM s""")
 def x04_x05_clopper_pearson(spark, d):
-    # All line items, and X05's two-sided 95 % interval too; the SQL has the one-sided bound of first line items only.
+    """The one-sided 95 % upper bound, and both ends of the two-sided 95 % interval."""
     x, n = F.col("x"), F.col("n")
     counts = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("supplier")).agg(F.count_if(F.col("l_discount") >= 0.095).alias("x"), F.count("*").alias("n"))
     bounds = {"upper_bound": stats.clopper_pearson_upper(x, n), "lower": stats.clopper_pearson_lower(x, n, 0.025), "upper": stats.clopper_pearson_upper(x, n, 0.025)}
     return counts.select("supplier", "x", "n", *[F.round(bound, 7).alias(name) for name, bound in bounds.items()])
 
 
+@query("""WITH c AS (SELECT l_partkey AS part, count(*) AS n, count(*) FILTER (l_returnflag = 'R') AS k FROM lineitem GROUP BY 1)
+  SELECT part, n, k, round(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1), 7) AS log_choose, CASE WHEN n = 0 THEN '—' ELSE printf('%.1f%%', round(100 * k / n, 1)) END AS share FROM c""")
+def m01_m02_coefficients_and_percents(spark, d):
+    counts = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("part")).agg(F.count("*").alias("n"), F.count_if(F.col("l_returnflag") == "R").alias("k"))
+    n, k = F.col("n"), F.col("k")
+    return counts.select("part", "n", "k", F.round(stats.log_choose(n, k), 7).alias("log_choose"), stats.percent_text(k, n).alias("share"))
+
+
 @query(f"WITH {PAIRS_SQL}, m AS (SELECT count(*) AS n, count(*) FILTER (v AND NOT c) AS b, count(*) FILTER (c AND NOT v) AS c FROM pair WHERE v IS NOT NULL AND c IS NOT NULL) SELECT n, b, c, round({TAIL.format(b='b', n='(b + c)')}, 6) AS p FROM m")
 def x06_mcnemar(spark, d):
     return pairs.discordant(day_pairs(spark, d), F.col("view"), F.col("click")).withColumn("p", F.round(stats.upper_tail(F.col("b"), F.col("b") + F.col("c")), 6))
@@ -82,12 +95,15 @@ def x10_kappa(spark, d):
     return tests.kappa_of(table(spark, d, "labels"), "quality", "toxic").withColumn("kappa", F.round("kappa", 6))
 
 
-@query("""WITH j AS (SELECT lang, quality, toxic FROM labels JOIN documents USING (doc_id)), k AS (SELECT * FROM j WHERE lang <> 'en')
-  SELECT count(*) AS n, (SELECT count(*) FROM j) - count(*) AS excluded, round(avg(CASE WHEN quality = toxic THEN 1.0 ELSE 0.0 END), 6) AS agreement FROM k""")
-def x11_agreement_with_exclusions(spark, d):
-    joined = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "lang"), "doc_id")
-    kept = F.col("lang") != "en"
-    return joined.agg(F.count_if(kept).alias("n"), F.count_if(~kept).alias("excluded"), F.round(F.avg(F.when(kept, F.when(F.col("quality") == F.col("toxic"), 1.0).otherwise(0.0))), 6).alias("agreement"))
+@query("""WITH k AS (SELECT CASE WHEN o_totalprice > 200000 THEN 'high' WHEN o_totalprice > 50000 THEN 'mid' ELSE 'low' END AS a, CASE o_orderstatus WHEN 'F' THEN 'high' WHEN 'O' THEN 'mid' ELSE 'none' END AS b FROM orders),
+  u AS (SELECT * FROM k WHERE a IN ('high', 'mid') AND b IN ('high', 'mid')), t AS (SELECT count(*) AS n, count(*) FILTER (a = b) AS agree, CAST(count(*) FILTER (a = 'high') AS DOUBLE) * count(*) FILTER (b = 'high') + CAST(count(*) FILTER (a = 'mid') AS DOUBLE) * count(*) FILTER (b = 'mid') AS e FROM u)
+  SELECT n, agree, round((agree / n - e / (CAST(n AS DOUBLE) * n)) / (1 - e / (CAST(n AS DOUBLE) * n)), 6) AS kappa, (SELECT count(*) FROM k) - n AS excluded FROM t""")
+def x11_binary_kappa_with_exclusions(spark, d):
+    price = F.col("o_totalprice")
+    a = F.when(price > 200000, "high").when(price > 50000, "mid").otherwise("low")
+    b = F.when(F.col("o_orderstatus") == "F", "high").when(F.col("o_orderstatus") == "O", "mid").otherwise("none")
+    rated = table(spark, d, "orders").select(a.alias("a"), b.alias("b"))
+    return tests.binary_kappa(rated, "a", "b", ("high", "mid")).withColumn("kappa", F.round("kappa", 6))
 
 
 @query(f"""WITH g AS (SELECT o_custkey % 50 AS grp, avg(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END) - avg(CASE WHEN o_orderstatus = 'O' THEN o_totalprice END) AS diff FROM orders GROUP BY 1),
@@ -100,13 +116,17 @@ def x12_sign_test(spark, d):
 
 
 @query("""WITH u AS (SELECT user_id % 7 AS grp, user_id, round(avg(CASE WHEN event_type = 'view' THEN value END) - avg(CASE WHEN event_type = 'click' THEN value END), 6) AS diff FROM events GROUP BY 1, 2),
-  z AS (SELECT grp, diff, abs(diff) AS a FROM u WHERE diff <> 0), r AS (SELECT *, rank() OVER (PARTITION BY grp ORDER BY a) + (count(*) OVER (PARTITION BY grp, a) - 1) / 2 AS rk, count(*) OVER (PARTITION BY grp, a) AS t FROM z)
-  SELECT grp, count(*) AS n, round(sum(CASE WHEN diff > 0 THEN rk ELSE 0 END), 3) AS w_plus,
-  round(CASE WHEN count(*) >= 5 THEN (sum(CASE WHEN diff > 0 THEN rk ELSE 0 END) - count(*) * (count(*) + 1) / 4) / sqrt(CAST(count(*) AS DOUBLE) * (count(*) + 1) * (2 * count(*) + 1) / 24 - sum(t * t - 1) / 48) END, 6) AS z FROM r GROUP BY 1""")
+  z AS (SELECT grp, diff, abs(diff) AS a FROM u WHERE diff <> 0), r AS (SELECT *, rank() OVER (PARTITION BY grp ORDER BY a) + (count(*) OVER (PARTITION BY grp, a) - 1) / 2 AS rk, count(*) OVER (PARTITION BY grp, a) AS t FROM z),
+  s AS (SELECT grp, count(*) AS n, sum(CASE WHEN diff > 0 THEN rk ELSE 0 END) AS w, sum(t * t - 1) AS ties FROM r GROUP BY 1),
+  q AS (SELECT grp, n, w, CASE WHEN n >= 5 THEN (w - n * (n + 1) / 4) / sqrt(CAST(n AS DOUBLE) * (n + 1) * (2 * n + 1) / 24 - ties / 48) END AS z FROM s),
+  e AS (SELECT *, abs(z) / sqrt(2) AS x FROM q)
+  SELECT grp, n, round(w, 3) AS w_plus, round(z, 6) AS z, round(CASE WHEN x < 3 THEN 1 - 2 / sqrt(pi()) * x * list_sum(list_transform(range(80), lambda k: exp(2 * k * ln(greatest(x, 1e-300)) - lgamma(k + 1)) * CASE WHEN k % 2 = 0 THEN 1 ELSE -1 END / (2 * k + 1)))
+    ELSE 2 / sqrt(pi()) * (4.0 / 4000) * list_sum(list_transform(range(4000), lambda k: exp(-power(x + (k + 0.5) * 4.0 / 4000, 2)))) END, 5) AS p FROM e""")
 def x13_wilcoxon(spark, d):
     side = lambda kind: F.avg(F.when(F.col("event_type") == kind, F.col("value")))
     users = events(spark, d).groupBy((F.col("user_id") % 7).alias("grp"), "user_id").agg(F.round(side("view") - side("click"), 6).alias("diff"))
-    return tests.wilcoxon(users, "diff", ["grp"]).select("grp", "n", F.round("w_plus", 3).alias("w_plus"), F.round("z", 6).alias("z"))
+    found = tests.wilcoxon(users, "diff", ["grp"])
+    return found.select("grp", "n", F.round("w_plus", 3).alias("w_plus"), F.round("z", 6).alias("z"), F.round("p", 5).alias("p"))
 
 
 FRAMES = f"""{PAIRS_SQL}, f AS (SELECT user_id % 8 AS frame, count(*) AS n, count(*) FILTER (v AND NOT c) AS b, count(*) FILTER (c AND NOT v) AS c FROM pair WHERE v IS NOT NULL AND c IS NOT NULL GROUP BY 1)"""
@@ -147,12 +167,23 @@ def x15_x18_x19_frame_bootstrap(spark, d):
     return values.select(stats.nearest_rank(v, 0.025).alias("low"), stats.nearest_rank(v, 0.5).alias("middle"), stats.nearest_rank(v, 0.975).alias("high"), low.alias("index_low"), high.alias("index_high"))
 
 
-@query(f"""WITH {PAIRS_SQL}, u AS (SELECT user_id, count(*) AS n, count(*) FILTER (v AND NOT c) AS b, count(*) FILTER (c AND NOT v) AS c FROM pair WHERE v IS NOT NULL AND c IS NOT NULL GROUP BY 1),
-  o AS (SELECT *, row_number() OVER (ORDER BY user_id) - 1 AS place, count(*) OVER () AS groups FROM u),
-  draw AS (SELECT replicate, CAST(('0x' || left(sha256(concat_ws('|', 'users', replicate, place)), 8)) AS BIGINT) % groups AS pick FROM o, (SELECT unnest(range(50)) AS replicate))
-  SELECT replicate, CAST(sum(n) AS BIGINT) AS n, CAST(sum(b) AS BIGINT) AS b, CAST(sum(c) AS BIGINT) AS c FROM draw JOIN o ON pick = place GROUP BY 1""")
+def _boot(name: str, label: str, by: str) -> str:
+    """SQL CTEs of the intervals of the bootstrap over users, drawn within groups of ``by`` (or over all)."""
+    part, keys = (f"PARTITION BY {by}", f"{by}, ") if by else ("", "")
+    pick = f"CAST(('0x' || left(sha256(concat_ws('|', 'users', {keys}replicate, place)), 12)) AS BIGINT) % groups"
+    same = f"x.{by} = y.{by} AND " if by else ""
+    v = "CAST(round_even({q} * (len(v) - 1), 0) AS BIGINT) + 1"
+    at = ", ".join(f"v[{v.format(q=q)}] AS {n}" for n, q in (("low", 0.025), ("middle", 0.5), ("high", 0.975)))
+    return f"""o_{name} AS (SELECT *, row_number() OVER ({part} ORDER BY user_id) - 1 AS place, count(*) OVER ({part}) AS groups FROM u),
+  d_{name} AS (SELECT {keys}replicate, {pick} AS pick FROM o_{name}, (SELECT unnest(range({REPLICATES})) AS replicate)),
+  r_{name} AS (SELECT replicate, round(coalesce(sum(b - c) / nullif(sum(n), 0), 0), 9) AS rd FROM d_{name} x JOIN o_{name} y ON {same}pick = place GROUP BY 1),
+  q_{name} AS (SELECT '{label}' AS drawn, CAST(len(v) AS INTEGER) AS replicates, {at}, v[CAST(floor(0.025 * len(v)) AS BIGINT) + 1] AS index_low, v[CAST(floor(0.975 * len(v)) AS BIGINT)] AS index_high FROM (SELECT list_sort(list(rd)) AS v FROM r_{name}))"""
+
+
+@query(f"""WITH {PAIRS_SQL}, u AS (SELECT user_id, user_id % 8 AS frame, count(*) AS n, count(*) FILTER (v AND NOT c) AS b, count(*) FILTER (c AND NOT v) AS c FROM pair WHERE v IS NOT NULL AND c IS NOT NULL GROUP BY 1, 2),
+  {_boot('f', 'within frames', 'frame')}, {_boot('a', 'over all', '')} SELECT * FROM q_f UNION ALL SELECT * FROM q_a""")
 def x16_x17_cluster_bootstrap(spark, d):
-    # X16 draws users within frames, X17 over all; the SQL has the sums of 50 replicates of X17 only.
+    """Intervals of 10,000 replicates that draw users within frames (X16) and over all (X17)."""
     users = pairs.discordant(day_pairs(spark, d), F.col("view"), F.col("click"), ["user_id"]).withColumn("frame", F.col("user_id") % 8)
     v = F.col("v")
     low, high = stats.index_interval(v)
@@ -181,13 +212,13 @@ def x20_risk_difference(spark, d):
     return frames(spark, d).select("frame", F.round(F.try_divide(F.col("b") - F.col("c"), "n"), 6).alias("risk_difference"), F.round(F.try_divide("b", F.col("b") + F.col("c")), 6).alias("share"))
 
 
-@query(f"""WITH {FRAMES}, m AS (SELECT frame, n, (b + c) / n AS q, b / (b + c) AS s FROM f WHERE b + c > 0 AND n <= 400 AND b + c < n AND b > 0 AND c > 0),
+@query(f"""WITH {FRAMES}, m AS (SELECT frame, n, (b + c) / n AS q, b / (b + c) AS s FROM f WHERE b + c > 0 AND b + c < n AND b > 0 AND c > 0),
   k AS (SELECT frame, n, q, s, unnest(range(n + 1)) AS d FROM m), r AS (SELECT *, unnest(range(d + 1)) AS x FROM k),
   a AS (SELECT *, {TAIL.format(b='x', n='d')} AS p FROM (SELECT DISTINCT d, x FROM r)),
   h AS (SELECT r.frame, r.n, q, s, r.d, sum(CASE WHEN p <= 0.05 THEN exp(lgamma(r.d + 1) - lgamma(r.x + 1) - lgamma(r.d - r.x + 1) + r.x * ln(s) + (r.d - r.x) * ln(1 - s)) ELSE 0 END) AS reach FROM r JOIN a ON r.d = a.d AND r.x = a.x GROUP BY ALL)
   SELECT frame, round(sum(reach * exp(lgamma(n + 1) - lgamma(d + 1) - lgamma(n - d + 1) + d * ln(q) + (n - d) * ln(1 - q))), 6) AS power FROM h GROUP BY 1""")
 def x21_mcnemar_power(spark, d):
-    # The SQL leaves out frames of over 400 pairs, as its sum grows with the cube of n; below that both are equal.
+    # The SQL's sum grows with the square of n: it is for the smaller tables.
     m = frames(spark, d).where("b + c > 0 AND b + c < n AND b > 0 AND c > 0")
     return m.select("frame", F.round(tests.mcnemar_power(F.col("n"), (F.col("b") + F.col("c")) / F.col("n"), F.col("b") / (F.col("b") + F.col("c"))), 6).alias("power"))
 
