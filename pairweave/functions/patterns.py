@@ -27,6 +27,10 @@ FIELD_LINE = r"^[\s>*_\-•\d.]*(said|fact|form|observed)[\s*_]*:[\s*_]*(.*?)[\s
 WRITER_PROGRESSIVE = r"\b(is|are|has been|have been)\s+(currently\s+)?\w+ing\b"
 WRITER_ONGOING = r"\b(currently|temporarily|for now|at the moment)\b"
 
+LINE_MARKS = r"(?U)^[\s>*\-•]+"
+EMPHASIS = r"\*\*|__"
+AS_OF = r"^As of \d{4}-\d\d-\d\d, "
+TRUE_THROUGH = r"\. This was true only through (\d{4}-\d\d-\d\d)\.\z"
 DESTROYED = ["MANUFACTURE", "COERCED-STATIVE", "BOUND-DROPPED"]
 GAP_DAYS = {"fresh": 2, "near": 42, "boundary": 60, "stale": 245, "stale_long": 425}
 

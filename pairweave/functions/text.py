@@ -1,11 +1,13 @@
 """Text functions as columns: folding, sentences, tokens, and the ordered rules that label responses.
 
-Only ``norm`` leaves the JVM (Spark has no NFKD); it is projected once, before the rules.
+Only ``norm`` leaves the JVM (Spark has no NFKD); it is projected once, before the rules. Rules take folded texts; tokens
+are folded where they are used.
 """
 
 from __future__ import annotations
 
 import unicodedata
+from functools import cache, reduce
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -33,6 +35,25 @@ def norm(text: Column) -> Column:
     return fold(text)
 
 
+@cache
+def _single_folds() -> tuple[str, str]:
+    """Characters that NFKD without combining marks turns into one other character, what they turn into, and marks, which go."""
+    turned, marks = {"’": "'", "‘": "'"}, []
+    for code in [*range(0x80, 0xD800), *range(0xF900, 0x10000)]:
+        if unicodedata.combining(chr(code)):
+            marks.append(chr(code))
+            continue
+        plain = [c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c)]
+        if len(plain) == 1 and plain[0] != chr(code) and not 0xAC00 <= code < 0xD7B0:
+            turned[chr(code)] = plain[0]
+    return "".join([*turned, *marks]), "".join(turned.values())
+
+
+def fold_token(token: Column) -> Column:
+    """``norm`` of a token within the JVM, for characters that fold to one other (ligatures and the like stay)."""
+    return F.translate(token, *_single_folds())
+
+
 def sentences(text: Column) -> Column:
     """Cut after . ! ? with white space, and at line breaks; blank parts go."""
     return F.filter(F.split(text, r"(?U)(?<=[.!?])\s+|\n+"), lambda s: F.rlike(s, F.lit(r"(?U)\S")))
@@ -44,8 +65,8 @@ def lines(text: Column) -> Column:
 
 
 def token_pattern(token: Column) -> Column:
-    """A pattern for the token where no ASCII letter touches it."""
-    return F.concat(F.lit("(?iu)(?<![A-Za-z])\\Q"), token, F.lit("\\E(?![A-Za-z])"))
+    """A pattern for the folded token where no ASCII letter touches it."""
+    return F.concat(F.lit("(?iu)(?<![A-Za-z])\\Q"), fold_token(token), F.lit("\\E(?![A-Za-z])"))
 
 
 def has_token(text: Column, token: Column) -> Column:
@@ -125,7 +146,8 @@ def explicit_label(text: Column) -> Column:
 
 def anchor_label(text: Column) -> Column:
     """SEND or CHECK-FIRST if just one of them is chosen, once or more."""
-    hits = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(P.FLAGS + P.ANCHOR), F.lit(1)), lambda x: F.when(F.upper(x).startswith("CHECK"), "CHECK-FIRST").otherwise("SEND")))
+    found = F.regexp_extract_all(text, F.lit(P.FLAGS + P.ANCHOR), F.lit(1))
+    hits = F.array_distinct(F.transform(found, lambda x: F.when(F.upper(x).startswith("CHECK"), "CHECK-FIRST").otherwise("SEND")))
     return F.when(F.size(hits) == 1, F.element_at(hits, 1)).otherwise("UNPARSED")
 
 
@@ -180,8 +202,132 @@ def percent(text: Column) -> Column:
     return F.try_to_number(F.regexp_extract(text, r"(?<![\d.])(100|\d{1,2})(?![\d.])", 1), F.lit("999")).cast("int")
 
 
+def choice(text: Column, commit: str = "COMMIT", abstain: str = "ABSTAIN") -> Column:
+    """Which of two words (upper-cased text, whole words) a text holds: that word, MIXED for both, UNPARSED for neither."""
+    upper = F.upper(text)
+    first, second = (F.rlike(upper, F.lit(rf"(?U)\b\Q{w}\E\b")) for w in (commit, abstain))
+    return F.when(first & second, "MIXED").when(first, commit).when(second, abstain).otherwise("UNPARSED")
+
+
+def residue(text: Column, part: Column) -> Column:
+    """(prefix, suffix) around the first occurrence of ``part``; null where it doesn't occur or is empty."""
+    at = F.position(part, text)
+    around = F.struct(
+        F.substring(text, F.lit(1), at - 1).alias("prefix"),
+        F.substring(text, at + F.length(part), F.length(text)).alias("suffix"),
+    )
+    return F.when((at > 0) & (F.length(part) > 0), around)
+
+
+def between(text: Column, start: str, end: str) -> Column:
+    """The text between the first ``start`` and the next ``end``, trimmed; null if they don't follow each other."""
+    found = F.regexp_extract_all(text, F.lit(f"(?s)\\Q{start}\\E(.*?)\\Q{end}\\E"), F.lit(1))
+    return F.trim(F.try_element_at(found, F.lit(1)))
+
+
+def speaker_turns(text: Column, speaker: str) -> Column:
+    """The parts of a transcript (lines that begin with ``Name:``) that the speaker says, up to the next speaker's line."""
+    found = F.regexp_extract_all(text, F.lit(rf"(?msU)^\Q{speaker}\E:\s*(.*?)(?=^\w+:|\z)"), F.lit(1))
+    return F.transform(found, lambda x: F.regexp_replace(x, r"(?U)\s+\z", ""))
+
+
+def first_line_with(text: Column, prefix: str) -> Column:
+    """The rest of the first line that begins with ``prefix``; null if none does."""
+    hit = F.try_element_at(F.filter(lines(text), lambda s: F.startswith(s, F.lit(prefix))), F.lit(1))
+    return F.trim(F.substring(hit, F.lit(len(prefix) + 1), F.length(hit)))
+
+
+def drop_units(text: Column, tokens: Column) -> Column:
+    """The sentences that hold none of the tokens, joined by spaces."""
+    return F.array_join(F.filter(sentences(text), lambda s: ~F.exists(tokens, lambda t: has_token(s, t))), " ")
+
+
+def _each_token(text: Column, tokens: Column, change) -> Column:
+    return F.aggregate(tokens, text, change)
+
+
+def replace_tokens(text: Column, tokens: Column, replacement: Column) -> Column:
+    """Each occurrence of each token replaced; ``replacement`` is taken literally."""
+    literal = F.replace(F.replace(replacement, F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$"))
+    return _each_token(text, tokens, lambda out, t: F.regexp_replace(out, token_pattern(t), literal))
+
+
+def bold_tokens(text: Column, tokens: Column) -> Column:
+    """Each occurrence of each token between double asterisks."""
+    return _each_token(text, tokens, lambda out, t: F.regexp_replace(out, token_pattern(t), F.lit("**$0**")))
+
+
+def clean_line(line: Column) -> Column:
+    """A line without list and quote marks before it and markdown emphasis in it, trimmed."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(line, P.LINE_MARKS, ""), P.EMPHASIS, ""), r"(?U)^\s+|\s+\z", "")
+
+
+def has_ing_form(text: Column) -> Column:
+    """An -ing form of one of the verbs, with or without an auxiliary (of a folded text)."""
+    return has(text, P.ING_FORM)
+
+
+def stored_flags(text: Column) -> Column:
+    """struct(progressive, temporary, anchored): what a stored text keeps of the marking (of a folded text)."""
+    return F.struct(
+        (has(text, P.PROGRESSIVE) | has(text, P.PERFECT_PROGRESSIVE)).alias("progressive"),
+        has(text, P.TEMPORARY_CLASS).alias("temporary"),
+        has(text, P.DATE_ANCHOR).alias("anchored"),
+    )
+
+
+def control_record(note: Column, written: Column, persons: list[tuple[str, str]]) -> Column:
+    """A control sentence as a record of four lines: said, fact, form, observed.
+
+    ``As of <date>, `` before it goes; ``. This was true only through <date>.`` at its end becomes a bound. ``persons``:
+    (beginning, its first-person form), the first that fits; a sentence that none fits gives null.
+    """
+    core = F.regexp_replace(note, P.AS_OF, "")
+    bound_at = F.regexp_instr(core, F.lit(P.TRUE_THROUGH))
+    last = F.regexp_extract(core, P.TRUE_THROUGH, 1)
+    fact = F.when(bound_at > 0, F.substring(core, F.lit(1), bound_at - 1)).otherwise(F.regexp_replace(core, r"\.+\z", ""))
+    said = F.coalesce(*[F.when(F.startswith(fact, F.lit(k)), F.concat(F.lit(v), F.substring(fact, F.lit(len(k) + 1), F.length(fact)))) for k, v in persons])
+    said = F.when(bound_at > 0, F.concat(said, F.lit(", but only through "), last, F.lit("."))).otherwise(F.concat(said, F.lit(".")))
+    fact = F.when(bound_at > 0, F.concat(fact, F.lit(", only through "), last)).otherwise(fact)
+    parts = [F.lit('said: "'), said, F.lit('"\nfact: '), fact, F.lit("\nform: simple present\nobserved: "), written]
+    return F.concat(*parts)
+
+
+def writer_measures(sentence: Column, form: Column, record: Column) -> Column:
+    """struct(verbatim, said_ing, fact_ing, form_correct) of a written record (map); texts are folded."""
+    get = lambda k: F.coalesce(F.try_element_at(record, F.lit(k)), F.lit(""))
+    label = F.lower(get("form"))
+    progressive = F.contains(label, F.lit("progressive"))
+    simple = F.contains(label, F.lit("simple present")) & ~progressive
+    return F.struct(
+        F.contains(F.lower(get("said")), F.regexp_replace(F.lower(sentence), r"\.+\z", "")).alias("verbatim"),
+        has_ing_form(get("said")).alias("said_ing"),
+        has_ing_form(get("fact")).alias("fact_ing"),
+        F.when(form == "progressive", progressive).otherwise(simple).alias("form_correct"),
+    )
+
+
+def perturbed(text: Column, tokens: Column) -> Column:
+    """map: edit -> text after it, for edits that must not change a label (of a folded text)."""
+    edits = {
+        "prepend-filler": F.concat(F.lit("Sure thing! "), text),
+        "curly-quotes": F.replace(text, F.lit("'"), F.lit("’")),
+        "append-closer": F.concat(text, F.lit("\n\nHope that helps!")),
+        "bold-token": bold_tokens(text, tokens),
+    }
+    return F.create_map(*[x for name, edit in edits.items() for x in (F.lit(name), edit)])
+
+
+def redated(text: Column, dates: list[tuple[str, str]], leftover: str) -> Column:
+    """``dates``: (old, new) texts, replaced in order; null if ``leftover`` (a pattern) is still found."""
+    out = reduce(lambda t, d: F.replace(t, F.lit(d[0]), F.lit(d[1])), dates, text)
+    return F.when(~F.rlike(out, F.lit(leftover)), out)
+
+
 def occurrences(text: Column, part: Column) -> Column:
-    return F.expr("0") + F.when(F.length(part) > 0, (F.length(text) - F.length(F.replace(text, part, F.lit("")))) / F.length(part)).otherwise(0).cast("int")
+    """How often ``part`` stands in the text, from the left without overlap; 0 for an empty part."""
+    gone = F.length(text) - F.length(F.replace(text, part, F.lit("")))
+    return F.when(F.length(part) > 0, gone / F.length(part)).otherwise(0).cast("int")
 
 
 def excerpt(text: Column, at: Column, before: int = 200, after: int = 300) -> Column:

@@ -21,11 +21,30 @@ def unique(df: DataFrame, keys: list[str]) -> DataFrame:
     return _report(df.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1"), "unique", F.concat_ws("|", *keys), F.col("_n"))
 
 
-def complete_grid(df: DataFrame, rows: DataFrame, columns: DataFrame, keys: list[str]) -> DataFrame:
-    """Exactly one row for each of ``rows`` x ``columns`` (dimension tables)."""
-    grid = rows.join(F.broadcast(columns), how="cross")
+def complete_grid(df: DataFrame, rows: DataFrame, columns: DataFrame, keys: list[str], most: int = 100_000) -> DataFrame:
+    """Exactly one row for each of ``rows`` x ``columns``; ``columns`` is a dimension of at most ``most`` rows, else an error.
+
+    A row is expanded by the dimension's values where it stands, and counts are found by an equi-join.
+    """
+    values = columns.distinct().limit(most + 1).collect()
+    if len(values) > most:
+        raise ValueError(f"over {most} rows in the grid's columns")
+    grid = rows.select("*", F.inline(F.array(*[F.struct(*[F.lit(v[c]).alias(c) for c in columns.columns]) for v in values]))) if values else rows.join(columns.limit(0))
     counted = df.groupBy(*keys).agg(F.count("*").alias("_n"))
-    return _report(grid.join(counted, keys, "left").where(F.coalesce("_n", F.lit(0)) != 1), "grid", F.concat_ws("|", *keys), F.coalesce("_n", F.lit(0)))
+    found = F.coalesce("_n", F.lit(0))
+    return _report(grid.join(counted, keys, "left").where(found != 1), "grid", F.concat_ws("|", *keys), found)
+
+
+def unique_folded(df: DataFrame, column: str) -> DataFrame:
+    """Values that occur more than once whatever their case."""
+    folded = df.where(F.col(column).isNotNull()).select(F.lower(column).alias("_v"))
+    return _report(folded.groupBy("_v").agg(F.count("*").alias("_n")).where("_n > 1"), "unique", F.col("_v"), F.col("_n"))
+
+
+def disjoint(df: DataFrame, role: str, key: str) -> DataFrame:
+    """Keys that occur under more than one role."""
+    roles = df.groupBy(key).agg(F.count_distinct(role).alias("_n")).where("_n > 1")
+    return _report(roles, "disjoint", F.col(key), F.col("_n"))
 
 
 def cell_counts(df: DataFrame, keys: list[str], wanted: int) -> DataFrame:

@@ -61,3 +61,21 @@ def strict_lookup(df: DataFrame, lookup: DataFrame, key: str) -> DataFrame:
     found = df.join(lookup.withColumn("_known", F.lit(True)), key, "left")
     checked = F.when(F.col("_known").isNull(), F.raise_error(F.concat(F.lit("unknown key: "), F.col(key).cast("string")))).otherwise(F.col(key))
     return found.withColumn(key, checked).drop("_known")
+
+
+def two_source_pairs(a: DataFrame, b: DataFrame, keys: list[str], value: str, excluded_a: Column, excluded_b: Column) -> DataFrame:
+    """keys, first, second for keys that both sources have and neither ever marked as excluded (one tombstone drops the key).
+
+    The value is that of the last ``ordinal``.
+    """
+    side = lambda df, bad, name: df.groupBy(*keys).agg(F.max_by(value, "ordinal").alias(name), F.bool_or(bad).alias(f"_{name}"))
+    joined = side(a, excluded_a, "first").join(side(b, excluded_b, "second"), keys)
+    return joined.where("NOT _first AND NOT _second").select(*keys, "first", "second")
+
+
+def with_missing_count(df: DataFrame, other: DataFrame, key: str, default: dict[str, Column]) -> DataFrame:
+    """Left lookup: columns of ``other`` or their defaults, and ``missing`` (true where ``other`` has no row)."""
+    found = df.join(other.select(key, *default, F.lit(True).alias("_known")), key, "left")
+    missing = F.col("_known").isNull()
+    filled = [F.when(missing, value).otherwise(F.col(name)).alias(name) for name, value in default.items()]
+    return found.select(*df.columns, *filled, missing.alias("missing"))

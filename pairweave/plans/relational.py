@@ -175,6 +175,25 @@ def a24_j02_j03_gold_resolution(spark, d):
     return joined.select("doc_id", F.coalesce(agreed, F.col("lang")).alias("gold"), F.col("known").isNull().alias("unlabelled"))
 
 
+@query("""SELECT lang, count(*) AS n, count(*) FILTER (l.doc_id IS NULL) AS missing, count(*) FILTER (coalesce(toxic, 0) = 1) AS toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY 1""")
+def j03_missing_counts(spark, d):
+    found = pairs.with_missing_count(table(spark, d, "documents").select("doc_id", "lang"), table(spark, d, "labels"), "doc_id", {"toxic": F.lit(0)})
+    return found.groupBy("lang").agg(F.count("*").alias("n"), F.count_if("missing").alias("missing"), F.count_if(F.col("toxic") == 1).alias("toxic"))
+
+
+@query("""WITH a AS (SELECT user_id, CAST(ts AS DATE) AS day, arg_max(value, event_id) AS first, bool_or(value > 60) AS bad FROM events WHERE event_type = 'view' GROUP BY ALL), b AS (SELECT user_id, CAST(ts AS DATE) AS day, arg_max(value, event_id) AS second, bool_or(value > 70) AS bad FROM events WHERE event_type = 'click' GROUP BY ALL)
+  SELECT user_id, day, first, second FROM a JOIN b USING (user_id, day) WHERE NOT a.bad AND NOT b.bad""")
+def j07_tombstoned_pairs(spark, d):
+    side = lambda kind: events(spark, d).where(F.col("event_type") == kind).withColumnRenamed("event_id", "ordinal")
+    return pairs.two_source_pairs(side("view"), side("click"), ["user_id", "day"], "value", F.col("value") > 60, F.col("value") > 70)
+
+
+@query("""SELECT user_id FROM events WHERE event_type = 'signup' EXCEPT SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 80""")
+def u02_except(spark, d):
+    seen = events(spark, d)
+    return seen.where("event_type = 'signup'").select("user_id").subtract(seen.where("event_type = 'purchase' AND value > 80").select("user_id"))
+
+
 @query("SELECT p_brand AS grp, count(*) AS n FROM part WHERE p_size % 2 = 0 GROUP BY 1 UNION ALL SELECT p_type, count(*) FROM part WHERE p_size % 2 = 0 GROUP BY 1")
 def a22_f09_split_by_any_field(spark, d):
     even = table(spark, d, "part").where(F.col("p_size") % 2 == 0)
@@ -194,7 +213,7 @@ def f03_excluded_errors(spark, d):
 
 
 @query("""SELECT event_id, CASE WHEN event_type IN ('view', 'click') THEN CASE WHEN value > 20 THEN 'HIGH' ELSE 'LOW' END WHEN event_type = 'error' THEN 'EXCLUDED' ELSE 'OTHER' END AS label, event_type AS label_frozen FROM events""")
-def f07_f08_f12_routed_labels(spark, d):
+def f12_relabelled(spark, d):
     kind = F.col("event_type")
     label = F.when(kind.isin("view", "click"), F.when(F.col("value") > 20, "HIGH").otherwise("LOW")).when(kind == "error", "EXCLUDED").otherwise("OTHER")
     return events(spark, d).select("event_id", label.alias("label"), kind.alias("label_frozen"))
@@ -255,19 +274,19 @@ def j12_cross_grid(spark, d):
 
 
 @query("""WITH w AS (SELECT DISTINCT split_part(text, ' ', 2) AS token FROM benchmark WHERE length(split_part(text, ' ', 2)) >= 4 AND NOT regexp_matches(split_part(text, ' ', 2), '[^a-z]'))
-  SELECT token, count(DISTINCT doc_id) AS documents FROM w JOIN (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[A-Za-z]+'))) AS word FROM documents) ON word = token GROUP BY 1""")
+  SELECT token, count(DISTINCT doc_id) AS documents FROM w JOIN (SELECT doc_id, unnest(list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z]+'), lambda x: lower(x)))) AS word FROM documents) ON word = token GROUP BY 1""")
 def j13_tokens_in_responses(spark, d):
     # Whole-word tokens: an equi-join on words instead of every token against every text.
     second = F.element_at(F.split("text", " "), 2)
     tokens = table(spark, d, "benchmark").select(second.alias("word")).where(F.rlike("word", F.lit("^[a-z]{4,}$"))).distinct()
-    words = table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), F.lit(1)))).alias("word"))
+    found = F.transform(F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), F.lit(1)), F.lower)
+    words = table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(found)).alias("word"))
     return words.join(tokens, "word").groupBy(F.col("word").alias("token")).agg(F.count_distinct("doc_id").alias("documents"))
 
 
-@query("""WITH t AS (SELECT item_id, left(text, 40) AS probe FROM benchmark)
+@query("""WITH t AS (SELECT item_id, text AS probe FROM benchmark)
   SELECT item_id, CAST(sum((length(text) - length(replace(text, probe, ''))) // length(probe)) AS BIGINT) AS n, count(*) AS documents FROM documents JOIN t ON contains(text, probe) GROUP BY 1""")
 def j14_contained_counts(spark, d):
-    # Whole items; the SQL takes the first 40 characters of each.
     return contained.counts(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
 
@@ -308,12 +327,18 @@ def p04_collisions(spark, d):
     return cells.groupBy("event_type").agg(F.sum(F.col("n") - 1).alias("collisions"))
 
 
-@query("SELECT doc_id, unnest(str_split(left(text, 200), ' ')) AS word, lang FROM documents")
+@query("SELECT doc_id, unnest(str_split(text, ' ')) AS word, lang FROM documents")
 def p05_explode(spark, d):
-    # The whole text; the SQL takes its first 200 characters.
     return table(spark, d, "documents").select("doc_id", F.explode(F.split("text", " ")).alias("word"), "lang")
 
 
+@query("SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS whole, CAST(count(*) AS INTEGER) AS turns FROM conversations GROUP BY 1")
+def p05_concat_back(spark, d):
+    # A conversation's own turns: its rows are one record in the input.
+    parts = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("p"))
+    return parts.select("conv_id", F.array_join(F.transform("p", lambda x: x["text"]), "\n").alias("whole"), F.size("p").alias("turns"))
+
+
 @query(f"""WITH {PAIRS_SQL} SELECT v AS view, c AS click, count(*) AS n FROM pair WHERE v IS NOT NULL AND c IS NOT NULL GROUP BY 1, 2""")
 def p06_p08_cross_table(spark, d):
     return day_pairs(spark, d).where("view IS NOT NULL AND click IS NOT NULL").groupBy("view", "click").agg(F.count("*").alias("n"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 
 def read_jsonl(spark: SparkSession, path: str | list[str], schema: str | T.StructType, strict: bool = False) -> DataFrame:
@@ -20,17 +21,21 @@ def read_object(spark: SparkSession, path: str, schema: str | T.StructType) -> D
     return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
 
 
-def read_shards(spark: SparkSession, pattern: str, schema: str | T.StructType, leave_out: list[str] | None = None) -> DataFrame:
-    """All files of a glob, with ``shard``, the file's name without its endings; names that hold a ``leave_out`` part are left out."""
-    out = read_jsonl(spark, pattern, schema).withColumn("shard", F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.[^/]*)?$", 1))
+def read_shards(spark: SparkSession, pattern: str, schema: str | T.StructType, leave_out: list[str] | None = None, depth: int = 0) -> DataFrame:
+    """All files of a glob, with ``shard``, the file's name without its endings; names that hold a ``leave_out`` part are left out.
+
+    ``depth``: how many folders above the files the name is taken (1 for folders of part files).
+    """
+    name = F.regexp_extract(F.input_file_name(), "([^/]+)" + "/[^/]+" * depth + "$", 1)
+    out = read_jsonl(spark, pattern, schema).withColumn("shard", name)
     for part in leave_out or []:
         out = out.where(~F.contains("shard", F.lit(part)))
-    return out
+    return out.withColumn("shard", F.substring_index("shard", ".", 1))
 
 
 def read_assigned_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The rows of a ``name = [...];`` script."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     body = F.regexp_extract("value", r"(?s)=\s*(\[.*\])\s*;?\s*$", 1)
     return text.select(F.inline(F.from_json(body, f"array<struct<{schema}>>")))
 
@@ -40,9 +45,7 @@ def read_report(spark: SparkSession, path: str, header: str, line: str) -> DataF
 
     A report is one small file; its lines are numbered within the file.
     """
-    text = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("n", "line"))
-    from pyspark.sql.window import Window
-
+    text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("n", "line"))
     above = Window.partitionBy("file").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     titled = text.withColumn("section", F.last(F.when(F.rlike("line", F.lit(header)), F.regexp_extract("line", header, 1)), ignorenulls=True).over(above))
     return titled.where(F.rlike("line", F.lit(line)))
@@ -54,13 +57,16 @@ def with_ordinal(df: DataFrame, name: str = "ordinal") -> DataFrame:
 
 
 def canonical_json(df: DataFrame) -> Column:
-    """Each row as JSON with sorted keys, at every depth, and no spaces."""
+    """Each row as JSON with sorted keys, at every depth (those of maps too), and no spaces."""
 
     def ordered(column: Column, kind: T.DataType) -> Column:
         if isinstance(kind, T.StructType):
             return F.struct(*[ordered(column[f.name], f.dataType).alias(f.name) for f in sorted(kind.fields, key=lambda f: f.name)])
         if isinstance(kind, T.ArrayType):
             return F.transform(column, lambda x: ordered(x, kind.elementType))
+        if isinstance(kind, T.MapType):
+            entries = F.array_sort(F.map_entries(column))
+            return F.map_from_entries(F.transform(entries, lambda e: F.struct(e["key"], ordered(e["value"], kind.valueType))))
         return column
 
     parts = [ordered(F.col(f.name), f.dataType).alias(f.name) for f in sorted(df.schema.fields, key=lambda f: f.name)]
@@ -88,3 +94,10 @@ def flat_metrics(df: DataFrame) -> DataFrame:
 def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """JSON lines; by default an existing path is an error. ``append`` never rewrites what is there."""
     df.write.mode(mode).option("ignoreNullFields", False).json(path)
+
+
+def file_digests(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """file (its last two names), n_bytes and sha256 of each file under the paths; Spark reads a file of up to 2 GB as one value."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths)
+    name = F.regexp_extract("path", "([^/]+/[^/]+)$", 1)
+    return files.select(name.alias("file"), F.col("length").alias("n_bytes"), F.sha2("content", 256).alias("sha256"))

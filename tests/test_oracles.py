@@ -12,7 +12,11 @@ def con():
     return connection(SF)
 
 
-@pytest.mark.parametrize("name", NAMES)
+#: DuckDB's views don't show files; tests/test_whole.py has brute force.
+WITHOUT_SQL = {"h01_file_digests"}
+
+
+@pytest.mark.parametrize("name", sorted(set(NAMES) - WITHOUT_SQL))
 def test_query_equals_sql(spark, con, name):
     df = entry_module.queries()[name](spark, SF)
     sql = entry_module.oracle_sql().get(name)

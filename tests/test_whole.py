@@ -1,5 +1,6 @@
-"""Queries do the whole job: against brute force, where their SQL is cut or too slow."""
+"""Queries do the whole job: against brute force, where SQL can't show it or is too slow on larger tables."""
 
+import hashlib
 from collections import Counter
 from math import comb, exp, lgamma, log
 
@@ -118,3 +119,10 @@ def test_x16_x17_give_intervals_of_10000_replicates(spark):
     rows = {r.drawn: r for r in entry_module.queries()["x16_x17_cluster_bootstrap"](spark, SMALL).collect()}
     assert set(rows) == {"within frames", "over all"}
     assert all(r.replicates == 10_000 and -1 <= r.low <= r.middle <= r.high <= 1 for r in rows.values())
+
+
+def test_h01_digests_every_file(spark):
+    tables = ("region", "nation", "supplier", "customer", "part")
+    got = {r.file.rpartition("/")[2]: (r.n_bytes, r.sha256) for r in entry_module.queries()["h01_file_digests"](spark, SMALL).collect()}
+    data = {f"{t}.parquet": open(f"{SMALL}/{t}.parquet", "rb").read() for t in tables}
+    assert got == {name: (len(x), hashlib.sha256(x).hexdigest()) for name, x in data.items()}
