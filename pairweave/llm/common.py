@@ -17,9 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from ``spark.checkpoint.dir``; set here only if it is unset (local tests)."""
+    """The folder that all executors share, from ``spark.checkpoint.dir``; set here only if it is unset, under a local master."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not set_dir:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         set_dir = tempfile.mkdtemp(prefix="spark-shared-")
         spark.sparkContext.setCheckpointDir(set_dir)
         set_dir = spark.sparkContext.getCheckpointDir() or set_dir
@@ -33,6 +35,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: A key with over 1 of so many rows is hot; there can't be more of them than this.
+HOT_KEYS = 4096
+
+
+def looked_up(rows: DataFrame, table: DataFrame, keys: list[str], total: int | None = None, hot_keys: int = HOT_KEYS) -> DataFrame:
+    """``rows`` with the columns of ``table``, an inner join in which no key gathers its rows in one task.
+
+    ``table`` has one row a key, with ``n``, how many of ``rows`` have it (dropped). Keys with over 1 of ``hot_keys`` of
+    all rows (``total``, else the sum of ``n``) are fewer than ``hot_keys``: they are broadcast, and their rows stay where
+    they are. The other keys are joined by shuffle. Null keys have no match. ``rows`` and ``table`` are read twice.
+    """
+    if total is None:
+        total = table.agg(F.sum("n")).first()[0] or 0
+    is_hot = F.col("n") * hot_keys > total
+    hot, others = table.where(is_hot).drop("n"), table.where(~is_hot).drop("n")
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return rows.join(F.broadcast(hot), keys).unionByName(rest.join(others, keys))
+
+
 def fresh(df: DataFrame, stem: str) -> str:
     """A column name that no column of ``df`` has, in any case."""
     taken = {c.lower() for c in df.columns}

@@ -12,28 +12,33 @@ Sorting. A shard sorts the suffixes of its pieces by difference cover: it sorts
 modulo 3, names them, recurses on the names, sorts the remaining suffixes by one symbol and a name, and merges. Then
 prefixes of neighbours in the suffix array are compared: windows that agree over ``LENGTH`` bytes repeat.
 
-An anchor with more than ``HOT`` different pieces (a passage within a large share of all documents) would make a shard
-of any size; its windows are counted one by one instead, by 128 bits of hash, with partial sums before the shuffle.
-
-Texts that are null or shorter than ``LENGTH`` lose nothing. Rows with equal ids or a null id are told apart by their
-text; rows with equal text are copies of each other and lose all their windows.
+Anchors with more different pieces than a shard holds (a passage within a large share of all documents) are split: their
+windows are parted by how far the anchor stands from the window's start, in two halves. All windows of a half hold more
+than the anchor, the bytes beside it that even the outermost window has; these longer strings are the anchors of the
+half, and its pieces are counted, grouped and sorted like any others. Halving ends, after eight rounds at most, with
+strings of whole windows. Text of a short period repeats one piece again and again: such a run is one row with its
+number, whatever its length, so rows stay under 1 of 20 bytes or so for any text.
+
+Texts that are null or shorter than ``LENGTH`` lose nothing; empty tables give empty results. Rows with equal ids or a
+null id are told apart by their text; rows with equal text are copies of each other and lose all their windows.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_slices, bytes_list, fresh, groups_of, mix64, sliding_min, written
+from .common import by_slices, bytes_list, fresh, groups_of, looked_up, mix64, sliding_min, written
 
 LENGTH, GRAM = 200, 64
 SHARD_BYTES = 1 << 20
 #: A shard sorts whole anchors together until they hold so many bytes: windows of different anchors differ.
 SORTED_BYTES = 1 << 18
-HOT = 4_000
 
 _ROLL = 0x9E3779B97F4A7C15
 _TABLE = np.random.default_rng(20240607).integers(0, 2**64, 256, dtype=np.uint64)
@@ -48,20 +53,51 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
-def pieces(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """first window, windows, anchor hash, piece hash of each piece of a text."""
+def grams(data: bytes, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix sums of a text's rolling hash, and the hash of each of its ``gram``-byte strings."""
     n = len(data)
-    if n < length:
-        return tuple(np.zeros(0, dtype=np.int64) for _ in range(4))
     up, down = powers(n + 1)
     prefix = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum(_TABLE[np.frombuffer(data, dtype=np.uint8)] * down[:n], out=prefix[1:])
-    hashes = mix64((prefix[gram:] - prefix[:-gram]) * up[: n - gram + 1])
+    return prefix, mix64((prefix[gram:] - prefix[:-gram]) * up[: n - gram + 1])
+
+
+def pieces(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """first window, windows, anchor hash, piece hash and times of each piece of a text.
+
+    ``times``: the piece is followed by itself so many times in all, each time ``windows`` bytes further.
+    """
+    n = len(data)
+    if n < length:
+        return tuple(np.zeros(0, dtype=np.int64) for _ in range(5))
+    prefix, hashes = grams(data, gram)
+    up, _ = powers(n + 1)
     least = sliding_min(hashes, length - gram + 1)
     begins = np.flatnonzero(np.concatenate(([True], (least[1:] != least[:-1]) | (hashes[: len(least) - 1] == least[:-1]))))
     ends = np.concatenate((begins[1:], [len(least)]))
-    whole = mix64((prefix[ends - 1 + length] - prefix[begins]) * up[begins] + (ends - begins).astype(np.uint64) * np.uint64(_ROLL))
-    return begins, ends - begins, least[begins].view(np.int64), whole.view(np.int64)
+    windows, anchor = ends - begins, least[begins].view(np.int64)
+    whole = mix64((prefix[ends - 1 + length] - prefix[begins]) * up[begins] + windows.astype(np.uint64) * np.uint64(_ROLL)).view(np.int64)
+    again = (windows[1:] == windows[:-1]) & (anchor[1:] == anchor[:-1]) & (whole[1:] == whole[:-1])
+    heads = np.flatnonzero(np.concatenate(([True], ~again)))
+    times = np.diff(np.append(heads, len(begins)))
+    for i in np.flatnonzero(times > 1):  # equal hashes are made sure of: the run has the period that it seems to have
+        a, p = int(begins[heads[i]]), int(windows[heads[i]])
+        end = a + p * int(times[i]) + length - 1
+        if data[a : end - p] != data[a + p : end]:
+            return begins, windows, anchor, whole, np.ones(len(begins), dtype=np.int64)
+    return begins[heads], windows[heads], anchor[heads], whole[heads], times
+
+
+def halves(body: bytes, low: int, high: int, length: int = LENGTH, gram: int = GRAM) -> list[tuple[int, int, int, int, bytes]]:
+    """The piece ``body``, whose windows have their anchor ``low`` to ``high`` bytes from their start, in two: for each half that
+    has windows, its low, high, first window, windows and the bytes that all windows of such a half hold around the anchor."""
+    at = int(grams(body[:length], gram)[1].argmin())  # the anchor, as of the first window
+    middle, count, out = (low + high) // 2, len(body) - length + 1, []
+    for a, b in ((low, middle), (middle + 1, high)):
+        first, last = max(0, at - b), min(count - 1, at - a)
+        if a <= b and first <= last:
+            out.append((a, b, first, last - first + 1, body[at - a : at + length - b]))
+    return out
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
@@ -186,11 +222,13 @@ def _keyed(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     return df.withColumn("_k", F.col(doc_id) if plain else F.concat_ws(":", F.col(doc_id).cast("string"), F.sha2(body.cast("binary"), 256)))
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """k, spans array<struct<b,e>> (bytes, not merged) for the texts of columns k, body that lose any byte. Rows with an equal k have equal bodies."""
+def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, hot_bytes: int | None = None) -> DataFrame:
+    """k, spans array<struct<b,e>> (bytes, not merged) for the texts of columns k, body that lose any byte.
+
+    Rows with an equal k have equal bodies. Anchors with over ``hot_bytes`` (a shard's, if null) of different pieces are split.
+    """
     kind = docs.schema["k"].dataType.simpleString()
-    arrow_kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-    long_enough = docs.where(F.octet_length("body") >= length)
+    columns = f"k {kind}, first int, windows int, anchor bigint, piece bigint, times int, covers int, low smallint, high smallint"
 
     def cut(batches):
         for batch in batches:
@@ -198,77 +236,120 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
             for start, end in groups_of(data, 1 << 20):
                 found = [pieces(x, length, gram) for x in data[start:end]]
                 whose = np.repeat(np.arange(start, end), [len(f[0]) for f in found])
-                first, windows, anchor, piece = (np.concatenate(x) for x in zip(*found, strict=True))
-                yield pa.RecordBatch.from_arrays([keys.take(pa.array(whose)), pa.array(first.astype(np.int32)), pa.array(windows.astype(np.int16)), pa.array(anchor), pa.array(piece)], names=["k", "first", "windows", "anchor", "piece"])
-
-    every = written(long_enough.mapInArrow(cut, f"k {kind}, first int, windows smallint, anchor bigint, piece bigint"), "pieces")
-    # Written, so that the join below has plain exchanges on both sides, which Spark can split where an anchor is hot.
-    anchors = written(every.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("piece") != F.max("piece")).alias("several")).where("n > 1").select("anchor", "several"), "anchors")
-    shared = written(every.join(anchors, "anchor"), "shared")
-    span = F.struct(F.col("first").alias("b"), (F.col("first") + F.col("windows") + (length - 1)).alias("e"))
-    alike = shared.where("NOT several").select("k", span.alias("span"))
+                first, windows, anchor, piece, times = (np.concatenate(x) for x in zip(*found, strict=True))
+                yield _rows(keys.take(pa.array(whose)), first, windows, anchor, piece, times, windows * times, np.zeros(len(first)), np.full(len(first), length - gram))
 
-    several = shared.where("several")
-    different = written(several.groupBy("anchor", "piece").agg(F.count("*").alias("n"), F.min(F.struct("k", "first", "windows")).alias("at")), "different")
-    # Written and merged: Spark can then split a piece that a large share of all documents hold, which it doesn't once a join turns into a broadcast.
-    copies = written(several.join(different.where("n > 1").select("anchor", "piece").hint("merge"), ["anchor", "piece"]).select("k", span.alias("span")), "copies")
+    long_enough = docs.where(F.octet_length("body") >= length)
+    every, out = written(long_enough.mapInArrow(cut, columns), "pieces"), []
+    while True:
+        spans, hot = _round(docs, every, length, shard_bytes, hot_bytes or shard_bytes)
+        out += spans
+        if hot is None:
+            break
+        every = written(_split(docs, hot, kind, columns, length, gram), "pieces")
+    everything = reduce(DataFrame.unionByName, out)
+    return everything.groupBy("k").agg(F.collect_list("span").alias("spans"))  # a text's own spans only
+
+
+_NUMBERS = {"first": pa.int32(), "windows": pa.int32(), "anchor": pa.int64(), "piece": pa.int64(), "times": pa.int32(), "covers": pa.int32(), "low": pa.int16(), "high": pa.int16()}
+
+
+def _rows(keys: pa.Array, *values: np.ndarray) -> pa.RecordBatch:
+    numbers = [pa.array(np.asarray(v).astype(t.to_pandas_dtype()), t) for v, t in zip(values, _NUMBERS.values(), strict=True)]
+    return pa.RecordBatch.from_arrays([keys, *numbers], names=["k", *_NUMBERS])
 
-    # Anchors all of whose pieces are copies need no sorting: every window of theirs repeats.
-    kinds = different.groupBy("anchor").agg(F.count("*").alias("kinds"), F.count_if(F.col("n") == 1).alias("lone")).where("lone > 0").select("anchor", (F.col("kinds") > hot).alias("hot"))
-    kinds = written(kinds, "kinds")
-    sorted_ones = different.join(kinds, "anchor").select("at.*", "anchor", "n", "hot")
-    total = sorted_ones.where("NOT hot").agg(F.sum(F.col("windows").cast("long") + length)).first()[0] or 0
-    shards = max(1, -(-int(total) // shard_bytes))
-    wanted = sorted_ones.groupBy("k").agg(F.collect_list(F.struct("first", "windows", "anchor", F.col("n").cast("int").alias("n"), "hot")).alias("wanted"))  # a text's own pieces only
+
+def _bodies(docs: DataFrame, wanted: DataFrame, length: int, columns: dict[str, str]) -> DataFrame:
+    """``wanted`` (k, first, windows and ``columns``, with their types) with ``body``, the piece's bytes; texts are read once."""
+    kind = docs.schema["k"].dataType.simpleString()
+    names = ["first", "windows", *columns]
+    asked = wanted.groupBy("k").agg(F.collect_list(F.struct(*names)).alias("wanted"))  # a text's own pieces only
 
     def fetch(batches):
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
-                some, rows = batch.slice(start, 500), []
-                for key, body, asked in zip(some.column(0).to_pylist(), bytes_list(some.column(1)), some.column(2).to_pylist(), strict=True):
-                    rows += [(key, w["first"], w["anchor"], w["n"], w["hot"], body[w["first"] : w["first"] + w["windows"] + length - 1]) for w in asked]
-                columns = zip(*rows, strict=True) if rows else [[]] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (arrow_kind, pa.int32(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()), strict=True)], names=["k", "first", "anchor", "n", "hot", "body"])
+                some = batch.slice(start, 500)
+                lists = some.column(2)
+                whose = np.repeat(np.arange(some.num_rows), np.diff(lists.offsets.to_numpy()))
+                flat = lists.flatten()
+                data, first, windows = bytes_list(some.column(1)), flat.field("first").to_numpy(), flat.field("windows").to_numpy()
+                bodies = [data[d][a : a + w + length - 1] for d, a, w in zip(whose.tolist(), first.tolist(), windows.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(whose)), *[flat.field(c) for c in names], pa.array(bodies, pa.binary())], names=["k", *names, "body"])
+
+    types = ", ".join(f"{c} {t}" for c, t in ({"first": "int", "windows": "int"} | columns).items())
+    return docs.join(asked, "k").select("k", "body", "wanted").mapInArrow(fetch, f"k {kind}, {types}, body binary")
 
-    bodies = docs.join(wanted, "k").select("k", "body", "wanted").mapInArrow(fetch, f"k {kind}, first int, anchor bigint, n int, hot boolean, body binary")
-    bodies = written(bodies, "bodies")
+
+def _round(docs: DataFrame, every: DataFrame, length: int, shard_bytes: int, hot_bytes: int) -> tuple[list[DataFrame], DataFrame | None]:
+    """Spans (k, span) of the windows that repeat among pieces, but for the anchors that are too large; those pieces, or None."""
+    kind = docs.schema["k"].dataType.simpleString()
+    arrow_kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    span = F.struct(F.col("first").alias("b"), (F.col("first") + F.col("covers") + (length - 1)).alias("e"))
+    # An anchor may stand in a large share of all pieces: its rows are found where they are.
+    anchors = written(every.groupBy("anchor").agg(F.count("*").alias("n"), F.sum("times").alias("times"), (F.min("piece") != F.max("piece")).alias("several")).where("times > 1").drop("times"), "anchors")
+    shared = written(looked_up(every, anchors, ["anchor"]), "shared")
+    alike = shared.where("NOT several").select("k", span.alias("span"))
+
+    several = shared.where("several")
+    at = F.min(F.struct("k", "first", "windows", "low", "high"))
+    different = written(several.groupBy("anchor", "piece").agg(F.count("*").alias("n"), F.sum("times").alias("times"), at.alias("at")), "different")
+    copies = written(looked_up(several, different.where("times > 1").select("anchor", "piece", "n"), ["anchor", "piece"]).select("k", span.alias("span")), "copies")
+
+    # Anchors all of whose pieces are copies need no sorting: every window of theirs repeats.
+    size = (F.col("at.windows") + (length - 1)).cast("long")
+    kinds = different.groupBy("anchor").agg(F.sum(size).alias("bytes"), F.count("*").alias("n"), F.count_if(F.col("times") == 1).alias("lone")).where("lone > 0")
+    kinds = written(kinds.select("anchor", "bytes", "n", (F.col("bytes") > hot_bytes).alias("hot")), "kinds")
+    total, too_large = kinds.agg(F.sum(F.when(~F.col("hot"), F.col("bytes"))), F.count_if("hot")).first()
+    shards = max(1, -(-int(total or 0) // shard_bytes))
+    lone = F.when(F.col("times") == 1, 1).otherwise(2).alias("times")
+    ones = different.select("anchor", "at.*", lone)
 
     def sort(table: pa.Table) -> pa.Table:
         anchors: dict[int, dict[bytes, tuple]] = {}
-        for key, first, anchor, n, body in zip(*(table.column(c).to_pylist() for c in ("k", "first", "anchor", "n", "body")), strict=True):
-            anchors.setdefault(anchor, {}).setdefault(body, (key, first, n))  # rows with an equal k ask twice
+        for key, first, anchor, times, body in zip(*(table.column(c).to_pylist() for c in ("k", "first", "anchor", "times", "body")), strict=True):
+            anchors.setdefault(anchor, {}).setdefault(body, (key, first, times))  # rows with an equal k ask twice
         rows: list[tuple] = []
         block: list[tuple[bytes, tuple]] = []
-        size = 0
+        held = 0
         while anchors:
             some = anchors.popitem()[1]
             block += some.items()
-            size += sum(map(len, some))
-            if not anchors or size >= SORTED_BYTES:
+            held += sum(map(len, some))
+            if not anchors or held >= SORTED_BYTES:
                 found = repeated_windows([body for body, _ in block], length)
-                rows += [(key, first + a, first + b) for (_, (key, first, n)), w in zip(block, found, strict=True) if n == 1 for a, b in covered(w, length)]
-                block, size = [], 0
+                rows += [(key, first + a, first + b) for (_, (key, first, times)), w in zip(block, found, strict=True) if times == 1 for a, b in covered(w, length)]
+                block, held = [], 0
         columns = list(zip(*rows, strict=True)) if rows else [[], [], []]
         return pa.table([pa.array(columns[0], arrow_kind), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int32())], names=["k", "b", "e"])
 
+    cold = looked_up(ones, kinds.where("NOT hot").select("anchor", "n"), ["anchor"])
+    bodies = written(_bodies(docs, cold, length, {"anchor": "bigint", "times": "int"}), "bodies")
     shard = F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard")
-    sorted_out = bodies.where("NOT hot").select(shard, "k", "first", "anchor", "n", "body").groupBy("shard").applyInArrow(sort, f"k {kind}, b int, e int").select("k", F.struct("b", "e").alias("span"))
+    dealt = bodies.select(shard, "k", "first", "anchor", "times", "body").groupBy("shard")
+    sorted_out = dealt.applyInArrow(sort, f"k {kind}, b int, e int").select("k", F.struct("b", "e").alias("span"))
+    hot = looked_up(ones, kinds.where("hot").select("anchor", "n"), ["anchor"]) if too_large else None
+    return [alike, copies, sorted_out], hot
+
 
-    def single(batches):
+def _split(docs: DataFrame, hot: DataFrame, kind: str, columns: str, length: int, gram: int) -> DataFrame:
+    """Pieces of halves: of fewer windows each, under longer anchors."""
+    types = {"times": "int", "anchor": "bigint", "low": "smallint", "high": "smallint"}
+
+    def run(batches):
         for batch in batches:
-            for i in range(batch.num_rows):
-                body = batch.column("body")[i].as_py()
-                starts = range(len(body) - length + 1)
-                digests = [xxhash.xxh3_128_intdigest(body[j : j + length]) for j in starts]
-                halves = [np.array([(d >> s) & 0xFFFFFFFFFFFFFFFF for d in digests], dtype=np.uint64).view(np.int64) for s in (64, 0)]
-                size = len(digests)
-                yield pa.RecordBatch.from_arrays([batch.column("k").take(pa.array([i] * size)), pa.array(np.arange(size, dtype=np.int32) + batch.column("first")[i].as_py()), batch.column("n").take(pa.array([i] * size)), *(pa.array(h) for h in halves)], names=["k", "b", "n", "h1", "h2"])
-
-    alone = bodies.where("hot").dropDuplicates(["k", "first"]).mapInArrow(single, f"k {kind}, b int, n int, h1 bigint, h2 bigint")
-    twice = alone.groupBy("h1", "h2").agg(F.count("*").alias("times")).where("times > 1").select("h1", "h2")
-    hot_out = alone.where("n = 1").join(twice, ["h1", "h2"], "left_semi").select("k", F.struct("b", (F.col("b") + length).alias("e")).alias("span"))
-    everything = alike.unionByName(copies).unionByName(sorted_out).unionByName(hot_out)
-    return everything.groupBy("k").agg(F.collect_list("span").alias("spans"))  # a text's own spans only
+            whose, rows = [], []
+            values = (batch.column(c).to_pylist() for c in ("first", "times", "anchor", "low", "high", "body"))
+            for i, (first, times, anchor, low, high, body) in enumerate(zip(*values, strict=True)):
+                for a, b, at, windows, core in halves(body, low, high, length, gram):
+                    own = body[at : at + windows + length - 1]
+                    longer = xxhash.xxh3_64_intdigest(core, (anchor ^ (a << 8) ^ b) & (2**64 - 1))
+                    rows.append((first + at, windows, longer, xxhash.xxh3_64_intdigest(own, windows), times, windows, a, b))
+                    whose.append(i)
+            first, windows, longer, piece, times, covers, low, high = (np.array(x, dtype=np.uint64) for x in zip(*rows, strict=True)) if rows else [np.zeros(0, np.uint64)] * 8
+            yield _rows(batch.column("k").take(pa.array(whose, pa.int64())), first, windows, longer.view(np.int64), piece.view(np.int64), times, covers, low, high)
+
+    wanted = hot.select("k", "first", "windows", *types)
+    return _bodies(docs, wanted, length, types).mapInArrow(run, columns)
 
 
 def kept_bytes(data: bytes, spans: list[tuple[int, int]], whole_characters: bool) -> tuple[bytes, int, int]:

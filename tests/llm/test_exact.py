@@ -310,14 +310,54 @@ def brute_removed(rows, length):
     return out
 
 
-@pytest.mark.parametrize("length, gram, hot, shard_bytes", [(200, 64, 4000, 1 << 21), (40, 12, 3, 3000)])
-def test_suffix_dedup(spark, texts, length, gram, hot, shard_bytes):
+@pytest.mark.parametrize("length, gram, hot_bytes, shard_bytes", [(200, 64, None, 1 << 21), (40, 12, 300, 3000)])
+def test_suffix_dedup(spark, texts, length, gram, hot_bytes, shard_bytes):
     for rows in (texts, [(i, t) for i, t in {i: t for i, t in texts if i is not None}.items()]):
-        got = suffix.digests(frame(spark, rows), length=length, gram=gram, hot=hot, shard_bytes=shard_bytes).collect()
+        got = suffix.digests(frame(spark, rows), length=length, gram=gram, hot_bytes=hot_bytes, shard_bytes=shard_bytes).collect()
         assert Counter(map(tuple, got)) == brute_removed(rows, length)
     assert suffix.digests(frame(spark, [])).count() == 0
 
 
+def test_hot_anchors_are_split(spark):
+    """One passage in many texts whose surroundings differ: every piece is another one, and some windows occur once."""
+    passage = prose(5, 12)[:55]
+    rows = [(i, prose(1000 + i % 37, 6)[: 20 + i % 11] + passage + prose(2000 + i % 41, 6)[: 15 + i % 13]) for i in range(120)]
+    for hot_bytes in (1, 400, 5000):
+        got = suffix.digests(frame(spark, rows), length=40, gram=12, hot_bytes=hot_bytes, shard_bytes=5000).collect()
+        assert Counter(map(tuple, got)) == brute_removed(rows, 40)
+
+
+def test_halves_hold_every_window():
+    body = prose(7, 40).encode()[:100]
+    at = int(suffix.grams(body[:40], 12)[1].argmin())
+    windows = [i for i in range(61) if int(suffix.grams(body[i : i + 40], 12)[1].argmin()) == at - i]
+    body = body[windows[0] : windows[-1] + 40]
+    parts, todo = [], [(0, 28, 0, body)]
+    while todo:
+        low, high, first, part = todo.pop()
+        for a, b, start, count, core in suffix.halves(part, low, high, 40, 12):
+            own = part[start : start + count + 39]
+            assert all(core in own[i : i + 40] for i in range(count)) and len(core) == 40 - (b - a)
+            (parts if a == b else todo).append((a, b, first + start, own))
+    assert sorted(first for _, _, first, _ in parts) == list(range(len(windows))) and all(len(own) == 40 for *_, own in parts)
+
+
+@pytest.mark.parametrize("unit", ["z", "ab", "abcdefg", "0123456789012345678"])
+def test_periodic_text_takes_few_rows(unit):
+    found = suffix.pieces((unit * (1_000_000 // len(unit))).encode())
+    assert len(found[0]) < 50_000 and (found[1] * found[4]).sum() == 1_000_000 // len(unit) * len(unit) - 199
+
+
+def test_periodic_texts_against_brute_force(spark):
+    runs = ["z" * 900, "z" * 201, "z" * 200, "ab" * 300, "b" + "ab" * 150, "xyz" * 300 + prose(4, 30), prose(4, 30) + "xyz" * 120, "ab" * 99 + "a", "zz" + prose(9, 60) + "z" * 230]
+    rows = list(enumerate(runs))
+    for length, gram, hot_bytes in ((200, 64, None), (40, 12, 200)):
+        got = suffix.digests(frame(spark, rows), length=length, gram=gram, hot_bytes=hot_bytes).collect()
+        assert Counter(map(tuple, got)) == brute_removed(rows, length)
+    alone = suffix.digests(frame(spark, [(1, "z" * 200), (2, "q" * 1_000_000), (3, "ab" * 500_000)])).collect()
+    assert {r.doc_id: r.n_removed for r in alone} == {1: 0, 2: 1_000_000, 3: 1_000_000}
+
+
 def test_suffix_array():
     rng = random.Random(3)
     for _ in range(400):
