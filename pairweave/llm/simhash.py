@@ -3,12 +3,14 @@
 A document's fingerprint is the bitwise majority of the XXH64 hashes of its word shingles. Distinct fingerprints (equal
 ones are grouped first, so copies cost nothing) are dealt to shards by a vantage-point tree: each inner node splits by
 the Hamming distance to a vantage point. A fingerprint lives in one leaf and is also sent, as a query, to every leaf
-that the triangle bound cannot rule out, so each pair within the radius meets in the home leaf of either. A shard's own
-vantage-point tree prunes again, down to blocks that are compared whole. A shard returns each member's local root, a
-forest rather than all pairs; large-star/small-star rounds join the forests of all shards.
+that the triangle bound cannot rule out, so each pair within the radius meets in the home leaf of either. A leaf that no
+vantage point splits is dealt into parts of a bounded number of home points, each of which meets the whole leaf. A
+shard's own vantage-point tree prunes again, down to blocks that are compared whole. A shard returns each member's local
+root, a forest rather than all pairs; large-star/small-star rounds join the forests of all shards.
 
 The tree is fitted on a bounded sample (at most ``SAMPLE`` fingerprints of least hash), which decides how even the
-shards are, not what is found. Texts are read once and never shuffled.
+shards are, not what is found. Texts are read once and never shuffled. Hot fingerprints and hubs of large classes are
+looked up where their rows are (``looked_up``).
 
 Null and empty texts have fingerprint zero and are linked like any other. A null id is ignored in the smallest id of a
 class. Repeated rows repeat. Only the id and the text are carried.
@@ -22,12 +24,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_list, written
+from .common import bytes_list, looked_up, written
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
 SAMPLE = 1 << 18
-#: Fingerprints that live in one shard, about, and in a block that is compared whole.
-SHARD, BLOCK = 20_000, 512
+#: Fingerprints that live in one shard, about: an eighth of all, but no fewer or more than these. The fewer shards, the fewer
+#: are sent to several of them. And fingerprints in a block that is compared whole.
+SHARDS, SHARD, BLOCK = 8, (20_000, 1 << 20), 512
 
 
 def fingerprint(data: bytes, shingle: int = SHINGLE) -> int:
@@ -74,17 +77,22 @@ def split_of(points: np.ndarray, radius: int) -> tuple[np.uint64, int] | None:
 
 
 class VantageTree:
-    """Shards of fingerprint space: nodes of (vantage, distance, inner child, outer child), children below 0 are leaves."""
+    """Shards of fingerprint space: nodes of (vantage, distance, inner child, outer child), children below 0 are leaves.
+
+    A leaf has the number of its first shard and as many shards as hold about ``shard`` home points each.
+    """
 
     def __init__(self, sample: np.ndarray, total: int, radius: int, shard: int):
-        self.radius, self.nodes, self.leaves = radius, [], 0
+        self.radius, self.nodes, self.leaves, self.parts = radius, [], 0, {}
         self.root = self._grow(sample, total / max(1, len(sample)), shard, 0)
 
     def _grow(self, points: np.ndarray, weight: float, shard: int, depth: int) -> int:
         found = split_of(points, self.radius) if len(points) * weight > shard and len(points) >= 8 and depth < 40 else None
         if found is None:
-            self.leaves += 1
-            return -self.leaves
+            leaf, parts = self.leaves, max(1, round(len(points) * weight / shard))
+            self.leaves += parts
+            self.parts[leaf] = parts
+            return -leaf - 1
         vantage, k = found
         inner = distance(points, vantage) <= k
         self.nodes.append(None)
@@ -98,7 +106,9 @@ class VantageTree:
         while todo:
             node, rows, home = todo.pop()
             if node < 0:
-                out.append((rows, np.full(len(rows), -node - 1), home))
+                leaf, parts = -node - 1, self.parts[-node - 1]
+                own = (points[rows] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(parts)
+                out += [(rows, np.full(len(rows), leaf + i), home & (own == i)) for i in range(parts)]
                 continue
             vantage, k, inner, outer = self.nodes[node]
             d = distance(points[rows], vantage).astype(np.int64)
@@ -156,10 +166,11 @@ def join_near(points: np.ndarray, home: np.ndarray, radius: int, block: int = BL
     return forest
 
 
-def local_links(fps: DataFrame, radius: int, shard: int) -> DataFrame:
+def local_links(fps: DataFrame, radius: int, shard: int | None = None) -> DataFrame:
     """Edges (a, b) of a forest for each shard over the distinct fingerprints of column fp."""
     spark = fps.sparkSession
     total = fps.count()
+    shard = shard or min(SHARD[1], max(SHARD[0], total // SHARDS))
     wanted = min(SAMPLE, max(1 << 14, 64 * (total // shard)))
     sample = np.array([r[0] for r in fps.orderBy(F.xxhash64("fp"), "fp").limit(wanted).collect()], dtype=np.int64).view(np.uint64)
     tree = VantageTree(sample, total, radius, shard)
@@ -173,7 +184,7 @@ def local_links(fps: DataFrame, radius: int, shard: int) -> DataFrame:
 
     def link(table: pa.Table) -> pa.Table:
         points = table.column("fp").to_numpy().view(np.uint64)
-        forest = join_near(points, np.asarray(table.column("home").to_pylist(), dtype=bool), radius)
+        forest = join_near(points, table.column("home").to_numpy().astype(bool), radius)
         root = forest.roots(np.arange(len(points)))
         joined = np.flatnonzero(root != np.arange(len(points)))
         return pa.table({"a": points[joined].view(np.int64), "b": points[root[joined]].view(np.int64)})
@@ -183,35 +194,41 @@ def local_links(fps: DataFrame, radius: int, shard: int) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, root (the least node of its component) for every node of the edges (a, b), by alternating star contraction."""
+    """node, root (the least node of its component) for every node of the edges (a, b), by alternating star contraction.
+
+    A node's least neighbour reaches the node's edges by ``looked_up``: a hub's edges stay where they are.
+    """
     pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().checkpoint()
+    before = _state(pairs)
     while True:
         both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        after = small.where("u <> v").distinct().checkpoint()
-        if _same(pairs, after):
-            return after.select(F.col("u").alias("node"), F.col("v").alias("root")).union(after.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        pairs = after
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        met = looked_up(both, least, ["u"], 2 * before[0])
+        large = met.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct().checkpoint()
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = looked_up(large, least, ["u"], large.count()).select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+        pairs = small.where("u <> v").distinct().checkpoint()
+        after = _state(pairs)
+        if before == after:
+            return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).union(pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+        before = after
 
 
-def _same(a: DataFrame, b: DataFrame) -> bool:
-    state = [tuple(x.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()) for x in (a, b)]
-    return state[0] == state[1]
+def _state(pairs: DataFrame) -> tuple:
+    """Number and an order-free digest of pairs."""
+    return tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
+def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, shard: int | None = None) -> DataFrame:
     """doc_id, fp (signed 64-bit fingerprint), component_id (least id of the class) of each row."""
     docs = written(df.select(F.col(doc_id).alias("doc_id"), fingerprinter(shingle)(F.col(text)).alias("fp")), "simhash")
-    fps = docs.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    fps = docs.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
     linked = components(local_links(fps.select("fp"), radius, shard))
-    of_root = linked.join(fps, linked["node"] == fps["fp"]).select("node", "root", "least")
-    of_root = of_root.join(of_root.groupBy("root").agg(F.min("least").alias("component_id")), "root").select(F.col("node").alias("fp"), "component_id")
-    # Written, so that the join has plain exchanges on both sides, which Spark can split where many texts share a fingerprint.
-    of_fp = written(fps.join(of_root, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "classes")
-    return docs.join(of_fp, "fp").select("doc_id", "fp", "component_id")
+    of_root = written(linked.join(fps, linked["node"] == fps["fp"]).select("node", "root", "least"), "roots")
+    least = of_root.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    of_root = looked_up(of_root, least, ["root"]).select(F.col("node").alias("fp"), "component_id")
+    of_fp = written(fps.join(of_root, "fp", "left").select("fp", "n", F.coalesce("component_id", "least").alias("component_id")), "classes")
+    return looked_up(docs, of_fp, ["fp"]).select("doc_id", "fp", "component_id")
 
 
 def digests(df: DataFrame, **kept) -> DataFrame:

@@ -287,6 +287,27 @@ def test_near_links_over_many_shards(spark):
     assert sorted(rows[home].tolist()) == list(range(len(points)))
 
 
+def test_an_unsplit_leaf_is_dealt_into_parts(spark):
+    """Points of one dense ball, which no vantage point parts, and a hub that all of a class link to."""
+    centre = 0x0123456789ABCDEF
+    values = sorted({centre, *(centre ^ (1 << i) for i in range(64)), *(centre ^ (1 << i) ^ (1 << j) for i in range(12) for j in range(i))})
+    points = np.array(values, dtype=np.uint64)
+    tree = simhash.VantageTree(points, len(points), 2, 20)
+    rows, leaf, home = tree.deal(points)
+    assert sorted(rows[home].tolist()) == list(range(len(points))) and np.bincount(leaf[home]).max() < 60
+    signed = [v - (1 << 64) if v >> 63 else v for v in values]
+    got = simhash.components(simhash.local_links(spark.createDataFrame([(v,) for v in signed], "fp long"), 2, shard=20)).collect()
+    assert {r.node: r.root for r in got} == dict.fromkeys(signed, min(signed))
+
+
+def test_copies_of_a_fingerprint():
+    """A point is sent to few shards at the number of shards that is used for millions of points."""
+    points = np.random.default_rng(1).integers(0, 2**64, 1 << 18, dtype=np.uint64)
+    tree = simhash.VantageTree(points[: 1 << 14], len(points), 2, len(points) // simhash.SHARDS)
+    rows, _, home = tree.deal(points)
+    assert home.sum() == len(points) and len(rows) < 4 * len(points)
+
+
 def test_one_of_each(spark, texts):
     for rows in (texts, [(i, t) for i, t in {i: t for i, t in texts if i is not None}.items()]):
         out = simhash.one_of_each(frame(spark, rows))
