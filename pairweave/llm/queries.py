@@ -32,7 +32,7 @@ def op3_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_benchmark_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("longest")
+    return decontam.digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op5_url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,18 +75,22 @@ ORACLES = {
     "op5_url_verdicts": urls.sql(URL_RULES),
     "op4_benchmark_matches": f"""
 WITH doc AS (SELECT doc_id, {_WORDS} AS w FROM documents),
-item AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {_WORDS} AS w FROM benchmark),
-win AS (SELECT DISTINCT item_id, w[i:i + least(len(w), 10) - 1] AS g
-        FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM item WHERE len(w) > 0)),
+item AS (SELECT row_number() OVER () AS item, item_id, {_WORDS} AS w FROM (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item_id, text FROM benchmark)),
+win AS (SELECT item, item_id, i AS place, w[i:i + least(len(w), 10) - 1] AS g
+        FROM (SELECT item, item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM item WHERE len(w) > 0)),
 sizes AS (SELECT DISTINCT len(g) AS n FROM win),
 gram AS (SELECT doc_id, n, i, w[i:i + n - 1] AS g
          FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM doc, sizes WHERE len(w) >= n)),
-hit AS (SELECT gram.doc_id, gram.i, gram.n, win.item_id FROM gram JOIN win ON gram.g = win.g),
+hit AS (SELECT gram.doc_id, gram.i, gram.n, win.item, win.item_id, win.place FROM gram JOIN win ON gram.g = win.g),
 pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hit) GROUP BY doc_id),
 named AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items
-          FROM (SELECT DISTINCT doc_id, item_id FROM hit WHERE item_id IS NOT NULL) GROUP BY doc_id)
+          FROM (SELECT DISTINCT doc_id, item_id FROM hit WHERE item_id IS NOT NULL) GROUP BY doc_id),
+chain AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, item, i - place ORDER BY i) AS island FROM hit),
+runs AS (SELECT doc_id, item_id, min(i) - 1 AS at, min(place) - 1 AS place, count(*) + any_value(n) - 1 AS n FROM chain GROUP BY doc_id, item, item_id, i - place, island),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, at, item_id IS NULL, item_id, place) AS r FROM runs) WHERE r = 1)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(p.n_hit, 0) AS BIGINT) AS n_hit,
        CAST(coalesce(n.n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(n.items, '')) AS items_sha256,
-       coalesce(p.n_hit, 0) > 0 AS contaminated
-FROM doc d LEFT JOIN pos p ON d.doc_id = p.doc_id LEFT JOIN named n ON d.doc_id = n.doc_id""",
+       coalesce(p.n_hit, 0) > 0 AS contaminated, CAST(coalesce(b.n, 0) AS BIGINT) AS longest,
+       CAST(b.at AS BIGINT) AS longest_at, b.item_id AS longest_item, CAST(b.place AS BIGINT) AS longest_place
+FROM doc d LEFT JOIN pos p ON d.doc_id = p.doc_id LEFT JOIN named n ON d.doc_id = n.doc_id LEFT JOIN best b ON d.doc_id = b.doc_id""",
 }

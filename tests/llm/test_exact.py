@@ -177,31 +177,61 @@ def test_syncmers_are_context_free():
 
 def brute_matches(doc, items, window=10):
     number = lambda t: decontam.words_of((t or "").encode())
-    words, hit, names = number(doc), set(), set()
-    for name, t in items:
+    words, hit, names, best = number(doc), set(), set(), (0,)
+    for name, t in dict.fromkeys(items):
         w = number(t)
-        grams = [w[i : i + window] for i in range(max(1, len(w) - window + 1))] if w else []
-        for g in grams:
+        for at in range(max(1, len(w) - window + 1) if w else 0):
+            g = w[at : at + window]
             for i in range(len(words) - len(g) + 1):
                 if words[i : i + len(g)] == g:
                     hit.update(range(i, i + len(g)))
                     names |= {str(name)} - {"None"}
-    return len(words), len(hit), len(names), sha(",".join(sorted(names))), bool(hit)
+                    n = next((n for n in range(len(g), len(w) - at) if words[i + n : i + n + 1] != [w[at + n]]), len(w) - at)
+                    best = min(best, (-n, i, name is None, "" if name is None else str(name), at))
+    longest = (-best[0], best[1], best[3] if not best[2] else None, best[4]) if hit else (0, None, None, None)
+    return len(words), len(hit), len(names), sha(",".join(sorted(names))), bool(hit), *longest
+
+
+def items_of(texts):
+    passage = next(t for i, t in texts if i == 1 + 3 * 16)
+    return [(10, passage[30:300]), (9, passage[30:300].upper()), (2, "Ab ab"), (3, ""), (4, None), (None, "don't stop x"), (7, prose(77, 30)), (8, "word word word"), (11, "word " * 25), (12, "ab cd " + passage[40:260] + " xyz"), (12, passage[100:390])]
 
 
 @pytest.mark.parametrize("block_bytes", [1 << 25, 300])
 def test_decontamination(spark, texts, block_bytes):
-    passage = next(t for i, t in texts if i == 1 + 3 * 16)
-    items = [(10, passage[30:300]), (9, passage[30:300].upper()), (2, "Ab ab"), (3, ""), (4, None), (None, "don't stop x"), (7, prose(77, 30)), (8, "word word word")]
-    benchmark = spark.createDataFrame([(i, t, 5) for i, t in items], "item_id long, text string, n_words int")
-    got = decontam.digests(frame(spark, texts), benchmark, block_bytes=block_bytes).drop("longest").collect()
+    items = items_of(texts)
+    benchmark = spark.createDataFrame([(i, t, 5) for i, t in [*items, items[0]]], "item_id long, text string, n_words int")
+    docs = frame(spark, texts).withColumn("digest", F.lit(1))
+    got = decontam.digests(docs, benchmark, block_bytes=block_bytes).collect()
     assert Counter(map(tuple, got)) == Counter((i, *brute_matches(t, items)) for i, t in texts)
-    left = decontam.without_contaminated(frame(spark, texts), benchmark, block_bytes=block_bytes)
-    assert left.columns == frame(spark, texts).columns
-    assert left.count() == sum(not brute_matches(t, items)[-1] for _, t in texts)
-    longest = {r.doc_id: r.longest for r in decontam.digests(frame(spark, texts), benchmark).collect()}
-    assert longest[1 + 3 * 16] == len(decontam.words_of(passage[30:300].encode())) or longest[1 + 3 * 16] >= 10
+    left = decontam.without_contaminated(docs, benchmark, block_bytes=block_bytes)
+    assert left.columns == docs.columns
+    assert left.count() == sum(not brute_matches(t, items)[4] for _, t in texts)
     assert decontam.digests(frame(spark, texts), benchmark.limit(0)).where("contaminated").count() == 0
+    assert decontam.digests(frame(spark, []), benchmark, block_bytes=block_bytes).count() == 0
+
+
+def test_matches_on_few_words():
+    """Texts and items of few different words: every suffix has many neighbours."""
+    rng = random.Random(12)
+    draw = lambda n: " ".join(rng.choice("ab" if rng.random() < 0.9 else "abcz") for _ in range(n))
+    for trial in range(60):
+        items = [(str(i), draw(rng.randint(1, 14))) for i in range(rng.randint(1, 4))] + ([(None, draw(6))] if trial % 3 == 0 else [])
+        texts = [draw(rng.randint(0, 30)) for _ in range(4)]
+        found = decontam.search([t.encode() for t in texts], decontam.TestSuffixes([(i, t.encode()) for i, t in items], 4))
+        for text, (n, spans, names, *longest) in zip(texts, found):
+            assert (n, sum(b - a for a, b in spans), len(names), sha(",".join(names)), bool(spans), *longest) == brute_matches(text, items, 4)
+
+
+def test_a_large_benchmark_stays_small_in_memory():
+    """A block of 4 MB: arrays of some 50 bytes a word, and the numbers of its distinct words."""
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(40_000)]
+    items = [(str(i), " ".join(words[j] for j in rng.integers(0, len(words), 200)).encode()) for i in range(3000)]
+    assert sum(len(t) for _, t in items) > 3_500_000
+    tests = decontam.TestSuffixes(items)
+    arrays = (tests.words, tests.starts, tests.places, tests.lengths, tests.left, tests.low, tests.high)
+    assert sum(a.nbytes for a in arrays) < 130 * len(tests.words)
 
 
 def test_token_counts(spark, texts):
