@@ -86,11 +86,11 @@ pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(ra
 named AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items
           FROM (SELECT DISTINCT doc_id, item_id FROM hit WHERE item_id IS NOT NULL) GROUP BY doc_id),
 chain AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, item, i - place ORDER BY i) AS island FROM hit),
-runs AS (SELECT doc_id, item_id, min(i) - 1 AS at, min(place) - 1 AS place, count(*) + any_value(n) - 1 AS n FROM chain GROUP BY doc_id, item, item_id, i - place, island),
-best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, at, item_id IS NULL, item_id, place) AS r FROM runs) WHERE r = 1)
+runs AS (SELECT doc_id, item_id, min(i) - 1 AS begins, min(place) - 1 AS place, count(*) + any_value(n) - 1 AS n FROM chain GROUP BY doc_id, item, item_id, i - place, island),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, begins, item_id IS NULL, item_id, place) AS r FROM runs) WHERE r = 1)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(p.n_hit, 0) AS BIGINT) AS n_hit,
        CAST(coalesce(n.n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(n.items, '')) AS items_sha256,
        coalesce(p.n_hit, 0) > 0 AS contaminated, CAST(coalesce(b.n, 0) AS BIGINT) AS longest,
-       CAST(b.at AS BIGINT) AS longest_at, b.item_id AS longest_item, CAST(b.place AS BIGINT) AS longest_place
+       CAST(b.begins AS BIGINT) AS longest_at, b.item_id AS longest_item, CAST(b.place AS BIGINT) AS longest_place
 FROM doc d LEFT JOIN pos p ON d.doc_id = p.doc_id LEFT JOIN named n ON d.doc_id = n.doc_id LEFT JOIN best b ON d.doc_id = b.doc_id""",
 }
