@@ -2,14 +2,16 @@
 
 Confirmed toxic documents are the positives; all others, whatever their label, are unlabelled. A linear classifier on
 the presence of words and word beginnings minimises prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)) with the logistic
-loss (the corrected, non-negative estimator): the prior is the share of toxic rows among the labelled ones.
+loss (the corrected, non-negative estimator): the prior is the share of toxic rows among the labelled ones. A feature
+takes part if positives have it more or less often than chance explains; both kinds of evidence have weights.
 
 Only the training sample is bounded: the ``POSITIVES`` and ``UNLABELLED`` documents of least hash among the rows that
 may be learnt from. Their features, numbers below 2^20, go to the driver; the weights (at most ``FEATURES``) go to the
-tasks. Every whole text is scored, without a shuffle.
+tasks. Every whole text is scored, however long, without a shuffle.
 
 Null and empty texts have no features: their score is the bias alone. Without positives every score is 0. Labels that
-contradict each other count as toxic, null labels as none. Repeated rows repeat.
+contradict each other count as toxic, null labels as none. Repeated rows repeat; an id that repeats is learnt from by its
+least text. Only the id, the text and the label are read, so other columns can't clash.
 """
 
 from __future__ import annotations
@@ -30,9 +32,10 @@ FEATURES = 4096
 THRESHOLD = 0.3
 BEGINNING = 5
 WORD = re.compile(r"[^\W\d_]+").findall
-#: A feature takes part if this many positives have it, its share among positives stands out by so many standard
-#: deviations, and so large a share of the documents with it seem positive.
-LEAST_COUNT, LEAST_STANDING, LEAST_PURITY = 3, 4.0, 0.4
+#: A feature takes part if this many documents have it, its count among positives has such a likelihood ratio (twice its
+#: logarithm) against that expected from the unlabelled, and, where positives have it more often, so large a share of
+#: the documents with it seem positive.
+LEAST_COUNT, LEAST_RATIO, LEAST_PURITY = 3, 10.0, 0.6
 ROUNDS, RATE, DECAY = 400, 0.05, 2e-4
 
 
@@ -60,13 +63,12 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
     """Weights of buckets, and the bias."""
     share = lambda docs: np.bincount(np.concatenate(docs), minlength=BUCKETS)
     in_p, in_u = share(positive), share(unlabelled)
-    p, u = (in_p + 0.5) / (len(positive) + 1), (in_u + 0.5) / (len(unlabelled) + 1)
-    both = (in_p + in_u + 1) / (len(positive) + len(unlabelled) + 2)
-    standing = (p - u) / np.sqrt(both * (1 - both) * (1 / len(positive) + 1 / len(unlabelled)))
-    # prior * p / u estimates how often a document with the feature is positive.
-    standing[(in_p < LEAST_COUNT) | (standing < LEAST_STANDING) | (prior * p / u < LEAST_PURITY)] = 0
-    chosen = np.argsort(-standing, kind="stable")[:FEATURES]
-    chosen = np.sort(chosen[standing[chosen] > 0])
+    expected = len(positive) * (in_u + 0.5) / (len(unlabelled) + 1)
+    ratio = 2 * (in_p * np.log(np.maximum(in_p, 1) / expected) - (in_p - expected))
+    # prior * in_p / expected estimates how often a document with the feature is positive.
+    pure = (in_p <= expected) | (prior * in_p / expected >= LEAST_PURITY)
+    found = np.flatnonzero((in_p + in_u >= LEAST_COUNT) & (ratio >= LEAST_RATIO) & pure)
+    chosen = np.sort(found[np.argsort(-ratio[found], kind="stable")[:FEATURES]])
     if not len(chosen):
         return {}, float(np.log(prior / (1 - prior)))
     column = np.full(BUCKETS, -1)
@@ -132,9 +134,11 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, doc_id: str = "doc_id
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     # Both samples are bounded by their limits, so broadcasting their ids is too.
     chosen_p = marked.where("toxic").select("doc_id").orderBy(chance, "doc_id").limit(positives)
-    chosen_u = rows.where(learn & F.col("doc_id").isNotNull()).select("doc_id").orderBy(chance, "doc_id").limit(unlabelled)
+    chosen_u = rows.where(learn & F.col("doc_id").isNotNull()).select("doc_id").distinct().orderBy(chance, "doc_id").limit(unlabelled)
     ids = chosen_p.withColumn("positive", F.lit(True)).union(chosen_u.withColumn("positive", F.lit(False)))
-    sample = rows.where(learn).join(F.broadcast(ids), "doc_id").select("positive", "doc_id", feature_buckets("text").alias("buckets")).toArrow()
+    # One row an id: the sample stays bounded where an id has many rows.
+    sample = rows.where(learn).join(F.broadcast(ids), "doc_id").groupBy("positive", "doc_id").agg(F.min("text").alias("text"))
+    sample = sample.select("positive", "doc_id", feature_buckets("text").alias("buckets")).toArrow()
     lists = sample.column(2).combine_chunks()
     lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) and lists.num_chunks else lists
     values, ends = (lists.values.to_numpy(), lists.offsets.to_numpy()) if sample.num_rows else (np.zeros(0, np.int32), np.zeros(1, np.int32))

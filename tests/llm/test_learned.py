@@ -139,6 +139,33 @@ def test_toxicity(spark):
     assert model.score_text("stone vilebad") == pytest.approx(model.score_text("VILEBAD, stone!"))
 
 
+def test_toxicity_of_repeated_ids(spark):
+    """An id with many rows is one of the sample: its least text."""
+    docs, labels = toxic_docs(spark)
+    repeated = docs.unionByName(docs.where("doc_id = 0").crossJoin(spark.range(300)).select(*docs.columns)).unionByName(docs.where("doc_id = 7"))
+    model = toxicity.fit(repeated, labels, split_remainder("doc_id", 4) != 2)
+    again = toxicity.fit(docs, labels, split_remainder("doc_id", 4) != 2)
+    assert model.weights == again.weights and model.bias == again.bias
+
+
+def test_negative_evidence_has_weights():
+    """A word that positives hardly ever have speaks against them."""
+    import numpy as np
+
+    rng = random.Random(4)
+    doc = lambda bad: np.array(sorted({rng.randrange(100, 160) for _ in range(20)} | ({1, 2} if bad else {7} if rng.random() < 0.9 else set())), dtype=np.int32)
+    weights, bias = toxicity.train([doc(True) for _ in range(80)], [doc(i % 10 == 0) for i in range(600)], 0.1)
+    assert {1, 2, 7} <= set(weights) and weights[7] < 0 < weights[1]
+
+
+def test_toxicity_on_held_out_rows(spark):
+    """sf0.01: 37 toxic documents to learn from; 5 of the 14 held out have no word of those in common."""
+    sf = "/root/testdata/sf0.01"
+    rows = queries.op6_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out AND toxic IS NOT NULL").collect()
+    caught, said, toxic = sum(r.toxic * r.predicted for r in rows), sum(r.predicted for r in rows), sum(r.toxic for r in rows)
+    assert caught / said >= 0.85 and caught / toxic >= 0.6
+
+
 def test_toxicity_without_positives(spark):
     docs, labels = toxic_docs(spark)
     for d, x in ((docs, labels.where("toxic = 0")), (docs, labels.limit(0)), (docs.limit(0), labels)):
@@ -176,6 +203,8 @@ def test_language_edge_cases(spark):
     assert langid.fit(frame.limit(0), F.lit(True)) is None
     none = frame.select(langid.predictor(None, spark)("text").alias("f")).collect()
     assert {r.f.lang for r in none} == {langid.UNDETERMINED}
+    few = langid.fit(frame, F.lit(True), languages=2)
+    assert len(few.languages) == 2 and "en" in few.languages
     alone = langid.fit(frame.where("lang = 'de'"), F.lit(True))
     assert alone.languages == ["de"]
 
