@@ -5,12 +5,13 @@ hashed byte n-grams (1 to 3 bytes, A-Z lower-cased, other ASCII signs as a space
 of the bits, each weighted by how well its classifier did on that language in training, and takes the nearest codeword;
 a text whose two nearest codewords are almost as near is flagged.
 
-Only the training sample is bounded: about ``SAMPLE`` documents of least hash, equally many of each language. Counts go
-to the driver as 4,096 numbers a document; the weights go to the tasks. Every whole text is predicted, without a
-shuffle.
+Only the training sample is bounded: about ``SAMPLE`` documents of least hash, equally many of each language, of the
+``LANGUAGES`` languages with the most documents (ties by name). Counts go to the driver as 4,096 numbers a document; the
+weights go to the tasks. Every whole text is predicted, however long, without a shuffle.
 
-A text that is null or has no letter is ``und`` with score 0; so is every text if nothing could be learnt. Ties go to
-the first language by name. Repeated rows repeat.
+A text that is null or has no letter is ``und`` with score 0; so is every text if nothing could be learnt (an empty
+table, no languages). Ties go to the first language by name. Repeated rows repeat. Only the text and the language are
+read, so other columns can't clash.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE = 4_000
+SAMPLE, LANGUAGES = 4_000, 512
 DIMENSIONS = 4096
 AMBIGUOUS = 0.2
 UNDETERMINED = "und"
@@ -109,10 +110,10 @@ def count_bytes(text: str) -> Column:
     return run(text)
 
 
-def fit(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> CodedClassifier | None:
+def fit(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang", sample: int = SAMPLE, languages: int = LANGUAGES) -> CodedClassifier | None:
     """Train on the rows where ``learn`` holds and text and language are given; None if there are none."""
     rows = docs.where(learn & F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()}
     if not sizes:
         return None
     each = sample / len(sizes)
@@ -122,7 +123,7 @@ def fit(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang",
     picked = rows.where(chance < share).orderBy(chance).limit(2 * sample).select("lang", count_bytes("text").alias("counts")).toArrow()
     picked = sorted(zip(picked.column(0).to_pylist(), picked.column(1).to_pylist(), strict=True))
     if not picked:
-        picked = sorted((r["lang"], bytes(r["counts"])) for r in rows.limit(sample).select("lang", count_bytes("text").alias("counts")).collect())
+        picked = sorted((r["lang"], bytes(r["counts"])) for r in rows.where(F.col("lang").isin(list(sizes))).limit(sample).select("lang", count_bytes("text").alias("counts")).collect())
     return train(np.array([vector(np.frombuffer(c, dtype="<u4")) for _, c in picked]), [v for v, _ in picked])
 
 

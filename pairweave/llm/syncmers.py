@@ -112,7 +112,8 @@ def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", part
         return pa.array([[2 * p, 2 * before[i] + 1] if i in before else [2 * p] for p, i in zip(own.tolist(), ids.to_pylist(), strict=True)], pa.list_(pa.int32()))
 
     dealt = source.select(F.explode(places("doc_id")).alias("at"), "doc_id", "text").withColumn("place", F.expr("at DIV 2"))
-    ordered = dealt.repartition(parts, "place").sortWithinPartitions("place", F.expr("at % 2"), F.desc_nulls_last("doc_id"), "text")
+    # By range: a place is a partition or nearly so, where hashing would deal several to one and none to others.
+    ordered = dealt.repartitionByRange(parts, "place").sortWithinPartitions("place", F.expr("at % 2"), F.desc_nulls_last("doc_id"), "text")
     schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
 
     def row(key, value: str, own: list, following: str, after: list) -> tuple:
