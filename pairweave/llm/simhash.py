@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_list, looked_up, written
+from .common import bytes_list, fresh, looked_up, written
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
 SAMPLE = 1 << 18
@@ -220,15 +220,18 @@ def _state(pairs: DataFrame) -> tuple:
 
 
 def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, shard: int | None = None) -> DataFrame:
-    """doc_id, fp (signed 64-bit fingerprint), component_id (least id of the class) of each row."""
+    """doc_id, fp (signed 64-bit fingerprint), component_id (least id of the class), root (least fingerprint of the class) of each row."""
     docs = written(df.select(F.col(doc_id).alias("doc_id"), fingerprinter(shingle)(F.col(text)).alias("fp")), "simhash")
     fps = docs.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
     linked = components(local_links(fps.select("fp"), radius, shard))
     of_root = written(linked.join(fps, linked["node"] == fps["fp"]).select("node", "root", "least"), "roots")
     least = of_root.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
-    of_root = looked_up(of_root, least, ["root"]).select(F.col("node").alias("fp"), "component_id")
-    of_fp = written(fps.join(of_root, "fp", "left").select("fp", "n", F.coalesce("component_id", "least").alias("component_id")), "classes")
-    return looked_up(docs, of_fp, ["fp"]).select("doc_id", "fp", "component_id")
+    of_root = looked_up(of_root, least, ["root"]).select(F.col("node").alias("fp"), "component_id", "root")
+    own = fps.join(of_root, "fp", "left")
+    # A class whose rows all have null ids has none; a class of one fingerprint is its own root.
+    least = F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id"))
+    of_fp = written(own.select("fp", "n", least.alias("component_id"), F.coalesce("root", "fp").alias("root")), "classes")
+    return looked_up(docs, of_fp, ["fp"]).select("doc_id", "fp", "component_id", "root")
 
 
 def digests(df: DataFrame, **kept) -> DataFrame:
@@ -248,10 +251,12 @@ def _kept(df: DataFrame, found: DataFrame, doc_id: str, text: str, shingle: int)
     repeated = df.groupBy(doc_id).agg(F.count("*").alias("n")).where(F.col(doc_id).isNull() | (F.col("n") > 1)).limit(1).count()
     if repeated:  # ids do not tell the rows apart: one row of each (id, text), then one text of each class
         df = df.dropDuplicates([doc_id, text])
-        best = classes(df, doc_id, text, shingle=shingle).groupBy("component_id", "fp").agg(F.min(F.col("doc_id")).alias("least"))
-        first = best.groupBy("component_id").agg(F.min_by("fp", F.struct(F.col("least").isNull(), "least", "fp")).alias("fp"), F.min("least").alias("least"))
-        keep = first.select(F.col("least").alias("_least"), F.col("fp").alias("_fp"))
-        numbered = df.withColumn("_fp", fingerprinter(shingle)(F.col(text))).join(keep, "_fp").where(F.col(doc_id).eqNullSafe(F.col("_least")))
-        return numbered.dropDuplicates(["_fp", "_least"]).select(*df.columns)
+        fp, least = fresh(df, "fp"), fresh(df, "least")
+        # By root: classes may share their least id where ids repeat.
+        best = classes(df, doc_id, text, shingle=shingle).groupBy("root", "fp").agg(F.min(F.col("doc_id")).alias("least"))
+        first = best.groupBy("root").agg(F.min_by("fp", F.struct(F.col("least").isNull(), "least", "fp")).alias("fp"), F.min("least").alias("least"))
+        keep = first.select(F.col("least").alias(least), F.col("fp").alias(fp))
+        numbered = df.withColumn(fp, fingerprinter(shingle)(F.col(text))).join(keep, fp).where(F.col(doc_id).eqNullSafe(F.col(least)))
+        return numbered.dropDuplicates([fp, least]).select(*df.columns)
     later = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(doc_id))
     return df.join(later, doc_id, "left_anti").select(*df.columns)

@@ -214,12 +214,12 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [tuple(s) for s in out]
 
 
-def _keyed(df: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """``k`` tells texts apart: the id, or if ids are null or repeat, the text's digest."""
+def _keyed(df: DataFrame, doc_id: str, text: str, key: str) -> DataFrame:
+    """``df`` with ``key``, which tells texts apart: the id, or if ids are null or repeat, the id and the text's digest."""
     ids = df.groupBy(F.col(doc_id).alias("k")).agg(F.count("*").alias("n"))
     plain = not ids.where(F.col("k").isNull() | (F.col("n") > 1)).limit(1).count()
     body = F.coalesce(F.col(text), F.lit(""))
-    return df.withColumn("_k", F.col(doc_id) if plain else F.concat_ws(":", F.col(doc_id).cast("string"), F.sha2(body.cast("binary"), 256)))
+    return df.withColumn(key, F.col(doc_id) if plain else F.concat_ws(":", F.col(doc_id).cast("string"), F.sha2(body.cast("binary"), 256)))
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, hot_bytes: int | None = None) -> DataFrame:
@@ -378,9 +378,9 @@ RESULT = "struct<n_bytes:bigint,n_removed:bigint,n_spans:bigint,kept:binary>"
 
 def deduplicated(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, whole_characters: bool = False, **kept) -> tuple[DataFrame, str]:
     """``df`` with one more column, whose name is returned too: n_bytes, n_removed, n_spans, kept (binary)."""
-    name = fresh(df, "kept")
-    keyed = _keyed(df, doc_id, text)
-    docs = keyed.select(F.col("_k").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("body"))
+    name, key, own = (fresh(df, stem) for stem in ("kept", "key", "spans"))
+    keyed = _keyed(df, doc_id, text, key)
+    docs = keyed.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("body"))
     spans = repeated_spans(docs, length, **kept)
 
     kind = pa.struct([("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
@@ -396,8 +396,8 @@ def deduplicated(df: DataFrame, doc_id: str = "doc_id", text: str = "text", leng
 
         return by_slices(pa.StructArray.from_arrays([texts, found], ["text", "found"]), kind, run)
 
-    joined = keyed.join(spans.select(F.col("k").alias("_k"), F.col("spans").alias("_spans")), "_k", "left")
-    return joined.withColumn(name, apply(F.col(text), F.col("_spans"))).drop("_k", "_spans"), name
+    joined = keyed.join(spans.select(F.col("k").alias(key), F.col("spans").alias(own)), key, "left")
+    return joined.withColumn(name, apply(F.col(text), F.col(own))).select(*df.columns, name), name
 
 
 def digests(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **kept) -> DataFrame:

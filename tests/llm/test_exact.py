@@ -372,12 +372,20 @@ def test_copies_of_a_fingerprint():
 
 
 def test_one_of_each(spark, texts):
-    for rows in (texts, [(i, t) for i, t in {i: t for i, t in texts if i is not None}.items()]):
+    """One row of each class, with its least id; classes that share their least id, where ids repeat, keep one each."""
+    unique = [(i, t) for i, t in {i: t for i, t in texts if i is not None}.items()]
+    for rows in (texts, unique, [(1, "one text"), (1, "and another text"), (1, "one text"), (None, "a third"), (None, "a third")]):
         out = simhash.one_of_each(frame(spark, rows))
         assert out.columns == frame(spark, rows).columns
-        kept = out.select("doc_id").collect()
-        components = {c for _, _, c in brute_classes(rows)}
-        assert {r[0] for r in kept} == components and len(kept) == len(components)
+        kept = out.select("doc_id", "text").collect()
+        fps = [brute_fingerprint(t) for _, t in rows]
+        groups = []
+        for f in set(fps):
+            near = [g for g in groups if any((f ^ x).bit_count() <= 2 for x in g)]
+            groups = [g for g in groups if g not in near] + [set().union({f}, *near)]
+        want = Counter(min((i for (i, _), f in zip(rows, fps) if f in g and i is not None), default=None) for g in groups)
+        assert Counter(r.doc_id for r in kept) == want
+        assert len({next(k for k, g in enumerate(groups) if brute_fingerprint(r.text) in g) for r in kept}) == len(groups)
 
 
 def brute_removed(rows, length):
