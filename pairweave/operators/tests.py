@@ -9,19 +9,76 @@ from pyspark.sql.window import Window
 from ..functions import stats
 
 
-def adjusted(df: DataFrame, p: str, key: str, family: list[str] | None = None) -> DataFrame:
+#: Rows that one task orders, about, where a group of any size is put in order.
+RANGE_ROWS = 100_000
+
+
+def ranged(df: DataFrame, key: str, range_rows: int = RANGE_ROWS) -> tuple[DataFrame, int]:
+    """``df`` with ``_bucket``, the range of its (numeric) key in rising order, and the number of rows.
+
+    The ranges' ends are approximate quantiles: they decide how even the ranges are, not what is computed from them.
+    """
+    total = df.count()
+    buckets = max(1, -(-total // range_rows))
+    if buckets == 1:
+        return df.withColumn("_bucket", F.lit(0)), total
+    ends = sorted(set(df.approxQuantile(key, [i / buckets for i in range(1, buckets)], 0.2 / buckets)))
+    return df.withColumn("_bucket", F.size(F.filter(F.array(*map(F.lit, ends)), lambda e: e < F.col(key)))), total
+
+
+def across(by: list[str]) -> Window:
+    """A window over the ranges of a group, in order: a few rows for each ``RANGE_ROWS``."""
+    return Window.partitionBy(*(by or [F.lit(0)])).orderBy("_bucket")
+
+
+def adjusted(df: DataFrame, p: str, key: str, family: list[str] | None = None, range_rows: int = RANGE_ROWS) -> DataFrame:
     """``holm`` (running maximum of (m - rank) * p) and ``bh`` (running minimum from the largest), ties by ``key``.
 
-    A family is a group of tests, which is small; all families are adjusted at once.
+    All families are adjusted at once. Tests are put in order within ranges of p; the ranges' counts, largest and smallest
+    values carry over to the next ones, so that a family of any size is in no single task.
     """
-    part = Window.partitionBy(*(family or [F.lit(0)]))
-    up, down = part.orderBy(p, key), part.orderBy(F.desc(p), F.desc(key))
-    m, rank = F.count("*").over(part), F.row_number().over(up)
-    out = df.withColumns({"_m": m, "_rank": rank})
-    return out.withColumns({
-        "holm": F.max(F.least(F.lit(1.0), (F.col("_m") - F.col("_rank") + 1) * F.col(p))).over(up.rowsBetween(Window.unboundedPreceding, 0)),
-        "bh": F.min(F.least(F.lit(1.0), F.col(p) * F.col("_m") / F.col("_rank"))).over(down.rowsBetween(Window.unboundedPreceding, 0)),
-    }).drop("_m", "_rank")
+    by = family or []
+    spread, _ = ranged(df, p, range_rows)
+    sizes = spread.groupBy(*by, "_bucket").agg(F.count("*").alias("_rows"))
+    before = F.sum("_rows").over(across(by).rowsBetween(Window.unboundedPreceding, -1))
+    whole = F.sum("_rows").over(Window.partitionBy(*(by or [F.lit(0)])))
+    sizes = sizes.select(*by, "_bucket", F.coalesce(before, F.lit(0)).alias("_before"), whole.alias("_m"))
+    own = Window.partitionBy(*by, "_bucket")
+    up, down = own.orderBy(p, key), own.orderBy(F.desc(p), F.desc(key))
+    ranks = spread.withColumn("_rank", F.row_number().over(up)).join(sizes, [*by, "_bucket"])
+    ranks = ranks.withColumn("_rank", F.col("_rank") + F.col("_before"))
+    one, m, rank = F.lit(1.0), F.col("_m"), F.col("_rank")
+    each = ranks.withColumns({"_holm": F.least(one, (m - rank + 1) * F.col(p)), "_bh": F.least(one, F.col(p) * m / rank)})
+    ends = each.groupBy(*by, "_bucket").agg(F.max("_holm").alias("_most"), F.min("_bh").alias("_least"))
+    ends = ends.select(
+        *by, "_bucket", F.max("_most").over(across(by).rowsBetween(Window.unboundedPreceding, -1)).alias("_most"),
+        F.min("_least").over(across(by).rowsBetween(1, Window.unboundedFollowing)).alias("_least"),
+    )
+    so_far = (Window.unboundedPreceding, 0)
+    out = each.join(ends, [*by, "_bucket"])
+    out = out.withColumn("holm", F.greatest(F.max("_holm").over(up.rowsBetween(*so_far)), "_most"))
+    out = out.withColumn("bh", F.least(F.min("_bh").over(down.rowsBetween(*so_far)), "_least"))
+    return out.select(*df.columns, "holm", "bh")
+
+
+def nearest_ranks(df: DataFrame, value: str, by: list[str], ranks: dict[str, float], range_rows: int = RANGE_ROWS) -> DataFrame:
+    """A column for each (name, q): the value at place round(q * (n - 1)), halves to even, of each group's sorted values.
+
+    Equal values are counted first; counts are added up within ranges of the value and over the ranges before, and only
+    the wanted places leave a range. Null values are left out.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_rows"))
+    spread, _ = ranged(counts, value, range_rows)
+    sizes = spread.groupBy(*by, "_bucket").agg(F.sum("_rows").alias("_rows"))
+    before = F.sum("_rows").over(across(by).rowsBetween(Window.unboundedPreceding, -1))
+    whole = F.sum("_rows").over(Window.partitionBy(*(by or [F.lit(0)])))
+    sizes = sizes.select(*by, "_bucket", F.coalesce(before, F.lit(0)).alias("_before"), whole.alias("_n"))
+    upto = F.sum("_rows").over(Window.partitionBy(*by, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    placed_counts = spread.withColumn("_end", upto).join(sizes, [*by, "_bucket"])
+    end = F.col("_end") + F.col("_before")
+    wanted = {name: F.bround(F.lit(q) * (F.col("_n") - 1)) for name, q in ranks.items()}
+    hit = lambda at: (at < end) & (at >= end - F.col("_rows"))
+    return placed_counts.groupBy(*by).agg(*[F.max(F.when(hit(at), F.col(value))).alias(name) for name, at in wanted.items()])
 
 
 def sign_test(df: DataFrame, difference: Column, by: list[str] | None = None) -> DataFrame:
@@ -61,39 +118,38 @@ def leave_two_out(groups: DataFrame, group: str, counts: list[str]) -> DataFrame
     return totals.join(other, F.col(group) < F.col("_g")).select(F.col(group).alias("first_out"), F.col("_g").alias("second_out"), *[(F.col(f"_{c}") - F.col(c) - F.col(f"o_{c}")).alias(c) for c in counts])
 
 
-def hash_draws(groups: DataFrame, group: str, replicates: int, seed: str) -> DataFrame:
+def hash_draws(groups: DataFrame, group: str, replicates: int, seed: str, most: int = 10_000) -> DataFrame:
     """Draws with replacement of groups, one for each group and replicate, by sha256 of seed, replicate and draw: the same in any engine.
 
-    ``groups`` has one row a group (pre-aggregated counts), so a replicate moves as many rows as there are groups.
+    ``groups`` has one row a group (pre-aggregated counts) and at most ``most`` rows, else it is an error
+    (``cluster_draws`` takes any number), so that they may be broadcast.
     """
-    ordered = groups.withColumns({"_at": F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(group)) - 1, "_n": F.count("*").over(Window.partitionBy(F.lit(0)))})
+    if groups.limit(most + 1).count() > most:
+        raise ValueError(f"over {most} groups: use cluster_draws")
+    one = Window.partitionBy(F.lit(0))
+    ordered = groups.withColumns({"_at": F.row_number().over(one.orderBy(group)) - 1, "_n": F.count("*").over(one)})
     draws = ordered.select(F.col("_at").alias("draw"), F.col("_n"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
     digest = F.sha2(F.concat_ws("|", F.lit(seed), F.col("replicate").cast("string"), F.col("draw").cast("string")), 256)
     draws = draws.withColumn("_at", F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.col("_n")).cast("int")).drop("_n")
     return draws.join(F.broadcast(ordered.drop("_n")), "_at").drop("_at")
 
 
-def placed(df: DataFrame, key: str, by: list[str], bucket_rows: int = 100_000) -> tuple[DataFrame, int]:
+def placed(df: DataFrame, key: str, by: list[str], range_rows: int = RANGE_ROWS) -> tuple[DataFrame, int]:
     """``df`` with ``_at``, its place (from 0) by ``key`` in its group of ``by``, and ``_n``, the group's rows; and all rows' number.
 
-    Rows are ordered within ranges of the (numeric) key, to which the rows of the ranges before are added: no group is in
-    one task, however large. The ranges' ends are approximate quantiles; they decide how even the ranges are, not the places.
+    Rows are ordered within ranges of the key, to which the rows of the ranges before are added.
     """
-    total = df.count()
-    buckets = max(1, -(-total // bucket_rows))
-    ends = sorted(set(df.approxQuantile(key, [i / buckets for i in range(1, buckets)], 0.2 / buckets))) if buckets > 1 else []
-    bucket = F.size(F.filter(F.array(*map(F.lit, ends)), lambda e: e < F.col(key))) if ends else F.lit(0)
-    ranged = df.withColumn("_bucket", bucket)
-    sizes = ranged.groupBy(*by, "_bucket").agg(F.count("*").alias("_rows"))  # a few rows for each bucket_rows
-    group = Window.partitionBy(*(by or [F.lit(0)]))
-    upward = group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
-    sizes = sizes.select(*by, "_bucket", (F.sum("_rows").over(upward) - F.col("_rows")).alias("_before"), F.sum("_rows").over(group).alias("_n"))
+    spread, total = ranged(df, key, range_rows)
+    sizes = spread.groupBy(*by, "_bucket").agg(F.count("*").alias("_rows"))
+    before = F.sum("_rows").over(across(by).rowsBetween(Window.unboundedPreceding, -1))
+    whole = F.sum("_rows").over(Window.partitionBy(*(by or [F.lit(0)])))
+    sizes = sizes.select(*by, "_bucket", F.coalesce(before, F.lit(0)).alias("_before"), whole.alias("_n"))
     at = F.row_number().over(Window.partitionBy(*by, "_bucket").orderBy(key)) - 1
-    out = ranged.withColumn("_at", at).join(sizes, [*by, "_bucket"]).withColumn("_at", F.col("_at") + F.col("_before"))
+    out = spread.withColumn("_at", at).join(sizes, [*by, "_bucket"]).withColumn("_at", F.col("_at") + F.col("_before"))
     return out.drop("_bucket", "_before"), total
 
 
-def cluster_draws(clusters: DataFrame, key: str, replicates: int, seed: str, by: list[str], bucket_rows: int = 100_000, small: int = 200_000) -> DataFrame:
+def cluster_draws(clusters: DataFrame, key: str, replicates: int, seed: str, by: list[str], bucket_rows: int = RANGE_ROWS, small: int = 200_000) -> DataFrame:
     """Draws with replacement of as many clusters as each group of ``by`` has, for each replicate, by sha256 as in ``hash_draws``.
 
     ``clusters`` has one row a cluster and may be large. Draws are joined to them by group and place: no group is in one

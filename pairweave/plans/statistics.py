@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import stats
 from ..operators import pairs, tests
@@ -200,11 +199,7 @@ def x16_x17_cluster_bootstrap(spark, d):
 
 @query("""SELECT o_orderstatus, l[CAST(round_even(0.1 * (len(l) - 1), 0) AS BIGINT) + 1] AS p10, l[CAST(round_even(0.5 * (len(l) - 1), 0) AS BIGINT) + 1] AS p50 FROM (SELECT o_orderstatus, list_sort(list(o_totalprice)) AS l FROM orders GROUP BY 1)""")
 def x18_nearest_rank(spark, d):
-    # Ranks by window, not one list of a whole group: only the wanted ranks leave it.
-    part = Window.partitionBy("o_orderstatus")
-    ranked = table(spark, d, "orders").select("o_orderstatus", "o_totalprice", (F.row_number().over(part.orderBy("o_totalprice")) - 1).alias("at"), F.count("*").over(part).alias("n"))
-    at = lambda q: F.max(F.when(F.col("at") == F.bround(F.lit(q) * (F.col("n") - 1)), F.col("o_totalprice")))
-    return ranked.groupBy("o_orderstatus").agg(at(0.1).alias("p10"), at(0.5).alias("p50"))
+    return tests.nearest_ranks(table(spark, d, "orders"), "o_totalprice", ["o_orderstatus"], {"p10": 0.1, "p50": 0.5})
 
 
 @query(f"WITH {FRAMES} SELECT frame, round((b - c) / nullif(n, 0), 6) AS risk_difference, round(b / nullif(b + c, 0), 6) AS share FROM f")
