@@ -6,13 +6,16 @@ holds the anchors of least hash (a bottom sketch) with their byte positions; two
 anchors that lie on one common shift, which is what keeps chance anchors of unrelated texts out.
 
 Texts without any syncmer (under ``K`` bytes, mostly) have one anchor, the hash of the whole text; empty and null texts
-have an empty fingerprint, which is 1.0 like another empty one and 0.0 like any other. Repeated ids are taken in the
-order of their texts; rows with a null id follow the smallest id. A single row is its own next row.
+have an empty fingerprint, which is 1.0 like another empty one and 0.0 like any other. Ids are whole numbers or texts (by
+code points). Ids are meant to be unique: repeated ids are taken in the order of their texts and rows with a null id
+follow the smallest id, each such group as one stream through one task. A single row is its own next row. Texts of any
+length are fingerprinted whole. Other columns are not carried, so none can clash.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -21,6 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import mix64, sliding_min
 
@@ -89,18 +93,24 @@ def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", part
     So each text crosses the network once and no task sees more than its range, as a stream.
     """
     spark = df.sparkSession
-    source = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    whole = isinstance(df.schema[doc_id].dataType, T.IntegralType)
+    source = df.select(F.col(doc_id).cast("long" if whole else "string").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     parts = parts or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ends = source.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], 100_000)).first()[0] or []
-    splits = np.unique(np.array(ends, dtype=np.int64))
-
-    def place(ids: np.ndarray) -> np.ndarray:
-        """0 for the range of the largest ids."""
-        return len(splits) - np.searchsorted(splits, ids, side="left")
+    if whole:
+        ends = source.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], 100_000)).first()[0] or []
+    else:  # quantiles of the ids of least hash, some for each range
+        some = source.select("doc_id").where("doc_id IS NOT NULL").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(32 * parts)
+        some = sorted(r[0] for r in some.collect())
+        ends = [some[len(some) * i // parts] for i in range(1, parts)] if some else []
+    splits = sorted(set(ends))
+
+    def place(key) -> int:
+        """0 for the range of the largest ids, the last for null."""
+        return len(splits) + 1 if key is None else len(splits) - bisect_left(splits, key)
 
     @F.arrow_udf("int")
     def range_of(ids: pa.Array) -> pa.Array:
-        return pa.array(np.where(np.asarray(ids.is_null()), len(splits) + 1, place(ids.fill_null(0).to_numpy(zero_copy_only=False))).astype(np.int32))
+        return pa.array([place(x) for x in ids.to_pylist()], pa.int32())
 
     tops = sorted((r["place"], r["top"]) for r in source.select(range_of("doc_id").alias("place"), "doc_id").groupBy("place").agg(F.max("doc_id").alias("top")).collect())
     before = {top: tops[i - 1][0] for i, (_, top) in enumerate(tops)}
@@ -108,13 +118,14 @@ def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", part
     @F.arrow_udf("array<int>")
     def places(ids: pa.Array) -> pa.Array:
         """Twice the row's own range; one more than twice a range that it follows."""
-        own = np.where(np.asarray(ids.is_null()), len(splits) + 1, place(ids.fill_null(0).to_numpy(zero_copy_only=False)))
-        return pa.array([[2 * p, 2 * before[i] + 1] if i in before else [2 * p] for p, i in zip(own.tolist(), ids.to_pylist(), strict=True)], pa.list_(pa.int32()))
+        own = [(x, 2 * place(x)) for x in ids.to_pylist()]
+        return pa.array([[at, 2 * before[x] + 1] if x in before else [at] for x, at in own], pa.list_(pa.int32()))
 
     dealt = source.select(F.explode(places("doc_id")).alias("at"), "doc_id", "text").withColumn("place", F.expr("at DIV 2"))
     # By range: a place is a partition or nearly so, where hashing would deal several to one and none to others.
     ordered = dealt.repartitionByRange(parts, "place").sortWithinPartitions("place", F.expr("at % 2"), F.desc_nulls_last("doc_id"), "text")
-    schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
+    names = [("doc_id", pa.int64() if whole else pa.string()), ("n_chars", pa.int64()), *[(n, pa.string()) for n in ("edited_sha256", "fingerprint", "edited_fingerprint")]]
+    schema = pa.schema([*names, ("near_edited", pa.float64()), ("near_next", pa.float64())])
 
     def row(key, value: str, own: list, following: str, after: list) -> tuple:
         changed = edited_text(value, following).encode()
@@ -136,4 +147,6 @@ def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", part
                 held = at, key, value, own
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), schema.types, strict=True)] if rows else [pa.array([], t) for t in schema.types], schema=schema)
 
-    return ordered.select("at", "doc_id", "text").mapInArrow(run, "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    kind = "bigint" if whole else "string"
+    out = f"doc_id {kind}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    return ordered.select("at", "doc_id", "text").mapInArrow(run, out)

@@ -201,6 +201,13 @@ def test_syncmers(spark, texts):
     assert syncmers.fingerprints(frame(spark, [])).count() == 0
 
 
+def test_syncmers_of_text_ids(spark, texts):
+    rows = [(f"é{i}" if i % 5 else f"{i}", t or "") for i, t in texts if i not in (None, 1, 4)]
+    got = {r.doc_id: r.edited_sha256 for r in syncmers.fingerprints(spark.createDataFrame(rows, "doc_id string, text string"), parts=4).collect()}
+    order = sorted(rows, reverse=True)
+    assert got == {i: sha(t[: len(t) - len(t) // 3] + after[: len(t) // 3]) for (i, t), (_, after) in zip(order, order[1:] + order[:1])}
+
+
 def test_syncmers_are_context_free():
     body = prose(3, 60).encode()
     h, at = syncmers.anchors(body)
