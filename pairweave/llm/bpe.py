@@ -37,7 +37,9 @@ WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A word of Latin letters with only punctuation between it and the next white space, and that punctuation, are pieces by
 #: themselves; anything else is taken up to the next such place and left to the pattern.
 LATIN, MARKS = "A-Za-zÀ-ÖØ-öø-ɏ", ".,;:!?"
-CHUNK = re.compile(f" ?[{LATIN}]+(?=[{MARKS}]*(?:[{WHITE}]|\\Z))|[{MARKS}]+(?=[{WHITE}]|\\Z)|[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
+CHUNK = re.compile(
+    f" ?[{LATIN}]+(?=[{MARKS}]*(?:[{WHITE}]|\\Z))|[{MARKS}]+(?=[{WHITE}]|\\Z)|[{WHITE}]*[^{WHITE}]+|[{WHITE}]+"
+)
 PIECE = re.compile(f" ?[{LATIN}]+|[{MARKS}]+").fullmatch
 
 
@@ -68,7 +70,10 @@ class BytePairs:
                 self.joined[pair] = i
             self.lengths[i] = len(token)
         made = {self.bytes_of[i] for i in self.lengths}
-        self.shorter = {ranks[t]: next((ranks[t[:n]] for n in range(len(t) - 1, 0, -1) if t[:n] in made), None) for t in made}
+        self.shorter = {
+            ranks[t]: next((ranks[t[:n]] for n in range(len(t) - 1, 0, -1) if t[:n] in made), None)
+            for t in made
+        }
         self.automaton = ahocorasick.Automaton()
         self.single = [ranks[bytes([b])] for b in range(256)]
         for t in made:
@@ -185,7 +190,10 @@ def decoder(ranks: Broadcast, pattern: str):
     @F.arrow_udf("binary")
     def decode(ids: pa.Array) -> pa.Array:
         decode_one = made(ranks.value, pattern).decode
-        return by_slices(ids, pa.binary(), lambda some: pa.array([None if x is None else decode_one(x) for x in some.to_pylist()], pa.binary()))
+        return by_slices(
+            ids, pa.binary(),
+            lambda some: pa.array([None if x is None else decode_one(x) for x in some.to_pylist()], pa.binary()),
+        )
 
     return decode
 
@@ -200,7 +208,9 @@ def round_trip(ranks: Broadcast, pattern: str):
 
         def run(some: pa.Array) -> pa.Array:
             ids = [own.encode(x) for x in text_list(some)]
-            return pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(map(own.decode, ids), pa.binary())], fields=list(kind))
+            return pa.StructArray.from_arrays(
+                [pa.array(ids, pa.binary()), pa.array(map(own.decode, ids), pa.binary())], fields=list(kind),
+            )
 
         return by_slices(texts, kind, run)
 

@@ -39,7 +39,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
 HOT_KEYS = 4096
 
 
-def looked_up(rows: DataFrame, table: DataFrame, keys: list[str], total: int | None = None, hot_keys: int = HOT_KEYS) -> DataFrame:
+def looked_up(
+    rows: DataFrame, table: DataFrame, keys: list[str], total: int | None = None, hot_keys: int = HOT_KEYS,
+) -> DataFrame:
     """``rows`` with the columns of ``table``, an inner join in which no key gathers its rows in one task.
 
     ``table`` has one row a key, with ``n``, how many of ``rows`` have it (dropped). Keys with over 1 of ``hot_keys`` of

@@ -31,7 +31,10 @@ WINDOW = 10
 BLOCK_BYTES = 4 << 20
 SHARD_BYTES = 4 << 20
 #: A-Z to a-z; digits, a-z and bytes of other characters stay; all else separates.
-WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+WORD_BYTES = bytes(
+    b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32
+    for b in range(256)
+)
 
 
 def words_of(data: bytes) -> list[bytes]:
@@ -52,14 +55,20 @@ class TestSuffixes:
         self.window = window
         self.names = [name for name, _ in items]
         self.number: dict[bytes, int] = {}
-        each = [np.fromiter((self.number.setdefault(w, len(self.number) + 1) for w in words_of(data)), dtype=np.uint32) for _, data in items]
+        each = [
+            np.fromiter((self.number.setdefault(w, len(self.number) + 1) for w in words_of(data)), dtype=np.uint32)
+            for _, data in items
+        ]
         sizes = np.array([len(x) for x in each], dtype=np.int64)
         #: All items' words, each item ended by a 0.
         self.starts = np.concatenate(([0], np.cumsum(sizes + 1))).astype(np.int64)
         self.words = np.zeros(int(self.starts[-1]) + window, dtype=np.uint32)
         for at, x in zip(self.starts.tolist(), each, strict=False):
             self.words[at : at + len(x)] = x
-        places = [np.arange(max(1, n - window + 1) if n else 0) + at for n, at in zip(sizes.tolist(), self.starts.tolist(), strict=False)]
+        places = [
+            np.arange(max(1, n - window + 1) if n else 0) + at
+            for n, at in zip(sizes.tolist(), self.starts.tolist(), strict=False)
+        ]
         places = np.concatenate(places).astype(np.int64) if places else np.zeros(0, dtype=np.int64)
         ends = self.starts[np.searchsorted(self.starts, places, "right")] - 1
         lengths = np.minimum(window, ends - places)
@@ -145,7 +154,12 @@ def search(texts: list[bytes], tests: TestSuffixes) -> list[tuple]:
             length = match_lengths(ids, run, where, tests.words[place : place + left])
         else:
             length = np.full(len(where), left)
-        hits.append((where, np.full(len(where), tests.lengths[w]), np.full(len(where), item), np.full(len(where), place - tests.starts[item]), length))
+        hits.append(
+            (
+                where, np.full(len(where), tests.lengths[w]), np.full(len(where), item),
+                np.full(len(where), place - tests.starts[item]), length,
+            )
+        )
     if not hits:
         return out
     where, window, item, place, length = (np.concatenate(x) for x in zip(*hits, strict=True))
@@ -157,10 +171,15 @@ def search(texts: list[bytes], tests: TestSuffixes) -> list[tuple]:
         at = where[rows] - starts[t]
         end = np.maximum.accumulate(at + window[rows])
         apart = np.flatnonzero(at[1:] > end[:-1])
-        spans = list(zip(at[np.append(0, apart + 1)].tolist(), end[np.append(apart, len(rows) - 1)].tolist(), strict=True))
+        spans = list(
+            zip(at[np.append(0, apart + 1)].tolist(), end[np.append(apart, len(rows) - 1)].tolist(), strict=True)
+        )
         names = sorted({tests.names[i] for i in np.unique(item[rows]).tolist()} - {None})
         best = rows[length[rows] == length[rows].max()]
-        first = min((int(where[i] - starts[t]), tests.names[item[i]] is None, tests.names[item[i]] or "", int(place[i]), int(i)) for i in best.tolist())
+        first = min(
+            (int(where[i] - starts[t]), tests.names[item[i]] is None, tests.names[item[i]] or "", int(place[i]), int(i))
+            for i in best.tolist()
+        )
         out[t] = out[t][0], spans, names, int(length[first[-1]]), first[0], tests.names[item[first[-1]]], first[3]
     return out
 
@@ -194,14 +213,20 @@ SPANS = "array<struct<begin:bigint,end:bigint>>"
 LONGEST = "longest:bigint,longest_at:bigint,longest_item:string,longest_place:bigint"
 RESULT = f"struct<n_words:bigint,spans:{SPANS},items:array<string>,{LONGEST}>"
 _KIND = pa.struct([
-    ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string())),
+    ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))), (
+        "items", pa.list_(pa.string()),
+    ),
     ("longest", pa.int64()), ("longest_at", pa.int64()), ("longest_item", pa.string()), ("longest_place", pa.int64()),
 ])
 
 
-def blocks_of(benchmark: DataFrame, item_id: str, text: str, block_bytes: int) -> Iterator[list[tuple[str | None, bytes]]]:
+def blocks_of(benchmark: DataFrame, item_id: str, text: str, block_bytes: int) -> Iterator[
+    list[tuple[str | None, bytes]]
+]:
     """The items in blocks of a bounded size."""
-    items = benchmark.select(F.col(item_id).cast("string").alias("item_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).distinct()
+    items = benchmark.select(
+        F.col(item_id).cast("string").alias("item_id"), F.coalesce(F.col(text), F.lit("")).alias("text"),
+    ).distinct()
     total = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     blocks = max(1, -(-int(total) // block_bytes))
     block = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
@@ -219,12 +244,17 @@ def _searcher(shared):
             found += search(data[a:b], shared.value)
         columns = list(zip(*found, strict=True)) if found else [[]] * len(_KIND)
         columns[1] = [[{"begin": a, "end": b} for a, b in x] for x in columns[1]]
-        return pa.StructArray.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, _KIND, strict=True)], fields=list(_KIND))
+        return pa.StructArray.from_arrays(
+            [pa.array(list(c), f.type) for c, f in zip(columns, _KIND, strict=True)], fields=list(_KIND),
+        )
 
     return run
 
 
-def matches(df: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, str]:
+def matches(
+    df: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
+    window: int = WINDOW, block_bytes: int = BLOCK_BYTES,
+) -> tuple[DataFrame, str]:
     """``df`` with one more column, whose name is returned too: a struct of n_words, spans of hit words, items, and the longest
     match: longest (words; 0: none), longest_at (its first word in the text, from 0), longest_item, longest_place (in the item)."""
     context, name = df.sparkSession.sparkContext, fresh(df, "matches")
@@ -237,24 +267,60 @@ def matches(df: DataFrame, benchmark: DataFrame, text: str = "text", item_id: st
     texts, parts = df.select(F.sha2(body, 256).alias(key), body.alias("text")), []
     for block in _chained(first, second, blocks):
         shared = context.broadcast(TestSuffixes(block, window))
-        hit = texts.select(key, _searcher(shared)("text").alias("m")).where(F.size("m.spans") > 0).groupBy(key).agg(F.any_value("m").alias("m"), F.count("*").alias("n"))
+        hit = texts.select(key, _searcher(shared)("text").alias("m")).where(F.size("m.spans") > 0).groupBy(key).agg(
+            F.any_value("m").alias("m"), F.count("*").alias("n"),
+        )
         parts.append(written(hit, "block"))
         shared.unpersist()
     union = parts[0]
     for part in parts[1:]:
         union = union.unionByName(part)
-    order = F.array_sort(F.flatten(F.collect_list("m.spans")))  # a text's own spans, at most a span for each window of words
+    order = F.array_sort(
+        F.flatten(F.collect_list("m.spans"))
+    )  # a text's own spans, at most a span for each window of words
     together = union.groupBy(key).agg(
-        F.max("n").alias("n"), F.max("m.n_words").alias("n_words"), order.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("m.items")))).alias("items"),
-        F.min_by("m", F.struct(-F.col("m.longest"), "m.longest_at", F.col("m.longest_item").isNull(), "m.longest_item", "m.longest_place")).alias("top"),
+        F.max("n").alias("n"), F.max("m.n_words").alias("n_words"), order.alias("spans"), F.array_sort(
+            F.array_distinct(F.flatten(F.collect_list("m.items")))
+        ).alias("items"),
+        F.min_by(
+            "m",
+            F.struct(
+                -F.col("m.longest"), "m.longest_at", F.col("m.longest_item").isNull(), "m.longest_item",
+                "m.longest_place",
+            ),
+        ).alias("top"),
     )
     start = F.array().cast(SPANS)
     last = lambda out: F.element_at(out, -1)
-    joined = lambda out, s: F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(F.struct(last(out)["begin"].alias("begin"), F.greatest(last(out)["end"], s["end"]).alias("end"))))
-    merged = F.aggregate("spans", start, lambda out, s: F.when((F.size(out) > 0) & (s["begin"] <= last(out)["end"]), joined(out, s)).otherwise(F.concat(out, F.array(s))))
-    found = written(together.select(key, "n", F.struct("n_words", merged.alias("spans"), "items", *[F.col(f"top.{c}") for c in ("longest", "longest_at", "longest_item", "longest_place")]).alias(name)), "matches")
+    joined = lambda out, s: F.concat(
+        F.slice(out, F.lit(1), F.size(out) - 1),
+        F.array(F.struct(last(out)["begin"].alias("begin"), F.greatest(last(out)["end"], s["end"]).alias("end"))),
+    )
+    merged = F.aggregate(
+        "spans", start,
+        lambda out, s: F.when(
+            (F.size(out) > 0) & (s["begin"] <= last(out)["end"]), joined(out, s),
+        ).otherwise(F.concat(out, F.array(s))),
+    )
+    found = written(
+        together.select(
+            key, "n",
+            F.struct(
+                "n_words", merged.alias("spans"), "items",
+                *[F.col(f"top.{c}") for c in ("longest", "longest_at", "longest_item", "longest_place")],
+            ).alias(name),
+        ),
+        "matches",
+    )
     keyed = df.withColumn(key, F.sha2(body, 256))
-    none = F.struct(_words(body).alias("n_words"), start.alias("spans"), F.array().cast("array<string>").alias("items"), F.lit(0).cast("bigint").alias("longest"), *[F.lit(None).cast(t).alias(c) for c, t in (("longest_at", "bigint"), ("longest_item", "string"), ("longest_place", "bigint"))])
+    none = F.struct(
+        _words(body).alias("n_words"), start.alias("spans"), F.array().cast("array<string>").alias("items"),
+        F.lit(0).cast("bigint").alias("longest"),
+        *[
+            F.lit(None).cast(t).alias(c)
+            for c, t in (("longest_at", "bigint"), ("longest_item", "string"), ("longest_place", "bigint"))
+        ],
+    )
     without = keyed.join(found.select(key), key, "left_anti").withColumn(name, none)
     return looked_up(keyed, found, [key]).unionByName(without).select(*df.columns, name), name
 
@@ -277,8 +343,13 @@ def digests(df: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
     n_hit = F.expr(f"aggregate({m}.spans, 0L, (n, s) -> n + s.end - s.begin)")
     items = F.sha2(F.array_join(F.array_sort(f"{m}.items"), ",").cast("binary"), 256)
     return found.select(
-        "doc_id", F.col(f"{m}.n_words").alias("n_words"), n_hit.alias("n_hit"), F.size(f"{m}.items").cast("long").alias("n_items"), items.alias("items_sha256"),
-        (n_hit > 0).alias("contaminated"), *[F.col(f"{m}.{c}").alias(c) for c in ("longest", "longest_at", "longest_item", "longest_place")],
+        "doc_id", F.col(
+            f"{m}.n_words"
+        ).alias("n_words"), n_hit.alias("n_hit"), F.size(f"{m}.items").cast("long").alias("n_items"), items.alias("items_sha256"),
+        (n_hit > 0).alias("contaminated"), *[
+            F.col(f"{m}.{c}").alias(c)
+            for c in ("longest", "longest_at", "longest_item", "longest_place")
+        ],
     )
 
 

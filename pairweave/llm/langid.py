@@ -26,7 +26,9 @@ DIMENSIONS = 4096
 AMBIGUOUS = 0.2
 UNDETERMINED = "und"
 #: A-Z to a-z; letters and bytes of other characters stay; all else is a space.
-LETTER_BYTES = np.array([b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], dtype=np.uint64)
+LETTER_BYTES = np.array(
+    [b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], dtype=np.uint64,
+)
 
 
 def has_letter(text: str) -> bool:
@@ -53,7 +55,10 @@ def vector(count: np.ndarray) -> np.ndarray:
 def codewords(n: int) -> np.ndarray:
     """``n`` codewords: all splits of up to 5 classes, else random ones of the widest least distance among 300 draws."""
     if n <= 5:
-        return np.array([[1 if i == 0 else 1 - 2 * (bits >> (i - 1) & 1) for bits in range(1, 1 << (n - 1))] for i in range(n)], dtype=np.int8).reshape(n, -1)
+        return np.array(
+            [[1 if i == 0 else 1 - 2 * (bits >> (i - 1) & 1) for bits in range(1, 1 << (n - 1))] for i in range(n)],
+            dtype=np.int8,
+        ).reshape(n, -1)
     rng, width = np.random.default_rng(7), int(10 * np.ceil(np.log2(n)))
 
     def distance(code: np.ndarray) -> int:
@@ -64,7 +69,9 @@ def codewords(n: int) -> np.ndarray:
 
 
 class CodedClassifier:
-    def __init__(self, languages: list[str], code: np.ndarray, weights: np.ndarray, bias: np.ndarray, trust: np.ndarray):
+    def __init__(
+        self, languages: list[str], code: np.ndarray, weights: np.ndarray, bias: np.ndarray, trust: np.ndarray,
+    ):
         self.languages, self.code, self.weights, self.bias, self.trust = languages, code, weights, bias, trust
 
     def predict(self, x: np.ndarray) -> list[tuple[str, float, bool]]:
@@ -72,13 +79,18 @@ class CodedClassifier:
         if len(self.languages) == 1:
             return [(self.languages[0], 1.0, False)] * len(x)
         margins = np.clip(x @ self.weights + self.bias, -4, 4)
-        losses = np.einsum("rb,cb->rc", np.exp(-margins), self.trust * (self.code > 0)) + np.einsum("rb,cb->rc", np.exp(margins), self.trust * (self.code < 0))
+        losses = np.einsum("rb,cb->rc", np.exp(-margins), self.trust * (self.code > 0)) + np.einsum(
+            "rb,cb->rc", np.exp(margins), self.trust * (self.code < 0),
+        )
         losses = np.log(losses)
         best = losses.argmin(1)
         odds = np.exp(-2 * (losses - losses.min(1, keepdims=True)))
         score = odds.max(1) / odds.sum(1)
         two = np.sort(losses, 1)[:, :2]
-        return [(self.languages[b], float(s), bool(d < AMBIGUOUS)) for b, s, d in zip(best, score, two[:, 1] - two[:, 0], strict=True)]
+        return [
+            (self.languages[b], float(s), bool(d < AMBIGUOUS))
+            for b, s, d in zip(best, score, two[:, 1] - two[:, 0], strict=True)
+        ]
 
 
 def train(x: np.ndarray, languages: list[str]) -> CodedClassifier:
@@ -90,7 +102,9 @@ def train(x: np.ndarray, languages: list[str]) -> CodedClassifier:
         return CodedClassifier(names, code, np.zeros((x.shape[1], 0)), np.zeros(0), np.ones((1, 0)))
     target = code[y].astype(np.float32)
     weights, bias = np.zeros((x.shape[1], code.shape[1]), dtype=np.float32), np.zeros(code.shape[1], dtype=np.float32)
-    moment, square = np.zeros((x.shape[1] + 1, code.shape[1]), np.float32), np.zeros((x.shape[1] + 1, code.shape[1]), np.float32)
+    moment, square = np.zeros((x.shape[1] + 1, code.shape[1]), np.float32), np.zeros(
+        (x.shape[1] + 1, code.shape[1]), np.float32,
+    )
     for step in range(1, 121):
         pull = -target / (1 + np.exp(np.clip(target * (x @ weights + bias), -30, 30))) / len(x)
         slope = np.vstack([x.T @ pull + 1e-5 * weights, pull.sum(0)])
@@ -105,25 +119,44 @@ def train(x: np.ndarray, languages: list[str]) -> CodedClassifier:
 def count_bytes(text: str) -> Column:
     @F.arrow_udf("binary")
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array([counts(x or b"").astype("<u4").tobytes() for x in texts.cast(pa.large_binary()).to_pylist()], pa.binary())
+        return pa.array(
+            [counts(x or b"").astype("<u4").tobytes() for x in texts.cast(pa.large_binary()).to_pylist()], pa.binary(),
+        )
 
     return run(text)
 
 
-def fit(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang", sample: int = SAMPLE, languages: int = LANGUAGES) -> CodedClassifier | None:
+def fit(
+    docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang", sample: int = SAMPLE,
+    languages: int = LANGUAGES,
+) -> CodedClassifier | None:
     """Train on the rows where ``learn`` holds and text and language are given; None if there are none."""
-    rows = docs.where(learn & F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()}
+    rows = docs.where(learn & F.col(text).isNotNull() & F.col(lang).isNotNull()).select(
+        F.col(text).alias("text"), F.col(lang).alias("lang"),
+    )
+    sizes = {
+        r["lang"]: r["n"]
+        for r in rows.groupBy("lang").agg(
+            F.count("*").alias("n")
+        ).orderBy(F.desc("n"), "lang").limit(languages).collect()
+    }
     if not sizes:
         return None
     each = sample / len(sizes)
     chance = F.xxhash64("text", F.lit(7)).bitwiseAND(F.lit((1 << 40) - 1)) / float(1 << 40)
     share = F.create_map(*[F.lit(v) for k, n in sorted(sizes.items()) for v in (k, min(1.0, each / n))])[F.col("lang")]
     # Copies share their hash, so the limit is what bounds the sample.
-    picked = rows.where(chance < share).orderBy(chance).limit(2 * sample).select("lang", count_bytes("text").alias("counts")).toArrow()
+    picked = rows.where(chance < share).orderBy(chance).limit(2 * sample).select(
+        "lang", count_bytes("text").alias("counts"),
+    ).toArrow()
     picked = sorted(zip(picked.column(0).to_pylist(), picked.column(1).to_pylist(), strict=True))
     if not picked:
-        picked = sorted((r["lang"], bytes(r["counts"])) for r in rows.where(F.col("lang").isin(list(sizes))).limit(sample).select("lang", count_bytes("text").alias("counts")).collect())
+        picked = sorted(
+            (r["lang"], bytes(r["counts"]))
+            for r in rows.where(F.col("lang").isin(list(sizes))).limit(sample).select(
+                "lang", count_bytes("text").alias("counts"),
+            ).collect()
+        )
     return train(np.array([vector(np.frombuffer(c, dtype="<u4")) for _, c in picked]), [v for v, _ in picked])
 
 

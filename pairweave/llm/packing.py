@@ -89,12 +89,22 @@ def _packed(segments: list[tuple], capacity: int, pad: int, first: int, schema:
         ids[: ends[-1]] = np.concatenate([p[2] for p in parts])
         positions = np.zeros(capacity, dtype="<i4")
         positions[: ends[-1]] = np.concatenate([np.arange(len(p[2]), dtype="<i4") for p in parts])
-        for name, value in zip(schema.names, (first + n, int(ends[-1]), [p[0] for p in parts], [p[1] for p in parts], ends.tolist(), ids.tobytes(), positions.tobytes()), strict=True):
+        for name, value in zip(
+            schema.names,
+            (
+                first + n, int(ends[-1]), [p[0] for p in parts], [p[1] for p in parts], ends.tolist(), ids.tobytes(),
+                positions.tobytes(),
+            ),
+            strict=True,
+        ):
             rows[name].append(value)
     return pa.RecordBatch.from_pydict(rows, schema=schema)
 
 
-def pack(df: DataFrame, capacity: int = 2048, pad: int = 0, doc_id: str = "doc_id", ids: str = "ids", buffer_tokens: int = BUFFER_TOKENS) -> DataFrame:
+def pack(
+    df: DataFrame, capacity: int = 2048, pad: int = 0, doc_id: str = "doc_id", ids: str = "ids",
+    buffer_tokens: int = BUFFER_TOKENS,
+) -> DataFrame:
     """Packs of the token ids (binary, little-endian unsigned 32-bit; null: none) of each row.
 
     Returns pack_id long, n_tokens int, doc_ids array, starts array<long> (where a segment begins in its document),
@@ -108,7 +118,9 @@ def pack(df: DataFrame, capacity: int = 2048, pad: int = 0, doc_id: str = "doc_i
             for key, value in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
                 yield key, np.frombuffer(value or b"", dtype="<u4")
 
-    return _pack(df.select(F.col(doc_id).alias("doc_id"), F.col(ids).alias("ids")), rows_of, capacity, pad, buffer_tokens)
+    return _pack(
+        df.select(F.col(doc_id).alias("doc_id"), F.col(ids).alias("ids")), rows_of, capacity, pad, buffer_tokens,
+    )
 
 
 def _pack(source: DataFrame, rows_of, capacity: int, pad: int, buffer_tokens: int) -> DataFrame:
@@ -125,7 +137,9 @@ def _pack(source: DataFrame, rows_of, capacity: int, pad: int, buffer_tokens: in
             if schema is None:
                 numbers, key_kind = pa.list_(pa.int32()), batch.schema.field(0).type
                 schema = pa.schema([
-                    ("pack_id", pa.int64()), ("n_tokens", pa.int32()), ("doc_ids", pa.list_(key_kind)), ("starts", pa.list_(pa.int64())),
+                    ("pack_id", pa.int64()), ("n_tokens", pa.int32()), ("doc_ids", pa.list_(key_kind)), (
+                        "starts", pa.list_(pa.int64()),
+                    ),
                     ("cu_seqlens", numbers), ("input_ids", pa.binary()), ("position_ids", pa.binary()),
                 ])
             for key, tokens in rows_of(batch):
@@ -151,7 +165,10 @@ def write_packs(packs: DataFrame, path: str) -> None:
     packs.write.mode("errorifexists").parquet(path)
 
 
-def pack_texts(df: DataFrame, ranks, pattern: str, capacity: int = 2048, pad: int = 0, doc_id: str = "doc_id", text: str = "text", buffer_tokens: int = BUFFER_TOKENS) -> DataFrame:
+def pack_texts(
+    df: DataFrame, ranks, pattern: str, capacity: int = 2048, pad: int = 0, doc_id: str = "doc_id", text: str = "text",
+    buffer_tokens: int = BUFFER_TOKENS,
+) -> DataFrame:
     """``pack`` of the ids that the public library gives for each text, encoded in the task that packs them.
 
     ``ranks``: a broadcast rank file. Ids never leave the Python worker but as packs.
@@ -164,7 +181,10 @@ def pack_texts(df: DataFrame, ranks, pattern: str, capacity: int = 2048, pad: in
             for key, value in zip(some.column(0).to_pylist(), text_list(some.column(1)), strict=True):
                 yield key, np.array(encode(value), dtype="<u4")
 
-    return _pack(df.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")), rows_of, capacity, pad, buffer_tokens)
+    return _pack(
+        df.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")), rows_of, capacity, pad,
+        buffer_tokens,
+    )
 
 
 _ENCODERS: dict[tuple[str, str], object] = {}
@@ -176,7 +196,9 @@ def _library(data: bytes, pattern: str):
     if key not in _ENCODERS:
         import tiktoken
 
-        ordinary = tiktoken.Encoding(key[0], pat_str=pattern, mergeable_ranks=parse_ranks(data), special_tokens={}).encode_ordinary
+        ordinary = tiktoken.Encoding(
+            key[0], pat_str=pattern, mergeable_ranks=parse_ranks(data), special_tokens={},
+        ).encode_ordinary
 
         def encode(text: str) -> list[int] | np.ndarray:
             # The library's merging takes the square of a word's length.

@@ -43,7 +43,9 @@ def fingerprint(data: bytes, shingle: int = SHINGLE) -> int:
     starts = np.concatenate(([0], spaces + 1))[: max(1, len(words) - shingle + 1)]
     ends = np.concatenate((spaces, [len(joined)]))[min(shingle, len(words)) - 1 :]
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], dtype="<u8")
+    hashes = np.array(
+        [digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], dtype="<u8",
+    )
     set_bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(2 * set_bits > len(hashes), bitorder="little").view("<u8")[0])
 
@@ -87,7 +89,9 @@ class VantageTree:
         self.root = self._grow(sample, total / max(1, len(sample)), shard, 0)
 
     def _grow(self, points: np.ndarray, weight: float, shard: int, depth: int) -> int:
-        found = split_of(points, self.radius) if len(points) * weight > shard and len(points) >= 8 and depth < 40 else None
+        found = split_of(
+            points, self.radius,
+        ) if len(points) * weight > shard and len(points) >= 8 and depth < 40 else None
         if found is None:
             leaf, parts = self.leaves, max(1, round(len(points) * weight / shard))
             self.leaves += parts
@@ -97,7 +101,10 @@ class VantageTree:
         inner = distance(points, vantage) <= k
         self.nodes.append(None)
         at = len(self.nodes) - 1
-        self.nodes[at] = (vantage, k, self._grow(points[inner], weight, shard, depth + 1), self._grow(points[~inner], weight, shard, depth + 1))
+        self.nodes[at] = (
+            vantage, k, self._grow(points[inner], weight, shard, depth + 1),
+            self._grow(points[~inner], weight, shard, depth + 1),
+        )
         return at
 
     def deal(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -152,7 +159,9 @@ def join_near(points: np.ndarray, home: np.ndarray, radius: int, block: int = BL
         found = split_of(points[own[:: max(1, len(own) // 2048)]], radius) if len(own) > block else None
         if found:
             vantage, k = found
-            d_own, d_sent = distance(points[own], vantage).astype(np.int64), distance(points[sent], vantage).astype(np.int64)
+            d_own, d_sent = distance(points[own], vantage).astype(np.int64), distance(
+                points[sent], vantage,
+            ).astype(np.int64)
             todo.append((own[d_own <= k], sent[d_sent <= k + radius]))
             todo.append((own[d_own > k], sent[d_sent > k - radius]))
             continue
@@ -172,7 +181,9 @@ def local_links(fps: DataFrame, radius: int, shard: int | None = None) -> DataFr
     total = fps.count()
     shard = shard or min(SHARD[1], max(SHARD[0], total // SHARDS))
     wanted = min(SAMPLE, max(1 << 14, 64 * (total // shard)))
-    sample = np.array([r[0] for r in fps.orderBy(F.xxhash64("fp"), "fp").limit(wanted).collect()], dtype=np.int64).view(np.uint64)
+    sample = np.array(
+        [r[0] for r in fps.orderBy(F.xxhash64("fp"), "fp").limit(wanted).collect()], dtype=np.int64,
+    ).view(np.uint64)
     tree = VantageTree(sample, total, radius, shard)
     shared = spark.sparkContext.broadcast(tree)
 
@@ -180,7 +191,10 @@ def local_links(fps: DataFrame, radius: int, shard: int | None = None) -> DataFr
         for batch in batches:
             points = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             rows, leaf, home = shared.value.deal(points)
-            yield pa.RecordBatch.from_arrays([pa.array(leaf.astype(np.int64)), pa.array(points[rows].view(np.int64)), pa.array(home)], names=["leaf", "fp", "home"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(leaf.astype(np.int64)), pa.array(points[rows].view(np.int64)), pa.array(home)],
+                names=["leaf", "fp", "home"],
+            )
 
     def link(table: pa.Table) -> pa.Table:
         points = table.column("fp").to_numpy().view(np.uint64)
@@ -198,19 +212,27 @@ def components(edges: DataFrame) -> DataFrame:
 
     A node's least neighbour reaches the node's edges by ``looked_up``: a hub's edges stay where they are.
     """
-    pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().checkpoint()
+    pairs = edges.where("a <> b").select(
+        F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"),
+    ).distinct().checkpoint()
     before = _state(pairs)
     while True:
         both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
         met = looked_up(both, least, ["u"], 2 * before[0])
-        large = met.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct().checkpoint()
+        large = met.where("v > u").select(
+            F.col("v").alias("u"), F.col("m").alias("v"),
+        ).where("u <> v").distinct().checkpoint()
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        small = looked_up(large, least, ["u"], large.count()).select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+        small = looked_up(large, least, ["u"], large.count()).select(
+            F.col("v").alias("u"), F.col("m").alias("v"),
+        ).union(least.select("u", F.col("m").alias("v")))
         pairs = small.where("u <> v").distinct().checkpoint()
         after = _state(pairs)
         if before == after:
-            return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).union(pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+            return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
+                pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+            )
         before = after
 
 
@@ -219,7 +241,10 @@ def _state(pairs: DataFrame) -> tuple:
     return tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, shard: int | None = None) -> DataFrame:
+def classes(
+    df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS,
+    shard: int | None = None,
+) -> DataFrame:
     """doc_id, fp (signed 64-bit fingerprint), component_id (least id of the class), root (least fingerprint of the class) of each row."""
     docs = written(df.select(F.col(doc_id).alias("doc_id"), fingerprinter(shingle)(F.col(text)).alias("fp")), "simhash")
     fps = docs.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
@@ -230,13 +255,17 @@ def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle:
     own = fps.join(of_root, "fp", "left")
     # A class whose rows all have null ids has none; a class of one fingerprint is its own root.
     least = F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id"))
-    of_fp = written(own.select("fp", "n", least.alias("component_id"), F.coalesce("root", "fp").alias("root")), "classes")
+    of_fp = written(
+        own.select("fp", "n", least.alias("component_id"), F.coalesce("root", "fp").alias("root")), "classes",
+    )
     return looked_up(docs, of_fp, ["fp"]).select("doc_id", "fp", "component_id", "root")
 
 
 def digests(df: DataFrame, **kept) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits), component_id."""
-    return classes(df, **kept).select("doc_id", F.format_string("%016x", F.col("fp")).alias("fingerprint"), "component_id")
+    return classes(df, **kept).select(
+        "doc_id", F.format_string("%016x", F.col("fp")).alias("fingerprint"), "component_id",
+    )
 
 
 def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **kept) -> DataFrame:
@@ -248,15 +277,23 @@ def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **kep
 
 
 def _kept(df: DataFrame, found: DataFrame, doc_id: str, text: str, shingle: int) -> DataFrame:
-    repeated = df.groupBy(doc_id).agg(F.count("*").alias("n")).where(F.col(doc_id).isNull() | (F.col("n") > 1)).limit(1).count()
+    repeated = df.groupBy(doc_id).agg(F.count("*").alias("n")).where(
+        F.col(doc_id).isNull() | (F.col("n") > 1)
+    ).limit(1).count()
     if repeated:  # ids do not tell the rows apart: one row of each (id, text), then one text of each class
         df = df.dropDuplicates([doc_id, text])
         fp, least = fresh(df, "fp"), fresh(df, "least")
         # By root: classes may share their least id where ids repeat.
-        best = classes(df, doc_id, text, shingle=shingle).groupBy("root", "fp").agg(F.min(F.col("doc_id")).alias("least"))
-        first = best.groupBy("root").agg(F.min_by("fp", F.struct(F.col("least").isNull(), "least", "fp")).alias("fp"), F.min("least").alias("least"))
+        best = classes(df, doc_id, text, shingle=shingle).groupBy("root", "fp").agg(
+            F.min(F.col("doc_id")).alias("least")
+        )
+        first = best.groupBy("root").agg(
+            F.min_by("fp", F.struct(F.col("least").isNull(), "least", "fp")).alias("fp"), F.min("least").alias("least"),
+        )
         keep = first.select(F.col("least").alias(least), F.col("fp").alias(fp))
-        numbered = df.withColumn(fp, fingerprinter(shingle)(F.col(text))).join(keep, fp).where(F.col(doc_id).eqNullSafe(F.col(least)))
+        numbered = df.withColumn(fp, fingerprinter(shingle)(F.col(text))).join(keep, fp).where(
+            F.col(doc_id).eqNullSafe(F.col(least))
+        )
         return numbered.dropDuplicates([fp, least]).select(*df.columns)
     later = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(doc_id))
     return df.join(later, doc_id, "left_anti").select(*df.columns)

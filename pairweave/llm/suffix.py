@@ -49,7 +49,10 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The powers of the rolling base and of its inverse, modulo 2^64."""
     if not _POWERS or len(_POWERS[0]) < n:
         size = max(1 << 16, 1 << n.bit_length())
-        _POWERS[:] = [np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(size, x, dtype=np.uint64)))) for x in (_ROLL, pow(_ROLL, -1, 1 << 64))]
+        _POWERS[:] = [
+            np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(size, x, dtype=np.uint64))))
+            for x in (_ROLL, pow(_ROLL, -1, 1 << 64))
+        ]
     return _POWERS[0], _POWERS[1]
 
 
@@ -73,10 +76,14 @@ def pieces(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndar
     prefix, hashes = grams(data, gram)
     up, _ = powers(n + 1)
     least = sliding_min(hashes, length - gram + 1)
-    begins = np.flatnonzero(np.concatenate(([True], (least[1:] != least[:-1]) | (hashes[: len(least) - 1] == least[:-1]))))
+    begins = np.flatnonzero(
+        np.concatenate(([True], (least[1:] != least[:-1]) | (hashes[: len(least) - 1] == least[:-1])))
+    )
     ends = np.concatenate((begins[1:], [len(least)]))
     windows, anchor = ends - begins, least[begins].view(np.int64)
-    whole = mix64((prefix[ends - 1 + length] - prefix[begins]) * up[begins] + windows.astype(np.uint64) * np.uint64(_ROLL)).view(np.int64)
+    whole = mix64(
+        (prefix[ends - 1 + length] - prefix[begins]) * up[begins] + windows.astype(np.uint64) * np.uint64(_ROLL)
+    ).view(np.int64)
     again = (windows[1:] == windows[:-1]) & (anchor[1:] == anchor[:-1]) & (whole[1:] == whole[:-1])
     heads = np.flatnonzero(np.concatenate(([True], ~again)))
     times = np.diff(np.append(heads, len(begins)))
@@ -88,7 +95,9 @@ def pieces(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndar
     return begins[heads], windows[heads], anchor[heads], whole[heads], times
 
 
-def halves(body: bytes, low: int, high: int, length: int = LENGTH, gram: int = GRAM) -> list[tuple[int, int, int, int, bytes]]:
+def halves(body: bytes, low: int, high: int, length: int = LENGTH, gram: int = GRAM) -> list[
+    tuple[int, int, int, int, bytes]
+]:
     """The piece ``body``, whose windows have their anchor ``low`` to ``high`` bytes from their start, in two: for each half that
     has windows, its low, high, first window, windows and the bytes that all windows of such a half hold around the anchor."""
     at = int(grams(body[:length], gram)[1].argmin())  # the anchor, as of the first window
@@ -200,7 +209,9 @@ def covered(windows: np.ndarray, length: int = LENGTH) -> list[tuple[int, int]]:
     if not len(windows):
         return []
     cuts = np.flatnonzero(windows[1:] > windows[:-1] + length)
-    begins, ends = windows[np.concatenate(([0], cuts + 1))], windows[np.concatenate((cuts, [len(windows) - 1]))] + length
+    begins, ends = windows[np.concatenate(([0], cuts + 1))], windows[
+        np.concatenate((cuts, [len(windows) - 1]))
+    ] + length
     return list(zip(begins.tolist(), ends.tolist(), strict=True))
 
 
@@ -219,10 +230,16 @@ def _keyed(df: DataFrame, doc_id: str, text: str, key: str) -> DataFrame:
     ids = df.groupBy(F.col(doc_id).alias("k")).agg(F.count("*").alias("n"))
     plain = not ids.where(F.col("k").isNull() | (F.col("n") > 1)).limit(1).count()
     body = F.coalesce(F.col(text), F.lit(""))
-    return df.withColumn(key, F.col(doc_id) if plain else F.concat_ws(":", F.col(doc_id).cast("string"), F.sha2(body.cast("binary"), 256)))
+    return df.withColumn(
+        key,
+        F.col(doc_id) if plain else F.concat_ws(":", F.col(doc_id).cast("string"), F.sha2(body.cast("binary"), 256)),
+    )
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, hot_bytes: int | None = None) -> DataFrame:
+def repeated_spans(
+    docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES,
+    hot_bytes: int | None = None,
+) -> DataFrame:
     """k, spans array<struct<b,e>> (bytes, not merged) for the texts of columns k, body that lose any byte.
 
     Rows with an equal k have equal bodies. Anchors with over ``hot_bytes`` (a shard's, if null) of different pieces are split.
@@ -237,7 +254,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shar
                 found = [pieces(x, length, gram) for x in data[start:end]]
                 whose = np.repeat(np.arange(start, end), [len(f[0]) for f in found])
                 first, windows, anchor, piece, times = (np.concatenate(x) for x in zip(*found, strict=True))
-                yield _rows(keys.take(pa.array(whose)), first, windows, anchor, piece, times, windows * times, np.zeros(len(first)), np.full(len(first), length - gram))
+                yield _rows(
+                    keys.take(pa.array(whose)), first, windows, anchor, piece, times, windows * times,
+                    np.zeros(len(first)), np.full(len(first), length - gram),
+                )
 
     long_enough = docs.where(F.octet_length("body") >= length)
     every, out = written(long_enough.mapInArrow(cut, columns), "pieces"), []
@@ -251,11 +271,17 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shar
     return everything.groupBy("k").agg(F.collect_list("span").alias("spans"))  # a text's own spans only
 
 
-_NUMBERS = {"first": pa.int32(), "windows": pa.int32(), "anchor": pa.int64(), "piece": pa.int64(), "times": pa.int32(), "covers": pa.int32(), "low": pa.int16(), "high": pa.int16()}
+_NUMBERS = {
+    "first": pa.int32(), "windows": pa.int32(), "anchor": pa.int64(), "piece": pa.int64(), "times": pa.int32(),
+    "covers": pa.int32(), "low": pa.int16(), "high": pa.int16(),
+}
 
 
 def _rows(keys: pa.Array, *values: np.ndarray) -> pa.RecordBatch:
-    numbers = [pa.array(np.asarray(v).astype(t.to_pandas_dtype()), t) for v, t in zip(values, _NUMBERS.values(), strict=True)]
+    numbers = [
+        pa.array(np.asarray(v).astype(t.to_pandas_dtype()), t)
+        for v, t in zip(values, _NUMBERS.values(), strict=True)
+    ]
     return pa.RecordBatch.from_arrays([keys, *numbers], names=["k", *_NUMBERS])
 
 
@@ -272,32 +298,60 @@ def _bodies(docs: DataFrame, wanted: DataFrame, length: int, columns: dict[str,
                 lists = some.column(2)
                 whose = np.repeat(np.arange(some.num_rows), np.diff(lists.offsets.to_numpy()))
                 flat = lists.flatten()
-                data, first, windows = bytes_list(some.column(1)), flat.field("first").to_numpy(), flat.field("windows").to_numpy()
-                bodies = [data[d][a : a + w + length - 1] for d, a, w in zip(whose.tolist(), first.tolist(), windows.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(whose)), *[flat.field(c) for c in names], pa.array(bodies, pa.binary())], names=["k", *names, "body"])
+                data, first, windows = bytes_list(
+                    some.column(1)
+                ), flat.field("first").to_numpy(), flat.field("windows").to_numpy()
+                bodies = [
+                    data[d][a : a + w + length - 1]
+                    for d, a, w in zip(whose.tolist(), first.tolist(), windows.tolist(), strict=True)
+                ]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        some.column(0).take(pa.array(whose)), *[flat.field(c) for c in names],
+                        pa.array(bodies, pa.binary()),
+                    ],
+                    names=["k", *names, "body"],
+                )
 
     types = ", ".join(f"{c} {t}" for c, t in ({"first": "int", "windows": "int"} | columns).items())
     return docs.join(asked, "k").select("k", "body", "wanted").mapInArrow(fetch, f"k {kind}, {types}, body binary")
 
 
-def _round(docs: DataFrame, every: DataFrame, length: int, shard_bytes: int, hot_bytes: int) -> tuple[list[DataFrame], DataFrame | None]:
+def _round(docs: DataFrame, every: DataFrame, length: int, shard_bytes: int, hot_bytes: int) -> tuple[
+    list[DataFrame], DataFrame | None,
+]:
     """Spans (k, span) of the windows that repeat among pieces, but for the anchors that are too large; those pieces, or None."""
     kind = docs.schema["k"].dataType.simpleString()
     arrow_kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
     span = F.struct(F.col("first").alias("b"), (F.col("first") + F.col("covers") + (length - 1)).alias("e"))
     # An anchor may stand in a large share of all pieces: its rows are found where they are.
-    anchors = written(every.groupBy("anchor").agg(F.count("*").alias("n"), F.sum("times").alias("times"), (F.min("piece") != F.max("piece")).alias("several")).where("times > 1").drop("times"), "anchors")
+    anchors = written(
+        every.groupBy("anchor").agg(
+            F.count("*").alias("n"), F.sum("times").alias("times"), (F.min("piece") != F.max("piece")).alias("several"),
+        ).where("times > 1").drop("times"),
+        "anchors",
+    )
     shared = written(looked_up(every, anchors, ["anchor"]), "shared")
     alike = shared.where("NOT several").select("k", span.alias("span"))
 
     several = shared.where("several")
     at = F.min(F.struct("k", "first", "windows", "low", "high"))
-    different = written(several.groupBy("anchor", "piece").agg(F.count("*").alias("n"), F.sum("times").alias("times"), at.alias("at")), "different")
-    copies = written(looked_up(several, different.where("times > 1").select("anchor", "piece", "n"), ["anchor", "piece"]).select("k", span.alias("span")), "copies")
+    different = written(
+        several.groupBy("anchor", "piece").agg(F.count("*").alias("n"), F.sum("times").alias("times"), at.alias("at")),
+        "different",
+    )
+    copies = written(
+        looked_up(
+            several, different.where("times > 1").select("anchor", "piece", "n"), ["anchor", "piece"],
+        ).select("k", span.alias("span")),
+        "copies",
+    )
 
     # Anchors all of whose pieces are copies need no sorting: every window of theirs repeats.
     size = (F.col("at.windows") + (length - 1)).cast("long")
-    kinds = different.groupBy("anchor").agg(F.sum(size).alias("bytes"), F.count("*").alias("n"), F.count_if(F.col("times") == 1).alias("lone")).where("lone > 0")
+    kinds = different.groupBy("anchor").agg(
+        F.sum(size).alias("bytes"), F.count("*").alias("n"), F.count_if(F.col("times") == 1).alias("lone"),
+    ).where("lone > 0")
     kinds = written(kinds.select("anchor", "bytes", "n", (F.col("bytes") > hot_bytes).alias("hot")), "kinds")
     total, too_large = kinds.agg(F.sum(F.when(~F.col("hot"), F.col("bytes"))), F.count_if("hot")).first()
     shards = max(1, -(-int(total or 0) // shard_bytes))
@@ -306,7 +360,9 @@ def _round(docs: DataFrame, every: DataFrame, length: int, shard_bytes: int, hot
 
     def sort(table: pa.Table) -> pa.Table:
         anchors: dict[int, dict[bytes, tuple]] = {}
-        for key, first, anchor, times, body in zip(*(table.column(c).to_pylist() for c in ("k", "first", "anchor", "times", "body")), strict=True):
+        for key, first, anchor, times, body in zip(
+            *(table.column(c).to_pylist() for c in ("k", "first", "anchor", "times", "body")), strict=True,
+        ):
             anchors.setdefault(anchor, {}).setdefault(body, (key, first, times))  # rows with an equal k ask twice
         rows: list[tuple] = []
         block: list[tuple[bytes, tuple]] = []
@@ -317,10 +373,17 @@ def _round(docs: DataFrame, every: DataFrame, length: int, shard_bytes: int, hot
             held += sum(map(len, some))
             if not anchors or held >= SORTED_BYTES:
                 found = repeated_windows([body for body, _ in block], length)
-                rows += [(key, first + a, first + b) for (_, (key, first, times)), w in zip(block, found, strict=True) if times == 1 for a, b in covered(w, length)]
+                rows += [
+                    (key, first + a, first + b)
+                    for (_, (key, first, times)), w in zip(block, found, strict=True) if times == 1
+                    for a, b in covered(w, length)
+                ]
                 block, held = [], 0
         columns = list(zip(*rows, strict=True)) if rows else [[], [], []]
-        return pa.table([pa.array(columns[0], arrow_kind), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int32())], names=["k", "b", "e"])
+        return pa.table(
+            [pa.array(columns[0], arrow_kind), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int32())],
+            names=["k", "b", "e"],
+        )
 
     cold = looked_up(ones, kinds.where("NOT hot").select("anchor", "n"), ["anchor"])
     bodies = written(_bodies(docs, cold, length, {"anchor": "bigint", "times": "int"}), "bodies")
@@ -343,10 +406,18 @@ def _split(docs: DataFrame, hot: DataFrame, kind: str, columns: str, length: int
                 for a, b, at, windows, core in halves(body, low, high, length, gram):
                     own = body[at : at + windows + length - 1]
                     longer = xxhash.xxh3_64_intdigest(core, (anchor ^ (a << 8) ^ b) & (2**64 - 1))
-                    rows.append((first + at, windows, longer, xxhash.xxh3_64_intdigest(own, windows), times, windows, a, b))
+                    rows.append(
+                        (first + at, windows, longer, xxhash.xxh3_64_intdigest(own, windows), times, windows, a, b)
+                    )
                     whose.append(i)
-            first, windows, longer, piece, times, covers, low, high = (np.array(x, dtype=np.uint64) for x in zip(*rows, strict=True)) if rows else [np.zeros(0, np.uint64)] * 8
-            yield _rows(batch.column("k").take(pa.array(whose, pa.int64())), first, windows, longer.view(np.int64), piece.view(np.int64), times, covers, low, high)
+            first, windows, longer, piece, times, covers, low, high = (
+                np.array(x, dtype=np.uint64)
+                for x in zip(*rows, strict=True)
+            ) if rows else [np.zeros(0, np.uint64)] * 8
+            yield _rows(
+                batch.column("k").take(pa.array(whose, pa.int64())), first, windows, longer.view(np.int64),
+                piece.view(np.int64), times, covers, low, high,
+            )
 
     wanted = hot.select("k", "first", "windows", *types)
     return _bodies(docs, wanted, length, types).mapInArrow(run, columns)
@@ -376,14 +447,19 @@ def kept_bytes(data: bytes, spans: list[tuple[int, int]], whole_characters: bool
 RESULT = "struct<n_bytes:bigint,n_removed:bigint,n_spans:bigint,kept:binary>"
 
 
-def deduplicated(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, whole_characters: bool = False, **kept) -> tuple[DataFrame, str]:
+def deduplicated(
+    df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, whole_characters: bool = False,
+    **kept,
+) -> tuple[DataFrame, str]:
     """``df`` with one more column, whose name is returned too: n_bytes, n_removed, n_spans, kept (binary)."""
     name, key, own = (fresh(df, stem) for stem in ("kept", "key", "spans"))
     keyed = _keyed(df, doc_id, text, key)
     docs = keyed.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("body"))
     spans = repeated_spans(docs, length, **kept)
 
-    kind = pa.struct([("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
+    kind = pa.struct(
+        [("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())]
+    )
 
     @F.arrow_udf(RESULT)
     def apply(texts: pa.Array, found: pa.Array) -> pa.Array:
@@ -392,7 +468,9 @@ def deduplicated(df: DataFrame, doc_id: str = "doc_id", text: str = "text", leng
             for data, some in zip(bytes_list(both.field(0)), both.field(1).to_pylist(), strict=True):
                 left, removed, runs = kept_bytes(data, [(s["b"], s["e"]) for s in some or []], whole_characters)
                 rows.append((len(data), removed, runs, left))
-            return pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kind, strict=True)], fields=list(kind))
+            return pa.StructArray.from_arrays(
+                [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kind, strict=True)], fields=list(kind),
+            )
 
         return by_slices(pa.StructArray.from_arrays([texts, found], ["text", "found"]), kind, run)
 
@@ -403,12 +481,17 @@ def deduplicated(df: DataFrame, doc_id: str = "doc_id", text: str = "text", leng
 def digests(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **kept) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row."""
     found, k = deduplicated(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), **kept)
-    return found.select("doc_id", *[F.col(f"{k}.{c}").alias(c) for c in ("n_bytes", "n_removed", "n_spans")], F.sha2(F.col(f"{k}.kept"), 256).alias("kept_sha256"))
+    return found.select(
+        "doc_id", *[F.col(f"{k}.{c}").alias(c) for c in ("n_bytes", "n_removed", "n_spans")],
+        F.sha2(F.col(f"{k}.kept"), 256).alias("kept_sha256"),
+    )
 
 
 def with_kept_text(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **kept) -> DataFrame:
     """``df`` with its texts cut (whole characters only, so that they stay text); null texts stay null."""
     found, k = deduplicated(df, doc_id, text, whole_characters=True, **kept)
-    return found.withColumn(text, F.when(F.col(text).isNotNull(), F.col(f"{k}.kept").cast("string"))).select(*df.columns)
+    return found.withColumn(
+        text, F.when(F.col(text).isNotNull(), F.col(f"{k}.kept").cast("string")),
+    ).select(*df.columns)
 
 

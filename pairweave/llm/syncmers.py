@@ -65,7 +65,10 @@ def as_text(anchor_list: list[tuple[int, int]]) -> str:
 
 
 def from_text(fingerprint: str) -> list[tuple[int, int]]:
-    return [(int(h, 16), int(p, 16)) for h, _, p in (x.partition("@") for x in fingerprint.split("."))] if fingerprint else []
+    return [
+        (int(h, 16), int(p, 16))
+        for h, _, p in (x.partition("@") for x in fingerprint.split("."))
+    ] if fingerprint else []
 
 
 def likeness(a: list[tuple[int, int]], b: list[tuple[int, int]], size: int = SKETCH) -> float:
@@ -94,12 +97,19 @@ def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", part
     """
     spark = df.sparkSession
     whole = isinstance(df.schema[doc_id].dataType, T.IntegralType)
-    source = df.select(F.col(doc_id).cast("long" if whole else "string").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    source = df.select(
+        F.col(doc_id).cast("long" if whole else "string").alias("doc_id"),
+        F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"),
+    )
     parts = parts or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     if whole:
-        ends = source.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], 100_000)).first()[0] or []
+        ends = source.agg(
+            F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], 100_000)
+        ).first()[0] or []
     else:  # quantiles of the ids of least hash, some for each range
-        some = source.select("doc_id").where("doc_id IS NOT NULL").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(32 * parts)
+        some = source.select("doc_id").where("doc_id IS NOT NULL").distinct().orderBy(
+            F.xxhash64("doc_id"), "doc_id",
+        ).limit(32 * parts)
         some = sorted(r[0] for r in some.collect())
         ends = [some[len(some) * i // parts] for i in range(1, parts)] if some else []
     splits = sorted(set(ends))
@@ -112,7 +122,12 @@ def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", part
     def range_of(ids: pa.Array) -> pa.Array:
         return pa.array([place(x) for x in ids.to_pylist()], pa.int32())
 
-    tops = sorted((r["place"], r["top"]) for r in source.select(range_of("doc_id").alias("place"), "doc_id").groupBy("place").agg(F.max("doc_id").alias("top")).collect())
+    tops = sorted(
+        (r["place"], r["top"])
+        for r in source.select(
+            range_of("doc_id").alias("place"), "doc_id",
+        ).groupBy("place").agg(F.max("doc_id").alias("top")).collect()
+    )
     before = {top: tops[i - 1][0] for i, (_, top) in enumerate(tops)}
 
     @F.arrow_udf("array<int>")
@@ -121,16 +136,25 @@ def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", part
         own = [(x, 2 * place(x)) for x in ids.to_pylist()]
         return pa.array([[at, 2 * before[x] + 1] if x in before else [at] for x, at in own], pa.list_(pa.int32()))
 
-    dealt = source.select(F.explode(places("doc_id")).alias("at"), "doc_id", "text").withColumn("place", F.expr("at DIV 2"))
+    dealt = source.select(
+        F.explode(places("doc_id")).alias("at"), "doc_id", "text",
+    ).withColumn("place", F.expr("at DIV 2"))
     # By range: a place is a partition or nearly so, where hashing would deal several to one and none to others.
-    ordered = dealt.repartitionByRange(parts, "place").sortWithinPartitions("place", F.expr("at % 2"), F.desc_nulls_last("doc_id"), "text")
-    names = [("doc_id", pa.int64() if whole else pa.string()), ("n_chars", pa.int64()), *[(n, pa.string()) for n in ("edited_sha256", "fingerprint", "edited_fingerprint")]]
+    ordered = dealt.repartitionByRange(parts, "place").sortWithinPartitions(
+        "place", F.expr("at % 2"), F.desc_nulls_last("doc_id"), "text",
+    )
+    names = [
+        ("doc_id", pa.int64() if whole else pa.string()), ("n_chars", pa.int64()),
+        *[(n, pa.string()) for n in ("edited_sha256", "fingerprint", "edited_fingerprint")],
+    ]
     schema = pa.schema([*names, ("near_edited", pa.float64()), ("near_next", pa.float64())])
 
     def row(key, value: str, own: list, following: str, after: list) -> tuple:
         changed = edited_text(value, following).encode()
         other = sketch(changed)
-        return key, len(value), hashlib.sha256(changed).hexdigest(), as_text(own), as_text(other), likeness(own, other), likeness(own, after)
+        return key, len(value), hashlib.sha256(changed).hexdigest(), as_text(own), as_text(other), likeness(
+            own, other,
+        ), likeness(own, after)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the row whose next row has not come yet
@@ -145,7 +169,13 @@ def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", part
                 if held:
                     rows.append(row(held[1], held[2], held[3], value, own))
                 held = at, key, value, own
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), schema.types, strict=True)] if rows else [pa.array([], t) for t in schema.types], schema=schema)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), schema.types, strict=True)] if rows else [
+                    pa.array([], t)
+                    for t in schema.types
+                ],
+                schema=schema,
+            )
 
     kind = "bigint" if whole else "string"
     out = f"doc_id {kind}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"

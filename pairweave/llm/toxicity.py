@@ -54,7 +54,12 @@ def feature_buckets(text: str) -> Column:
     def run(texts: pa.Array) -> pa.Array:
         of = Memo(bucket, 200_000)
         kind = pa.list_(pa.int32())
-        return by_slices(texts, kind, lambda some: pa.array([np.unique(np.fromiter((of[f] for f in features(x)), dtype=np.int32)) for x in text_list(some)], kind))
+        return by_slices(
+            texts, kind,
+            lambda some: pa.array(
+                [np.unique(np.fromiter((of[f] for f in features(x)), dtype=np.int32)) for x in text_list(some)], kind,
+            ),
+        )
 
     return run(text)
 
@@ -91,7 +96,10 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
             gp, gu = down_p - up_p, up_u
         else:  # the corrected risk fell below zero: undo that part only
             gp, gu = up_p, -up_u
-        slope = np.append(np.bincount(cp, gp[rp], len(chosen)) + np.bincount(cu, gu[ru], len(chosen)) + DECAY * weights, gp.sum() + gu.sum())
+        slope = np.append(
+            np.bincount(cp, gp[rp], len(chosen)) + np.bincount(cu, gu[ru], len(chosen)) + DECAY * weights,
+            gp.sum() + gu.sum(),
+        )
         moment, square = 0.9 * moment + 0.1 * slope, 0.999 * square + 0.001 * slope**2
         move = RATE * (moment / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
         weights, bias = weights - move[:-1], bias - move[-1]
@@ -119,14 +127,22 @@ class Toxicity:
             model = shared.value
             if not hasattr(model, "remembered"):
                 model.remembered = Memo(lambda f: model.weights.get(bucket(f), 0.0), 150_000)
-            return by_slices(texts, pa.float64(), lambda some: pa.array([model.score_text(x, model.remembered) for x in text_list(some)], pa.float64()))
+            return by_slices(
+                texts, pa.float64(),
+                lambda some: pa.array([model.score_text(x, model.remembered) for x in text_list(some)], pa.float64()),
+            )
 
         return run(text)
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Toxicity:
+def fit(
+    docs: DataFrame, labels: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "text", label: str = "toxic",
+    positives: int = POSITIVES, unlabelled: int = UNLABELLED,
+) -> Toxicity:
     """Train on the rows where ``learn`` (of the column doc_id) holds."""
-    marked = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).alias("toxic")).where(learn & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.max(F.col("toxic").cast("int")) == 1).alias("toxic"))
+    marked = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).alias("toxic")).where(
+        learn & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()
+    ).groupBy("doc_id").agg((F.max(F.col("toxic").cast("int")) == 1).alias("toxic"))
     n, toxic = marked.agg(F.count("*"), F.count_if("toxic")).first()
     if not toxic:
         return Toxicity({}, 0.0, False)
@@ -134,14 +150,20 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, doc_id: str = "doc_id
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     # Both samples are bounded by their limits, so broadcasting their ids is too.
     chosen_p = marked.where("toxic").select("doc_id").orderBy(chance, "doc_id").limit(positives)
-    chosen_u = rows.where(learn & F.col("doc_id").isNotNull()).select("doc_id").distinct().orderBy(chance, "doc_id").limit(unlabelled)
+    chosen_u = rows.where(
+        learn & F.col("doc_id").isNotNull()
+    ).select("doc_id").distinct().orderBy(chance, "doc_id").limit(unlabelled)
     ids = chosen_p.withColumn("positive", F.lit(True)).union(chosen_u.withColumn("positive", F.lit(False)))
     # One row an id: the sample stays bounded where an id has many rows.
-    sample = rows.where(learn).join(F.broadcast(ids), "doc_id").groupBy("positive", "doc_id").agg(F.min("text").alias("text"))
+    sample = rows.where(learn).join(F.broadcast(ids), "doc_id").groupBy("positive", "doc_id").agg(
+        F.min("text").alias("text")
+    )
     sample = sample.select("positive", "doc_id", feature_buckets("text").alias("buckets")).toArrow()
     lists = sample.column(2).combine_chunks()
     lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) and lists.num_chunks else lists
-    values, ends = (lists.values.to_numpy(), lists.offsets.to_numpy()) if sample.num_rows else (np.zeros(0, np.int32), np.zeros(1, np.int32))
+    values, ends = (lists.values.to_numpy(), lists.offsets.to_numpy()) if sample.num_rows else (
+        np.zeros(0, np.int32), np.zeros(1, np.int32),
+    )
     rows = sorted(zip(sample.column(0).to_pylist(), sample.column(1).to_pylist(), range(sample.num_rows), strict=True))
     sample = [(positive, doc, values[ends[i] : ends[i + 1]]) for positive, doc, i in rows]
     # Equal texts count once: a group of copies must not stand for a word's frequency.

@@ -39,7 +39,9 @@ Rule = tuple[str, str, str]  # verdict, host, path
 
 def parsed(df: DataFrame) -> DataFrame:
     """``df`` with host and path of its column url."""
-    out = df.withColumn("_rest", F.expr("coalesce(CASE WHEN instr(url, '://') > 0 THEN substring(url, instr(url, '://') + 3) END, '')"))
+    out = df.withColumn(
+        "_rest", F.expr("coalesce(CASE WHEN instr(url, '://') > 0 THEN substring(url, instr(url, '://') + 3) END, '')"),
+    )
     out = out.withColumn("_host", F.regexp_extract("_rest", "^[^/?#]*", 0))
     path = F.regexp_extract(F.expr("substring(_rest, length(_host) + 1)"), "^[^?#]*", 0)
     return out.withColumns({"host": F.translate("_host", UPPER, LOWER), "path": path}).drop("_rest", "_host")
@@ -49,8 +51,12 @@ def longest_rule(rules: list[Rule]) -> Column:
     """struct(rule, verdict) of the longest rule that fits columns host and path; null if none does."""
     found = F.lit(None)
     for verdict, host, path in sorted(rules, key=lambda r: (len(r[1] + r[2]), r[1], r[2])):
-        fits = ((F.col("host") == host) | F.endswith(F.col("host"), F.lit(f".{host}"))) & F.startswith(F.col("path"), F.lit(path))
-        found = F.when(fits, F.struct(F.lit(host + path).alias("rule"), F.lit(verdict).alias("verdict"))).otherwise(found)
+        fits = (
+            (F.col("host") == host) | F.endswith(F.col("host"), F.lit(f".{host}"))
+        ) & F.startswith(F.col("path"), F.lit(path))
+        found = F.when(
+            fits, F.struct(F.lit(host + path).alias("rule"), F.lit(verdict).alias("verdict")),
+        ).otherwise(found)
     return found
 
 
@@ -85,17 +91,32 @@ def log_ratios(counts: DataFrame) -> DataFrame:
     for j in range(ORDER - 1, -1, -1):
         sums = [F.sum(c).alias(c) for c in ("n1", "n0")]
         level[j] = level[j + 1].groupBy(F.substring("gram", 2, j + 1).alias("gram")).agg(*sums)
-    total1, total0, signs = level[0].agg(F.sum("n1"), F.sum("n0"), F.count_if((F.col("n1") > 0) | (F.col("n0") > 0)) + 1).first()
+    total1, total0, signs = level[0].agg(
+        F.sum("n1"), F.sum("n0"), F.count_if((F.col("n1") > 0) | (F.col("n0") > 0)) + 1,
+    ).first()
     totals = {1: total1 or 0, 0: total0 or 0}
     if not all(totals.values()):
         return counts.select("gram", "n", F.lit(0.0).alias("ratio"))
-    known = level[0].select("gram", *[((F.col(f"n{k}") + 1) / F.lit(float(totals[k] + signs))).alias(f"p{k}") for k in (1, 0)])
+    known = level[0].select(
+        "gram", *[((F.col(f"n{k}") + 1) / F.lit(float(totals[k] + signs))).alias(f"p{k}") for k in (1, 0)],
+    )
     for j in range(1, ORDER + 1):
         context, shorter = F.substring("gram", 1, j).alias("context"), F.substring("gram", 2, j).alias("shorter")
-        of = [x for k in (1, 0) for x in (F.sum(f"n{k}").alias(f"of{k}"), F.count_if(F.col(f"n{k}") > 0).alias(f"kinds{k}"))]
+        of = [
+            x
+            for k in (1, 0)
+            for x in (F.sum(f"n{k}").alias(f"of{k}"), F.count_if(F.col(f"n{k}") > 0).alias(f"kinds{k}"))
+        ]
         contexts = level[j].groupBy(context).agg(*of)
-        joined = level[j].select("*", context, shorter).join(contexts, "context").join(known.withColumnRenamed("gram", "shorter"), "shorter")
-        mixed = [F.expr(f"CASE WHEN of{k} = 0 THEN p{k} ELSE (n{k} + kinds{k} * p{k}) / (of{k} + kinds{k}) END").alias(f"p{k}") for k in (1, 0)]
+        joined = level[j].select("*", context, shorter).join(contexts, "context").join(
+            known.withColumnRenamed("gram", "shorter"), "shorter",
+        )
+        mixed = [
+            F.expr(
+                f"CASE WHEN of{k} = 0 THEN p{k} ELSE (n{k} + kinds{k} * p{k}) / (of{k} + kinds{k}) END"
+            ).alias(f"p{k}")
+            for k in (1, 0)
+        ]
         known = joined.select("gram", *(["n"] if j == ORDER else []), *mixed)
     return known.select("gram", "n", (F.ln("p1") - F.ln("p0")).alias("ratio"))
 
@@ -104,13 +125,17 @@ def looked_up(rows: DataFrame, table: DataFrame, key: str, reduced) -> DataFrame
     """``reduced`` of ``rows`` with the columns of ``table`` (key, n: the key's rows, values), hot keys apart from the others."""
     total = table.agg(F.sum("n")).first()[0] or 0
     hot, others = table.where(F.col("n") * HOT > total).drop("n"), table.where(F.col("n") * HOT <= total).drop("n")
-    return reduced(rows.join(F.broadcast(hot), key)).unionByName(reduced(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(others, key)))
+    return reduced(rows.join(F.broadcast(hot), key)).unionByName(
+        reduced(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(others, key))
+    )
 
 
 def scores(urls: DataFrame, ratios: DataFrame) -> DataFrame:
     """url, score: the sum of the ratios of its grams over their number."""
     each = with_grams(urls.select("url"))
-    sums = looked_up(each, ratios, "gram", lambda x: x.groupBy("url").agg(F.sum("ratio").alias("sum"), F.count("*").alias("size")))
+    sums = looked_up(
+        each, ratios, "gram", lambda x: x.groupBy("url").agg(F.sum("ratio").alias("sum"), F.count("*").alias("size")),
+    )
     return sums.groupBy("url").agg((F.sum("sum") / F.sum("size")).alias("score"))
 
 
@@ -124,9 +149,13 @@ def threshold(scored: DataFrame) -> DataFrame:
     bins = scored.groupBy(step.alias("step")).agg(kind(True).alias("n1"), kind(False).alias("n0"))
     whole = Window.partitionBy(F.lit(0))
     upward = whole.orderBy(F.desc("step")).rowsBetween(Window.unboundedPreceding, 0)
-    right = F.try_divide(F.sum("n1").over(upward), F.sum("n1").over(whole)) + 1 - F.try_divide(F.sum("n0").over(upward), F.sum("n0").over(whole))
+    right = F.try_divide(F.sum("n1").over(upward), F.sum("n1").over(whole)) + 1 - F.try_divide(
+        F.sum("n0").over(upward), F.sum("n0").over(whole),
+    )
     order = F.struct("right", -F.abs("step"), "step")
-    best = bins.withColumn("right", F.round(right, 9)).agg(F.max_by("step", order).alias("step"), F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    best = bins.withColumn("right", F.round(right, 9)).agg(
+        F.max_by("step", order).alias("step"), F.sum("n0").alias("n0"), F.sum("n1").alias("n1"),
+    )
     return best.select(F.expr(f"CASE WHEN n0 > 0 AND n1 > 0 THEN step * {STEP}D ELSE 0D END").alias("threshold"))
 
 
@@ -144,7 +173,10 @@ def judge(pages: DataFrame, rules: list[Rule], page_id: str = "page_id", url: st
     limit = threshold(found.where(left_out & F.col("allowed").isNotNull())).scalar()
     own = F.when(F.round("score", 9) >= F.coalesce(limit, F.lit(0.0)), "allow").otherwise("block")
     out = looked_up(known, found.select("url", "n", "score"), "url", lambda x: x)
-    return out.select("page_id", "host", "path", F.col("found.rule").alias("rule"), F.coalesce(F.col("found.verdict"), own).alias("verdict"), F.round("score", 6).alias("score"))
+    return out.select(
+        "page_id", "host", "path", F.col("found.rule").alias("rule"),
+        F.coalesce(F.col("found.verdict"), own).alias("verdict"), F.round("score", 6).alias("score"),
+    )
 
 
 def sql(rules: list[Rule]) -> str:
@@ -156,31 +188,48 @@ def sql(rules: list[Rule]) -> str:
     )
     levels, p = [], []
     for j in range(ORDER - 1, -1, -1):
-        levels.append(f"s{j} AS (SELECT substring(gram, 2, {j + 1}) AS gram, sum(n1) AS n1, sum(n0) AS n0 FROM s{j + 1} GROUP BY 1)")
+        levels.append(
+            f"s{j} AS (SELECT substring(gram, 2, {j + 1}) AS gram, sum(n1) AS n1, sum(n0) AS n0 FROM s{j + 1} GROUP BY 1)"
+        )
     for j in range(1, ORDER + 1):
-        mixed = ", ".join(f"CASE WHEN of{k} = 0 THEN p{k} ELSE (n{k} + kinds{k} * p{k}) / (of{k} + kinds{k}) END AS p{k}" for k in (1, 0))
+        mixed = ", ".join(
+            f"CASE WHEN of{k} = 0 THEN p{k} ELSE (n{k} + kinds{k} * p{k}) / (of{k} + kinds{k}) END AS p{k}"
+            for k in (1, 0)
+        )
         of = ", ".join(f"CAST(sum(n{k}) AS DOUBLE) AS of{k}, count(*) FILTER (n{k} > 0) AS kinds{k}" for k in (1, 0))
         p.append(f"""c{j} AS (SELECT left(gram, {j}) AS context, {of} FROM s{j} GROUP BY 1),
 p{j} AS (SELECT s.gram, {mixed} FROM s{j} s JOIN c{j} ON context = left(s.gram, {j}) JOIN p{j - 1} q ON q.gram = substring(s.gram, 2, {j}))""")
     marked = f"(repeat(chr({ord(BEFORE)}), {ORDER}) || translate(url, '{UPPER}', '{LOWER}') || chr({ord(AFTER)}))"
     return f"""
-WITH a AS (SELECT page_id, coalesce(url, '') AS url, CASE WHEN contains(url, '://') THEN substring(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
+WITH a AS (SELECT page_id, coalesce(url, '') AS url, CASE
+  WHEN contains(url, '://') THEN substring(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
 b AS (SELECT page_id, url, rest, regexp_extract(rest, '^[^/?#]*', 0) AS raw FROM a),
-k AS (SELECT page_id, url, translate(raw, '{UPPER}', '{LOWER}') AS host, regexp_extract(substring(rest, length(raw) + 1), '^[^?#]*', 0) AS path FROM b),
+k AS (SELECT page_id, url, translate(raw, '{UPPER}', '{LOWER}') AS host, regexp_extract(substring(rest,
+  length(raw) + 1), '^[^?#]*', 0) AS path FROM b),
 known AS (SELECT *, CASE {cases} END AS found FROM k),
-u AS (SELECT url, count(*) AS n, any_value(found.verdict = 'allow') AS allowed, CAST('0x' || left(sha256(url), 8) AS BIGINT) % 5 = 0 AS left_out FROM known GROUP BY url),
-g AS (SELECT url, n, CASE WHEN NOT left_out THEN allowed END AS trains, unnest(list_transform(range(1, length({marked}) - {ORDER} + 1), lambda i: substring({marked}, i, {ORDER + 1}))) AS gram FROM u),
-s{ORDER} AS (SELECT gram, coalesce(sum(n) FILTER (trains), 0) AS n1, coalesce(sum(n) FILTER (NOT trains), 0) AS n0 FROM g GROUP BY gram),
+u AS (SELECT url, count(*) AS n, any_value(found.verdict = 'allow') AS allowed, CAST('0x' || left(sha256(url),
+  8) AS BIGINT) % 5 = 0 AS left_out FROM known GROUP BY url),
+g AS (SELECT url, n, CASE WHEN NOT left_out THEN allowed END AS trains, unnest(list_transform(range(1,
+  length({marked}) - {ORDER} + 1), lambda i: substring({marked}, i, {ORDER + 1}))) AS gram FROM u),
+s{ORDER} AS (SELECT gram, coalesce(sum(n) FILTER (trains), 0) AS n1, coalesce(sum(n) FILTER (NOT trains), 0) AS n0
+  FROM g GROUP BY gram),
 {", ".join(levels)},
-t AS (SELECT CAST(sum(n1) AS DOUBLE) AS total1, CAST(sum(n0) AS DOUBLE) AS total0, count(*) FILTER (n1 > 0 OR n0 > 0) + 1 AS signs FROM s0),
+t AS (SELECT CAST(sum(n1) AS DOUBLE) AS total1, CAST(sum(n0) AS DOUBLE) AS total0,
+  count(*) FILTER (n1 > 0 OR n0 > 0) + 1 AS signs FROM s0),
 p0 AS (SELECT gram, (n1 + 1) / (total1 + signs) AS p1, (n0 + 1) / (total0 + signs) AS p0 FROM s0, t),
 {", ".join(p)},
-f AS (SELECT u.url, n, allowed, left_out, CASE WHEN (SELECT total1 > 0 AND total0 > 0 FROM t) THEN score ELSE 0.0 END AS score
-      FROM u JOIN (SELECT url, sum(ln(p1) - ln(p0)) / count(*) AS score FROM g JOIN p{ORDER} USING (gram) GROUP BY url) USING (url)),
-h AS (SELECT CAST(greatest(-{STEPS}, least({STEPS}, floor(round(score, 9) / {STEP}))) AS INTEGER) AS step, coalesce(sum(n) FILTER (allowed), 0) AS n1, coalesce(sum(n) FILTER (NOT allowed), 0) AS n0
+f AS (SELECT u.url, n, allowed, left_out, CASE WHEN (SELECT total1 > 0 AND total0 > 0 FROM t) THEN score
+  ELSE 0.0 END AS score
+      FROM u JOIN (SELECT url, sum(ln(p1) - ln(p0)) / count(*) AS score FROM g JOIN p{ORDER} USING (gram)
+  GROUP BY url) USING (url)),
+h AS (SELECT CAST(greatest(-{STEPS}, least({STEPS}, floor(round(score, 9) / {STEP}))) AS INTEGER) AS step,
+  coalesce(sum(n) FILTER (allowed), 0) AS n1, coalesce(sum(n) FILTER (NOT allowed), 0) AS n0
       FROM f WHERE left_out AND allowed IS NOT NULL GROUP BY 1),
-r AS (SELECT step, round(sum(n1) OVER w / sum(n1) OVER () + 1 - sum(n0) OVER w / sum(n0) OVER (), 9) AS accuracy FROM h WINDOW w AS (ORDER BY step DESC ROWS UNBOUNDED PRECEDING)),
-best AS (SELECT coalesce((SELECT CASE WHEN (SELECT sum(n1) > 0 AND sum(n0) > 0 FROM h) THEN step * CAST({STEP} AS DOUBLE) ELSE 0.0 END
+r AS (SELECT step, round(sum(n1) OVER w / sum(n1) OVER () + 1 - sum(n0) OVER w / sum(n0) OVER (), 9) AS accuracy
+  FROM h WINDOW w AS (ORDER BY step DESC ROWS UNBOUNDED PRECEDING)),
+best AS (SELECT coalesce((SELECT CASE WHEN (SELECT sum(n1) > 0 AND sum(n0) > 0
+  FROM h) THEN step * CAST({STEP} AS DOUBLE) ELSE 0.0 END
          FROM r ORDER BY accuracy DESC, abs(step), step DESC LIMIT 1), 0.0) AS threshold)
-SELECT page_id, host, path, found.rule AS rule, coalesce(found.verdict, CASE WHEN round(f.score, 9) >= threshold THEN 'allow' ELSE 'block' END) AS verdict, round(f.score, 6) AS score
+SELECT page_id, host, path, found.rule AS rule, coalesce(found.verdict, CASE
+  WHEN round(f.score, 9) >= threshold THEN 'allow' ELSE 'block' END) AS verdict, round(f.score, 6) AS score
 FROM known JOIN f ON known.url = f.url, best"""

@@ -66,7 +66,9 @@ class CountViterbi:
                     best[end], count[end] = score, count[end - length] + 1
             if word[end - 1] not in self.known and best[end - 1] + self.unknown > best[end]:
                 best[end], loose[end] = best[end - 1] + self.unknown, True
-                count[end] = count[end - 1] + (len(word[end - 1].encode()) if self.byte_fallback else not loose[end - 1])
+                count[end] = count[end - 1] + (
+                    len(word[end - 1].encode()) if self.byte_fallback else not loose[end - 1]
+                )
         return count[n]
 
     def count(self, text: str) -> int:
@@ -82,7 +84,10 @@ class CountViterbi:
 _MADE: dict[str, CountViterbi] = {}
 
 
-def token_counts(df: DataFrame, vocabulary: list[tuple[str, float]], byte_fallback: bool = True, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def token_counts(
+    df: DataFrame, vocabulary: list[tuple[str, float]], byte_fallback: bool = True, doc_id: str = "doc_id",
+    text: str = "text",
+) -> DataFrame:
     """doc_id, n_tokens of each row. The vocabulary (a few hundred kilobytes) is broadcast."""
     data = pickle.dumps((vocabulary, byte_fallback))
     shared, key = df.sparkSession.sparkContext.broadcast(data), hashlib.sha256(data).hexdigest()

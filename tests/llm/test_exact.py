@@ -26,7 +26,13 @@ def frame(spark, rows):
 
 def prose(seed, n):
     rng = random.Random(seed)
-    return " ".join("".join(rng.choice(["th", "er", "on", "é", "ß", "an", "stre", "ló"]) for _ in range(rng.randint(1, 4))) + rng.choice(["", "", ".", ",\n"]) for _ in range(n))
+    return " ".join(
+        "".join(
+            rng.choice(["th", "er", "on", "é", "ß", "an", "stre", "ló"])
+            for _ in range(rng.randint(1, 4))
+        ) + rng.choice(["", "", ".", ",\n"])
+        for _ in range(n)
+    )
 
 
 @pytest.fixture(scope="module")
@@ -34,9 +40,19 @@ def texts():
     passage, copied = prose(1, 90), prose(2, 60)
     near = copied.split(" ")
     near[30] = "changed"
-    odd = ["", None, " ", "a", "Ab aB", "don't  stop\t\n x", "漢字 ½²  \x1c y", "é" * 500, "ab" * 400, "z" * 3000, "word " * 900, "\x00\x01 ok", "😀" * 40]
-    docs = [*odd, copied, copied, " ".join(near), passage, *(prose(i, 50) + " " + passage[10:420] + " " + prose(i + 99, 40) for i in range(10, 16)), *(prose(i, 30 * i) for i in range(20, 28))]
-    return [*((3 * i + 1, t) for i, t in enumerate(docs)), (4, "same id, other text"), (1, ""), (None, copied), (None, None), (None, "no id")]
+    odd = [
+        "", None, " ", "a", "Ab aB", "don't  stop\t\n x", "漢字 ½²  \x1c y", "é" * 500, "ab" * 400, "z" * 3000,
+        "word " * 900, "\x00\x01 ok", "😀" * 40,
+    ]
+    docs = [
+        *odd, copied, copied, " ".join(near), passage,
+        *(prose(i, 50) + " " + passage[10:420] + " " + prose(i + 99, 40) for i in range(10, 16)),
+        *(prose(i, 30 * i) for i in range(20, 28)),
+    ]
+    return [
+        *((3 * i + 1, t) for i, t in enumerate(docs)), (4, "same id, other text"), (1, ""), (None, copied),
+        (None, None), (None, "no id"),
+    ]
 
 
 def test_bpe_equals_the_library(spark, texts):
@@ -80,7 +96,9 @@ def segments_of(rows, capacity):
 
 
 def brute_segments(rows, capacity):
-    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.parse_ranks(open(RANKS, "rb").read()), special_tokens={})
+    library = tiktoken.Encoding(
+        "own", pat_str=P.PATTERN, mergeable_ranks=bpe.parse_ranks(open(RANKS, "rb").read()), special_tokens={},
+    )
     out = Counter()
     for i, t in rows:
         ids = library.encode_ordinary(t or "")
@@ -109,7 +127,9 @@ def test_packs_lose_nothing(spark, texts, tmp_path):
 
 
 def test_packs_of_given_ids(spark):
-    rows = [(1, np.arange(150, dtype="<u4").tobytes()), (None, np.arange(7, dtype="<u4").tobytes()), (1, None), (2, b"")]
+    rows = [
+        (1, np.arange(150, dtype="<u4").tobytes()), (None, np.arange(7, dtype="<u4").tobytes()), (1, None), (2, b""),
+    ]
     packs = packing.pack(spark.createDataFrame(rows, "doc_id int, ids binary"), capacity=64, pad=0).collect()
     want = Counter({(1, a, np.arange(a, min(150, a + 64), dtype="<u4").tobytes()): 1 for a in (0, 64, 128)})
     want[None, 0, np.arange(7, dtype="<u4").tobytes()] = 1
@@ -118,7 +138,9 @@ def test_packs_of_given_ids(spark):
 
 def test_endless_words_have_the_library_s_ids():
     encode = packing._library(open(RANKS, "rb").read(), P.PATTERN)
-    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.parse_ranks(open(RANKS, "rb").read()), special_tokens={})
+    library = tiktoken.Encoding(
+        "own", pat_str=P.PATTERN, mergeable_ranks=bpe.parse_ranks(open(RANKS, "rb").read()), special_tokens={},
+    )
     for s in ("ab" * 6000, "x " + "ba" * 5000 + " 12 é", "short"):
         assert list(encode(s)) == library.encode_ordinary(s)
 
@@ -190,7 +212,10 @@ def test_syncmers(spark, texts):
     for (i, t), (_, after) in zip(order, order[1:] + order[:1]):
         changed = t[: len(t) - len(t) // 3] + after[: len(t) // 3]
         own, other, following = (brute_sketch(x.encode()) for x in (t, changed, after))
-        want[i, len(t), sha(changed), written_out(own), written_out(other), brute_likeness(own, other), brute_likeness(own, following)] += 1
+        want[
+            i, len(t), sha(changed), written_out(own), written_out(other), brute_likeness(own, other),
+            brute_likeness(own, following),
+        ] += 1
         near[i, t] = brute_likeness(own, other), brute_likeness(own, following)
     assert Counter(map(tuple, rows)) == want
     long = [v for (i, t), v in near.items() if len(t) > 300 and len(set(t)) > 5]
@@ -203,9 +228,15 @@ def test_syncmers(spark, texts):
 
 def test_syncmers_of_text_ids(spark, texts):
     rows = [(f"é{i}" if i % 5 else f"{i}", t or "") for i, t in texts if i not in (None, 1, 4)]
-    got = {r.doc_id: r.edited_sha256 for r in syncmers.fingerprints(spark.createDataFrame(rows, "doc_id string, text string"), parts=4).collect()}
+    got = {
+        r.doc_id: r.edited_sha256
+        for r in syncmers.fingerprints(spark.createDataFrame(rows, "doc_id string, text string"), parts=4).collect()
+    }
     order = sorted(rows, reverse=True)
-    assert got == {i: sha(t[: len(t) - len(t) // 3] + after[: len(t) // 3]) for (i, t), (_, after) in zip(order, order[1:] + order[:1])}
+    assert got == {
+        i: sha(t[: len(t) - len(t) // 3] + after[: len(t) // 3])
+        for (i, t), (_, after) in zip(order, order[1:] + order[:1])
+    }
 
 
 def test_syncmers_are_context_free():
@@ -226,7 +257,9 @@ def brute_matches(doc, items, window=10):
                 if words[i : i + len(g)] == g:
                     hit.update(range(i, i + len(g)))
                     names |= {str(name)} - {"None"}
-                    n = next((n for n in range(len(g), len(w) - at) if words[i + n : i + n + 1] != [w[at + n]]), len(w) - at)
+                    n = next(
+                        (n for n in range(len(g), len(w) - at) if words[i + n : i + n + 1] != [w[at + n]]), len(w) - at,
+                    )
                     best = min(best, (-n, i, name is None, "" if name is None else str(name), at))
     longest = (-best[0], best[1], best[3] if not best[2] else None, best[4]) if hit else (0, None, None, None)
     return len(words), len(hit), len(names), sha(",".join(sorted(names))), bool(hit), *longest
@@ -234,13 +267,19 @@ def brute_matches(doc, items, window=10):
 
 def items_of(texts):
     passage = next(t for i, t in texts if i == 1 + 3 * 16)
-    return [(10, passage[30:300]), (9, passage[30:300].upper()), (2, "Ab ab"), (3, ""), (4, None), (None, "don't stop x"), (7, prose(77, 30)), (8, "word word word"), (11, "word " * 25), (12, "ab cd " + passage[40:260] + " xyz"), (12, passage[100:390])]
+    return [
+        (10, passage[30:300]), (9, passage[30:300].upper()), (2, "Ab ab"), (3, ""), (4, None), (None, "don't stop x"),
+        (7, prose(77, 30)), (8, "word word word"), (11, "word " * 25), (12, "ab cd " + passage[40:260] + " xyz"),
+        (12, passage[100:390]),
+    ]
 
 
 @pytest.mark.parametrize("block_bytes", [1 << 25, 300])
 def test_decontamination(spark, texts, block_bytes):
     items = items_of(texts)
-    benchmark = spark.createDataFrame([(i, t, 5) for i, t in [*items, items[0]]], "item_id long, text string, n_words int")
+    benchmark = spark.createDataFrame(
+        [(i, t, 5) for i, t in [*items, items[0]]], "item_id long, text string, n_words int",
+    )
     docs = frame(spark, texts).withColumn("digest", F.lit(1))
     got = decontam.digests(docs, benchmark, block_bytes=block_bytes).collect()
     assert Counter(map(tuple, got)) == Counter((i, *brute_matches(t, items)) for i, t in texts)
@@ -256,11 +295,17 @@ def test_matches_on_few_words():
     rng = random.Random(12)
     draw = lambda n: " ".join(rng.choice("ab" if rng.random() < 0.9 else "abcz") for _ in range(n))
     for trial in range(60):
-        items = [(str(i), draw(rng.randint(1, 14))) for i in range(rng.randint(1, 4))] + ([(None, draw(6))] if trial % 3 == 0 else [])
+        items = [(str(i), draw(rng.randint(1, 14))) for i in range(rng.randint(1, 4))] + (
+            [(None, draw(6))] if trial % 3 == 0 else []
+        )
         texts = [draw(rng.randint(0, 30)) for _ in range(4)]
-        found = decontam.search([t.encode() for t in texts], decontam.TestSuffixes([(i, t.encode()) for i, t in items], 4))
+        found = decontam.search(
+            [t.encode() for t in texts], decontam.TestSuffixes([(i, t.encode()) for i, t in items], 4),
+        )
         for text, (n, spans, names, *longest) in zip(texts, found):
-            assert (n, sum(b - a for a, b in spans), len(names), sha(",".join(names)), bool(spans), *longest) == brute_matches(text, items, 4)
+            assert (
+                n, sum(b - a for a, b in spans), len(names), sha(",".join(names)), bool(spans), *longest,
+            ) == brute_matches(text, items, 4)
 
 
 def test_a_large_benchmark_stays_small_in_memory():
@@ -292,7 +337,9 @@ def test_token_counts_on_ties():
     for _ in range(300):
         pieces = {"".join(rng.choice("abc▁") for _ in range(rng.randint(1, 4))) for _ in range(12)} | {"▁"}
         vocabulary = [("<unk>", 0.0), *((p, -float(rng.randint(1, 4))) for p in sorted(pieces))]
-        library, own = Tokenizer(models.Unigram(vocabulary, unk_id=0, byte_fallback=False)), viterbi.CountViterbi(vocabulary, False)
+        library, own = Tokenizer(
+            models.Unigram(vocabulary, unk_id=0, byte_fallback=False)
+        ), viterbi.CountViterbi(vocabulary, False)
         for _ in range(10):
             word = "".join(rng.choice("abcd") for _ in range(rng.randint(1, 12)))
             assert own.count_word(word) == len(library.encode(word, add_special_tokens=False).ids), (vocabulary, word)
@@ -336,7 +383,11 @@ def test_near_links_over_many_shards(spark):
         for _ in range(60):
             c ^= (1 << rng.randrange(64)) | (1 << rng.randrange(64))
             values.add(c)
-    values |= {rng.getrandbits(64) for _ in range(1500)} | {centres[0] ^ (1 << i) ^ (1 << j) for i in range(20) for j in range(i)}
+    values |= {rng.getrandbits(64) for _ in range(1500)} | {
+        centres[0] ^ (1 << i) ^ (1 << j)
+        for i in range(20)
+        for j in range(i)
+    }
     values = sorted(values)
     signed = [v - (1 << 64) if v >> 63 else v for v in values]
     fps = spark.createDataFrame([(v,) for v in signed], "fp long")
@@ -360,13 +411,20 @@ def test_near_links_over_many_shards(spark):
 def test_an_unsplit_leaf_is_dealt_into_parts(spark):
     """Points of one dense ball, which no vantage point parts, and a hub that all of a class link to."""
     centre = 0x0123456789ABCDEF
-    values = sorted({centre, *(centre ^ (1 << i) for i in range(64)), *(centre ^ (1 << i) ^ (1 << j) for i in range(12) for j in range(i))})
+    values = sorted(
+        {
+            centre, *(centre ^ (1 << i) for i in range(64)),
+            *(centre ^ (1 << i) ^ (1 << j) for i in range(12) for j in range(i)),
+        }
+    )
     points = np.array(values, dtype=np.uint64)
     tree = simhash.VantageTree(points, len(points), 2, 20)
     rows, leaf, home = tree.deal(points)
     assert sorted(rows[home].tolist()) == list(range(len(points))) and np.bincount(leaf[home]).max() < 60
     signed = [v - (1 << 64) if v >> 63 else v for v in values]
-    got = simhash.components(simhash.local_links(spark.createDataFrame([(v,) for v in signed], "fp long"), 2, shard=20)).collect()
+    got = simhash.components(
+        simhash.local_links(spark.createDataFrame([(v,) for v in signed], "fp long"), 2, shard=20)
+    ).collect()
     assert {r.node: r.root for r in got} == dict.fromkeys(signed, min(signed))
 
 
@@ -381,7 +439,10 @@ def test_copies_of_a_fingerprint():
 def test_one_of_each(spark, texts):
     """One row of each class, with its least id; classes that share their least id, where ids repeat, keep one each."""
     unique = [(i, t) for i, t in {i: t for i, t in texts if i is not None}.items()]
-    for rows in (texts, unique, [(1, "one text"), (1, "and another text"), (1, "one text"), (None, "a third"), (None, "a third")]):
+    for rows in (
+        texts, unique,
+        [(1, "one text"), (1, "and another text"), (1, "one text"), (None, "a third"), (None, "a third")],
+    ):
         out = simhash.one_of_each(frame(spark, rows))
         assert out.columns == frame(spark, rows).columns
         kept = out.select("doc_id", "text").collect()
@@ -390,9 +451,14 @@ def test_one_of_each(spark, texts):
         for f in set(fps):
             near = [g for g in groups if any((f ^ x).bit_count() <= 2 for x in g)]
             groups = [g for g in groups if g not in near] + [set().union({f}, *near)]
-        want = Counter(min((i for (i, _), f in zip(rows, fps) if f in g and i is not None), default=None) for g in groups)
+        want = Counter(
+            min((i for (i, _), f in zip(rows, fps) if f in g and i is not None), default=None)
+            for g in groups
+        )
         assert Counter(r.doc_id for r in kept) == want
-        assert len({next(k for k, g in enumerate(groups) if brute_fingerprint(r.text) in g) for r in kept}) == len(groups)
+        assert len(
+            {next(k for k, g in enumerate(groups) if brute_fingerprint(r.text) in g) for r in kept}
+        ) == len(groups)
 
 
 def brute_removed(rows, length):
@@ -412,7 +478,9 @@ def brute_removed(rows, length):
 @pytest.mark.parametrize("length, gram, hot_bytes, shard_bytes", [(200, 64, None, 1 << 21), (40, 12, 300, 3000)])
 def test_suffix_dedup(spark, texts, length, gram, hot_bytes, shard_bytes):
     for rows in (texts, [(i, t) for i, t in {i: t for i, t in texts if i is not None}.items()]):
-        got = suffix.digests(frame(spark, rows), length=length, gram=gram, hot_bytes=hot_bytes, shard_bytes=shard_bytes).collect()
+        got = suffix.digests(
+            frame(spark, rows), length=length, gram=gram, hot_bytes=hot_bytes, shard_bytes=shard_bytes,
+        ).collect()
         assert Counter(map(tuple, got)) == brute_removed(rows, length)
     assert suffix.digests(frame(spark, [])).count() == 0
 
@@ -420,7 +488,10 @@ def test_suffix_dedup(spark, texts, length, gram, hot_bytes, shard_bytes):
 def test_hot_anchors_are_split(spark):
     """One passage in many texts whose surroundings differ: every piece is another one, and some windows occur once."""
     passage = prose(5, 12)[:55]
-    rows = [(i, prose(1000 + i % 37, 6)[: 20 + i % 11] + passage + prose(2000 + i % 41, 6)[: 15 + i % 13]) for i in range(120)]
+    rows = [
+        (i, prose(1000 + i % 37, 6)[: 20 + i % 11] + passage + prose(2000 + i % 41, 6)[: 15 + i % 13])
+        for i in range(120)
+    ]
     for hot_bytes in (1, 400, 5000):
         got = suffix.digests(frame(spark, rows), length=40, gram=12, hot_bytes=hot_bytes, shard_bytes=5000).collect()
         assert Counter(map(tuple, got)) == brute_removed(rows, 40)
@@ -438,7 +509,10 @@ def test_halves_hold_every_window():
             own = part[start : start + count + 39]
             assert all(core in own[i : i + 40] for i in range(count)) and len(core) == 40 - (b - a)
             (parts if a == b else todo).append((a, b, first + start, own))
-    assert sorted(first for _, _, first, _ in parts) == list(range(len(windows))) and all(len(own) == 40 for *_, own in parts)
+    assert sorted(first for _, _, first, _ in parts) == list(range(len(windows))) and all(
+        len(own) == 40
+        for *_, own in parts
+    )
 
 
 @pytest.mark.parametrize("unit", ["z", "ab", "abcdefg", "0123456789012345678"])
@@ -448,7 +522,10 @@ def test_periodic_text_takes_few_rows(unit):
 
 
 def test_periodic_texts_against_brute_force(spark):
-    runs = ["z" * 900, "z" * 201, "z" * 200, "ab" * 300, "b" + "ab" * 150, "xyz" * 300 + prose(4, 30), prose(4, 30) + "xyz" * 120, "ab" * 99 + "a", "zz" + prose(9, 60) + "z" * 230]
+    runs = [
+        "z" * 900, "z" * 201, "z" * 200, "ab" * 300, "b" + "ab" * 150, "xyz" * 300 + prose(4, 30),
+        prose(4, 30) + "xyz" * 120, "ab" * 99 + "a", "zz" + prose(9, 60) + "z" * 230,
+    ]
     rows = list(enumerate(runs))
     for length, gram, hot_bytes in ((200, 64, None), (40, 12, 200)):
         got = suffix.digests(frame(spark, rows), length=length, gram=gram, hot_bytes=hot_bytes).collect()

@@ -16,9 +16,16 @@ SF = "/root/testdata/sf0.001"
 
 def page_rows():
     rng = random.Random(5)
-    odd = [None, "", "no scheme", "http://", "http://NET/es/x?q#f", "https://a.Example.com/en/y", "https://www.example.com/en/?z", "http://com#a", "ftp://xcom/", "x://y.net/fr/", "//a.com/b://c", "http://é.org/ü 1"]
+    odd = [
+        None, "", "no scheme", "http://", "http://NET/es/x?q#f", "https://a.Example.com/en/y",
+        "https://www.example.com/en/?z", "http://com#a", "ftp://xcom/", "x://y.net/fr/", "//a.com/b://c",
+        "http://é.org/ü 1",
+    ]
     sites = ["a.com", "shop.com", "b.net", "c.org", "d.io", "www.example.com", "m.example.com"]
-    made = [f"http://{rng.choice(sites)}/{rng.choice(['es', 'fr', 'en', 'x1'])}/{''.join(rng.choice('abcdeilnorst-') for _ in range(rng.randint(1, 12)))}{rng.choice(['', '?p=2', '#top', '.html'])}" for _ in range(300)]
+    made = [
+        f"http://{rng.choice(sites)}/{rng.choice(['es', 'fr', 'en', 'x1'])}/{''.join(rng.choice('abcdeilnorst-') for _ in range(rng.randint(1, 12)))}{rng.choice(['', '?p=2', '#top', '.html'])}"
+        for _ in range(300)
+    ]
     return [*enumerate(odd), *enumerate(made, 100), (100, made[0]), (None, "http://b.net/es/q")]
 
 
@@ -72,22 +79,34 @@ def brute_urls(rows):
         each = [s[i - urls.ORDER : i + 1] for i in range(urls.ORDER, len(s))]
         return sum(math.log(good.p(g)) - math.log(bad.p(g)) for g in each) / len(each)
 
-    left = [(max(-urls.STEPS, min(urls.STEPS, math.floor(round(score(u), 9) / urls.STEP))), v) for u, v in judged if out(u)]
+    left = [
+        (max(-urls.STEPS, min(urls.STEPS, math.floor(round(score(u), 9) / urls.STEP))), v)
+        for u, v in judged if out(u)
+    ]
     allowed, blocked = [s for s, v in left if v == "allow"], [s for s, v in left if v == "block"]
     assert allowed and blocked
-    right = lambda at: round(sum(s >= at for s in allowed) / len(allowed) + 1 - sum(s >= at for s in blocked) / len(blocked), 9)
+    right = lambda at: round(
+        sum(s >= at for s in allowed) / len(allowed) + 1 - sum(s >= at for s in blocked) / len(blocked), 9,
+    )
     limit = max({s for s, _ in left}, key=lambda at: (right(at), -abs(at), at)) * urls.STEP
-    return [(i, h, p, r and r[1], r[0] if r else "allow" if score(u) >= limit else "block", score(u)) for (i, u, h, p), r in zip(parsed, rules)]
+    return [
+        (i, h, p, r and r[1], r[0] if r else "allow" if score(u) >= limit else "block", score(u))
+        for (i, u, h, p), r in zip(parsed, rules)
+    ]
 
 
 def test_urls_equal_brute_force(spark):
     rows = page_rows()
-    pages = spark.createDataFrame([(i, u, "h", "v") for i, u in rows], "page_id long, url string, host string, verdict string")
+    pages = spark.createDataFrame(
+        [(i, u, "h", "v") for i, u in rows], "page_id long, url string, host string, verdict string",
+    )
     got = urls.judge(pages, queries.URL_RULES).collect()
     want = brute_urls(rows)
     assert Counter(tuple(r)[:5] for r in got) == Counter(r[:5] for r in want)
     key = lambda r: (r[0] is None, r[0] or 0, r[1], r[2], r[5])
-    assert [r[5] for r in sorted(map(tuple, got), key=key)] == pytest.approx([r[5] for r in sorted(want, key=key)], abs=2e-6)
+    assert [r[5] for r in sorted(map(tuple, got), key=key)] == pytest.approx(
+        [r[5] for r in sorted(want, key=key)], abs=2e-6,
+    )
 
 
 @pytest.mark.parametrize("hot", [4096, 20])
@@ -95,7 +114,10 @@ def test_urls_equal_sql(spark, tmp_path, monkeypatch, hot):
     """Both ways to look ratios up; null, empty, repeated and very long urls and characters beyond ASCII."""
     monkeypatch.setattr(urls, "HOT", hot)
     long = "http://x.org/" + "ab1/" * 5_000
-    rows = [*page_rows(), (900, long), *[(901, "http://shop.com/en/hot")] * 50, (902, "http://漢字.net/é"), (903, "HTTP://B.NET/ES/Q")]
+    rows = [
+        *page_rows(), (900, long), *[(901, "http://shop.com/en/hot")] * 50, (902, "http://漢字.net/é"),
+        (903, "HTTP://B.NET/ES/Q"),
+    ]
     spark.createDataFrame(rows, "page_id long, url string").repartition(3).write.parquet(f"{tmp_path}/pages.parquet")
     con = duckdb.connect()
     con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
@@ -121,11 +143,22 @@ def test_urls_stay_native(spark):
 
 def toxic_docs(spark):
     rng = random.Random(9)
-    clean = [a + b for a in ("riv", "tab", "clou", "mus", "gard", "wind", "pap", "ston") for b in ("er", "el", "en", "ic", "ow", "a", "is", "um")]
-    text = lambda bad: " ".join([rng.choice(clean) for _ in range(30)] + (["vilebad", "Nastyword"] if bad else []))
-    docs = [(i, text(i % 5 == 0), "x") for i in range(400)] + [(1, None, "x"), (2, "", "x"), (None, "vilebad nastyword", "x"), (3, "garden " * 30_000 + "vilebad nastyword", "x")]
+    clean = [
+        a + b
+        for a in ("riv", "tab", "clou", "mus", "gard", "wind", "pap", "ston")
+        for b in ("er", "el", "en", "ic", "ow", "a", "is", "um")
+    ]
+    text = lambda bad: " ".join(
+        [rng.choice(clean) for _ in range(30)] + (["vilebad", "Nastyword"] if bad else [])
+    )
+    docs = [(i, text(i % 5 == 0), "x") for i in range(400)] + [
+        (1, None, "x"), (2, "", "x"), (None, "vilebad nastyword", "x"),
+        (3, "garden " * 30_000 + "vilebad nastyword", "x"),
+    ]
     labels = [(i, int(i % 5 == 0)) for i in range(300)] + [(7, None), (None, 1), (0, 0)]
-    return spark.createDataFrame(docs, "doc_id long, text string, score string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    return spark.createDataFrame(docs, "doc_id long, text string, score string"), spark.createDataFrame(
+        labels, "doc_id long, toxic int",
+    )
 
 
 def test_toxicity(spark):
@@ -142,7 +175,9 @@ def test_toxicity(spark):
 def test_toxicity_of_repeated_ids(spark):
     """An id with many rows is one of the sample: its least text."""
     docs, labels = toxic_docs(spark)
-    repeated = docs.unionByName(docs.where("doc_id = 0").crossJoin(spark.range(300)).select(*docs.columns)).unionByName(docs.where("doc_id = 7"))
+    repeated = docs.unionByName(
+        docs.where("doc_id = 0").crossJoin(spark.range(300)).select(*docs.columns)
+    ).unionByName(docs.where("doc_id = 7"))
     model = toxicity.fit(repeated, labels, split_remainder("doc_id", 4) != 2)
     again = toxicity.fit(docs, labels, split_remainder("doc_id", 4) != 2)
     assert model.weights == again.weights and model.bias == again.bias
@@ -153,7 +188,12 @@ def test_negative_evidence_has_weights():
     import numpy as np
 
     rng = random.Random(4)
-    doc = lambda bad: np.array(sorted({rng.randrange(100, 160) for _ in range(20)} | ({1, 2} if bad else {7} if rng.random() < 0.9 else set())), dtype=np.int32)
+    doc = lambda bad: np.array(
+        sorted(
+            {rng.randrange(100, 160) for _ in range(20)} | ({1, 2} if bad else {7} if rng.random() < 0.9 else set())
+        ),
+        dtype=np.int32,
+    )
     weights, bias = toxicity.train([doc(True) for _ in range(80)], [doc(i % 10 == 0) for i in range(600)], 0.1)
     assert {1, 2, 7} <= set(weights) and weights[7] < 0 < weights[1]
 
@@ -161,8 +201,13 @@ def test_negative_evidence_has_weights():
 def test_toxicity_on_held_out_rows(spark):
     """sf0.01: 37 toxic documents to learn from; 5 of the 14 held out have no word of those in common."""
     sf = "/root/testdata/sf0.01"
-    rows = queries.op6_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out AND toxic IS NOT NULL").collect()
-    caught, said, toxic = sum(r.toxic * r.predicted for r in rows), sum(r.predicted for r in rows), sum(r.toxic for r in rows)
+    rows = queries.op6_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where(
+        "held_out AND toxic IS NOT NULL"
+    ).collect()
+    caught, said, toxic = sum(
+        r.toxic * r.predicted
+        for r in rows
+    ), sum(r.predicted for r in rows), sum(r.toxic for r in rows)
     assert caught / said >= 0.85 and caught / toxic >= 0.6
 
 
@@ -178,21 +223,36 @@ def test_corrected_risk_does_not_fall_below_zero():
     import numpy as np
 
     rng = random.Random(3)
-    doc = lambda bad: np.array(sorted({rng.randrange(100, 160) for _ in range(20)} | ({1, 2} if bad else set())), dtype=np.int32)
+    doc = lambda bad: np.array(
+        sorted({rng.randrange(100, 160) for _ in range(20)} | ({1, 2} if bad else set())), dtype=np.int32,
+    )
     weights, bias = toxicity.train([doc(True) for _ in range(60)], [doc(i % 10 == 0) for i in range(400)], 0.1)
     assert {1, 2} <= set(weights) and bias + weights[1] + weights[2] > 0 > bias
 
 
 def test_language_on_held_out_rows(spark):
-    rows = queries.op7_language(spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang", "text"), "doc_id").collect()
+    rows = queries.op7_language(spark, SF).join(
+        spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang", "text"), "doc_id",
+    ).collect()
     judged = [r for r in rows if r.held_out and r.lang is not None and r.lang_pred != langid.UNDETERMINED]
     assert len(judged) > 10 and sum(r.lang == r.lang_pred for r in judged) / len(judged) > 0.85
     assert all(0 <= r.score <= 1 for r in rows)
 
 
 def test_language_edge_cases(spark):
-    docs = [(i, t, lang) for i, (t, lang) in enumerate([("the house and the garden", "en"), ("das haus und der garten", "de"), ("la maison et le jardin", "fr"), ("hus og hage og fjord", "no"), ("casa e giardino bello", "it"), ("dom i ogród zielony", "pl")] * 12)]
-    odd = [(900, None, "en"), (901, "", None), (902, "12 34 !?", "en"), (903, "house", None), (904, "das haus " * 40_000, "de"), (904, "漢字", "en")]
+    docs = [
+        (i, t, lang)
+        for i, (t, lang) in enumerate(
+            [
+                ("the house and the garden", "en"), ("das haus und der garten", "de"), ("la maison et le jardin", "fr"),
+                ("hus og hage og fjord", "no"), ("casa e giardino bello", "it"), ("dom i ogród zielony", "pl"),
+            ] * 12
+        )
+    ]
+    odd = [
+        (900, None, "en"), (901, "", None), (902, "12 34 !?", "en"), (903, "house", None),
+        (904, "das haus " * 40_000, "de"), (904, "漢字", "en"),
+    ]
     frame = spark.createDataFrame([*docs, *odd], "doc_id long, text string, lang string")
     model = langid.fit(frame, split_remainder("doc_id", 5) != 0)
     assert set(model.languages) == {"en", "de", "fr", "no", "it", "pl"} and model.code.shape[0] == 6

@@ -91,14 +91,25 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     kept = [(i, t) for i, t in kept if not brute_matches(t, items)[4]]
     assert rows(stages[3]) == Counter(kept) and len(kept) < len(rows(stages[2]))
 
-    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.parse_ranks(open(RANKS, "rb").read()), special_tokens={})
+    library = tiktoken.Encoding(
+        "own", pat_str=P.PATTERN, mergeable_ranks=bpe.parse_ranks(open(RANKS, "rb").read()), special_tokens={},
+    )
     ids = [(i, t or "", library.encode_ordinary(t or "")) for i, t in kept]
     want = Counter((i, len(x), sha(np.array(x, "<u4").tobytes()), sha(t)) for i, t, x in ids)
     assert Counter(map(tuple, stages[4].collect())) == want
     assert Counter(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).collect())) == want
 
 
-@pytest.mark.parametrize("docs", [[], [(None, None)], [(1, "same id"), (1, "another text"), (1, "same id"), (None, "x y z"), (None, "x y z"), (None, None), (2, ""), (2, None)]])
+@pytest.mark.parametrize(
+    "docs",
+    [
+        [], [(None, None)],
+        [
+            (1, "same id"), (1, "another text"), (1, "same id"), (None, "x y z"), (None, "x y z"), (None, None),
+            (2, ""), (2, None),
+        ],
+    ],
+)
 def test_pipeline_on_odd_tables(spark, tmp_path, docs):
     """Empty tables, null ids and texts, repeated ids and rows: no stage fails, and no text is lost but for its copies."""
     saved(spark, tmp_path, docs, [(1, 1, 0), (None, 0, None)], [(1, "no such words as these here")])
@@ -107,4 +118,6 @@ def test_pipeline_on_odd_tables(spark, tmp_path, docs):
     for stage in stages:
         found = [r.text or "" for r in stage.collect()]
         assert set(found) == texts
-    assert last.count() == stages[-1].count() and last.columns[:4] == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert last.count() == stages[-1].count() and last.columns[:4] == [
+        "doc_id", "n_tokens", "ids_sha256", "decoded_sha256",
+    ]
