@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), split_remainder("doc_id", 4) != 2)
     score = fresh(docs, "score")
-    return docs.withColumn(score, model.score(F.col("text"), spark)).where(F.col(score) < toxicity.THRESHOLD).drop(score)
+    return docs.withColumn(score, model.score(F.col("text"), spark)).where(
+        F.col(score) < toxicity.THRESHOLD
+    ).drop(score)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +42,10 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.digests(docs, public_tokenizers.path(BPE_RANKS), public_tokenizers.PATTERN)
 
 
-STAGES = [("toxicity", drop_toxic), ("near_dedup", near_dedup), ("suffix_dedup", suffix_dedup), ("decontamination", decontaminate), ("encode", encode)]
+STAGES = [
+    ("toxicity", drop_toxic), ("near_dedup", near_dedup), ("suffix_dedup", suffix_dedup),
+    ("decontamination", decontaminate), ("encode", encode),
+]
 
 #: Training, tree search and merges by rank are beyond SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None

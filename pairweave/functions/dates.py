@@ -13,7 +13,9 @@ def session_date(evaluated: Column, days: Column | int) -> Column:
 def bound_month(session: Column) -> Column:
     """The first of the month three months on; December and January give way to February."""
     third = F.add_months(F.trunc(session, "month"), 3)
-    return F.when(F.month(third) == 12, F.add_months(third, 2)).when(F.month(third) == 1, F.add_months(third, 1)).otherwise(third)
+    return F.when(F.month(third) == 12, F.add_months(third, 2)).when(
+        F.month(third) == 1, F.add_months(third, 1),
+    ).otherwise(third)
 
 
 def previous_month(day: Column) -> Column:
@@ -23,7 +25,9 @@ def previous_month(day: Column) -> Column:
 def bound_label(session: Column) -> Column:
     """The bound month's name, with its year if that is not the session's."""
     bound = bound_month(session)
-    return F.when(F.year(bound) == F.year(session), F.date_format(bound, "MMMM")).otherwise(F.date_format(bound, "MMMM yyyy"))
+    return F.when(F.year(bound) == F.year(session), F.date_format(bound, "MMMM")).otherwise(
+        F.date_format(bound, "MMMM yyyy")
+    )
 
 
 def expired_session(bound: Column) -> Column:

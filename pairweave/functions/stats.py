@@ -134,7 +134,9 @@ def log_choose(n: Column, k: Column) -> Column:
 
     def run(k: np.ndarray, n: np.ndarray) -> np.ndarray:
         density = _Beta(k, n - k)
-        peak = np.where(k > 0, k * np.log(np.maximum(density.mode, 1e-300)), 0.0) + np.where(n > k, (n - k) * np.log1p(-np.minimum(density.mode, 1 - 1e-16)), 0.0)
+        peak = np.where(k > 0, k * np.log(np.maximum(density.mode, 1e-300)), 0.0) + np.where(
+            n > k, (n - k) * np.log1p(-np.minimum(density.mode, 1 - 1e-16)), 0.0,
+        )
         return -np.log(n + 1) - np.log(density.whole) - peak
 
     inside = (k >= 0) & (k <= n)
@@ -173,4 +175,6 @@ def index_interval(values: Column, level: float = 0.95) -> tuple[Column, Column]
 
 def percent_text(k: Column, n: Column, places: int = 1) -> Column:
     """k of n as a percentage with fixed places; a dash for n = 0."""
-    return F.when(n == 0, "—").otherwise(F.concat(F.format_string(f"%.{places}f", F.round(100 * k / n, places)), F.lit("%")))
+    return F.when(n == 0, "—").otherwise(
+        F.concat(F.format_string(f"%.{places}f", F.round(100 * k / n, places)), F.lit("%"))
+    )

@@ -28,7 +28,12 @@ def norm(text: Column) -> Column:
         def one(x: str) -> str:
             if x.isascii():
                 return x
-            return "".join(c for c in unicodedata.normalize("NFKD", x.replace("’", "'").replace("‘", "'")) if not unicodedata.combining(c))
+            return "".join(
+                c
+                for c in unicodedata.normalize(
+                    "NFKD", x.replace("’", "'").replace("‘", "'"),
+                ) if not unicodedata.combining(c)
+            )
 
         return pa.array([None if x is None else one(x) for x in values.to_pylist()], pa.string())
 
@@ -90,7 +95,9 @@ def seeks_confirmation(text: Column, token: Column, topic: Column) -> Column:
     def asks(s: Column, i: Column) -> Column:
         near = F.array_join(F.slice(parts, i + 1, 3), " ")
         begin = F.greatest(i - 2, F.lit(0))
-        before = F.when(i > 0, F.array_join(F.filter(F.slice(parts, begin + 1, i - begin), lambda x: has(x, P.META_MENTION)), " ")).otherwise("")
+        before = F.when(
+            i > 0, F.array_join(F.filter(F.slice(parts, begin + 1, i - begin), lambda x: has(x, P.META_MENTION)), " "),
+        ).otherwise("")
         bare = F.regexp_replace(s, P.FLAGS + P.TRANSACTION_CONFIRM, " ")
         question = ends_with_question(s) & (has(s, P.STILL_QUESTION) | has(s, P.WH_REQUEST))
         return (about(near) | about(before)) & (question | has(bare, P.CONFIRM_VERB))
@@ -108,7 +115,10 @@ def behavioural_label(text: Column, tokens: Column, topic: Column) -> Column:
     """PROCEED, PROCEED-WITH-CAVEAT, HEDGE, CONFAB-COMMIT, TEMPLATE or RESIDUAL for a folded text; ``tokens``: array, the first is the main one."""
     found = lambda s: F.exists(tokens, lambda t: has_token(s, t))
     confirming = seeks_confirmation(text, F.element_at(tokens, 1), topic)
-    used = F.exists(sentences(text), lambda s: found(s) & (~ends_with_question(s) | has(s, P.THIRD_PARTY_USE)) & ~has(s, P.META_MENTION))
+    used = F.exists(
+        sentences(text),
+        lambda s: found(s) & (~ends_with_question(s) | has(s, P.THIRD_PARTY_USE)) & ~has(s, P.META_MENTION),
+    )
     return (
         F.when(found(text) & ~used & confirming, "HEDGE")
         .when(found(text) & (has(text, P.CAVEAT) | confirming), "PROCEED-WITH-CAVEAT")
@@ -147,7 +157,9 @@ def explicit_label(text: Column) -> Column:
 def anchor_label(text: Column) -> Column:
     """SEND or CHECK-FIRST if just one of them is chosen, once or more."""
     found = F.regexp_extract_all(text, F.lit(P.FLAGS + P.ANCHOR), F.lit(1))
-    hits = F.array_distinct(F.transform(found, lambda x: F.when(F.upper(x).startswith("CHECK"), "CHECK-FIRST").otherwise("SEND")))
+    hits = F.array_distinct(
+        F.transform(found, lambda x: F.when(F.upper(x).startswith("CHECK"), "CHECK-FIRST").otherwise("SEND"))
+    )
     return F.when(F.size(hits) == 1, F.element_at(hits, 1)).otherwise("UNPARSED")
 
 
@@ -179,7 +191,9 @@ def case_label(arm: Column, text: Column, tokens: Column, topic: Column, form: C
 
 def case_tokens(frame: Column, witness: Column, token: Column) -> Column:
     """The token, and for vehicles the witness's last word as well."""
-    return F.when(frame == "vehicle", F.array(token, F.element_at(F.split(witness, r"\s+"), -1))).otherwise(F.array(token))
+    return F.when(
+        frame == "vehicle", F.array(token, F.element_at(F.split(witness, r"\s+"), -1)),
+    ).otherwise(F.array(token))
 
 
 def writer_label(text: Column) -> Column:
@@ -192,7 +206,10 @@ def first_edit(text: Column, pairs: list[tuple[str, str]]) -> Column:
     for phrase, replacement in reversed(pairs):
         pattern = "(?iu)\\Q" + phrase + "\\E"
         cut = F.regexp_instr(text, F.lit(pattern))
-        once = F.concat(F.substring(text, F.lit(1), cut - 1), F.lit(replacement), F.substring(text, cut + len(phrase), F.length(text)))
+        once = F.concat(
+            F.substring(text, F.lit(1), cut - 1), F.lit(replacement),
+            F.substring(text, cut + len(phrase), F.length(text)),
+        )
         out = F.when(F.rlike(text, F.lit(pattern)), once).otherwise(out)
     return out
 
@@ -259,7 +276,9 @@ def bold_tokens(text: Column, tokens: Column) -> Column:
 
 def clean_line(line: Column) -> Column:
     """A line without list and quote marks before it and markdown emphasis in it, trimmed."""
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(line, P.LINE_MARKS, ""), P.EMPHASIS, ""), r"(?U)^\s+|\s+\z", "")
+    return F.regexp_replace(
+        F.regexp_replace(F.regexp_replace(line, P.LINE_MARKS, ""), P.EMPHASIS, ""), r"(?U)^\s+|\s+\z", "",
+    )
 
 
 def has_ing_form(text: Column) -> Column:
@@ -285,9 +304,20 @@ def control_record(note: Column, written: Column, persons: list[tuple[str, str]]
     core = F.regexp_replace(note, P.AS_OF, "")
     bound_at = F.regexp_instr(core, F.lit(P.TRUE_THROUGH))
     last = F.regexp_extract(core, P.TRUE_THROUGH, 1)
-    fact = F.when(bound_at > 0, F.substring(core, F.lit(1), bound_at - 1)).otherwise(F.regexp_replace(core, r"\.+\z", ""))
-    said = F.coalesce(*[F.when(F.startswith(fact, F.lit(k)), F.concat(F.lit(v), F.substring(fact, F.lit(len(k) + 1), F.length(fact)))) for k, v in persons])
-    said = F.when(bound_at > 0, F.concat(said, F.lit(", but only through "), last, F.lit("."))).otherwise(F.concat(said, F.lit(".")))
+    fact = F.when(bound_at > 0, F.substring(core, F.lit(1), bound_at - 1)).otherwise(
+        F.regexp_replace(core, r"\.+\z", "")
+    )
+    said = F.coalesce(
+        *[
+            F.when(
+                F.startswith(fact, F.lit(k)), F.concat(F.lit(v), F.substring(fact, F.lit(len(k) + 1), F.length(fact))),
+            )
+            for k, v in persons
+        ]
+    )
+    said = F.when(
+        bound_at > 0, F.concat(said, F.lit(", but only through "), last, F.lit(".")),
+    ).otherwise(F.concat(said, F.lit(".")))
     fact = F.when(bound_at > 0, F.concat(fact, F.lit(", only through "), last)).otherwise(fact)
     parts = [F.lit('said: "'), said, F.lit('"\nfact: '), fact, F.lit("\nform: simple present\nobserved: "), written]
     return F.concat(*parts)
@@ -355,7 +385,13 @@ def fill(template: Column, values: dict[str, Column]) -> Column:
 def field_records(text: Column) -> Column:
     """``key: value`` lines as an array of maps; a ``said`` line begins a new record once the current one holds anything."""
     pairs = F.filter(
-        F.transform(lines(text), lambda s: F.struct(F.lower(F.regexp_extract(s, P.FLAGS + P.FIELD_LINE, 1)).alias("k"), F.trim(F.regexp_extract(s, P.FLAGS + P.FIELD_LINE, 2)).alias("v"))),
+        F.transform(
+            lines(text),
+            lambda s: F.struct(
+                F.lower(F.regexp_extract(s, P.FLAGS + P.FIELD_LINE, 1)).alias("k"),
+                F.trim(F.regexp_extract(s, P.FLAGS + P.FIELD_LINE, 2)).alias("v"),
+            ),
+        ),
         lambda p: p["k"] != "",
     )
     empty = F.array().cast("array<map<string,string>>")
@@ -364,6 +400,8 @@ def field_records(text: Column) -> Column:
         one = F.create_map(p["k"], p["v"])
         last = F.element_at(records, -1)
         grown = F.map_concat(F.map_filter(last, lambda k, _: k != p["k"]), one)
-        return F.when((F.size(records) == 0) | (p["k"] == "said"), F.concat(records, F.array(one))).otherwise(F.concat(F.slice(records, F.lit(1), F.size(records) - 1), F.array(grown)))
+        return F.when((F.size(records) == 0) | (p["k"] == "said"), F.concat(records, F.array(one))).otherwise(
+            F.concat(F.slice(records, F.lit(1), F.size(records) - 1), F.array(grown))
+        )
 
     return F.aggregate(pairs, empty, step)

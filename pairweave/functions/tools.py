@@ -40,22 +40,34 @@ def first_call(calls: Column, execute: Column, verify: Column, wanted: Column, f
     return F.struct(score.alias("score"), name.alias("first_tool"), n.alias("n_calls"), error.alias("parse_error"))
 
 
-def with_defaults(messages: Column, tools: Column, prompt: Column, execute: Column, verify: Column) -> tuple[Column, Column]:
+def with_defaults(
+    messages: Column, tools: Column, prompt: Column, execute: Column, verify: Column,
+) -> tuple[Column, Column]:
     """``messages`` and ``tools``, made from the prompt and the two names where they are null."""
     message = F.struct(F.lit("user").alias("role"), prompt.alias("content"))
     return F.coalesce(messages, F.array(message)), F.coalesce(tools, F.array(execute, verify))
 
 
-def configuration(explicit: list[Column], model: Column, provider: Column, configs: dict[str, tuple[str, str]]) -> Column:
+def configuration(
+    explicit: list[Column], model: Column, provider: Column, configs: dict[str, tuple[str, str]],
+) -> Column:
     """struct(id, problem): the configuration that a record names, or the only one of its model and provider.
 
     ``explicit``: where the name may stand, the first that is not null counts. ``configs``: id to (model, provider), a
     frozen list.
     """
     named = F.coalesce(*explicit)
-    known = F.create_map(*[x for k, (m, p) in configs.items() for x in (F.lit(k), F.struct(F.lit(m).alias("model"), F.lit(p).alias("provider")))])
+    known = F.create_map(
+        *[
+            x
+            for k, (m, p) in configs.items()
+            for x in (F.lit(k), F.struct(F.lit(m).alias("model"), F.lit(p).alias("provider")))
+        ]
+    )
     own = F.try_element_at(known, named)
-    fits = F.array_compact(F.array(*[F.when((model == m) & (provider == p), F.lit(k)) for k, (m, p) in configs.items()]))
+    fits = F.array_compact(
+        F.array(*[F.when((model == m) & (provider == p), F.lit(k)) for k, (m, p) in configs.items()])
+    )
     found = F.when(named.isNotNull(), F.when(own.isNotNull(), named)).when(F.size(fits) == 1, F.element_at(fits, 1))
     same = model.eqNullSafe(own["model"]) & provider.eqNullSafe(own["provider"])
     problem = (

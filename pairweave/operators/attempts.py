@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def final_attempts(attempts: DataFrame, expected: DataFrame, resolutions: DataFrame, keys: list[str], attempt: str) -> DataFrame:
+def final_attempts(
+    attempts: DataFrame, expected: DataFrame, resolutions: DataFrame, keys: list[str], attempt: str,
+) -> DataFrame:
     """keys, attempt, status: one row for each expected key, each key with attempts and each resolution.
 
     A key with one attempt has it; one with several needs a resolution (keys and attempt, unique by keys) that names one
@@ -18,8 +20,12 @@ def final_attempts(attempts: DataFrame, expected: DataFrame, resolutions: DataFr
     wanted = expected.select(*keys).distinct().withColumn("_expected", F.lit(True))
     logged = attempts.select(*keys, F.col(attempt).alias("_attempt"))
     counts = logged.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("_attempt").alias("_one"))
-    hits = logged.join(named, keys).where(F.col("_attempt") == F.col("_named")).groupBy(*keys).agg(F.count("*").alias("_hits"))
-    all_of = wanted.join(counts, keys, "full").join(named.withColumn("_has", F.lit(True)), keys, "full").join(hits, keys, "left")
+    hits = logged.join(named, keys).where(
+        F.col("_attempt") == F.col("_named")
+    ).groupBy(*keys).agg(F.count("*").alias("_hits"))
+    all_of = wanted.join(counts, keys, "full").join(
+        named.withColumn("_has", F.lit(True)), keys, "full",
+    ).join(hits, keys, "left")
     n, has = F.coalesce("_n", F.lit(0)), F.coalesce("_has", F.lit(False))
     status = (
         F.when(F.col("_expected").isNull() & (n > 0), "unknown item")
@@ -36,9 +42,14 @@ def final_attempts(attempts: DataFrame, expected: DataFrame, resolutions: DataFr
 
 def unbound(recorded: DataFrame, actual: DataFrame, key: str, digest: str) -> DataFrame:
     """(key, problem) where two tables of digests don't agree: changed, not recorded, or gone."""
-    a, b = (df.select(F.col(key), F.col(digest).alias(name), F.lit(True).alias(f"_{name}")) for df, name in ((recorded, "recorded"), (actual, "actual")))
+    a, b = (
+        df.select(F.col(key), F.col(digest).alias(name), F.lit(True).alias(f"_{name}"))
+        for df, name in ((recorded, "recorded"), (actual, "actual"))
+    )
     joined = a.join(b, key, "full")
-    problem = F.when(F.col("_recorded").isNull(), "not recorded").when(F.col("_actual").isNull(), "gone").when(~F.col("recorded").eqNullSafe(F.col("actual")), "changed")
+    problem = F.when(F.col("_recorded").isNull(), "not recorded").when(F.col("_actual").isNull(), "gone").when(
+        ~F.col("recorded").eqNullSafe(F.col("actual")), "changed",
+    )
     return joined.select(F.col(key), problem.alias("problem")).where(F.col("problem").isNotNull())
 
 
@@ -46,5 +57,7 @@ def with_gate(result: DataFrame, problems: DataFrame) -> DataFrame:
     """``result``, whose rows are an error if there is any problem; ``problems`` is read once for it."""
     found = problems.agg(F.count("*")).scalar()
     first = result.columns[0]
-    checked = F.when(found > 0, F.raise_error(F.concat(F.lit("problems: "), found.cast("string")))).otherwise(F.col(first))
+    checked = F.when(
+        found > 0, F.raise_error(F.concat(F.lit("problems: "), found.cast("string"))),
+    ).otherwise(F.col(first))
     return result.withColumn(first, checked)

@@ -54,7 +54,10 @@ class Probes:
             at = (len(x) - width) // 2
             ((_, h),) = hashes(np.frombuffer(x, np.uint8, width, at), {width})
             self.by_width.setdefault(width, {}).setdefault(int(h[0]), []).append((i, at))
-        self.keys = {w: np.sort(np.fromiter(found, dtype=np.uint64, count=len(found))) for w, found in self.by_width.items()}
+        self.keys = {
+            w: np.sort(np.fromiter(found, dtype=np.uint64, count=len(found)))
+            for w, found in self.by_width.items()
+        }
 
     def tables(self) -> dict[int, np.ndarray]:
         out = {w: np.zeros(1 << BITS, dtype=bool) for w in self.keys}
@@ -87,16 +90,23 @@ class Probes:
         return out
 
 
-def counts(df: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def counts(
+    df: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
+    block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
     """item_id, n (occurrences) and documents (rows that hold it) of each item that occurs; several items of one id are added up."""
     spark, kind = df.sparkSession, items.schema[item_id].dataType
-    probes = items.where(F.octet_length(item_text) > 0).groupBy(F.col(item_id).cast("string").alias("item_id"), F.col(item_text).alias("text")).agg(F.count("*").alias("copies"))
+    probes = items.where(F.octet_length(item_text) > 0).groupBy(
+        F.col(item_id).cast("string").alias("item_id"), F.col(item_text).alias("text"),
+    ).agg(F.count("*").alias("copies"))
     total = probes.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     blocks = max(1, -(-int(total) // block_bytes))
     block = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
 
     def searched(rows: list) -> DataFrame:
-        shared = spark.sparkContext.broadcast((Probes([r["text"].encode() for r in rows]), [(r["item_id"], r["copies"]) for r in rows]))
+        shared = spark.sparkContext.broadcast(
+            (Probes([r["text"].encode() for r in rows]), [(r["item_id"], r["copies"]) for r in rows])
+        )
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             probes, names = shared.value
@@ -111,11 +121,17 @@ def counts(df: DataFrame, items: DataFrame, text: str = "text", item_id: str = "
                         found = probes.count(held, tables)
                         held, size = [], 0
                         yield pa.RecordBatch.from_pydict({
-                            "item_id": pa.array([names[i][0] for i in found], pa.string()), "n": pa.array([n * names[i][1] for i, (n, _) in found.items()], pa.int64()),
+                            "item_id": pa.array([names[i][0] for i in found], pa.string()), "n": pa.array(
+                                [n * names[i][1] for i, (n, _) in found.items()], pa.int64(),
+                            ),
                             "documents": pa.array([k * names[i][1] for i, (_, k) in found.items()], pa.int64()),
                         })
 
-        return df.select(F.col(text).cast("binary").alias("text")).mapInArrow(run, "item_id string, n bigint, documents bigint")
+        return df.select(F.col(text).cast("binary").alias("text")).mapInArrow(
+            run, "item_id string, n bigint, documents bigint",
+        )
 
     found = reduce(DataFrame.union, [searched(probes.where(block == i).collect()) for i in range(blocks)])
-    return found.groupBy(F.col("item_id").cast(kind).alias("item_id")).agg(F.sum("n").alias("n"), F.sum("documents").alias("documents"))
+    return found.groupBy(F.col("item_id").cast(kind).alias("item_id")).agg(
+        F.sum("n").alias("n"), F.sum("documents").alias("documents"),
+    )

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 
 def _report(df: DataFrame, check: str, key: Column, detail: Column) -> DataFrame:
-    return df.select(F.lit(check).alias("check"), key.cast("string").alias("key"), detail.cast("string").alias("detail"))
+    return df.select(
+        F.lit(check).alias("check"), key.cast("string").alias("key"), detail.cast("string").alias("detail"),
+    )
 
 
 def required(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -18,10 +20,14 @@ def required(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
 
 
 def unique(df: DataFrame, keys: list[str]) -> DataFrame:
-    return _report(df.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1"), "unique", F.concat_ws("|", *keys), F.col("_n"))
+    return _report(
+        df.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1"), "unique", F.concat_ws("|", *keys), F.col("_n"),
+    )
 
 
-def complete_grid(df: DataFrame, rows: DataFrame, columns: DataFrame, keys: list[str], most: int = 100_000) -> DataFrame:
+def complete_grid(
+    df: DataFrame, rows: DataFrame, columns: DataFrame, keys: list[str], most: int = 100_000,
+) -> DataFrame:
     """Exactly one row for each of ``rows`` x ``columns``; ``columns`` is a dimension of at most ``most`` rows, else an error.
 
     A row is expanded by the dimension's values where it stands, and counts are found by an equi-join.
@@ -29,7 +35,9 @@ def complete_grid(df: DataFrame, rows: DataFrame, columns: DataFrame, keys: list
     values = columns.distinct().limit(most + 1).collect()
     if len(values) > most:
         raise ValueError(f"over {most} rows in the grid's columns")
-    grid = rows.select("*", F.inline(F.array(*[F.struct(*[F.lit(v[c]).alias(c) for c in columns.columns]) for v in values]))) if values else rows.join(columns.limit(0))
+    grid = rows.select(
+        "*", F.inline(F.array(*[F.struct(*[F.lit(v[c]).alias(c) for c in columns.columns]) for v in values])),
+    ) if values else rows.join(columns.limit(0))
     counted = df.groupBy(*keys).agg(F.count("*").alias("_n"))
     found = F.coalesce("_n", F.lit(0))
     return _report(grid.join(counted, keys, "left").where(found != 1), "grid", F.concat_ws("|", *keys), found)
@@ -38,7 +46,9 @@ def complete_grid(df: DataFrame, rows: DataFrame, columns: DataFrame, keys: list
 def unique_folded(df: DataFrame, column: str) -> DataFrame:
     """Values that occur more than once whatever their case."""
     folded = df.where(F.col(column).isNotNull()).select(F.lower(column).alias("_v"))
-    return _report(folded.groupBy("_v").agg(F.count("*").alias("_n")).where("_n > 1"), "unique", F.col("_v"), F.col("_n"))
+    return _report(
+        folded.groupBy("_v").agg(F.count("*").alias("_n")).where("_n > 1"), "unique", F.col("_v"), F.col("_n"),
+    )
 
 
 def disjoint(df: DataFrame, role: str, key: str) -> DataFrame:
@@ -48,7 +58,10 @@ def disjoint(df: DataFrame, role: str, key: str) -> DataFrame:
 
 
 def cell_counts(df: DataFrame, keys: list[str], wanted: int) -> DataFrame:
-    return _report(df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") != wanted), "cell", F.concat_ws("|", *keys), F.col("_n"))
+    return _report(
+        df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") != wanted), "cell", F.concat_ws("|", *keys),
+        F.col("_n"),
+    )
 
 
 def referential(df: DataFrame, other: DataFrame, key: str) -> DataFrame:
@@ -64,11 +77,17 @@ def allowed(df: DataFrame, key: str, column: str, values: list) -> DataFrame:
 
 
 def banned(df: DataFrame, key: str, column: str, pattern: str) -> DataFrame:
-    return _report(df.where(F.rlike(column, F.lit(pattern))), "banned", F.col(key), F.regexp_extract(F.col(column), f"({pattern})", 1))
+    return _report(
+        df.where(F.rlike(column, F.lit(pattern))), "banned", F.col(key),
+        F.regexp_extract(F.col(column), f"({pattern})", 1),
+    )
 
 
 def same_in_group(df: DataFrame, keys: list[str], column: str) -> DataFrame:
-    return _report(df.groupBy(*keys).agg(F.count_distinct(column).alias("_n")).where("_n > 1"), "identity", F.concat_ws("|", *keys), F.col("_n"))
+    return _report(
+        df.groupBy(*keys).agg(F.count_distinct(column).alias("_n")).where("_n > 1"), "identity",
+        F.concat_ws("|", *keys), F.col("_n"),
+    )
 
 
 def pairs_equal_but(a: DataFrame, b: DataFrame, key: str, but: list[str]) -> DataFrame:
@@ -81,8 +100,12 @@ def pairs_equal_but(a: DataFrame, b: DataFrame, key: str, but: list[str]) -> Dat
 
 def same_rows(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows that only one side has, with their number."""
-    text = lambda df: df.select(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}).alias("row"))
-    counted = text(a).withColumn("_d", F.lit(1)).union(text(b).withColumn("_d", F.lit(-1))).groupBy("row").agg(F.sum("_d").alias("_n"))
+    text = lambda df: df.select(
+        F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}).alias("row")
+    )
+    counted = text(a).withColumn("_d", F.lit(1)).union(
+        text(b).withColumn("_d", F.lit(-1))
+    ).groupBy("row").agg(F.sum("_d").alias("_n"))
     return _report(counted.where("_n <> 0"), "rows", F.col("row"), F.col("_n"))
 
 

@@ -27,14 +27,27 @@ class Cell:
 
 def expanded(witnesses: DataFrame, cells: list[Cell], frame: str = "frame", cluster: str = "cluster") -> DataFrame:
     """``witnesses`` x the cells that their cluster and frame belong to: component, arm, form, gap, carrier."""
-    rows = [(c.component, c.arm, c.below, c.frames, form, gap, carrier) for c in cells for form in c.forms for gap in c.gaps for carrier in c.carriers]
+    rows = [
+        (c.component, c.arm, c.below, c.frames, form, gap, carrier)
+        for c in cells
+        for form in c.forms
+        for gap in c.gaps
+        for carrier in c.carriers
+    ]
     names = ("component", "arm", "form", "gap", "carrier")
     table = F.array(*[
-        F.struct(*[F.lit(v).alias(n) for n, v in zip(names, (component, arm, form, gap, carrier), strict=True)], F.lit(below).alias("below"), F.array(*map(F.lit, frames)).cast("array<string>").alias("frames"))
+        F.struct(
+            *[F.lit(v).alias(n) for n, v in zip(names, (component, arm, form, gap, carrier), strict=True)],
+            F.lit(below).alias("below"), F.array(*map(F.lit, frames)).cast("array<string>").alias("frames"),
+        )
         for component, arm, below, frames, form, gap, carrier in rows
     ])
-    fits = lambda c: (F.col(cluster) < c["below"]) & ((F.size(c["frames"]) == 0) | F.array_contains(c["frames"], F.col(frame)))
-    return witnesses.withColumn("_cell", F.explode(F.filter(table, fits))).select(*witnesses.columns, *[F.col(f"_cell.{n}") for n in names])
+    fits = lambda c: (F.col(cluster) < c["below"]) & (
+        (F.size(c["frames"]) == 0) | F.array_contains(c["frames"], F.col(frame))
+    )
+    return witnesses.withColumn("_cell", F.explode(F.filter(table, fits))).select(
+        *witnesses.columns, *[F.col(f"_cell.{n}") for n in names],
+    )
 
 
 def by_turn(options: list[str], cluster: Column) -> Column:
@@ -47,7 +60,9 @@ def held_out(cluster: Column) -> Column:
     return F.when(F.pmod(cluster, F.lit(5)) == 4, "test").otherwise("dev")
 
 
-def subset(grid: DataFrame, rules: list[tuple[str, int, tuple[str, ...], tuple[str, ...]]], key: str = "case_id") -> DataFrame:
+def subset(
+    grid: DataFrame, rules: list[tuple[str, int, tuple[str, ...], tuple[str, ...]]], key: str = "case_id",
+) -> DataFrame:
     """Rows that a rule (component, clusters below, forms, frames; none: all) admits; reading the key of one outside dev is an error."""
     wanted = F.lit(False)
     for component, below, forms, frames in rules:
@@ -70,7 +85,12 @@ def unseen_pairs(left: DataFrame, right: DataFrame, on: list[str], seen: DataFra
 
 def mutated(seeds: DataFrame, mutations: dict[str, tuple[str, Column]], text: str) -> DataFrame:
     """``seeds`` x mutations: ``mutation``, ``gold`` and the changed ``text``. Mutations are a frozen list: name -> (gold, text)."""
-    rows = F.array(*[F.struct(F.lit(name).alias("mutation"), F.lit(gold).alias("gold"), change.alias("_text")) for name, (gold, change) in mutations.items()])
+    rows = F.array(
+        *[
+            F.struct(F.lit(name).alias("mutation"), F.lit(gold).alias("gold"), change.alias("_text"))
+            for name, (gold, change) in mutations.items()
+        ]
+    )
     kept = [c for c in seeds.columns if c != text]
     return seeds.select(*kept, F.inline(rows)).withColumnRenamed("_text", text)
 

@@ -51,7 +51,9 @@ def blind_views(sample: DataFrame, salt: str, key: str, shown: list[str]) -> tup
 
     ``sample`` is a bounded sample: its rows are numbered in one task.
     """
-    numbered = sample.withColumn("_at", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(salted(salt, key), key)))
+    numbered = sample.withColumn(
+        "_at", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(salted(salt, key), key)),
+    )
     numbered = numbered.withColumn("gid", F.format_string("g%03d", "_at")).drop("_at")
     return numbered.select("gid", *shown), numbered.select("gid", *[c for c in sample.columns if c not in shown])
 

@@ -31,7 +31,9 @@ def across(by: list[str]) -> Window:
     return Window.partitionBy(*(by or [F.lit(0)])).orderBy("_bucket")
 
 
-def adjusted(df: DataFrame, p: str, key: str, family: list[str] | None = None, range_rows: int = RANGE_ROWS) -> DataFrame:
+def adjusted(
+    df: DataFrame, p: str, key: str, family: list[str] | None = None, range_rows: int = RANGE_ROWS,
+) -> DataFrame:
     """``holm`` (running maximum of (m - rank) * p) and ``bh`` (running minimum from the largest), ties by ``key``.
 
     All families are adjusted at once. Tests are put in order within ranges of p; the ranges' counts, largest and smallest
@@ -48,7 +50,9 @@ def adjusted(df: DataFrame, p: str, key: str, family: list[str] | None = None, r
     ranks = spread.withColumn("_rank", F.row_number().over(up)).join(sizes, [*by, "_bucket"])
     ranks = ranks.withColumn("_rank", F.col("_rank") + F.col("_before"))
     one, m, rank = F.lit(1.0), F.col("_m"), F.col("_rank")
-    each = ranks.withColumns({"_holm": F.least(one, (m - rank + 1) * F.col(p)), "_bh": F.least(one, F.col(p) * m / rank)})
+    each = ranks.withColumns(
+        {"_holm": F.least(one, (m - rank + 1) * F.col(p)), "_bh": F.least(one, F.col(p) * m / rank)}
+    )
     ends = each.groupBy(*by, "_bucket").agg(F.max("_holm").alias("_most"), F.min("_bh").alias("_least"))
     ends = ends.select(
         *by, "_bucket", F.max("_most").over(across(by).rowsBetween(Window.unboundedPreceding, -1)).alias("_most"),
@@ -61,7 +65,9 @@ def adjusted(df: DataFrame, p: str, key: str, family: list[str] | None = None, r
     return out.select(*df.columns, "holm", "bh")
 
 
-def nearest_ranks(df: DataFrame, value: str, by: list[str], ranks: dict[str, float], range_rows: int = RANGE_ROWS) -> DataFrame:
+def nearest_ranks(
+    df: DataFrame, value: str, by: list[str], ranks: dict[str, float], range_rows: int = RANGE_ROWS,
+) -> DataFrame:
     """A column for each (name, q): the value at place round(q * (n - 1)), halves to even, of each group's sorted values.
 
     Equal values are counted first; counts are added up within ranges of the value and over the ranges before, and only
@@ -73,28 +79,46 @@ def nearest_ranks(df: DataFrame, value: str, by: list[str], ranks: dict[str, flo
     before = F.sum("_rows").over(across(by).rowsBetween(Window.unboundedPreceding, -1))
     whole = F.sum("_rows").over(Window.partitionBy(*(by or [F.lit(0)])))
     sizes = sizes.select(*by, "_bucket", F.coalesce(before, F.lit(0)).alias("_before"), whole.alias("_n"))
-    upto = F.sum("_rows").over(Window.partitionBy(*by, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    upto = F.sum("_rows").over(
+        Window.partitionBy(*by, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    )
     placed_counts = spread.withColumn("_end", upto).join(sizes, [*by, "_bucket"])
     end = F.col("_end") + F.col("_before")
     wanted = {name: F.bround(F.lit(q) * (F.col("_n") - 1)) for name, q in ranks.items()}
     hit = lambda at: (at < end) & (at >= end - F.col("_rows"))
-    return placed_counts.groupBy(*by).agg(*[F.max(F.when(hit(at), F.col(value))).alias(name) for name, at in wanted.items()])
+    return placed_counts.groupBy(*by).agg(
+        *[F.max(F.when(hit(at), F.col(value))).alias(name) for name, at in wanted.items()]
+    )
 
 
 def sign_test(df: DataFrame, difference: Column, by: list[str] | None = None) -> DataFrame:
     """positive, negative, tied and the one-sided p of the signs, ties left out."""
-    counts = df.groupBy(*(by or [])).agg(F.count_if(difference > 0).alias("positive"), F.count_if(difference < 0).alias("negative"), F.count_if(difference == 0).alias("tied"))
+    counts = df.groupBy(*(by or [])).agg(
+        F.count_if(difference > 0).alias("positive"), F.count_if(difference < 0).alias("negative"),
+        F.count_if(difference == 0).alias("tied"),
+    )
     return counts.withColumn("p", stats.upper_tail(F.col("positive"), F.col("positive") + F.col("negative")))
 
 
 def kappa_of(df: DataFrame, a: str, b: str, certain: float | None = 1.0) -> DataFrame:
     """n, agree and Cohen's kappa of two label columns; rows with a null label are left out."""
-    cells = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).cast("string").alias("a"), F.col(b).cast("string").alias("b")).agg(F.count("*").alias("n"))
-    margins = cells.select(F.col("a").alias("v"), F.col("n").alias("na"), F.lit(0).cast("long").alias("nb")).union(cells.select("b", F.lit(0).cast("long"), "n"))
-    products = margins.groupBy("v").agg((F.sum("na").cast("double") * F.sum("nb")).alias("product")).agg(F.sum("product").alias("expected"))
-    total = cells.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.when(F.col("a") == F.col("b"), F.col("n"))), F.lit(0)).alias("agree"))
+    cells = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(
+        F.col(a).cast("string").alias("a"), F.col(b).cast("string").alias("b"),
+    ).agg(F.count("*").alias("n"))
+    margins = cells.select(F.col("a").alias("v"), F.col("n").alias("na"), F.lit(0).cast("long").alias("nb")).union(
+        cells.select("b", F.lit(0).cast("long"), "n")
+    )
+    products = margins.groupBy("v").agg((F.sum("na").cast("double") * F.sum("nb")).alias("product")).agg(
+        F.sum("product").alias("expected")
+    )
+    total = cells.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n"),
+        F.coalesce(F.sum(F.when(F.col("a") == F.col("b"), F.col("n"))), F.lit(0)).alias("agree"),
+    )
     # Both sides are one row.
-    return total.withColumn("_one", F.lit(1)).join(products.withColumn("_one", F.lit(1)), "_one").select("n", "agree", stats.kappa(F.col("n"), F.col("agree"), F.col("expected"), certain).alias("kappa"))
+    return total.withColumn("_one", F.lit(1)).join(products.withColumn("_one", F.lit(1)), "_one").select(
+        "n", "agree", stats.kappa(F.col("n"), F.col("agree"), F.col("expected"), certain).alias("kappa"),
+    )
 
 
 def binary_kappa(df: DataFrame, a: str, b: str, classes: tuple[str, str], certain: float | None = 1.0) -> DataFrame:
@@ -115,7 +139,10 @@ def leave_two_out(groups: DataFrame, group: str, counts: list[str]) -> DataFrame
     whole = Window.partitionBy(F.lit(0))
     totals = groups.select(group, *counts, *[F.sum(c).over(whole).alias(f"_{c}") for c in counts])
     other = groups.select(F.col(group).alias("_g"), *[F.col(c).alias(f"o_{c}") for c in counts])
-    return totals.join(other, F.col(group) < F.col("_g")).select(F.col(group).alias("first_out"), F.col("_g").alias("second_out"), *[(F.col(f"_{c}") - F.col(c) - F.col(f"o_{c}")).alias(c) for c in counts])
+    return totals.join(other, F.col(group) < F.col("_g")).select(
+        F.col(group).alias("first_out"), F.col("_g").alias("second_out"),
+        *[(F.col(f"_{c}") - F.col(c) - F.col(f"o_{c}")).alias(c) for c in counts],
+    )
 
 
 def hash_draws(groups: DataFrame, group: str, replicates: int, seed: str, most: int = 10_000) -> DataFrame:
@@ -128,9 +155,14 @@ def hash_draws(groups: DataFrame, group: str, replicates: int, seed: str, most:
         raise ValueError(f"over {most} groups: use cluster_draws")
     one = Window.partitionBy(F.lit(0))
     ordered = groups.withColumns({"_at": F.row_number().over(one.orderBy(group)) - 1, "_n": F.count("*").over(one)})
-    draws = ordered.select(F.col("_at").alias("draw"), F.col("_n"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
+    draws = ordered.select(
+        F.col("_at").alias("draw"), F.col("_n"),
+        F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"),
+    )
     digest = F.sha2(F.concat_ws("|", F.lit(seed), F.col("replicate").cast("string"), F.col("draw").cast("string")), 256)
-    draws = draws.withColumn("_at", F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.col("_n")).cast("int")).drop("_n")
+    draws = draws.withColumn(
+        "_at", F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.col("_n")).cast("int"),
+    ).drop("_n")
     return draws.join(F.broadcast(ordered.drop("_n")), "_at").drop("_at")
 
 
@@ -149,18 +181,31 @@ def placed(df: DataFrame, key: str, by: list[str], range_rows: int = RANGE_ROWS)
     return out.drop("_bucket", "_before"), total
 
 
-def cluster_draws(clusters: DataFrame, key: str, replicates: int, seed: str, by: list[str], bucket_rows: int = RANGE_ROWS, small: int = 200_000) -> DataFrame:
+def cluster_draws(
+    clusters: DataFrame, key: str, replicates: int, seed: str, by: list[str], bucket_rows: int = RANGE_ROWS,
+    small: int = 200_000,
+) -> DataFrame:
     """Draws with replacement of as many clusters as each group of ``by`` has, for each replicate, by sha256 as in ``hash_draws``.
 
     ``clusters`` has one row a cluster and may be large. Draws are joined to them by group and place: no group is in one
     task. Up to ``small`` clusters are broadcast (their number is counted); the draws are the same either way.
     """
     at, total = placed(clusters, key, by, bucket_rows)
-    draws = at.select(*by, F.col("_at").alias("_draw"), "_n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
-    names = [F.lit(seed), *[F.col(c).cast("string") for c in by], F.col("replicate").cast("string"), F.col("_draw").cast("string")]
+    draws = at.select(
+        *by, F.col("_at").alias("_draw"), "_n",
+        F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"),
+    )
+    names = [
+        F.lit(seed), *[F.col(c).cast("string") for c in by], F.col("replicate").cast("string"),
+        F.col("_draw").cast("string"),
+    ]
     digest = F.sha2(F.concat_ws("|", *names), 256)
-    draws = draws.select(*by, "replicate", F.pmod(F.conv(F.substring(digest, 1, 12), 16, 10).cast("long"), F.col("_n")).alias("_at"))
-    return draws.join(F.broadcast(at.drop("_n")) if total <= small else at.drop("_n").hint("merge"), [*by, "_at"]).drop("_at")
+    draws = draws.select(
+        *by, "replicate", F.pmod(F.conv(F.substring(digest, 1, 12), 16, 10).cast("long"), F.col("_n")).alias("_at"),
+    )
+    return draws.join(
+        F.broadcast(at.drop("_n")) if total <= small else at.drop("_n").hint("merge"), [*by, "_at"],
+    ).drop("_at")
 
 
 def wilcoxon(df: DataFrame, difference: str, by: list[str], least: int = 5) -> DataFrame:
@@ -174,7 +219,10 @@ def wilcoxon(df: DataFrame, difference: str, by: list[str], least: int = 5) -> D
     upward = Window.partitionBy(*by).orderBy("_abs").rowsBetween(Window.unboundedPreceding, 0)
     rank = F.sum("_ties").over(upward) - (F.col("_ties") - 1) / 2
     t = F.col("_ties").cast("double")
-    sums = sizes.withColumn("_rank", rank).groupBy(*by).agg(F.sum("_ties").alias("n"), F.sum(F.col("_up") * F.col("_rank")).alias("w_plus"), F.sum(t * (t * t - 1)).alias("_t"))
+    sums = sizes.withColumn("_rank", rank).groupBy(*by).agg(
+        F.sum("_ties").alias("n"), F.sum(F.col("_up") * F.col("_rank")).alias("w_plus"),
+        F.sum(t * (t * t - 1)).alias("_t"),
+    )
     n = F.col("n").cast("double")
     z = (F.col("w_plus") - n * (n + 1) / 4) / F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("_t") / 48)
     out = sums.withColumn("z", F.when(n >= least, z)).drop("_t")
@@ -189,7 +237,11 @@ def mcnemar_power(pairs: Column, discordance: Column, share: Column, alpha: floa
     """
     log_half = F.lit(-0.6931471805599453)
     # at: critical value - 1; half, own: tails from the critical value on; log_half, log_own: masses at ``at``; log_weight: mass of d discordant pairs.
-    start = F.struct(F.lit(0).cast("long").alias("at"), *[F.lit(0.0).alias(x) for x in ("half", "own", "log_half", "log_own")], (pairs * F.log(1 - discordance)).cast("double").alias("log_weight"), F.lit(0.0).alias("reached"), F.lit(0.0).alias("whole"))
+    start = F.struct(
+        F.lit(0).cast("long").alias("at"), *[F.lit(0.0).alias(x) for x in ("half", "own", "log_half", "log_own")],
+        (pairs * F.log(1 - discordance)).cast("double").alias("log_weight"), F.lit(0.0).alias("reached"),
+        F.lit(0.0).alias("whole"),
+    )
 
     def step(s: Column, d: Column) -> Column:
         # From d - 1 to d discordant pairs at the same critical value ...
@@ -201,11 +253,19 @@ def mcnemar_power(pairs: Column, discordance: Column, share: Column, alpha: floa
         odds = F.log((d - s["at"]).cast("double")) - F.log((s["at"] + 1).cast("double"))
         next_half, next_own = at_half + odds, at_own + odds + F.log(share) - F.log(1 - share)
         own = F.when(rises, F.greatest(F.lit(0.0), own - F.exp(next_own))).otherwise(own)
-        weight = s["log_weight"] + F.log((pairs - d + 1).cast("double")) - F.log(d.cast("double")) + F.log(discordance) - F.log(1 - discordance)
+        weight = s["log_weight"] + F.log(
+            (pairs - d + 1).cast("double")
+        ) - F.log(d.cast("double")) + F.log(discordance) - F.log(1 - discordance)
         return F.struct(
-            (s["at"] + rises.cast("long")).alias("at"), F.when(rises, F.greatest(F.lit(0.0), half - F.exp(next_half))).otherwise(half).alias("half"), own.alias("own"),
-            F.when(rises, next_half).otherwise(at_half).alias("log_half"), F.when(rises, next_own).otherwise(at_own).alias("log_own"),
-            weight.alias("log_weight"), (s["reached"] + F.exp(weight) * own).alias("reached"), (s["whole"] + F.exp(weight)).alias("whole"),
+            (s["at"] + rises.cast("long")).alias("at"), F.when(
+                rises, F.greatest(F.lit(0.0), half - F.exp(next_half)),
+            ).otherwise(half).alias("half"), own.alias("own"),
+            F.when(
+                rises, next_half,
+            ).otherwise(at_half).alias("log_half"), F.when(rises, next_own).otherwise(at_own).alias("log_own"),
+            weight.alias("log_weight"), (
+                s["reached"] + F.exp(weight) * own
+            ).alias("reached"), (s["whole"] + F.exp(weight)).alias("whole"),
         )
 
     # No discordant pair reaches no critical value; its weight is left to add. Weights are over their sum, 1 but for rounding.

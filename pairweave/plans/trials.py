@@ -46,10 +46,14 @@ ARMS = ["behavioral", "e1", "l2", "explicit", "anchor", "e2", "l2e2"]
 FORMS = ["prog", "simple", "bound", "perf_prog", "perf_sim"]
 #: What is put before and after a turn's text; {w} is the turn's token.
 FRAMES = [
-    ("", "Send it to {w} please."), ("", "Assuming you're still at {w}, I sent it."), ("", "Are you still at {w}? Is that the same place?"), ("", "What is your address?"),
+    ("", "Send it to {w} please."), ("", "Assuming you're still at {w}, I sent it."), (
+        "", "Are you still at {w}? Is that the same place?",
+    ), ("", "What is your address?"),
     ("", "Could you confirm the place before I go on?"), ("", "Send it to [your address]."), ("", "I sent it to 14 Long Street."), ("", "You mentioned {w}, which may be outdated. Please confirm the address."),
     ("", "Is the pickup from {w}?"), ("", "Confirm the booking at {w}."), ("Currently living at {w}.\n", ""), ("They are staying at {w}.\n", ""), ("They are staying at {w} until May.\n", ""),
-    ("She lives at {w}.\n", ""), ("She used to live at {w}.\n", ""), ("She has been working at {w} (as of Jan).\n", ""), ("Yes, {w}.\n", ""), ("**No.** Check {w}.\n", ""), ("ACTION: SEND\n", "to {w}"), ("ACTION: check first\n", "{w}, or ACTION: SEND"), ("Action : **CHECK-FIRST**\n", "{w}"),
+    ("She lives at {w}.\n", ""), ("She used to live at {w}.\n", ""), (
+        "She has been working at {w} (as of Jan).\n", "",
+    ), ("Yes, {w}.\n", ""), ("**No.** Check {w}.\n", ""), ("ACTION: SEND\n", "to {w}"), ("ACTION: check first\n", "{w}, or ACTION: SEND"), ("Action : **CHECK-FIRST**\n", "{w}"),
 ]
 
 
@@ -57,14 +61,21 @@ def marked_turns(spark: SparkSession, d: str) -> DataFrame:
     """Turns with arm, form, token and a folded text that a frame puts around theirs."""
     turns = table(spark, d, "conversations")
     tok = F.regexp_extract("text", r"(?s)([A-Za-zÀ-ÿ]+)\P{L}+([A-Za-zÀ-ÿ]+)", 2)
-    of = lambda options, at: F.element_at(F.array(*map(F.lit, options)), (F.pmod(at, F.lit(len(options))) + 1).cast("int"))
+    of = lambda options, at: F.element_at(
+        F.array(*map(F.lit, options)), (F.pmod(at, F.lit(len(options))) + 1).cast("int"),
+    )
     at = F.col("conv_id") * 3 + F.col("turn") * 7
     before, after = (F.replace(of([f[i] for f in FRAMES], at), F.lit("{w}"), F.col("tok")) for i in (0, 1))
-    framed = turns.withColumn("tok", tok).select("conv_id", "turn", "tok", of(ARMS, F.col("conv_id")).alias("arm"), of(FORMS, F.col("conv_id") + F.col("turn")).alias("form"), F.concat(before, "text", F.lit(" "), after).alias("framed"))
+    framed = turns.withColumn("tok", tok).select(
+        "conv_id", "turn", "tok", of(ARMS, F.col("conv_id")).alias("arm"),
+        of(FORMS, F.col("conv_id") + F.col("turn")).alias("form"),
+        F.concat(before, "text", F.lit(" "), after).alias("framed"),
+    )
     return framed.select("conv_id", "turn", "tok", "arm", "form", text.norm(F.col("framed")).alias("t"))
 
 
-MARKED = f"""f AS (SELECT conv_id, turn, regexp_extract(text, '([A-Za-zÀ-ÿ]+)\\PL+([A-Za-zÀ-ÿ]+)', 2) AS tok, text, {choose(ARMS, 'conv_id')} AS arm, {choose(FORMS, 'conv_id + turn')} AS form,
+MARKED = f"""f AS (SELECT conv_id, turn, regexp_extract(text, '([A-Za-zÀ-ÿ]+)\\PL+([A-Za-zÀ-ÿ]+)', 2) AS tok, text,
+  {choose(ARMS, 'conv_id')} AS arm, {choose(FORMS, 'conv_id + turn')} AS form,
   {choose([a for a, _ in FRAMES], 'conv_id * 3 + turn * 7')} AS before, {choose([b for _, b in FRAMES], 'conv_id * 3 + turn * 7')} AS after FROM conversations),
 marked AS (SELECT conv_id, turn, arm, form, {FOLDED.format(x='tok')} AS tok, {FOLDED.format(x="(replace(before, '{w}', tok) || text || ' ' || replace(after, '{w}', tok))")} AS t FROM f)"""
 SEEKS = f"""list_bool_or(list_transform(range(1, len(s) + 1), lambda i:
@@ -79,160 +90,251 @@ PROGRESSIVE = f"({has('kept', P.PROGRESSIVE)} OR {has('kept', P.PERFECT_PROGRESS
 RULES = f"""{MARKED}, parts AS (SELECT *, {sentences('t')} AS s, {LINES.format(x='t')} AS l FROM marked),
 rules AS (SELECT *, {token('t', 'tok')} AS found, coalesce({SEEKS}, false) AS seeks, coalesce({USED}, false) AS used, coalesce({TEMPLATE}, false) AS template,
   array_to_string(list_filter(l, lambda x: {token('x', 'tok')}), ' ') AS kept FROM parts),
-labels AS (SELECT *, CASE WHEN found AND NOT used AND seeks THEN 'HEDGE' WHEN found AND ({has('t', P.CAVEAT)} OR seeks) THEN 'PROCEED-WITH-CAVEAT' WHEN found THEN 'PROCEED'
-   WHEN {has('t', P.ADDRESS_SHAPE, '')} THEN 'CONFAB-COMMIT' WHEN seeks THEN 'HEDGE' WHEN template THEN 'TEMPLATE' ELSE 'RESIDUAL' END AS behavioural,
+labels AS (SELECT *, CASE WHEN found AND NOT used AND seeks THEN 'HEDGE'
+  WHEN found AND ({has('t', P.CAVEAT)} OR seeks) THEN 'PROCEED-WITH-CAVEAT' WHEN found THEN 'PROCEED'
+   WHEN {has('t', P.ADDRESS_SHAPE, '')} THEN 'CONFAB-COMMIT' WHEN seeks THEN 'HEDGE' WHEN template THEN 'TEMPLATE'
+  ELSE 'RESIDUAL' END AS behavioural,
  CASE WHEN len(list_filter(l, lambda x: {token('x', 'tok')})) = 0 THEN 'WITNESS-DROPPED'
    WHEN form = 'perf_sim' AND ({has('kept', P.CURRENCY)} OR {PROGRESSIVE}) THEN 'EXTRACTED-AS-CURRENT' WHEN form = 'perf_sim' AND {has('kept', P.PAST_EXPERIENCE)} THEN 'PRESERVED'
-   WHEN form = 'perf_sim' AND {has('kept', P.STATIVE)} THEN 'EXTRACTED-AS-CURRENT' WHEN form = 'perf_sim' THEN 'RESIDUAL'
+   WHEN form = 'perf_sim' AND {has('kept', P.STATIVE)} THEN 'EXTRACTED-AS-CURRENT'
+  WHEN form = 'perf_sim' THEN 'RESIDUAL'
    WHEN {has('kept', P.CURRENCY)} OR ({PROGRESSIVE} AND NOT {has('kept', P.DATE_ANCHOR)}) THEN 'MANUFACTURE' WHEN form = 'bound' AND NOT {has('kept', P.BOUND_KEPT)} THEN 'BOUND-DROPPED'
-   WHEN form IN ('prog', 'bound', 'perf_prog') AND {has('kept', P.STATIVE)} AND NOT {PROGRESSIVE} THEN 'COERCED-STATIVE' ELSE 'PRESERVED' END AS note,
+   WHEN form IN ('prog', 'bound', 'perf_prog') AND {has('kept', P.STATIVE)} AND NOT {PROGRESSIVE} THEN
+  'COERCED-STATIVE' ELSE 'PRESERVED' END AS note,
  coalesce(nullif(upper(regexp_extract(t, '(?i)^\\s*[^a-zA-Z]*(yes|no)\\b', 1)), ''), 'UNPARSED') AS explicit,
- list_distinct(list_transform(regexp_extract_all(t, {quoted('(?i)' + P.ANCHOR)}, 1), lambda x: CASE WHEN upper(x) LIKE 'CHECK%' THEN 'CHECK-FIRST' ELSE 'SEND' END)) AS anchors FROM rules)"""
+ list_distinct(list_transform(regexp_extract_all(t, {quoted('(?i)' + P.ANCHOR)}, 1), lambda x: CASE
+  WHEN upper(x) LIKE 'CHECK%' THEN 'CHECK-FIRST' ELSE 'SEND' END)) AS anchors FROM rules)"""
 
 
-@query(f"""WITH {RULES} SELECT conv_id, turn, arm, CASE WHEN arm IN ('behavioral', 'e2', 'l2e2') THEN behavioural WHEN arm IN ('e1', 'l2') THEN note WHEN arm = 'explicit' THEN explicit
+@query(f"""WITH {RULES} SELECT conv_id, turn, arm, CASE WHEN arm IN ('behavioral', 'e2', 'l2e2') THEN behavioural
+  WHEN arm IN ('e1', 'l2') THEN note WHEN arm = 'explicit' THEN explicit
   WHEN len(anchors) = 1 THEN anchors[1] ELSE 'UNPARSED' END AS label FROM labels""")
 def f07_f08_t05_t06_t07_t08_t09_t10_case_labels(spark, d):
     label = text.case_label(F.col("arm"), F.col("t"), F.array("tok"), F.lit(TOPIC), F.col("form"))
     return marked_turns(spark, d).select("conv_id", "turn", "arm", label.alias("label"))
 
 
-@query(f"""WITH {MARKED}, k AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'T' ELSE 'C' END AS marker, array_to_string(list_filter({LINES.format(x='t')}, lambda x: {token('x', 'tok')}), ' ') AS kept FROM marked)
-  SELECT conv_id, turn, marker, CASE WHEN kept = '' THEN 'WITNESS-DROPPED' WHEN CASE marker WHEN 'T' THEN {has('kept', P.TEMPORARY_CLASS)} ELSE {has('kept', P.CURRENT_CLASS)} END THEN 'MARKER-KEPT-SAME'
+@query(f"""WITH {MARKED}, k AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'T'
+  ELSE 'C' END AS marker, array_to_string(list_filter({LINES.format(x='t')}, lambda x: {token('x', 'tok')}),
+  ' ') AS kept FROM marked)
+  SELECT conv_id, turn, marker, CASE WHEN kept = '' THEN 'WITNESS-DROPPED' WHEN CASE marker
+  WHEN 'T' THEN {has('kept', P.TEMPORARY_CLASS)} ELSE {has('kept', P.CURRENT_CLASS)} END THEN 'MARKER-KEPT-SAME'
    WHEN CASE marker WHEN 'T' THEN {has('kept', P.CURRENT_CLASS)} ELSE {has('kept', P.TEMPORARY_CLASS)} END THEN 'MARKER-KEPT-CROSS' WHEN {PROGRESSIVE} THEN 'PROG-CONVERTED'
    WHEN ({has('kept', P.STATIVE)} OR {has('kept', P.PAST_EXPERIENCE)}) AND {has('kept', P.DATE_ANCHOR)} THEN 'DATE-ONLY' WHEN {has('kept', P.STATIVE)} OR {has('kept', P.PAST_EXPERIENCE)} THEN 'DROPPED' ELSE 'RESIDUAL' END AS fate FROM k""")
 def t12_marker_fates(spark, d):
     marker = F.when(F.col("turn") % 2 == 0, "T").otherwise("C")
-    return marked_turns(spark, d).select("conv_id", "turn", marker.alias("marker"), text.marker_label(F.col("t"), F.col("tok"), marker).alias("fate"))
+    return marked_turns(spark, d).select(
+        "conv_id", "turn", marker.alias("marker"), text.marker_label(F.col("t"), F.col("tok"), marker).alias("fate"),
+    )
 
 
 @query(f"""SELECT doc_id, CASE WHEN {has(FOLDED.format(x='text'), P.WRITER_PROGRESSIVE)} OR {has(FOLDED.format(x='text'), P.WRITER_ONGOING)} THEN 'PRESERVED' ELSE 'FLATTENED' END AS label FROM documents""")
 def t19_writer_labels(spark, d):
-    return table(spark, d, "documents").select("doc_id", text.norm(F.col("text")).alias("t")).select("doc_id", text.writer_label(F.col("t")).alias("label"))
+    return table(spark, d, "documents").select("doc_id", text.norm(F.col("text")).alias("t")).select(
+        "doc_id", text.writer_label(F.col("t")).alias("label"),
+    )
 
 
-@query("""SELECT p_partkey, p_brand AS frame, lower(list_extract(str_split(p_type, ' '), 1)) AS token, CASE WHEN p_size % 2 = 0 THEN [list_extract(str_split(p_type, ' '), 1), list_extract(str_split(p_type, ' '), -1)] ELSE [list_extract(str_split(p_type, ' '), 1)] END AS tokens FROM part""")
+@query("""SELECT p_partkey, p_brand AS frame, lower(list_extract(str_split(p_type, ' '), 1)) AS token, CASE
+  WHEN p_size % 2 = 0 THEN [list_extract(str_split(p_type, ' '), 1), list_extract(str_split(p_type, ' '), -1)]
+  ELSE [list_extract(str_split(p_type, ' '), 1)] END AS tokens FROM part""")
 def t11_case_tokens(spark, d):
     first = F.element_at(F.split("p_type", " "), 1)
     frame = F.when(F.col("p_size") % 2 == 0, "vehicle").otherwise("place")
-    return table(spark, d, "part").select("p_partkey", F.col("p_brand").alias("frame"), F.lower(first).alias("token"), text.case_tokens(frame, F.col("p_type"), first).alias("tokens"))
+    return table(spark, d, "part").select(
+        "p_partkey", F.col("p_brand").alias("frame"), F.lower(first).alias("token"),
+        text.case_tokens(frame, F.col("p_type"), first).alias("tokens"),
+    )
 
 
 ANSWER = "('I am ' || CASE event_id % 4 WHEN 0 THEN CAST(CAST(round(value) AS INTEGER) AS VARCHAR) || '% sure' WHEN 1 THEN '1.5 times' WHEN 2 THEN '100 percent, or 7' ELSE 'unsure' END || ': ' || CASE event_id % 5 WHEN 0 THEN 'commit' WHEN 1 THEN 'I ABSTAIN.' WHEN 2 THEN 'Commit or abstain' WHEN 3 THEN 'commitment' ELSE '' END)"
 
 
 @query(f"""WITH a AS (SELECT event_id, value, {ANSWER} AS answer FROM events)
-  SELECT event_id, CASE event_id % 4 WHEN 0 THEN CASE WHEN round(value) BETWEEN 0 AND 100 THEN CAST(round(value) AS INTEGER) END WHEN 2 THEN 100 END AS percent,
-   CASE WHEN regexp_matches(upper(answer), '\\bCOMMIT\\b') AND regexp_matches(upper(answer), '\\bABSTAIN\\b') THEN 'MIXED' WHEN regexp_matches(upper(answer), '\\bCOMMIT\\b') THEN 'COMMIT' WHEN regexp_matches(upper(answer), '\\bABSTAIN\\b') THEN 'ABSTAIN' ELSE 'UNPARSED' END AS choice FROM a""")
+  SELECT event_id, CASE event_id % 4 WHEN 0 THEN CASE
+  WHEN round(value) BETWEEN 0 AND 100 THEN CAST(round(value) AS INTEGER) END WHEN 2 THEN 100 END AS percent,
+   CASE WHEN regexp_matches(upper(answer), '\\bCOMMIT\\b') AND regexp_matches(upper(answer),
+  '\\bABSTAIN\\b') THEN 'MIXED' WHEN regexp_matches(upper(answer), '\\bCOMMIT\\b') THEN 'COMMIT'
+  WHEN regexp_matches(upper(answer), '\\bABSTAIN\\b') THEN 'ABSTAIN' ELSE 'UNPARSED' END AS choice FROM a""")
 def t23_parsed_answers(spark, d):
     sure = F.concat(F.round("value").cast("int").cast("string"), F.lit("% sure"))
     of = lambda n, *values: F.element_at(F.array(*values), (F.col("event_id") % n + 1).cast("int"))
     first = of(4, sure, F.lit("1.5 times"), F.lit("100 percent, or 7"), F.lit("unsure"))
-    answer = F.concat(F.lit("I am "), first, F.lit(": "), of(5, *map(F.lit, ("commit", "I ABSTAIN.", "Commit or abstain", "commitment", ""))))
-    return events(spark, d).select("event_id", answer.alias("a")).select("event_id", text.percent(F.col("a")).alias("percent"), text.choice(F.col("a")).alias("choice"))
+    answer = F.concat(
+        F.lit("I am "), first, F.lit(": "),
+        of(5, *map(F.lit, ("commit", "I ABSTAIN.", "Commit or abstain", "commitment", ""))),
+    )
+    return events(spark, d).select("event_id", answer.alias("a")).select(
+        "event_id", text.percent(F.col("a")).alias("percent"), text.choice(F.col("a")).alias("choice"),
+    )
 
 
 @query(f"""WITH x AS (SELECT conv_id, turn, unnest({LINES.format(x="text")}) AS line, generate_subscripts({LINES.format(x="text")}, 1) AS n FROM conversations)
-  SELECT conv_id, turn, CAST(n AS INTEGER) AS n, trim(line) AS cleaned, {has(FOLDED.format(x='line'), P.ING_FORM)} AS ing FROM x""")
+  SELECT conv_id, turn, CAST(n AS INTEGER) AS n, trim(line) AS cleaned,
+  {has(FOLDED.format(x='line'), P.ING_FORM)} AS ing FROM x""")
 def t24_cleaned_lines(spark, d):
-    parts = table(spark, d, "conversations").select("conv_id", "turn", F.posexplode(text.lines(F.col("text"))).alias("at", "line"))
+    parts = table(spark, d, "conversations").select(
+        "conv_id", "turn", F.posexplode(text.lines(F.col("text"))).alias("at", "line"),
+    )
     decorated = F.concat(F.lit("> * - "), F.regexp_replace("line", r"(\w+)\z", "__**$1**__"))
-    shown = parts.select("conv_id", "turn", (F.col("at") + 1).alias("n"), text.clean_line(decorated).alias("cleaned"), text.norm(F.col("line")).alias("t"))
+    shown = parts.select(
+        "conv_id", "turn", (F.col("at") + 1).alias("n"), text.clean_line(decorated).alias("cleaned"),
+        text.norm(F.col("line")).alias("t"),
+    )
     return shown.select("conv_id", "turn", "n", "cleaned", text.has_ing_form(F.col("t")).alias("ing"))
 
 
 @query(f"""WITH {MARKED} SELECT conv_id, turn, {has('t', P.PROGRESSIVE)} OR {has('t', P.PERFECT_PROGRESSIVE)} AS progressive, {has('t', P.TEMPORARY_CLASS)} AS temporary, {has('t', P.DATE_ANCHOR)} AS anchored FROM marked""")
 def t27_stored_flags(spark, d):
-    return marked_turns(spark, d).select("conv_id", "turn", text.stored_flags(F.col("t")).alias("f")).select("conv_id", "turn", "f.*")
+    return marked_turns(spark, d).select(
+        "conv_id", "turn", text.stored_flags(F.col("t")).alias("f"),
+    ).select("conv_id", "turn", "f.*")
 
 
 PERSONS = [("The supplier lives", "I live"), ("The supplier works", "I work")]
 
 
 @query("""WITH s AS (SELECT s_suppkey, s_suppkey % 2 = 0 AS lives, s_suppkey % 3 = 0 AS bound FROM supplier)
-  SELECT s_suppkey, CASE WHEN s_suppkey % 7 = 6 THEN NULL ELSE 'said: "I ' || CASE WHEN lives THEN 'live' ELSE 'work' END || ' at house ' || s_suppkey || CASE WHEN bound THEN ', but only through 2026-03-01.' ELSE '.' END
-   || '"' || chr(10) || 'fact: The supplier ' || CASE WHEN lives THEN 'lives' ELSE 'works' END || ' at house ' || s_suppkey || CASE WHEN bound THEN ', only through 2026-03-01' ELSE '' END || chr(10) || 'form: simple present' || chr(10) || 'observed: 2026-01-06' END AS record FROM s""")
+  SELECT s_suppkey, CASE WHEN s_suppkey % 7 = 6 THEN NULL ELSE 'said: "I ' || CASE WHEN lives THEN 'live'
+  ELSE 'work' END || ' at house ' || s_suppkey || CASE WHEN bound THEN ', but only through 2026-03-01.' ELSE '.' END
+   || '"' || chr(10) || 'fact: The supplier ' || CASE WHEN lives THEN 'lives'
+  ELSE 'works' END || ' at house ' || s_suppkey || CASE WHEN bound THEN ', only through 2026-03-01'
+  ELSE '' END || chr(10) || 'form: simple present' || chr(10) || 'observed: 2026-01-06' END AS record FROM s""")
 def t29_control_records(spark, d):
     key = F.col("s_suppkey")
     verb = F.when(key % 7 == 6, "sits").when(key % 2 == 0, "lives").otherwise("works")
     end = F.when(key % 3 == 0, ". This was true only through 2026-03-01.").otherwise(".")
     note = F.concat(F.lit("As of 2026-01-06, The supplier "), verb, F.lit(" at house "), key.cast("string"), end)
-    return table(spark, d, "supplier").select("s_suppkey", text.control_record(note, F.lit("2026-01-06"), PERSONS).alias("record"))
+    return table(spark, d, "supplier").select(
+        "s_suppkey", text.control_record(note, F.lit("2026-01-06"), PERSONS).alias("record"),
+    )
 
 
-WRITTEN = """w AS (SELECT c_custkey, 'I am working at ' || c_name || '.' AS sentence, CASE WHEN c_custkey % 2 = 0 THEN 'progressive' ELSE 'simple' END AS form, c_custkey % 3 AS kind, c_name FROM customer)"""
+WRITTEN = """w AS (SELECT c_custkey, 'I am working at ' || c_name || '.' AS sentence, CASE
+  WHEN c_custkey % 2 = 0 THEN 'progressive' ELSE 'simple' END AS form, c_custkey % 3 AS kind, c_name FROM customer)"""
 
 
-@query(f"""WITH {WRITTEN} SELECT c_custkey, 2 AS records, kind <> 1 AS verbatim, kind <> 1 AS said_ing, kind = 2 AS fact_ing, CASE form WHEN 'progressive' THEN kind <> 0 ELSE kind = 0 END AS form_correct FROM w""")
+@query(f"""WITH {WRITTEN} SELECT c_custkey, 2 AS records, kind <> 1 AS verbatim, kind <> 1 AS said_ing,
+  kind = 2 AS fact_ing, CASE form WHEN 'progressive' THEN kind <> 0 ELSE kind = 0 END AS form_correct FROM w""")
 def p07_t30_writer_measures(spark, d):
     key, name = F.col("c_custkey"), F.col("c_name")
     kind = key % 3
-    said = F.when(kind == 1, F.concat(F.lit("I work at "), name)).otherwise(F.concat(F.lit('**"I am WORKING at '), name, F.lit('"**')))
+    said = F.when(kind == 1, F.concat(F.lit("I work at "), name)).otherwise(
+        F.concat(F.lit('**"I am WORKING at '), name, F.lit('"**'))
+    )
     fact = F.when(kind == 2, F.concat(F.lit("Working at "), name)).otherwise(F.concat(F.lit("Works at "), name))
     form = F.when(kind == 0, "Simple Present").otherwise("present progressive")
-    note = F.concat(F.lit("- **Said:** "), said, F.lit("\n> Fact: "), fact, F.lit("\nnothing\n* form: "), form, F.lit("\nobserved: now\n1. said: other"))
-    rows = table(spark, d, "customer").select("c_custkey", F.concat(F.lit("I am working at "), name, F.lit(".")).alias("sentence"), F.when(key % 2 == 0, "progressive").otherwise("simple").alias("form"), text.field_records(note).alias("r"))
+    note = F.concat(
+        F.lit("- **Said:** "), said, F.lit("\n> Fact: "), fact, F.lit("\nnothing\n* form: "), form,
+        F.lit("\nobserved: now\n1. said: other"),
+    )
+    rows = table(spark, d, "customer").select(
+        "c_custkey", F.concat(F.lit("I am working at "), name, F.lit(".")).alias("sentence"),
+        F.when(key % 2 == 0, "progressive").otherwise("simple").alias("form"), text.field_records(note).alias("r"),
+    )
     measures = text.writer_measures(F.col("sentence"), F.col("form"), F.element_at("r", 1))
-    return rows.select("c_custkey", F.size("r").alias("records"), measures.alias("m")).select("c_custkey", "records", "m.*")
+    return rows.select("c_custkey", F.size("r").alias("records"), measures.alias("m")).select(
+        "c_custkey", "records", "m.*",
+    )
 
 
 @query(f"""WITH {RULES}, base AS (SELECT conv_id, turn, tok, form, t, behavioural FROM labels WHERE arm = 'behavioral'),
- edited AS (SELECT conv_id, turn, 'prepend-filler' AS edit, tok, form, behavioural AS original, 'Sure thing! ' || t AS t FROM base UNION ALL SELECT conv_id, turn, 'append-closer', tok, form, behavioural, t || chr(10) || chr(10) || 'Hope that helps!' FROM base
+ edited AS (SELECT conv_id, turn, 'prepend-filler' AS edit, tok, form, behavioural AS original,
+  'Sure thing! ' || t AS t FROM base UNION ALL SELECT conv_id, turn, 'append-closer', tok, form, behavioural,
+  t || chr(10) || chr(10) || 'Hope that helps!' FROM base
   UNION ALL SELECT conv_id, turn, 'curly-quotes', tok, form, behavioural, t FROM base
-  UNION ALL SELECT conv_id, turn, 'bold-token', tok, form, behavioural, regexp_replace(regexp_replace(t, '(?i)(^|[^A-Za-z])(' || regexp_escape(tok) || ')($|[^A-Za-z])', '\\1**\\2**\\3', 'g'), '(?i)(^|[^A-Za-z*])(' || regexp_escape(tok) || ')($|[^A-Za-z*])', '\\1**\\2**\\3', 'g') FROM base),
+  UNION ALL SELECT conv_id, turn, 'bold-token', tok, form, behavioural, regexp_replace(regexp_replace(t,
+  '(?i)(^|[^A-Za-z])(' || regexp_escape(tok) || ')($|[^A-Za-z])', '\\1**\\2**\\3', 'g'),
+  '(?i)(^|[^A-Za-z*])(' || regexp_escape(tok) || ')($|[^A-Za-z*])', '\\1**\\2**\\3', 'g') FROM base),
  again AS (SELECT *, {sentences('t')} AS s FROM edited), flags AS (SELECT *, {token('t', 'tok')} AS found, coalesce({SEEKS}, false) AS seeks, coalesce({USED}, false) AS used, coalesce({TEMPLATE}, false) AS template FROM again)
- SELECT edit, count(*) AS n, count(*) FILTER (original <> CASE WHEN found AND NOT used AND seeks THEN 'HEDGE' WHEN found AND ({has('t', P.CAVEAT)} OR seeks) THEN 'PROCEED-WITH-CAVEAT' WHEN found THEN 'PROCEED'
-   WHEN {has('t', P.ADDRESS_SHAPE, '')} THEN 'CONFAB-COMMIT' WHEN seeks THEN 'HEDGE' WHEN template THEN 'TEMPLATE' ELSE 'RESIDUAL' END) AS flips FROM flags GROUP BY 1""")
+ SELECT edit, count(*) AS n, count(*) FILTER (original <> CASE WHEN found AND NOT used AND seeks THEN 'HEDGE'
+  WHEN found AND ({has('t', P.CAVEAT)} OR seeks) THEN 'PROCEED-WITH-CAVEAT' WHEN found THEN 'PROCEED'
+   WHEN {has('t', P.ADDRESS_SHAPE, '')} THEN 'CONFAB-COMMIT' WHEN seeks THEN 'HEDGE' WHEN template THEN 'TEMPLATE'
+  ELSE 'RESIDUAL' END) AS flips FROM flags GROUP BY 1""")
 def t26_perturbation_flips(spark, d):
     """Edits that keep the meaning, relabelled: how often a label flips."""
     turns = marked_turns(spark, d).where("arm = 'behavioral'")
     label = lambda t: text.behavioural_label(t, F.array("tok"), F.lit(TOPIC))
-    edits = turns.select("conv_id", "turn", "tok", label(F.col("t")).alias("original"), F.explode(text.perturbed(F.col("t"), F.array("tok"))).alias("edit", "edited"))
+    edits = turns.select(
+        "conv_id", "turn", "tok", label(F.col("t")).alias("original"),
+        F.explode(text.perturbed(F.col("t"), F.array("tok"))).alias("edit", "edited"),
+    )
     again = edits.select("tok", "original", "edit", text.norm(F.col("edited")).alias("t"))
-    return again.groupBy("edit").agg(F.count("*").alias("n"), F.count_if(label(F.col("t")) != F.col("original")).alias("flips"))
+    return again.groupBy("edit").agg(
+        F.count("*").alias("n"), F.count_if(label(F.col("t")) != F.col("original")).alias("flips"),
+    )
 
 
-@query("""SELECT page_id, substr(html, 1, position('<body>' IN html) - 1) AS prefix, length(substr(html, position('<body>' IN html) + 6)) AS suffix_length FROM pages WHERE contains(html, '<body>')""")
+@query("""SELECT page_id, substr(html, 1, position('<body>' IN html) - 1) AS prefix, length(substr(html,
+  position('<body>' IN html) + 6)) AS suffix_length FROM pages WHERE contains(html, '<body>')""")
 def t21_residue(spark, d):
-    around = table(spark, d, "pages").select("page_id", text.residue(F.col("html"), F.lit("<body>")).alias("r")).where("r IS NOT NULL")
+    around = table(spark, d, "pages").select(
+        "page_id", text.residue(F.col("html"), F.lit("<body>")).alias("r"),
+    ).where("r IS NOT NULL")
     return around.select("page_id", "r.prefix", F.length("r.suffix").cast("bigint").alias("suffix_length"))
 
 
-@query("""WITH t AS (SELECT conv_id, turn, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS reply, text FROM conversations)
-  SELECT conv_id, turn, [trim(text), 'bye'] AS mine, trim(reply) AS marked, trim(list_extract(str_split(reply, chr(10)), 1)) AS first_line FROM t WHERE reply IS NOT NULL AND NOT regexp_matches(text, '(?m)^\\w+:') AND NOT regexp_matches(reply, '(?m)^\\w+:')""")
+@query("""WITH t AS (SELECT conv_id, turn, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS reply, text
+  FROM conversations)
+  SELECT conv_id, turn, [trim(text), 'bye'] AS mine, trim(reply) AS marked, trim(list_extract(str_split(reply,
+  chr(10)), 1)) AS first_line FROM t WHERE reply IS NOT NULL AND NOT regexp_matches(text,
+  '(?m)^\\w+:') AND NOT regexp_matches(reply, '(?m)^\\w+:')""")
 def t16_segments(spark, d):
     """A speaker's turns of a transcript, the text between markers, and the first line with a prefix."""
     from pyspark.sql.window import Window
 
     reply = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))
-    pairs = table(spark, d, "conversations").select("conv_id", "turn", "text", reply.alias("reply")).where(F.col("reply").isNotNull())
+    pairs = table(spark, d, "conversations").select(
+        "conv_id", "turn", "text", reply.alias("reply"),
+    ).where(F.col("reply").isNotNull())
     plain = ~F.rlike("text", F.lit(r"(?m)^\w+:")) & ~F.rlike("reply", F.lit(r"(?m)^\w+:"))
-    script = F.concat(F.lit("User: "), F.col("text"), F.lit("\nOther: <a>"), F.col("reply"), F.lit("</a>\nUser: bye\n>> "), F.col("reply"))
+    script = F.concat(
+        F.lit("User: "), F.col("text"), F.lit("\nOther: <a>"), F.col("reply"), F.lit("</a>\nUser: bye\n>> "),
+        F.col("reply"),
+    )
     cut = pairs.where(plain).select("conv_id", "turn", script.alias("s"))
     mine = F.transform(text.speaker_turns(F.col("s"), "User"), lambda x: F.regexp_replace(x, r"(?s)\n>> .*", ""))
-    return cut.select("conv_id", "turn", mine.alias("mine"), text.between(F.col("s"), "<a>", "</a>").alias("marked"), text.first_line_with(F.col("s"), ">> ").alias("first_line"))
+    return cut.select(
+        "conv_id", "turn", mine.alias("mine"), text.between(F.col("s"), "<a>", "</a>").alias("marked"),
+        text.first_line_with(F.col("s"), ">> ").alias("first_line"),
+    )
 
 
 @query(f"""WITH t AS (SELECT conv_id, turn, {sentences('text')} AS s, text FROM conversations)
-  SELECT conv_id, turn, array_to_string(list_filter(s, lambda x: NOT (regexp_matches(x, '(?i)(^|[^A-Za-z])the([^A-Za-z]|$)') OR regexp_matches(x, '(?i)(^|[^A-Za-z])la([^A-Za-z]|$)'))), ' ') AS dropped,
-   regexp_replace(regexp_replace(text, '(?i)(^|[^A-Za-z])the($|[^A-Za-z])', '\\1$x\\2', 'g'), '(?i)(^|[^A-Za-z])the($|[^A-Za-z])', '\\1$x\\2', 'g') AS replaced,
-   regexp_replace(regexp_replace(text, '(?i)(^|[^A-Za-z])(la)($|[^A-Za-z])', '\\1**\\2**\\3', 'g'), '(?i)(^|[^A-Za-z*])(la)($|[^A-Za-z*])', '\\1**\\2**\\3', 'g') AS bold FROM t""")
+  SELECT conv_id, turn, array_to_string(list_filter(s, lambda x: NOT (regexp_matches(x,
+  '(?i)(^|[^A-Za-z])the([^A-Za-z]|$)') OR regexp_matches(x, '(?i)(^|[^A-Za-z])la([^A-Za-z]|$)'))), ' ') AS dropped,
+   regexp_replace(regexp_replace(text, '(?i)(^|[^A-Za-z])the($|[^A-Za-z])', '\\1$x\\2', 'g'),
+  '(?i)(^|[^A-Za-z])the($|[^A-Za-z])', '\\1$x\\2', 'g') AS replaced,
+   regexp_replace(regexp_replace(text, '(?i)(^|[^A-Za-z])(la)($|[^A-Za-z])', '\\1**\\2**\\3', 'g'),
+  '(?i)(^|[^A-Za-z*])(la)($|[^A-Za-z*])', '\\1**\\2**\\3', 'g') AS bold FROM t""")
 def t17_token_edits(spark, d):
     t, the, la = F.col("text"), F.array(F.lit("the")), F.array(F.lit("la"))
-    edits = {"dropped": text.drop_units(t, F.array(F.lit("the"), F.lit("la"))), "replaced": text.replace_tokens(t, the, F.lit("$x")), "bold": text.bold_tokens(t, la)}
+    edits = {
+        "dropped": text.drop_units(t, F.array(F.lit("the"), F.lit("la"))),
+        "replaced": text.replace_tokens(t, the, F.lit("$x")), "bold": text.bold_tokens(t, la),
+    }
     return table(spark, d, "conversations").select("conv_id", "turn", *[x.alias(name) for name, x in edits.items()])
 
 
-@query("""WITH u AS (SELECT page_id, regexp_extract(url, '^(https?)://([^/]+)/([a-z]{2})/([0-9]+)$', ['scheme', 'host', 'lang', 'number']) AS g FROM pages)
-  SELECT page_id, nullif(g.scheme, '') AS scheme, nullif(g.host, '') AS host, nullif(g.lang, '') AS lang, CASE WHEN g.scheme = '' THEN 'no match' WHEN g.lang <> 'en' THEN 'other lang' END AS reject FROM u""")
+@query("""WITH u AS (SELECT page_id, regexp_extract(url, '^(https?)://([^/]+)/([a-z]{2})/([0-9]+)$', ['scheme',
+  'host', 'lang', 'number']) AS g FROM pages)
+  SELECT page_id, nullif(g.scheme, '') AS scheme, nullif(g.host, '') AS host, nullif(g.lang, '') AS lang, CASE
+  WHEN g.scheme = '' THEN 'no match' WHEN g.lang <> 'en' THEN 'other lang' END AS reject FROM u""")
 def g07_t25_matched_urls(spark, d):
-    found = generation.matched_pairs(table(spark, d, "pages"), "url", r"(https?)://([^/]+)/([a-z]{2})/([0-9]+)", ["scheme", "host", "lang", "number"], {"lang": F.lit("en")})
+    found = generation.matched_pairs(
+        table(spark, d, "pages"), "url", r"(https?)://([^/]+)/([a-z]{2})/([0-9]+)",
+        ["scheme", "host", "lang", "number"], {"lang": F.lit("en")},
+    )
     return found.select("page_id", "scheme", "host", "lang", "reject")
 
 
-@query("""WITH u AS (SELECT regexp_extract(url, '^(https?)://([^/]+)/([a-z]{2})/([0-9]+)$', 3) AS lang FROM pages) SELECT CASE WHEN lang = '' THEN 'no match' WHEN lang <> 'en' THEN 'other lang' ELSE 'kept' END AS reason, count(*) AS n FROM u GROUP BY 1""")
+@query("""WITH u AS (SELECT regexp_extract(url, '^(https?)://([^/]+)/([a-z]{2})/([0-9]+)$', 3) AS lang FROM pages)
+  SELECT CASE WHEN lang = '' THEN 'no match' WHEN lang <> 'en' THEN 'other lang'
+  ELSE 'kept' END AS reason, count(*) AS n FROM u GROUP BY 1""")
 def g07_reject_tally(spark, d):
-    return g07_t25_matched_urls(spark, d).groupBy(F.coalesce("reject", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
+    return g07_t25_matched_urls(spark, d).groupBy(
+        F.coalesce("reject", F.lit("kept")).alias("reason")
+    ).agg(F.count("*").alias("n"))
 
 
 # Tool calls: an event's call, with every way to go wrong.
@@ -243,68 +345,118 @@ def calls(spark, d):
     at, user = F.col("event_id"), F.col("user_id").cast("string")
     said = F.concat(F.lit('{"to": "USER '), user, F.lit('", "n": '), user, F.lit("}"))
     of = lambda n, *values: F.element_at(F.array(*values), (at % n + 1).cast("int"))
-    arguments = of(7, said, F.lit('{"to": "nobody"}'), F.lit('{"field": "address"}'), F.lit('{"field": 3}'), F.lit("[1]"), F.lit('{"to": '), said)
+    arguments = of(
+        7, said, F.lit('{"to": "nobody"}'), F.lit('{"field": "address"}'), F.lit('{"field": 3}'), F.lit("[1]"),
+        F.lit('{"to": '), said,
+    )
     call = F.struct(of(3, F.lit("book"), F.lit("ask"), F.lit("other")).alias("name"), arguments.alias("arguments"))
-    made = F.when(at % 11 == 0, F.array().cast("array<struct<name:string,arguments:string>>")).when(at % 11 == 1, F.array(call, call)).otherwise(F.array(call))
+    made = F.when(at % 11 == 0, F.array().cast("array<struct<name:string,arguments:string>>")).when(
+        at % 11 == 1, F.array(call, call),
+    ).otherwise(F.array(call))
     wanted = F.when(at % 13 == 0, "").otherwise(F.concat(F.lit("user "), user))
     return events(spark, d).select("event_id", made.alias("calls"), wanted.alias("wanted"))
 
 
-@query("""WITH c AS (SELECT event_id, CASE event_id % 11 WHEN 0 THEN 0 WHEN 1 THEN 2 ELSE 1 END AS n, list_extract(['book', 'ask', 'other'], CAST(event_id % 3 AS INTEGER) + 1) AS name, event_id % 7 AS kind, event_id % 13 = 0 AS lacking FROM events),
-  e AS (SELECT *, CASE WHEN n = 0 THEN 'no_tool_call' WHEN n > 1 THEN 'multiple_tool_calls' WHEN kind = 5 THEN 'malformed_arguments' WHEN kind = 4 THEN 'arguments_not_object' WHEN lacking THEN 'item_missing_scoring_fields'
-   WHEN name = 'book' AND kind NOT IN (0, 6) THEN 'execute_missing_or_invented_value' WHEN name = 'book' THEN NULL WHEN name = 'ask' AND kind <> 2 THEN 'verify_wrong_field' WHEN name = 'ask' THEN NULL ELSE 'unexpected_tool' END AS parse_error FROM c)
-  SELECT event_id, CASE WHEN parse_error IS NOT NULL THEN 'UNPARSED' WHEN name = 'book' THEN 'EXECUTE' ELSE 'VERIFY' END AS score, CASE WHEN n > 0 THEN name END AS first_tool, CAST(n AS INTEGER) AS n_calls, parse_error FROM e""")
+@query("""WITH c AS (SELECT event_id, CASE event_id % 11 WHEN 0 THEN 0 WHEN 1 THEN 2
+  ELSE 1 END AS n, list_extract(['book', 'ask', 'other'], CAST(event_id % 3 AS INTEGER) + 1) AS name,
+  event_id % 7 AS kind, event_id % 13 = 0 AS lacking FROM events),
+  e AS (SELECT *, CASE WHEN n = 0 THEN 'no_tool_call' WHEN n > 1 THEN 'multiple_tool_calls'
+  WHEN kind = 5 THEN 'malformed_arguments' WHEN kind = 4 THEN 'arguments_not_object'
+  WHEN lacking THEN 'item_missing_scoring_fields'
+   WHEN name = 'book' AND kind NOT IN (0, 6) THEN 'execute_missing_or_invented_value' WHEN name = 'book' THEN NULL
+  WHEN name = 'ask' AND kind <> 2 THEN 'verify_wrong_field' WHEN name = 'ask' THEN NULL
+  ELSE 'unexpected_tool' END AS parse_error FROM c)
+  SELECT event_id, CASE WHEN parse_error IS NOT NULL THEN 'UNPARSED' WHEN name = 'book' THEN 'EXECUTE'
+  ELSE 'VERIFY' END AS score, CASE WHEN n > 0 THEN name END AS first_tool, CAST(n AS INTEGER) AS n_calls, parse_error
+  FROM e""")
 def n01_n02_tool_calls(spark, d):
     scored = tools.first_call(F.col("calls"), F.lit("book"), F.lit("ask"), F.col("wanted"), F.lit("address"))
     return calls(spark, d).select("event_id", scored.alias("s")).select("event_id", "s.*")
 
 
-@query("""WITH r AS (SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'a' WHEN event_id % 5 = 1 THEN 'z' END AS named, CASE WHEN event_id % 5 = 2 THEN 'b' END AS embedded, CASE WHEN event_id % 3 = 0 THEN 'm1' ELSE 'm2' END AS model, CASE WHEN event_id % 2 = 0 THEN 'p1' ELSE 'p2' END AS provider FROM events),
+@query("""WITH r AS (SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'a'
+  WHEN event_id % 5 = 1 THEN 'z' END AS named, CASE WHEN event_id % 5 = 2 THEN 'b' END AS embedded, CASE
+  WHEN event_id % 3 = 0 THEN 'm1' ELSE 'm2' END AS model, CASE WHEN event_id % 2 = 0 THEN 'p1'
+  ELSE 'p2' END AS provider FROM events),
   c AS (SELECT *, coalesce(named, embedded) AS own FROM r)
-  SELECT event_id, CASE WHEN own IS NOT NULL THEN CASE WHEN own <> 'z' THEN own END WHEN model = 'm1' AND provider = 'p1' THEN 'a' WHEN model = 'm2' AND provider = 'p1' THEN 'b' END AS id,
-   CASE WHEN own = 'z' THEN 'unknown configuration' WHEN own = 'a' AND NOT (model = 'm1' AND provider = 'p1') THEN 'other model or provider' WHEN own = 'b' AND NOT (model = 'm2' AND provider = 'p1') THEN 'other model or provider'
+  SELECT event_id, CASE WHEN own IS NOT NULL THEN CASE WHEN own <> 'z' THEN own END
+  WHEN model = 'm1' AND provider = 'p1' THEN 'a' WHEN model = 'm2' AND provider = 'p1' THEN 'b' END AS id,
+   CASE WHEN own = 'z' THEN 'unknown configuration'
+  WHEN own = 'a' AND NOT (model = 'm1' AND provider = 'p1') THEN 'other model or provider'
+  WHEN own = 'b' AND NOT (model = 'm2' AND provider = 'p1') THEN 'other model or provider'
     WHEN own IS NULL AND NOT provider = 'p1' THEN 'not identified' END AS problem FROM c""")
 def n03_configurations(spark, d):
     at = F.col("event_id")
     named, embedded = F.when(at % 5 == 0, "a").when(at % 5 == 1, "z"), F.when(at % 5 == 2, "b")
     model, provider = F.when(at % 3 == 0, "m1").otherwise("m2"), F.when(at % 2 == 0, "p1").otherwise("p2")
-    return events(spark, d).select("event_id", tools.configuration([named, embedded], model, provider, CONFIGS).alias("c")).select("event_id", "c.*")
+    return events(spark, d).select(
+        "event_id", tools.configuration([named, embedded], model, provider, CONFIGS).alias("c"),
+    ).select("event_id", "c.*")
 
 
-@query("""SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN text ELSE 'given' END AS content, CAST(CASE WHEN turn % 3 = 0 THEN 2 ELSE 1 END AS INTEGER) AS n_tools FROM conversations""")
+@query("""SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN text ELSE 'given' END AS content, CAST(CASE
+  WHEN turn % 3 = 0 THEN 2 ELSE 1 END AS INTEGER) AS n_tools FROM conversations""")
 def n06_default_requests(spark, d):
-    given = F.when(F.col("turn") % 2 == 1, F.array(F.struct(F.lit("user").alias("role"), F.lit("given").alias("content"))))
+    given = F.when(
+        F.col("turn") % 2 == 1, F.array(F.struct(F.lit("user").alias("role"), F.lit("given").alias("content"))),
+    )
     own = F.when(F.col("turn") % 3 != 0, F.array(F.lit("one")))
     messages, named = tools.with_defaults(given, own, F.col("text"), F.lit("book"), F.lit("ask"))
-    return table(spark, d, "conversations").select("conv_id", "turn", F.element_at(messages, 1)["content"].alias("content"), F.size(named).alias("n_tools"))
+    return table(spark, d, "conversations").select(
+        "conv_id", "turn", F.element_at(messages, 1)["content"].alias("content"), F.size(named).alias("n_tools"),
+    )
 
 
-ATTEMPTS = """logged AS (SELECT event_type AS config, user_id AS item, event_id AS attempt FROM events WHERE event_type IN ('purchase', 'signup') AND value > 60),
-wanted AS (SELECT DISTINCT 'purchase' AS config, user_id AS item FROM events WHERE user_id % 10 <> 9 UNION SELECT DISTINCT 'signup', user_id FROM events WHERE user_id % 10 <> 9),
-named AS (SELECT config, item, CASE WHEN item % 3 = 1 THEN -1 ELSE max(attempt) END AS attempt FROM logged WHERE item % 3 <> 2 GROUP BY config, item HAVING count(*) > 1 OR item % 4 = 0)"""
+ATTEMPTS = """logged AS (SELECT event_type AS config, user_id AS item, event_id AS attempt FROM events
+  WHERE event_type IN ('purchase', 'signup') AND value > 60),
+wanted AS (SELECT DISTINCT 'purchase' AS config, user_id AS item FROM events WHERE user_id % 10 <> 9 UNION
+  SELECT DISTINCT 'signup', user_id FROM events WHERE user_id % 10 <> 9),
+named AS (SELECT config, item, CASE WHEN item % 3 = 1 THEN -1 ELSE max(attempt) END AS attempt FROM logged
+  WHERE item % 3 <> 2 GROUP BY config, item HAVING count(*) > 1 OR item % 4 = 0)"""
 
 
 @query(f"""WITH {ATTEMPTS}, n AS (SELECT config, item, count(*) AS n, min(attempt) AS one FROM logged GROUP BY 1, 2),
-  j AS (SELECT coalesce(w.config, n.config) AS config, coalesce(w.item, n.item) AS item, w.item IS NOT NULL AS expected, coalesce(n, 0) AS n, one FROM wanted w FULL JOIN n ON w.config = n.config AND w.item = n.item),
-  s AS (SELECT j.config, j.item, one, r.attempt AS named, CASE WHEN NOT expected AND n > 0 THEN 'unknown item' WHEN r.item IS NOT NULL AND n < 2 THEN 'unused resolution' WHEN n = 0 THEN 'missing' WHEN n = 1 THEN 'single' WHEN r.item IS NULL THEN 'unresolved'
-    WHEN r.attempt = -1 THEN 'resolution of no recorded attempt' ELSE 'resolved' END AS status FROM j LEFT JOIN named r ON j.config = r.config AND j.item = r.item)
+  j AS (SELECT coalesce(w.config, n.config) AS config, coalesce(w.item, n.item) AS item,
+  w.item IS NOT NULL AS expected, coalesce(n, 0) AS n, one FROM wanted w FULL
+  JOIN n ON w.config = n.config AND w.item = n.item),
+  s AS (SELECT j.config, j.item, one, r.attempt AS named, CASE WHEN NOT expected AND n > 0 THEN 'unknown item'
+  WHEN r.item IS NOT NULL AND n < 2 THEN 'unused resolution' WHEN n = 0 THEN 'missing' WHEN n = 1 THEN 'single'
+  WHEN r.item IS NULL THEN 'unresolved'
+    WHEN r.attempt = -1 THEN 'resolution of no recorded attempt' ELSE 'resolved' END AS status FROM j LEFT
+  JOIN named r ON j.config = r.config AND j.item = r.item)
   SELECT config, item, CASE status WHEN 'single' THEN one WHEN 'resolved' THEN named END AS attempt, status FROM s""")
 def v07_final_attempts(spark, d):
     seen = events(spark, d)
-    logged = seen.where("event_type IN ('purchase', 'signup') AND value > 60").select(F.col("event_type").alias("config"), F.col("user_id").alias("item"), F.col("event_id").alias("attempt"))
-    wanted = generation.copies(seen.where("user_id % 10 <> 9").select(F.col("user_id").alias("item")).distinct(), "config", ["purchase", "signup"])
-    named = logged.where("item % 3 <> 2").groupBy("config", "item").agg(F.count("*").alias("n"), F.max("attempt").alias("last")).where("n > 1 OR item % 4 = 0")
-    named = named.select("config", "item", F.when(F.col("item") % 3 == 1, -1).otherwise(F.col("last")).cast("long").alias("attempt"))
+    logged = seen.where("event_type IN ('purchase', 'signup') AND value > 60").select(
+        F.col("event_type").alias("config"), F.col("user_id").alias("item"), F.col("event_id").alias("attempt"),
+    )
+    wanted = generation.copies(
+        seen.where("user_id % 10 <> 9").select(F.col("user_id").alias("item")).distinct(), "config",
+        ["purchase", "signup"],
+    )
+    named = logged.where("item % 3 <> 2").groupBy("config", "item").agg(
+        F.count("*").alias("n"), F.max("attempt").alias("last"),
+    ).where("n > 1 OR item % 4 = 0")
+    named = named.select(
+        "config", "item", F.when(F.col("item") % 3 == 1, -1).otherwise(F.col("last")).cast("long").alias("attempt"),
+    )
     return attempts.final_attempts(logged, wanted, named, ["config", "item"], "attempt")
 
 
-@query("""WITH m AS (SELECT o_orderkey AS key, sha256('{"o_orderkey":' || o_orderkey || ',"o_orderstatus":"' || o_orderstatus || '"}') AS digest FROM orders),
-  g AS (SELECT key, CASE WHEN key % 10 = 3 THEN upper(digest) ELSE digest END AS digest FROM m WHERE key % 10 <> 7), a AS (SELECT * FROM m WHERE key % 10 <> 1)
-  SELECT coalesce(g.key, a.key) AS key, CASE WHEN g.key IS NULL THEN 'not recorded' WHEN a.key IS NULL THEN 'gone' ELSE 'changed' END AS problem FROM g FULL JOIN a ON g.key = a.key WHERE g.digest IS DISTINCT FROM a.digest""")
+@query("""WITH m AS (SELECT o_orderkey AS key, sha256('{"o_orderkey":' || o_orderkey || ',"o_orderstatus":"' ||
+  o_orderstatus || '"}') AS digest FROM orders),
+  g AS (SELECT key, CASE WHEN key % 10 = 3 THEN upper(digest) ELSE digest END AS digest FROM m
+  WHERE key % 10 <> 7), a AS (SELECT * FROM m WHERE key % 10 <> 1)
+  SELECT coalesce(g.key, a.key) AS key, CASE WHEN g.key IS NULL THEN 'not recorded' WHEN a.key IS NULL THEN 'gone'
+  ELSE 'changed' END AS problem FROM g FULL JOIN a ON g.key = a.key WHERE g.digest IS DISTINCT FROM a.digest""")
 def v10_bound_digests(spark, d):
     orders = table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
-    actual = orders.select(F.col("o_orderkey").alias("key"), F.sha2(records.canonical_json(orders), 256).alias("digest"))
-    recorded = actual.where("key % 10 <> 7").withColumn("digest", F.when(F.col("key") % 10 == 3, F.upper("digest")).otherwise(F.col("digest")))
+    actual = orders.select(
+        F.col("o_orderkey").alias("key"), F.sha2(records.canonical_json(orders), 256).alias("digest"),
+    )
+    recorded = actual.where("key % 10 <> 7").withColumn(
+        "digest", F.when(F.col("key") % 10 == 3, F.upper("digest")).otherwise(F.col("digest")),
+    )
     return attempts.unbound(recorded, actual.where("key % 10 <> 1"), "key", "digest")
 
 
@@ -321,19 +473,39 @@ CELLS = [
     generation.Cell("lexical", "e1", 16, ("same",), ("stale",), ("plain",), ("Brand#1", "Brand#11", "Brand#21")),
 ]
 QUERIES = ["Book a car.", "Send the form.", "Order lunch.", "Write to them."]
-RULE_VALUES = ", ".join(f"({quoted(c.component)}, {quoted(c.arm)}, {c.below}, {quoted(f)}, {quoted(g)}, {quoted(k)}, [{', '.join(map(quoted, c.frames))}]::VARCHAR[])" for c in CELLS for f in c.forms for g in c.gaps for k in c.carriers)
-GRID = f"""grid AS (SELECT p_brand AS frame, CAST(p_partkey % 20 AS BIGINT) AS cluster, p_partkey AS witness, component, arm, form, gap, carrier, {choose(QUERIES, 'p_partkey % 20')} || CASE WHEN arm = 'anchor' THEN CASE WHEN p_partkey % 2 = 0 THEN ' SEND or CHECK-FIRST?' ELSE ' CHECK-FIRST or SEND?' END ELSE '' END AS query,
-  CASE WHEN p_partkey % 20 % 5 = 4 THEN 'test' ELSE 'dev' END AS split, concat_ws('-', 'v2', arm, p_brand, p_partkey, carrier, form, gap, component) AS case_id
-  FROM part, (VALUES {RULE_VALUES}) r(component, arm, below, form, gap, carrier, frames) WHERE p_partkey % 20 < below AND (len(frames) = 0 OR list_contains(frames, p_brand)))"""
+RULE_VALUES = ", ".join(
+    f"({quoted(c.component)}, {quoted(c.arm)}, {c.below}, {quoted(f)}, {quoted(g)}, {quoted(k)}, [{', '.join(map(quoted, c.frames))}]::VARCHAR[])"
+    for c in CELLS
+    for f in c.forms
+    for g in c.gaps
+    for k in c.carriers
+)
+GRID = f"""grid AS (SELECT p_brand AS frame, CAST(p_partkey % 20 AS BIGINT) AS cluster, p_partkey AS witness,
+  component, arm, form, gap, carrier, {choose(QUERIES, 'p_partkey % 20')} || CASE WHEN arm = 'anchor' THEN CASE
+  WHEN p_partkey % 2 = 0 THEN ' SEND or CHECK-FIRST?' ELSE ' CHECK-FIRST or SEND?' END ELSE '' END AS query,
+  CASE WHEN p_partkey % 20 % 5 = 4 THEN 'test' ELSE 'dev' END AS split, concat_ws('-', 'v2', arm, p_brand, p_partkey,
+  carrier, form, gap, component) AS case_id
+  FROM part, (VALUES {RULE_VALUES}) r(component, arm, below, form, gap, carrier, frames)
+  WHERE p_partkey % 20 < below AND (len(frames) = 0 OR list_contains(frames, p_brand)))"""
 
 
 def grid(spark, d):
-    witnesses = table(spark, d, "part").select(F.col("p_brand").alias("frame"), (F.col("p_partkey") % 20).cast("bigint").alias("cluster"), F.col("p_partkey").alias("witness"))
+    witnesses = table(spark, d, "part").select(
+        F.col("p_brand").alias("frame"), (F.col("p_partkey") % 20).cast("bigint").alias("cluster"),
+        F.col("p_partkey").alias("witness"),
+    )
     cells = generation.expanded(witnesses, CELLS)
     cluster = F.col("cluster")
-    asked = F.when(F.col("arm") == "anchor", generation.by_turn([" SEND or CHECK-FIRST?", " CHECK-FIRST or SEND?"], cluster)).otherwise("")
+    asked = F.when(
+        F.col("arm") == "anchor", generation.by_turn([" SEND or CHECK-FIRST?", " CHECK-FIRST or SEND?"], cluster),
+    ).otherwise("")
     ids = [F.lit("v2"), "arm", "frame", F.col("witness").cast("string"), "carrier", "form", "gap", "component"]
-    return cells.withColumns({"query": F.concat(generation.by_turn(QUERIES, cluster), asked), "split": generation.held_out(cluster), "case_id": F.concat_ws("-", *ids)})
+    return cells.withColumns(
+        {
+            "query": F.concat(generation.by_turn(QUERIES, cluster), asked), "split": generation.held_out(cluster),
+            "case_id": F.concat_ws("-", *ids),
+        }
+    )
 
 
 @query(f"WITH {GRID} SELECT * FROM grid")
@@ -341,10 +513,15 @@ def f09_f10_g01_stimulus_grid(spark, d):
     return grid(spark, d)
 
 
-SMOKE = [("core", 2, (), ("Brand#1", "Brand#12")), ("notes", 2, ("prog",), ()), ("choice", 1, (), ()), ("gradient", 1, ("prog",), ())]
+SMOKE = [
+    ("core", 2, (), ("Brand#1", "Brand#12")), ("notes", 2, ("prog",), ()), ("choice", 1, (), ()),
+    ("gradient", 1, ("prog",), ()),
+]
 
 
-@query(f"""WITH {GRID} SELECT case_id FROM grid WHERE (component = 'core' AND cluster < 2 AND frame IN ('Brand#1', 'Brand#12')) OR (component = 'notes' AND cluster < 2 AND form = 'prog') OR (component = 'choice' AND cluster < 1) OR (component = 'gradient' AND cluster < 1 AND form = 'prog')""")
+@query(f"""WITH {GRID} SELECT case_id FROM grid WHERE (component = 'core' AND cluster < 2 AND frame IN ('Brand#1',
+  'Brand#12')) OR (component = 'notes' AND cluster < 2 AND form = 'prog') OR (component = 'choice' AND cluster < 1) OR
+  (component = 'gradient' AND cluster < 1 AND form = 'prog')""")
 def f11_smoke_subset(spark, d):
     return generation.subset(grid(spark, d), SMOKE).select("case_id")
 
@@ -352,39 +529,63 @@ def f11_smoke_subset(spark, d):
 V1 = "carrier = 'plain' AND gap IN ('fresh', 'stale') AND form IN ('prog', 'simple', 'bound') AND component <> 'carried'"
 
 
-@query(f"""WITH {GRID} SELECT CASE arm WHEN 'behavioral' THEN concat_ws('-', 'beh', frame, witness, form, gap) ELSE concat_ws('-', left(arm, 3), frame, witness, form, gap) END AS case_id, frame, cluster, form, gap, query FROM grid WHERE {V1}""")
+@query(f"""WITH {GRID} SELECT CASE arm WHEN 'behavioral' THEN concat_ws('-', 'beh', frame, witness, form, gap)
+  ELSE concat_ws('-', left(arm, 3), frame, witness, form, gap) END AS case_id, frame, cluster, form, gap, query
+  FROM grid WHERE {V1}""")
 def f13_g02_older_view(spark, d):
     """The older grid: rows of the new one that it contains, under their older names and fields."""
-    ids = [F.when(F.col("arm") == "behavioral", "beh").otherwise(F.left("arm", F.lit(3))), "frame", F.col("witness").cast("string"), "form", "gap"]
-    return grid(spark, d).where(V1).select(F.concat_ws("-", *ids).alias("case_id"), "frame", "cluster", "form", "gap", "query")
+    ids = [
+        F.when(F.col("arm") == "behavioral", "beh").otherwise(F.left("arm", F.lit(3))), "frame",
+        F.col("witness").cast("string"), "form", "gap",
+    ]
+    return grid(spark, d).where(V1).select(
+        F.concat_ws("-", *ids).alias("case_id"), "frame", "cluster", "form", "gap", "query",
+    )
 
 
 @query(f"""SELECT 'rows' AS "check", '' AS key, '' AS detail FROM part WHERE false""")
 def v13_v15_containment_and_determinism(spark, d):
     """The older view equals a grid that is built on its own, and a second build of the grid equals the first: no row."""
-    own = [c for c in CELLS if set(c.gaps) & {"fresh", "stale"} and c.carriers == ("plain",) and c.component != "lexical"]
-    own = [generation.Cell(c.component, c.arm, c.below, c.forms, tuple(g for g in c.gaps if g in ("fresh", "stale"))) for c in own]
-    witnesses = table(spark, d, "part").select(F.col("p_brand").alias("frame"), (F.col("p_partkey") % 20).cast("bigint").alias("cluster"), F.col("p_partkey").alias("witness"))
+    own = [
+        c
+        for c in CELLS if set(c.gaps) & {"fresh", "stale"} and c.carriers == ("plain",) and c.component != "lexical"
+    ]
+    own = [
+        generation.Cell(c.component, c.arm, c.below, c.forms, tuple(g for g in c.gaps if g in ("fresh", "stale")))
+        for c in own
+    ]
+    witnesses = table(spark, d, "part").select(
+        F.col("p_brand").alias("frame"), (F.col("p_partkey") % 20).cast("bigint").alias("cluster"),
+        F.col("p_partkey").alias("witness"),
+    )
     golden = generation.expanded(witnesses, own).select("frame", "cluster", "form", "gap")
     view = f13_g02_older_view(spark, d).select("frame", "cluster", "form", "gap")
     first, second = contracts.fingerprint(grid(spark, d)), contracts.fingerprint(grid(spark, d))
     return contracts.all_of(contracts.same_rows(view, golden), contracts.same_rows(first, second))
 
 
-@query("""SELECT p_brand AS frame, p_partkey AS witness, age, form, arm, replace(replace('As of {a}, they {v} it.', '{a}', age), '{v}', CASE form WHEN 'prog' THEN 'are using' ELSE 'use' END) AS note
-  FROM part, (SELECT unnest(['M2', 'M8', 'M14']) AS age), (SELECT unnest(['prog', 'flat']) AS form), (SELECT unnest(['item', 'reader']) AS arm) WHERE p_partkey % 20 < 12""")
+@query("""SELECT p_brand AS frame, p_partkey AS witness, age, form, arm, replace(replace('As of {a}, they {v} it.',
+  '{a}', age), '{v}', CASE form WHEN 'prog' THEN 'are using' ELSE 'use' END) AS note
+  FROM part, (SELECT unnest(['M2', 'M8', 'M14']) AS age), (SELECT unnest(['prog', 'flat']) AS form),
+  (SELECT unnest(['item', 'reader']) AS arm) WHERE p_partkey % 20 < 12""")
 def g03_t20_ladder_grid(spark, d):
-    rows = table(spark, d, "part").where("p_partkey % 20 < 12").select(F.col("p_brand").alias("frame"), F.col("p_partkey").alias("witness"))
+    rows = table(spark, d, "part").where("p_partkey % 20 < 12").select(
+        F.col("p_brand").alias("frame"), F.col("p_partkey").alias("witness"),
+    )
     for name, values in (("age", ["M2", "M8", "M14"]), ("form", ["prog", "flat"]), ("arm", ["item", "reader"])):
         rows = generation.copies(rows, name, values)
     verb = F.when(F.col("form") == "prog", "are using").otherwise("use")
     return rows.withColumn("note", text.fill(F.lit("As of {a}, they {v} it."), {"a": F.col("age"), "v": verb}))
 
 
-@query("""SELECT p_partkey AS part, ps.s_suppkey AS supplier FROM part JOIN supplier ps ON ps.s_nationkey = p_partkey % 25 WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_partkey = p_partkey AND l.l_suppkey = ps.s_suppkey)""")
+@query("""SELECT p_partkey AS part, ps.s_suppkey AS supplier FROM part
+  JOIN supplier ps ON ps.s_nationkey = p_partkey % 25 WHERE NOT EXISTS (SELECT 1 FROM lineitem l
+  WHERE l.l_partkey = p_partkey AND l.l_suppkey = ps.s_suppkey)""")
 def g04_unseen_pairs(spark, d):
     parts = table(spark, d, "part").select(F.col("p_partkey").alias("part"), (F.col("p_partkey") % 25).alias("nation"))
-    suppliers = table(spark, d, "supplier").select(F.col("s_suppkey").alias("supplier"), F.col("s_nationkey").alias("nation"))
+    suppliers = table(spark, d, "supplier").select(
+        F.col("s_suppkey").alias("supplier"), F.col("s_nationkey").alias("nation"),
+    )
     seen = table(spark, d, "lineitem").select(F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supplier"))
     return generation.unseen_pairs(parts, suppliers, ["nation"], seen, ["part", "supplier"]).select("part", "supplier")
 
@@ -392,24 +593,39 @@ def g04_unseen_pairs(spark, d):
 QUALIFIERS = {"temporary": "For now, ", "current": "At the moment, ", "dated": "In January 2026, ", "plain": ""}
 
 
-@query("""SELECT c_custkey, q.name AS variant, q.qualifier || CASE WHEN q.name = 'plain' THEN 'The' ELSE 'the' END || ' customer ' || c_name || ' is working.' AS sentence FROM customer, (VALUES ('temporary', 'For now, '), ('current', 'At the moment, '), ('dated', 'In January 2026, '), ('plain', '')) q(name, qualifier)""")
+@query("""SELECT c_custkey, q.name AS variant, q.qualifier || CASE WHEN q.name = 'plain' THEN 'The'
+  ELSE 'the' END || ' customer ' || c_name || ' is working.' AS sentence
+  FROM customer, (VALUES ('temporary', 'For now, '), ('current', 'At the moment, '), ('dated', 'In January 2026, '),
+  ('plain', '')) q(name, qualifier)""")
 def f06_g05_qualifier_variants(spark, d):
     rows = generation.copies(table(spark, d, "customer").select("c_custkey", "c_name"), "variant", list(QUALIFIERS))
     kinds = F.create_map(*[F.lit(x) for pair in QUALIFIERS.items() for x in pair])
     the = F.when(F.col("variant") == "plain", "The").otherwise("the")
-    sentence = F.concat(F.element_at(kinds, F.col("variant")), the, F.lit(" customer "), F.col("c_name"), F.lit(" is working."))
+    sentence = F.concat(
+        F.element_at(kinds, F.col("variant")), the, F.lit(" customer "), F.col("c_name"), F.lit(" is working."),
+    )
     return generation.merged(rows, {"sentence": sentence}).select("c_custkey", "variant", "sentence")
 
 
-@query(f"""WITH seeds AS (SELECT doc_id, lang, left(text, 300) AS t, text FROM (SELECT doc_id, lang, text, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS r FROM documents WHERE {has(FOLDED.format(x='text'), '(^|[^A-Za-z])(the|la|die|el)([^A-Za-z]|$)', '(?i)')}) WHERE r <= 4)
-  SELECT doc_id, mutation, gold, sha256(CASE mutation WHEN 'closer' THEN text || chr(10) || chr(10) || 'Could you confirm the address?' WHEN 'caveat' THEN text || chr(10) || chr(10) || 'Assuming you are still there.' ELSE '"' || text || '"' END) AS digest FROM seeds, (VALUES ('closer', 'HEDGE'), ('caveat', 'PROCEED-WITH-CAVEAT'), ('quoted', 'PROCEED')) m(mutation, gold)""")
+@query(f"""WITH seeds AS (SELECT doc_id, lang, left(text, 300) AS t, text
+  FROM (SELECT doc_id, lang, text, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS r FROM documents
+  WHERE {has(FOLDED.format(x='text'), '(^|[^A-Za-z])(the|la|die|el)([^A-Za-z]|$)', '(?i)')}) WHERE r <= 4)
+  SELECT doc_id, mutation, gold, sha256(CASE mutation
+  WHEN 'closer' THEN text || chr(10) || chr(10) || 'Could you confirm the address?'
+  WHEN 'caveat' THEN text || chr(10) || chr(10) || 'Assuming you are still there.'
+  ELSE '"' || text || '"' END) AS digest FROM seeds, (VALUES ('closer', 'HEDGE'), ('caveat', 'PROCEED-WITH-CAVEAT'),
+  ('quoted', 'PROCEED')) m(mutation, gold)""")
 def g06_mutations(spark, d):
     """The first four seeds of each language (few by design), each with every mutation and the label that it must have."""
     found = F.exists(F.array(*map(F.lit, ("the", "la", "die", "el"))), lambda t: text.has_token(F.col("t"), t))
     from pyspark.sql.window import Window
 
-    docs = table(spark, d, "documents").select("doc_id", "lang", "text", text.norm(F.col("text")).alias("t")).where(found)
-    first = docs.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("doc_id"))).where("r <= 4").select("doc_id", "text")
+    docs = table(spark, d, "documents").select(
+        "doc_id", "lang", "text", text.norm(F.col("text")).alias("t"),
+    ).where(found)
+    first = docs.withColumn(
+        "r", F.row_number().over(Window.partitionBy("lang").orderBy("doc_id")),
+    ).where("r <= 4").select("doc_id", "text")
     body = F.col("text")
     made = generation.mutated(first, {
         "closer": ("HEDGE", F.concat(body, F.lit("\n\nCould you confirm the address?"))),
@@ -422,40 +638,74 @@ def g06_mutations(spark, d):
 AGES = {"M2": ("2026-07-06", "July 6, 2026"), "M14": ("2025-07-06", "July 6, 2025")}
 
 
-@query("""WITH n AS (SELECT s_suppkey, 'Written 2026-01-06 (January 6, 2026)' || CASE WHEN s_suppkey % 5 = 0 THEN ', seen in Jan' ELSE '' END || ' by ' || s_name AS note FROM supplier)
-  SELECT s_suppkey, age, CASE WHEN s_suppkey % 5 <> 0 THEN replace(replace(note, '2026-01-06', iso), 'January 6, 2026', long) END AS redated FROM n, (VALUES ('M2', '2026-07-06', 'July 6, 2026'), ('M14', '2025-07-06', 'July 6, 2025')) a(age, iso, long)""")
+@query("""WITH n AS (SELECT s_suppkey, 'Written 2026-01-06 (January 6, 2026)' || CASE
+  WHEN s_suppkey % 5 = 0 THEN ', seen in Jan' ELSE '' END || ' by ' || s_name AS note FROM supplier)
+  SELECT s_suppkey, age, CASE WHEN s_suppkey % 5 <> 0 THEN replace(replace(note, '2026-01-06', iso),
+  'January 6, 2026', long) END AS redated FROM n, (VALUES ('M2', '2026-07-06', 'July 6, 2026'), ('M14', '2025-07-06',
+  'July 6, 2025')) a(age, iso, long)""")
 def g08_k07_redated_copies(spark, d):
     """A copy of each note for each age, its dates replaced; null where an old date is left over."""
-    note = F.concat(F.lit("Written 2026-01-06 (January 6, 2026)"), F.when(F.col("s_suppkey") % 5 == 0, ", seen in Jan").otherwise(""), F.lit(" by "), F.col("s_name"))
+    note = F.concat(
+        F.lit("Written 2026-01-06 (January 6, 2026)"),
+        F.when(F.col("s_suppkey") % 5 == 0, ", seen in Jan").otherwise(""), F.lit(" by "), F.col("s_name"),
+    )
     rows = generation.copies(table(spark, d, "supplier").select("s_suppkey", note.alias("note")), "age", list(AGES))
-    out = F.coalesce(*[F.when(F.col("age") == age, text.redated(F.col("note"), [("2026-01-06", iso), ("January 6, 2026", long)], r"\bJan(uary)?\b|2026-01")) for age, (iso, long) in AGES.items()])
+    out = F.coalesce(
+        *[
+            F.when(
+                F.col("age") == age,
+                text.redated(
+                    F.col("note"), [("2026-01-06", iso), ("January 6, 2026", long)], r"\bJan(uary)?\b|2026-01",
+                ),
+            )
+            for age, (iso, long) in AGES.items()
+        ]
+    )
     return rows.select("s_suppkey", "age", out.alias("redated"))
 
 
-@query("""SELECT 'range' AS "check", CAST(o_orderkey AS VARCHAR) AS key, CAST(date_diff('day', CAST(o_orderdate AS DATE), bound) AS VARCHAR) AS detail FROM (SELECT o_orderkey, o_orderdate, CAST(date_trunc('month', o_orderdate) + INTERVAL 1 MONTH AS DATE) AS bound FROM orders) WHERE NOT date_diff('day', CAST(o_orderdate AS DATE), bound) BETWEEN 7 AND 40
-  UNION ALL SELECT 'boundary', CAST(o_orderkey AS VARCHAR), CAST(CAST(o_orderdate AS DATE) AS VARCHAR) FROM orders WHERE CAST(o_orderdate AS DATE) > DATE '2024-06-30'""")
+@query("""SELECT 'range' AS "check", CAST(o_orderkey AS VARCHAR) AS key, CAST(date_diff('day',
+  CAST(o_orderdate AS DATE), bound) AS VARCHAR) AS detail
+  FROM (SELECT o_orderkey, o_orderdate, CAST(date_trunc('month', o_orderdate) + INTERVAL 1 MONTH AS DATE) AS bound
+  FROM orders) WHERE NOT date_diff('day', CAST(o_orderdate AS DATE), bound) BETWEEN 7 AND 40
+  UNION ALL SELECT 'boundary', CAST(o_orderkey AS VARCHAR), CAST(CAST(o_orderdate AS DATE) AS VARCHAR) FROM orders
+  WHERE CAST(o_orderdate AS DATE) > DATE '2024-06-30'""")
 def k06_date_guards(spark, d):
     """Bounds must be 7 to 40 days on, and no date after the evaluation day."""
     orders = table(spark, d, "orders").withColumn("day", F.to_date("o_orderdate"))
     gap = orders.withColumn("days", F.datediff(F.add_months(F.trunc("day", "month"), 1), F.col("day")))
-    late = orders.where(F.col("day") > F.lit("2024-06-30").cast("date")).select(F.lit("boundary").alias("check"), F.col("o_orderkey").cast("string").alias("key"), F.col("day").cast("string").alias("detail"))
+    late = orders.where(F.col("day") > F.lit("2024-06-30").cast("date")).select(
+        F.lit("boundary").alias("check"), F.col("o_orderkey").cast("string").alias("key"),
+        F.col("day").cast("string").alias("detail"),
+    )
     return contracts.all_of(contracts.within(gap, "o_orderkey", "days", F.lit(7), F.lit(40)), late)
 
 
-@query("""SELECT 'unique' AS "check", lower(c_name) AS key, CAST(count(*) AS VARCHAR) AS detail FROM (SELECT c_name FROM customer UNION ALL SELECT upper(c_name) FROM customer WHERE c_custkey % 3 = 0) GROUP BY 2 HAVING count(*) > 1""")
+@query("""SELECT 'unique' AS "check", lower(c_name) AS key, CAST(count(*) AS VARCHAR) AS detail FROM (SELECT c_name
+  FROM customer UNION ALL SELECT upper(c_name) FROM customer WHERE c_custkey % 3 = 0) GROUP BY 2 HAVING count(*) > 1""")
 def v14_folded_uniqueness(spark, d):
     names = table(spark, d, "customer")
-    return contracts.unique_folded(names.select("c_name").union(names.where("c_custkey % 3 = 0").select(F.upper("c_name"))), "c_name")
+    return contracts.unique_folded(
+        names.select("c_name").union(names.where("c_custkey % 3 = 0").select(F.upper("c_name"))), "c_name",
+    )
 
 
-@query("""SELECT 'disjoint' AS "check", CAST(user_id AS VARCHAR) AS key, CAST(count(DISTINCT event_type) AS VARCHAR) AS detail FROM events WHERE event_type IN ('purchase', 'signup', 'error') AND value > 60 GROUP BY user_id HAVING count(DISTINCT event_type) > 1""")
+@query("""SELECT 'disjoint' AS "check", CAST(user_id AS VARCHAR) AS key,
+  CAST(count(DISTINCT event_type) AS VARCHAR) AS detail FROM events
+  WHERE event_type IN ('purchase', 'signup', 'error') AND value > 60 GROUP BY user_id
+  HAVING count(DISTINCT event_type) > 1""")
 def j17_disjoint_roles(spark, d):
-    return contracts.disjoint(events(spark, d).where("event_type IN ('purchase', 'signup', 'error') AND value > 60"), "event_type", "user_id")
+    return contracts.disjoint(
+        events(spark, d).where("event_type IN ('purchase', 'signup', 'error') AND value > 60"), "event_type", "user_id",
+    )
 
 
 def tiered_sample(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "lang", "source", F.length("text").alias("n"))
-    tiers = [("A", F.col("lang") == "es", 20, ["source"]), ("B", F.col("n") > 2000, 15, ["lang"]), ("C", F.col("source").isNotNull(), 10, ["lang", "source"])]
+    tiers = [
+        ("A", F.col("lang") == "es", 20, ["source"]), ("B", F.col("n") > 2000, 15, ["lang"]),
+        ("C", F.col("source").isNotNull(), 10, ["lang", "source"]),
+    ]
     return sampling.tiered(docs, tiers, "tiers", "doc_id").select("doc_id", "lang", "source", "tier")
 
 
@@ -465,9 +715,16 @@ def _tier(name: str, condition: str, cap: int, strata: str, before: list[str]) -
     return f"{name} AS (SELECT doc_id, lang, source FROM (SELECT doc_id, lang, source, {rank} AS r FROM documents WHERE {condition}{taken}) ORDER BY r, {strata} LIMIT {cap})"
 
 
-TIERS = ", ".join([_tier("a", "lang = 'es'", 20, "source", []), _tier("b", "length(text) > 2000", 15, "lang", ["a"]), _tier("c", "source IS NOT NULL", 10, "lang, source", ["a", "b"])])
-SAMPLE = f"{TIERS}, sample AS (SELECT *, 'A' AS tier FROM a UNION ALL SELECT *, 'B' FROM b UNION ALL SELECT *, 'C' FROM c)"
-BLIND = f"{SAMPLE}, blind AS (SELECT *, printf('g%03d', row_number() OVER (ORDER BY sha256(concat_ws('|', 'blind', doc_id)), doc_id)) AS gid FROM sample)"
+TIERS = ", ".join(
+    [
+        _tier("a", "lang = 'es'", 20, "source", []), _tier("b", "length(text) > 2000", 15, "lang", ["a"]),
+        _tier("c", "source IS NOT NULL", 10, "lang, source", ["a", "b"]),
+    ]
+)
+SAMPLE = f"""{TIERS}, sample AS (SELECT *, 'A' AS tier FROM a UNION ALL SELECT *, 'B' FROM b UNION ALL SELECT *, 'C'
+  FROM c)"""
+BLIND = f"""{SAMPLE}, blind AS (SELECT *, printf('g%03d', row_number() OVER (ORDER BY sha256(concat_ws('|', 'blind',
+  doc_id)), doc_id)) AS gid FROM sample)"""
 
 
 @query(f"WITH {SAMPLE} SELECT doc_id, tier FROM sample")
@@ -490,7 +747,9 @@ def r04_key_view(spark, d):
 def s03_s07_wrapped_array(spark, d):
     path = scratch(spark)
     nation = table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey")
-    body = nation.agg(F.to_json(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name", "n_regionkey")))).alias("j"))  # 25 rows at any scale
+    body = nation.agg(
+        F.to_json(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name", "n_regionkey")))).alias("j")
+    )  # 25 rows at any scale
     body.select(F.concat(F.lit("window.NATIONS = "), "j", F.lit(";"))).coalesce(1).write.text(path)
     return records.read_assigned_array(spark, path, "n_nationkey bigint, n_name string, n_regionkey bigint")
 
@@ -499,21 +758,37 @@ def s03_s07_wrapped_array(spark, d):
 def s06_report_lines(spark, d):
     """Reports, one for each thousand orders, read back: each line with the header above it."""
     path = scratch(spark)
-    rows = table(spark, d, "orders").groupBy((F.col("o_orderkey") % 97).alias("report"), "o_orderstatus").agg(F.array_join(F.transform(F.collect_list("o_orderkey"), lambda k: F.concat(F.lit("item "), k.cast("string"))), "\n").alias("items"))
-    report = rows.groupBy("report").agg(F.array_join(F.transform(F.collect_list(F.struct("o_orderstatus", "items")), lambda x: F.concat(F.lit("### "), x["o_orderstatus"], F.lit("\nnothing\n"), x["items"])), "\n").alias("value"))
+    rows = table(spark, d, "orders").groupBy((F.col("o_orderkey") % 97).alias("report"), "o_orderstatus").agg(
+        F.array_join(
+            F.transform(F.collect_list("o_orderkey"), lambda k: F.concat(F.lit("item "), k.cast("string"))), "\n",
+        ).alias("items")
+    )
+    report = rows.groupBy("report").agg(
+        F.array_join(
+            F.transform(
+                F.collect_list(F.struct("o_orderstatus", "items")),
+                lambda x: F.concat(F.lit("### "), x["o_orderstatus"], F.lit("\nnothing\n"), x["items"]),
+            ),
+            "\n",
+        ).alias("value")
+    )
     report.write.partitionBy("report").text(path)
     read = records.read_report(spark, f"{path}/*", r"^### (\w+)", r"^item \d+")
     return read.select("section", F.regexp_extract("line", r"^item (\d+)", 1).alias("item"))
 
 
-@query("SELECT event_type AS shard, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events WHERE event_type <> 'error' GROUP BY 1")
+@query("""SELECT event_type AS shard, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events
+  WHERE event_type <> 'error' GROUP BY 1""")
 def s05_s10_s11_appended_shards(spark, d):
     """Shards written in two appends; files whose names hold a part are left out."""
     path = scratch(spark)
     seen = events(spark, d).select("event_id", F.col("event_type").alias("kind"))
     for half in (0, 1):
         for kind in ("click", "error", "purchase", "signup", "view"):  # a vocabulary of five
-            records.write_jsonl(seen.where((F.col("kind") == kind) & (F.col("event_id") % 2 == half)).select("event_id"), f"{path}/{kind}.jsonl", "append")
+            records.write_jsonl(
+                seen.where((F.col("kind") == kind) & (F.col("event_id") % 2 == half)).select("event_id"),
+                f"{path}/{kind}.jsonl", "append",
+            )
     read = records.read_shards(spark, f"{path}/*", "event_id bigint", leave_out=["error"], depth=1)
     return read.groupBy("shard").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
 
@@ -521,4 +796,6 @@ def s05_s10_s11_appended_shards(spark, d):
 @query()
 def h01_file_digests(spark, d):
     """SHA-256 and size of each file of the dimension tables (no SQL: DuckDB's views don't show files)."""
-    return records.file_digests(spark, [f"{d}/{t}.parquet" for t in ("region", "nation", "supplier", "customer", "part")])
+    return records.file_digests(
+        spark, [f"{d}/{t}.parquet" for t in ("region", "nation", "supplier", "customer", "part")],
+    )

@@ -8,7 +8,9 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 
-def read_jsonl(spark: SparkSession, path: str | list[str], schema: str | T.StructType, strict: bool = False) -> DataFrame:
+def read_jsonl(
+    spark: SparkSession, path: str | list[str], schema: str | T.StructType, strict: bool = False,
+) -> DataFrame:
     """JSON lines with a declared schema; blank lines are skipped. ``strict``: a bad line or an empty source is an error."""
     out = spark.read.schema(schema).option("mode", "FAILFAST" if strict else "PERMISSIVE").json(path)
     if strict and out.isEmpty():
@@ -21,7 +23,9 @@ def read_object(spark: SparkSession, path: str, schema: str | T.StructType) -> D
     return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
 
 
-def read_shards(spark: SparkSession, pattern: str, schema: str | T.StructType, leave_out: list[str] | None = None, depth: int = 0) -> DataFrame:
+def read_shards(
+    spark: SparkSession, pattern: str, schema: str | T.StructType, leave_out: list[str] | None = None, depth: int = 0,
+) -> DataFrame:
     """All files of a glob, with ``shard``, the file's name without its endings; names that hold a ``leave_out`` part are left out.
 
     ``depth``: how many folders above the files the name is taken (1 for folders of part files).
@@ -45,9 +49,16 @@ def read_report(spark: SparkSession, path: str, header: str, line: str) -> DataF
 
     A report is one small file; its lines are numbered within the file.
     """
-    text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("n", "line"))
+    text = spark.read.text(path, wholetext=True).select(
+        F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("n", "line"),
+    )
     above = Window.partitionBy("file").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    titled = text.withColumn("section", F.last(F.when(F.rlike("line", F.lit(header)), F.regexp_extract("line", header, 1)), ignorenulls=True).over(above))
+    titled = text.withColumn(
+        "section",
+        F.last(
+            F.when(F.rlike("line", F.lit(header)), F.regexp_extract("line", header, 1)), ignorenulls=True,
+        ).over(above),
+    )
     return titled.where(F.rlike("line", F.lit(line)))
 
 
@@ -61,12 +72,16 @@ def canonical_json(df: DataFrame) -> Column:
 
     def ordered(column: Column, kind: T.DataType) -> Column:
         if isinstance(kind, T.StructType):
-            return F.struct(*[ordered(column[f.name], f.dataType).alias(f.name) for f in sorted(kind.fields, key=lambda f: f.name)])
+            return F.struct(
+                *[ordered(column[f.name], f.dataType).alias(f.name) for f in sorted(kind.fields, key=lambda f: f.name)]
+            )
         if isinstance(kind, T.ArrayType):
             return F.transform(column, lambda x: ordered(x, kind.elementType))
         if isinstance(kind, T.MapType):
             entries = F.array_sort(F.map_entries(column))
-            return F.map_from_entries(F.transform(entries, lambda e: F.struct(e["key"], ordered(e["value"], kind.valueType))))
+            return F.map_from_entries(
+                F.transform(entries, lambda e: F.struct(e["key"], ordered(e["value"], kind.valueType)))
+            )
         return column
 
     parts = [ordered(F.col(f.name), f.dataType).alias(f.name) for f in sorted(df.schema.fields, key=lambda f: f.name)]

@@ -22,6 +22,8 @@ def first_attempts(attempts: DataFrame, key: str, time: str, delay: str = "1 hou
     return attempts.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
 
 
-def windowed_tally(attempts: DataFrame, time: str, by: list[str], width: str = "10 minutes", delay: str = "1 hour") -> DataFrame:
+def windowed_tally(
+    attempts: DataFrame, time: str, by: list[str], width: str = "10 minutes", delay: str = "1 hour",
+) -> DataFrame:
     """Counts of each tumbling window; rows later than the watermark are not counted."""
     return attempts.withWatermark(time, delay).groupBy(F.window(time, width).alias("window"), *by).count()

@@ -31,9 +31,15 @@ def power(n, q, s, alpha=0.05):
 
 
 def test_mcnemar_power_of_any_number_of_pairs(spark):
-    cases = [(1, 0.5, 0.5), (6, 0.9, 0.9), (60, 0.3, 0.7), (400, 0.5, 0.55), (401, 0.5, 0.55), (700, 0.45, 0.53), (700, 0.9, 0.1)]
+    cases = [
+        (1, 0.5, 0.5), (6, 0.9, 0.9), (60, 0.3, 0.7), (400, 0.5, 0.55), (401, 0.5, 0.55), (700, 0.45, 0.53),
+        (700, 0.9, 0.1),
+    ]
     df = spark.createDataFrame(cases, "n bigint, q double, s double")
-    got = {(r.n, r.q, r.s): r.power for r in df.withColumn("power", operators.mcnemar_power(F.col("n"), F.col("q"), F.col("s"))).collect()}
+    got = {
+        (r.n, r.q, r.s): r.power
+        for r in df.withColumn("power", operators.mcnemar_power(F.col("n"), F.col("q"), F.col("s"))).collect()
+    }
     for case in cases:
         assert got[case] == pytest.approx(power(*case), abs=1e-9)
 
@@ -64,19 +70,31 @@ def brute_counts(texts, items):
 @pytest.mark.parametrize("block_bytes", [1 << 20, 150])
 def test_contained_counts_of_any_strings(spark, block_bytes):
     long = "a passage of well over forty characters, which departs only at its end"
-    texts = [f"x {long}: one", f"{long}: two {long}: two", f"{long}", None, "", "aaaaa", "grün grün", "ab", "c", f"so {long[30:]}"]
-    items = [(1, f"{long}: one"), (2, f"{long}: two"), (3, long), (4, "aa"), (5, "ün"), (6, "bc"), (7, ""), (8, None), (9, "a"), (9, "c"), (10, "aa"), (10, "aa"), (None, "grün"), (11, long[30:])]
+    texts = [
+        f"x {long}: one", f"{long}: two {long}: two", f"{long}", None, "", "aaaaa", "grün grün", "ab", "c",
+        f"so {long[30:]}",
+    ]
+    items = [
+        (1, f"{long}: one"), (2, f"{long}: two"), (3, long), (4, "aa"), (5, "ün"), (6, "bc"), (7, ""), (8, None),
+        (9, "a"), (9, "c"), (10, "aa"), (10, "aa"), (None, "grün"), (11, long[30:]),
+    ]
     docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(2)
-    got = contained.counts(docs, spark.createDataFrame(items, "item_id bigint, text string"), block_bytes=block_bytes).collect()
+    got = contained.counts(
+        docs, spark.createDataFrame(items, "item_id bigint, text string"), block_bytes=block_bytes,
+    ).collect()
     assert {r.item_id: [r.n, r.documents] for r in got} == brute_counts(texts, items)
     assert len(got) == len({r.item_id for r in got})
 
 
 def test_j14_counts_whole_items(spark, tmp_path):
     start = "the same forty characters begin each item, "
-    items, texts = [(1, f"{start}one"), (2, f"{start}two"), (3, "short")], [f"{start}one", f"{start}three", "two short short"]
+    items, texts = [(1, f"{start}one"), (2, f"{start}two"), (3, "short")], [
+        f"{start}one", f"{start}three", "two short short",
+    ]
     spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(
+        f"{tmp_path}/documents.parquet"
+    )
     got = entry_module.queries()["j14_contained_counts"](spark, str(tmp_path)).collect()
     assert {r.item_id: [r.n, r.documents] for r in got} == brute_counts(texts, items) == {1: [1, 1], 3: [2, 1]}
 
@@ -105,7 +123,9 @@ def test_x04_x05_count_all_line_items_and_give_both_bounds(spark):
 @pytest.mark.parametrize("by", [["frame"], []])
 def test_cluster_draws_against_brute_force(spark, by):
     users = [(u, u % 3, u * u) for u in range(40)]
-    draws = operators.cluster_draws(spark.createDataFrame(users, "user_id bigint, frame bigint, x bigint"), "user_id", 200, "s", by, bucket_rows=7).collect()
+    draws = operators.cluster_draws(
+        spark.createDataFrame(users, "user_id bigint, frame bigint, x bigint"), "user_id", 200, "s", by, bucket_rows=7,
+    ).collect()
     size = Counter((r.replicate, r.frame) for r in draws)
     if by:
         assert size == {(k, f): sum(u % 3 == f for u in range(40)) for k in range(200) for f in range(3)}
@@ -123,6 +143,9 @@ def test_x16_x17_give_intervals_of_10000_replicates(spark):
 
 def test_h01_digests_every_file(spark):
     tables = ("region", "nation", "supplier", "customer", "part")
-    got = {r.file.rpartition("/")[2]: (r.n_bytes, r.sha256) for r in entry_module.queries()["h01_file_digests"](spark, SMALL).collect()}
+    got = {
+        r.file.rpartition("/")[2]: (r.n_bytes, r.sha256)
+        for r in entry_module.queries()["h01_file_digests"](spark, SMALL).collect()
+    }
     data = {f"{t}.parquet": open(f"{SMALL}/{t}.parquet", "rb").read() for t in tables}
     assert got == {name: (len(x), hashlib.sha256(x).hexdigest()) for name, x in data.items()}
