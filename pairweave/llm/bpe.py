@@ -6,8 +6,9 @@ goes from left to right with the longest match and backtracks to shorter prefixe
 not both survive the merges; that test of two tokens is memoised. Each (position, end) is tried once, so the work is
 linear in the piece, and the result equals merging by rank.
 
-Null texts count as empty: no tokens, the digests of the empty string. Repeated rows give repeated results. Columns
-other than the id are not carried, so none can clash.
+Null texts count as empty: no tokens, the digests of the empty string. Repeated rows give repeated results; an empty table
+gives an empty one. Texts of any length are encoded whole, 128 rows at a time. Columns other than the id are not carried
+by ``digests``, and ``encode_decode`` adds its own under free names, so none can clash.
 """
 
 from __future__ import annotations

@@ -5,7 +5,8 @@ score and the number of pieces, no back-pointers. Ties go to the match that begi
 tokenizer; an unknown character scores the least score minus 10 and falls back to its bytes. Texts are split before
 each word mark, as that tokenizer does, so a word's count depends on the word alone and is remembered.
 
-Null and empty texts count 0. Repeated rows repeat. Only the id is carried.
+Null and empty texts count 0. Repeated rows repeat; an empty table gives an empty result. Texts of any length are counted
+whole: the work is linear in them, and what is held is a word's. Only the id is carried, so no other column can clash.
 """
 
 from __future__ import annotations

@@ -67,6 +67,19 @@ def test_bpe_equals_the_library(spark, texts):
     assert out.columns[-2:] == ["_ids", "decoded"]
 
 
+def test_empty_tables_and_very_long_texts(spark):
+    vocabulary = viterbi.unigram_vocabulary(P.path("piece_bpe_32k.model"))
+    none = frame(spark, [])
+    assert bpe.digests(none, RANKS, P.PATTERN).count() == viterbi.token_counts(none, vocabulary).count() == 0
+    long = "the rest of it, and on. " * 40_000
+    ranks = bpe.parse_ranks(open(RANKS, "rb").read())
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    got = bpe.digests(frame(spark, [(1, long)]), RANKS, P.PATTERN).first()
+    assert (got.n_tokens, got.decoded_sha256) == (len(library.encode_ordinary(long)), sha(long))
+    once, whole = (viterbi.token_counts(frame(spark, [(1, t)]), vocabulary).first().n_tokens for t in (long[:24].strip(), long.strip()))
+    assert whole == 40_000 * once
+
+
 def test_bpe_on_random_pieces():
     own = bpe.BytePairs(bpe.parse_ranks(open(RANKS, "rb").read()), P.PATTERN)
     library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=own.ranks, special_tokens={})

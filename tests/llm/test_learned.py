@@ -269,6 +269,14 @@ def test_language_edge_cases(spark):
     assert alone.languages == ["de"]
 
 
+def test_language_beside_clashing_names(spark):
+    rows = [(i, "the house and the garden" if i % 2 else "das haus und der garten", "en" if i % 2 else "de") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    clash = docs.selectExpr("*", "1 AS counts", "'x' AS found", "2.0 AS score", "'y' AS lang_pred", "3 AS n")
+    plain, other = (langid.fit(d, F.lit(True)) for d in (docs, clash))
+    assert plain.languages == other.languages and (plain.weights == other.weights).all()
+
+
 def test_codewords_are_apart():
     for n in (2, 3, 5, 6, 12):
         code = langid.codewords(n)
