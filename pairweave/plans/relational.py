@@ -306,16 +306,13 @@ def a22_f09_split_by_any_field(spark, d):
     )
 
 
-@query("""SELECT event_id, user_id, value FROM events
-  WHERE event_type = 'purchase' AND value > 50 AND user_id % 5 = 4 AND event_type IN ('purchase',
-  'click') AND (event_type, user_id % 2) IN (('purchase', 0), ('click', 1))""")
+@query("""SELECT event_id, user_id, value FROM events WHERE value > 20 AND event_type IN ('purchase', 'click')
+  AND (event_type, hour(ts) < 12) IN (('purchase', true), ('click', false))""")
 def f01_f02_f04_filters(spark, d):
-    kind, user = F.col("event_type"), F.col("user_id")
-    return events(spark, d).where(
-        (kind == "purchase") & (F.col("value") > 50) & (user % 5 == 4) & kind.isin("purchase", "click") & (
-            ((kind == "purchase") & (user % 2 == 0)) | ((kind == "click") & (user % 2 == 1))
-        )
-    ).select("event_id", "user_id", "value")
+    kind, morning = F.col("event_type"), F.hour("ts") < 12
+    wanted = ((kind == "purchase") & morning) | ((kind == "click") & ~morning)
+    seen = events(spark, d).where((F.col("value") > 20) & kind.isin("purchase", "click") & wanted)
+    return seen.select("event_id", "user_id", "value")
 
 
 @query("""SELECT count(*) FILTER (starts_with(event_type, 'err')) AS excluded,
