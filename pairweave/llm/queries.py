@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, packing, simhash, suffix, syncmers, toxicity, urls, viterbi
+from . import bpe, decontam, langid, mixing, packing, simhash, suffix, syncmers, toxicity, urls, viterbi
 from .common import split_remainder, table
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -77,11 +77,15 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.digests(table(spark, sf_dir, "documents"))
 
 
+def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("copies")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_byte_bpe, op2_token_packs, op3_syncmer_fingerprints, op4_benchmark_matches, op5_url_verdicts, op6_toxicity,
-        op7_language, op8_token_counts, op9_simhash_classes, op10_suffix_dedup,
+        op7_language, op8_token_counts, op9_simhash_classes, op10_suffix_dedup, op13_source_mix,
     )
 }
 
@@ -89,6 +93,7 @@ QUERIES = {
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
 ORACLES = {
+    "op13_source_mix": mixing.sql(),
     "op5_url_verdicts": urls.sql(URL_RULES),
     "op4_benchmark_matches": f"""
 WITH doc AS (SELECT doc_id, {_WORDS} AS w FROM documents),
