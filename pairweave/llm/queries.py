@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, mixing, packing, simhash, suffix, syncmers, toxicity, urls, viterbi
+from . import bpe, decontam, langid, mixing, packing, periodic, simhash, suffix, syncmers, toxicity, urls, viterbi
 from .common import split_remainder, table
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -77,6 +77,10 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.digests(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(table(spark, sf_dir, "documents"), periodic.repeated_tail)
+
+
 def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("copies")
 
@@ -85,7 +89,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_byte_bpe, op2_token_packs, op3_syncmer_fingerprints, op4_benchmark_matches, op5_url_verdicts, op6_toxicity,
-        op7_language, op8_token_counts, op9_simhash_classes, op10_suffix_dedup, op13_source_mix,
+        op7_language, op8_token_counts, op9_simhash_classes, op10_suffix_dedup, op11_periodic_runs, op13_source_mix,
     )
 }
 
