@@ -6,10 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, mixing, packing, periodic, simhash, suffix, syncmers, toxicity, urls, viterbi
+from . import alignment, bpe, decontam, langid, mixing, packing, periodic, simhash, suffix, syncmers, toxicity, urls, viterbi
 from .common import split_remainder, table
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
+BYTE_LEVEL = "byte_bpe_50k.json"
 UNIGRAM_MODEL = "piece_bpe_32k.model"
 PACK_WIDTH = 2048
 URL_RULES = [
@@ -81,6 +82,13 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digests(table(spark, sf_dir, "documents"), periodic.repeated_tail)
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned(
+        table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_LEVEL), public_tokenizers.path(UNIGRAM_MODEL),
+        public_tokenizers.PATTERN,
+    )
+
+
 def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("copies")
 
@@ -89,7 +97,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_byte_bpe, op2_token_packs, op3_syncmer_fingerprints, op4_benchmark_matches, op5_url_verdicts, op6_toxicity,
-        op7_language, op8_token_counts, op9_simhash_classes, op10_suffix_dedup, op11_periodic_runs, op13_source_mix,
+        op7_language, op8_token_counts, op9_simhash_classes, op10_suffix_dedup, op11_periodic_runs, op12_token_alignment, op13_source_mix,
     )
 }
 
