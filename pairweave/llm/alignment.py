@@ -8,17 +8,15 @@ each list come before it, so that every piece has ``PIECE_ENDS`` ends, whatever
 tokens that end in it and the next token of each side, which may reach into it, and needs nothing else to emit its links.
 Groups that a piece's border cuts are stitched: each piece gives what stands before its first and after its last common end.
 
-1. Texts are encoded once and written as rows of pieces (most texts are one).  What a chunk of text becomes is remembered in
-   bounded memories.
+1. Texts are encoded once and written as rows of pieces (most texts are one).
 2. Pieces give links, counted by pair of ids within a task, then by a shuffle of the different pairs.
 3. Pieces give links again and look up their pairs' counts.  A pair with over 1 of ``HOT_PAIRS`` of all links is hot; there
    are at most as many, and they are broadcast.  The other pairs meet their counts by a shuffle, each with few rows.
 
 The highest count of each B id is a table bounded by B's vocabulary.
 
-B's model must add one space in front and leave texts as they are (no normalization); if none of its pieces has a white space
-after another sign, each white space and what follows up to the next one are encoded by themselves, with equal results, else
-whole texts are.  Null and empty texts have no tokens, nor have texts whose tokens' bytes don't join to a space and the text;
+B's model must add one space in front and leave texts as they are (no normalization). Whole texts are encoded by the public
+libraries; a memory of chunks did not pay where an eighth of all words are new. Null and empty texts have no tokens, nor have texts whose tokens' bytes don't join to a space and the text;
 then all numbers are 0 and the groups are ''.  Repeated rows give repeated results and count as often.  A text of any length
 is encoded in one task, and aligned in many.  Highest counts tie.  An empty table gives an empty one.  Only the named columns
 are read.
@@ -28,20 +26,19 @@ from __future__ import annotations
 
 import hashlib
 import json
-import re
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
+import tiktoken
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import REMEMBERED_LENGTH, BytePairs
-from .common import Memo, text_list, written
+from .common import text_list, written
 
 PIECE_ENDS = 1 << 15
 HOT_PAIRS = 1 << 20
@@ -49,9 +46,7 @@ HOT_PAIRS = 1 << 20
 COUNTED_PAIRS = 1 << 21
 #: Token ends that one call aligns.
 CALL_ENDS = 1 << 19
-REMEMBERED_CHUNKS = 120_000
 SPACE = "▁"
-CHUNK = re.compile(" +[^ ]*")
 
 
 def byte_of_sign() -> dict[str, int]:
@@ -88,40 +83,19 @@ class Tokenizers:
 
     def __init__(self, byte_level: bytes, pieces: bytes, pattern: str):
         ranks = ranks_of(byte_level)
-        self.a = BytePairs(ranks, pattern)
-        self.a.chunks = Memo(self.a._chunk, REMEMBERED_CHUNKS)
+        # The public library merges by rank, so the JSON's vocabulary needs no encoder of its own.
+        self.a = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.b = sentencepiece.SentencePieceProcessor(model_proto=pieces)
         self.b_bytes = bytes_of_pieces(self.b)
         self.lengths = Lengths(ranks, self.b_bytes)
-        self.by_chunks = not any(re.search(f"[^{SPACE}]{SPACE}", self.b.id_to_piece(i)) for i in range(len(self.b_bytes)))
-        self.chunks = Memo(self._chunk, REMEMBERED_CHUNKS)
-
-    def _chunk(self, chunk: str) -> bytes:
-        """B's ids of a space and what follows; none if their bytes are others."""
-        ids = self.b.encode(chunk[1:])
-        same = b"".join(map(self.b_bytes.__getitem__, ids)) == chunk.encode()
-        return array("I", ids).tobytes() if same else b""
-
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """The ids by A and by B; none if text is empty or either side's bytes are not a space and the text."""
         none = np.zeros(0, np.uint32)
-        if not text:
+        b = self.b.encode(text)
+        if not text or b"".join(map(self.b_bytes.__getitem__, b)) != (" " + text).encode():
             return none, none
-        whole = " " + text
-        size = len(whole.encode())
-        a = np.frombuffer(self.a.encode(whole), np.uint32)
-        b = none
-        if self.by_chunks:
-            b = np.frombuffer(b"".join([
-                self.chunks[x] if len(x) <= REMEMBERED_LENGTH else self._chunk(x) for x in CHUNK.findall(whole)
-            ]), np.uint32)
-        if self.lengths.b[b].sum() != size:  # some chunk is not what its ids say, or the text is encoded whole
-            ids = self.b.encode(text)
-            b = np.array(ids, np.uint32)
-            if b"".join(map(self.b_bytes.__getitem__, ids)) != whole.encode():
-                return none, none
         # A's side is exact for any text, as every byte is a token.
-        return (a, b) if self.lengths.a[a].sum() == size else (none, none)
+        return np.array(self.a.encode_ordinary(" " + text), np.uint32), np.array(b, np.uint32)
 
 
 _MADE: dict[tuple, Tokenizers] = {}
@@ -190,8 +164,7 @@ def encoded(
             for at in range(0, len(batch), 128):
                 some = batch.slice(at, 128)
                 columns: list[list] = [[] for _ in range(9)]
-                for i, text in enumerate(text_list(some.column("text"))):
-                    a, b = both.encode(text)
+                for i, (a, b) in enumerate(map(both.encode, text_list(some.column("text")))):
                     a_ends, b_ends = np.cumsum(both.lengths.a[a]), np.cumsum(both.lengths.b[b])
                     cut = list(pieces_of(a, b, a_ends, b_ends, piece_ends))
                     for k, (a_own, b_own, a_begin, b_begin, a_ids, b_ids) in enumerate(cut):
@@ -211,10 +184,10 @@ def encoded(
 
 @dataclass
 class Links:
-    """The links of some pieces, in order, and where their groups end."""
+    """The links of some pieces, in order, and where their groups end. Pieces stand one behind the other, as bytes."""
 
     pieces: int
-    #: Of each link.
+    #: Of each link: the piece, the ids, and whether a group ends with it.
     piece: np.ndarray
     a: np.ndarray
     b: np.ndarray
@@ -229,36 +202,53 @@ class Links:
 
 def side(batch: pa.RecordBatch, name: str, kind: str, lengths: np.ndarray):
     """Piece, end from the piece's border, id, and whether it ends in the piece, of one side's tokens."""
-    parts = [np.frombuffer(x, kind) for x in batch.column(name).to_pylist()]
-    counts = np.array([len(x) for x in parts], np.int64)
-    ids = np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64)
+    data = batch.column(name)
+    counts = pc.binary_length(data).to_numpy() // np.dtype(kind).itemsize
+    ids = np.frombuffer(b"".join(data.to_pylist()), kind).astype(np.int32)
     first = np.cumsum(counts) - counts
-    piece = np.repeat(np.arange(len(parts)), counts)
-    ends = np.cumsum(lengths[ids])
+    piece = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
+    ends = np.cumsum(lengths[ids], dtype=np.int64)
     begin = batch.column(f"{name}_begin").to_numpy() - np.concatenate([[0], ends])[first]
-    own = np.arange(len(ids)) - first[piece] < batch.column(f"{name}_own").to_numpy()[piece]
-    return piece, ends + begin[piece], ids, own
+    own = batch.column(f"{name}_own").to_numpy()
+    ends += np.repeat(begin, counts)
+    # Only a text of several pieces has tokens that reach beyond one.
+    is_own = None if (own == counts).all() else np.arange(len(ids)) - np.repeat(first, counts) < np.repeat(own, counts)
+    return piece, ends, ids, is_own, counts
+
+
+def counts_before(marks: np.ndarray) -> np.ndarray:
+    """How many marks stand before each place."""
+    out = np.empty(len(marks) + 1, np.int32)
+    out[0] = 0
+    np.cumsum(marks, dtype=np.int32, out=out[1:])
+    return out[:-1]
 
 
 def links_of(batch: pa.RecordBatch, lengths: Lengths) -> Links:
-    """Merge the ends of many pieces at once: each stands behind the one before."""
+    """Merge the ends of many pieces at once, by marks on their bytes."""
     n = len(batch)
-    a_piece, a_ends, a_ids, a_own = side(batch, "a", lengths.a_kind, lengths.a)
-    b_piece, b_ends, b_ids, b_own = side(batch, "b", lengths.b_kind, lengths.b)
+    sides = [side(batch, "a", lengths.a_kind, lengths.a), side(batch, "b", lengths.b_kind, lengths.b)]
     span = np.zeros(n, np.int64)
-    np.maximum.at(span, a_piece, a_ends)
-    np.maximum.at(span, b_piece, b_ends)
+    for _, ends, _, _, counts in sides:
+        last = np.cumsum(counts) - 1
+        some = counts > 0
+        span[some] = np.maximum(span[some], ends[last[some]])
     borders = np.cumsum(span)
-    a_ends, b_ends = a_ends + (borders - span)[a_piece], b_ends + (borders - span)[b_piece]
-    ends = np.concatenate([a_ends[a_own], b_ends[b_own]])
-    ends.sort(kind="stable")  # two runs in order: a merge
-    ends = ends[np.concatenate([[True], np.diff(ends) > 0])] if len(ends) else ends
-    a_at, b_at = np.searchsorted(a_ends, ends), np.searchsorted(b_ends, ends)
-    closes = (a_ends[a_at] == ends) & (b_ends[b_at] == ends)
-    return Links(
-        n, a_piece[a_at], a_ids[a_at], b_ids[b_at], closes, (a_piece[a_own], a_ends[a_own], a_ids[a_own]),
-        (b_piece[b_own], b_ends[b_own], b_ids[b_own]), ends, borders,
-    )
+    size = int(borders[-1]) + 1 if n else 1
+    marks, own_marks, before, tokens = [], np.zeros(size, bool), [], []
+    for piece, ends, ids, own, counts in sides:
+        ends += np.repeat(borders - span, counts)
+        mark = np.zeros(size, bool)
+        mark[ends] = True
+        marks.append(mark)
+        before.append(counts_before(mark))
+        tokens.append((piece, ends, ids) if own is None else (piece[own], ends[own], ids[own]))
+        own_marks[tokens[-1][1]] = True
+    ends = np.flatnonzero(own_marks)
+    a_at, b_at = before[0][ends], before[1][ends]  # the first tokens that end there or after
+    a_ids, b_ids = sides[0][2][a_at].astype(np.int64), sides[1][2][b_at].astype(np.int64)
+    piece = sides[0][0][a_at].astype(np.int64)
+    return Links(n, piece, a_ids, b_ids, marks[0][ends] & marks[1][ends], *tokens, ends, borders)
 
 
 def calls(batch: pa.RecordBatch, lengths: Lengths) -> Iterator[pa.RecordBatch]:
@@ -274,14 +264,14 @@ def calls(batch: pa.RecordBatch, lengths: Lengths) -> Iterator[pa.RecordBatch]:
 
 def counted(keys: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Different keys in order, with the sum of their weights."""
-    if weights is None:
-        keys = np.sort(keys)
-    else:
-        order = np.argsort(keys)
-        keys, weights = keys[order], weights[order]
-    first = np.flatnonzero(np.concatenate([[True], np.diff(keys) != 0])) if len(keys) else np.zeros(0, np.int64)
-    sums = np.diff(np.append(first, len(keys))) if weights is None else np.diff(np.append(0, np.cumsum(weights)[np.append(first[1:], len(keys)) - 1])) if len(keys) else weights
-    return keys[first], sums
+    order = None if weights is None else np.argsort(keys)
+    keys = np.sort(keys) if order is None else keys[order]
+    first = np.flatnonzero(np.diff(keys, prepend=-1))  # keys are 0 or more
+    ends = np.append(first[1:], len(keys))[: len(first)]
+    if order is None:
+        return keys[first], ends - first
+    sums = np.append(0, np.cumsum(weights[order]))
+    return keys[first], sums[ends] - sums[first]
 
 
 def pair_counts(pieces: DataFrame, lengths: Broadcast) -> DataFrame:
@@ -327,15 +317,18 @@ class GroupTexts:
 
     def printed(self, found: Links) -> tuple[np.ndarray, np.ndarray]:
         """Table rows in the order of printing, and where each piece's part of them ends. A piece's border ends a group."""
-        closing = np.union1d(found.ends[found.closes], found.borders)
+        marks = np.zeros(int(found.borders[-1]) + 1 if found.pieces else 1, bool)
+        marks[found.ends[found.closes]] = True
+        marks[found.borders] = True
+        group = counts_before(marks)
         (a_piece, a_ends, a_ids), (b_piece, b_ends, b_ids) = found.a_tokens, found.b_tokens
-        a_group, b_group = np.searchsorted(closing, a_ends), np.searchsorted(closing, b_ends)
-        n_a, n_b = (np.cumsum(np.bincount(x, minlength=len(closing))) for x in (a_group, b_group))
-        out = np.empty(len(a_ids) + len(b_ids), np.int64)
+        a_group, b_group = group[a_ends], group[b_ends]
+        groups = int(group[-1]) + 1
+        n_a, n_b = (np.cumsum(np.bincount(x, minlength=groups)) for x in (a_group, b_group))
+        out = np.empty(len(a_ids) + len(b_ids), np.int32)
         at_a, at_b = np.arange(len(a_ids)), np.arange(len(b_ids))
-        b_before = np.append(0, n_b)[a_group]
         a_last, b_last = n_a[a_group] == at_a + 1, n_b[b_group] == at_b + 1
-        out[at_a + b_before] = a_ids + self.n_a * a_last
+        out[at_a + np.append(0, n_b)[a_group]] = a_ids + self.n_a * a_last
         out[at_b + n_a[b_group]] = self.b_from + b_ids + self.n_b * b_last
         both = np.bincount(a_piece, minlength=found.pieces) + np.bincount(b_piece, minlength=found.pieces)
         return out, np.cumsum(both)
