@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .scans import scanned
+
 
 def salted(salt: str, *ids: str) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(salt), *[F.col(c).cast("string") for c in ids]), 256)
@@ -59,8 +61,11 @@ def blind_views(sample: DataFrame, salt: str, key: str, shown: list[str]) -> tup
 
 
 def schedule(df: DataFrame, salt: str, groups: list[str], *ids: str) -> DataFrame:
-    """``position`` of each row in its group's order of salted hashes."""
-    return df.withColumn("position", F.row_number().over(Window.partitionBy(*groups).orderBy(salted(salt, *ids), *ids)))
+    """``position`` of each row in its group's order of salted hashes, by a scan: no group is in one task."""
+    hashed = df.withColumn("_hash", salted(salt, *ids))
+    hashed = hashed.withColumn("_first", F.conv(F.substring("_hash", 1, 12), 16, 10).cast("long"))
+    order = ["_first", "_hash", *ids]
+    return scanned(hashed, groups, order, {"position": ("sum", F.lit(1).cast("long"))}).drop("_first", "_hash")
 
 
 def digest_parity(*columns: Column) -> Column:

@@ -2,33 +2,17 @@
 
 from __future__ import annotations
 
+from math import lgamma, log, pi
+from statistics import NormalDist
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import stats
-
-
-#: Rows that one task orders, about, where a group of any size is put in order.
-RANGE_ROWS = 100_000
-
-
-def ranged(df: DataFrame, key: str, range_rows: int = RANGE_ROWS) -> tuple[DataFrame, int]:
-    """``df`` with ``_bucket``, the range of its (numeric) key in rising order, and the number of rows.
-
-    The ranges' ends are approximate quantiles: they decide how even the ranges are, not what is computed from them.
-    """
-    total = df.count()
-    buckets = max(1, -(-total // range_rows))
-    if buckets == 1:
-        return df.withColumn("_bucket", F.lit(0)), total
-    ends = sorted(set(df.approxQuantile(key, [i / buckets for i in range(1, buckets)], 0.2 / buckets)))
-    return df.withColumn("_bucket", F.size(F.filter(F.array(*map(F.lit, ends)), lambda e: e < F.col(key)))), total
-
-
-def across(by: list[str]) -> Window:
-    """A window over the ranges of a group, in order: a few rows for each ``RANGE_ROWS``."""
-    return Window.partitionBy(*(by or [F.lit(0)])).orderBy("_bucket")
+from .scans import RANGE_ROWS, scanned
 
 
 def adjusted(
@@ -36,59 +20,15 @@ def adjusted(
 ) -> DataFrame:
     """``holm`` (running maximum of (m - rank) * p) and ``bh`` (running minimum from the largest), ties by ``key``.
 
-    All families are adjusted at once. Tests are put in order within ranges of p; the ranges' counts, largest and smallest
-    values carry over to the next ones, so that a family of any size is in no single task.
+    All families are adjusted at once, by scans: no family is in a single task. ``df`` is read several times: write what is
+    dear to compute.
     """
-    by = family or []
-    spread, _ = ranged(df, p, range_rows)
-    sizes = spread.groupBy(*by, "_bucket").agg(F.count("*").alias("_rows"))
-    before = F.sum("_rows").over(across(by).rowsBetween(Window.unboundedPreceding, -1))
-    whole = F.sum("_rows").over(Window.partitionBy(*(by or [F.lit(0)])))
-    sizes = sizes.select(*by, "_bucket", F.coalesce(before, F.lit(0)).alias("_before"), whole.alias("_m"))
-    own = Window.partitionBy(*by, "_bucket")
-    up, down = own.orderBy(p, key), own.orderBy(F.desc(p), F.desc(key))
-    ranks = spread.withColumn("_rank", F.row_number().over(up)).join(sizes, [*by, "_bucket"])
-    ranks = ranks.withColumn("_rank", F.col("_rank") + F.col("_before"))
-    one, m, rank = F.lit(1.0), F.col("_m"), F.col("_rank")
-    each = ranks.withColumns(
-        {"_holm": F.least(one, (m - rank + 1) * F.col(p)), "_bh": F.least(one, F.col(p) * m / rank)}
-    )
-    ends = each.groupBy(*by, "_bucket").agg(F.max("_holm").alias("_most"), F.min("_bh").alias("_least"))
-    ends = ends.select(
-        *by, "_bucket", F.max("_most").over(across(by).rowsBetween(Window.unboundedPreceding, -1)).alias("_most"),
-        F.min("_least").over(across(by).rowsBetween(1, Window.unboundedFollowing)).alias("_least"),
-    )
-    so_far = (Window.unboundedPreceding, 0)
-    out = each.join(ends, [*by, "_bucket"])
-    out = out.withColumn("holm", F.greatest(F.max("_holm").over(up.rowsBetween(*so_far)), "_most"))
-    out = out.withColumn("bh", F.least(F.min("_bh").over(down.rowsBetween(*so_far)), "_least"))
-    return out.select(*df.columns, "holm", "bh")
-
-
-def nearest_ranks(
-    df: DataFrame, value: str, by: list[str], ranks: dict[str, float], range_rows: int = RANGE_ROWS,
-) -> DataFrame:
-    """A column for each (name, q): the value at place round(q * (n - 1)), halves to even, of each group's sorted values.
-
-    Equal values are counted first; counts are added up within ranges of the value and over the ranges before, and only
-    the wanted places leave a range. Null values are left out.
-    """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_rows"))
-    spread, _ = ranged(counts, value, range_rows)
-    sizes = spread.groupBy(*by, "_bucket").agg(F.sum("_rows").alias("_rows"))
-    before = F.sum("_rows").over(across(by).rowsBetween(Window.unboundedPreceding, -1))
-    whole = F.sum("_rows").over(Window.partitionBy(*(by or [F.lit(0)])))
-    sizes = sizes.select(*by, "_bucket", F.coalesce(before, F.lit(0)).alias("_before"), whole.alias("_n"))
-    upto = F.sum("_rows").over(
-        Window.partitionBy(*by, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    )
-    placed_counts = spread.withColumn("_end", upto).join(sizes, [*by, "_bucket"])
-    end = F.col("_end") + F.col("_before")
-    wanted = {name: F.bround(F.lit(q) * (F.col("_n") - 1)) for name, q in ranks.items()}
-    hit = lambda at: (at < end) & (at >= end - F.col("_rows"))
-    return placed_counts.groupBy(*by).agg(
-        *[F.max(F.when(hit(at), F.col(value))).alias(name) for name, at in wanted.items()]
-    )
+    by, one, m, rank = family or [], F.lit(1.0), F.col("_m"), F.col("_rank")
+    count = F.lit(1).cast("long")
+    ranked = scanned(df, by, [p, key], {"_rank": ("sum", count), "_m": ("onward sum", count)}, range_rows)
+    ranked = ranked.withColumn("_m", m + rank - 1)
+    each = {"holm": ("max", F.least(one, (m - rank + 1) * F.col(p))), "bh": ("onward min", F.least(one, F.col(p) * m / rank))}
+    return scanned(ranked, by, [p, key], each, range_rows).select(*df.columns, "holm", "bh")
 
 
 def sign_test(df: DataFrame, difference: Column, by: list[str] | None = None) -> DataFrame:
@@ -145,129 +85,125 @@ def leave_two_out(groups: DataFrame, group: str, counts: list[str]) -> DataFrame
     )
 
 
-def hash_draws(groups: DataFrame, group: str, replicates: int, seed: str, most: int = 10_000) -> DataFrame:
-    """Draws with replacement of groups, one for each group and replicate, by sha256 of seed, replicate and draw: the same in any engine.
-
-    ``groups`` has one row a group (pre-aggregated counts) and at most ``most`` rows, else it is an error
-    (``cluster_draws`` takes any number), so that they may be broadcast.
-    """
-    if groups.limit(most + 1).count() > most:
-        raise ValueError(f"over {most} groups: use cluster_draws")
-    one = Window.partitionBy(F.lit(0))
-    ordered = groups.withColumns({"_at": F.row_number().over(one.orderBy(group)) - 1, "_n": F.count("*").over(one)})
-    draws = ordered.select(
-        F.col("_at").alias("draw"), F.col("_n"),
-        F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"),
-    )
-    digest = F.sha2(F.concat_ws("|", F.lit(seed), F.col("replicate").cast("string"), F.col("draw").cast("string")), 256)
-    draws = draws.withColumn(
-        "_at", F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.col("_n")).cast("int"),
-    ).drop("_n")
-    return draws.join(F.broadcast(ordered.drop("_n")), "_at").drop("_at")
+#: Pairs up to which a signed-rank p is exact.
+EXACT_PAIRS = 50
 
 
-def placed(df: DataFrame, key: str, by: list[str], range_rows: int = RANGE_ROWS) -> tuple[DataFrame, int]:
-    """``df`` with ``_at``, its place (from 0) by ``key`` in its group of ``by``, and ``_n``, the group's rows; and all rows' number.
-
-    Rows are ordered within ranges of the key, to which the rows of the ranges before are added.
-    """
-    spread, total = ranged(df, key, range_rows)
-    sizes = spread.groupBy(*by, "_bucket").agg(F.count("*").alias("_rows"))
-    before = F.sum("_rows").over(across(by).rowsBetween(Window.unboundedPreceding, -1))
-    whole = F.sum("_rows").over(Window.partitionBy(*(by or [F.lit(0)])))
-    sizes = sizes.select(*by, "_bucket", F.coalesce(before, F.lit(0)).alias("_before"), whole.alias("_n"))
-    at = F.row_number().over(Window.partitionBy(*by, "_bucket").orderBy(key)) - 1
-    out = spread.withColumn("_at", at).join(sizes, [*by, "_bucket"]).withColumn("_at", F.col("_at") + F.col("_before"))
-    return out.drop("_bucket", "_before"), total
-
-
-def cluster_draws(
-    clusters: DataFrame, key: str, replicates: int, seed: str, by: list[str], bucket_rows: int = RANGE_ROWS,
-    small: int = 200_000,
-) -> DataFrame:
-    """Draws with replacement of as many clusters as each group of ``by`` has, for each replicate, by sha256 as in ``hash_draws``.
+def signed_rank_p(doubled: list[int], w_plus: int) -> float:
+    """Twice the smaller tail, at most 1, of the sum of ranks whose signs are fair coins; all ranks and the sum are doubled.
 
-    ``clusters`` has one row a cluster and may be large. Draws are joined to them by group and place: no group is in one
-    task. Up to ``small`` clusters are broadcast (their number is counted); the draws are the same either way.
+    ``chances[s]``: of all subsets of the ranks so far, the share with sum s.
     """
-    at, total = placed(clusters, key, by, bucket_rows)
-    draws = at.select(
-        *by, F.col("_at").alias("_draw"), "_n",
-        F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"),
-    )
-    names = [
-        F.lit(seed), *[F.col(c).cast("string") for c in by], F.col("replicate").cast("string"),
-        F.col("_draw").cast("string"),
-    ]
-    digest = F.sha2(F.concat_ws("|", *names), 256)
-    draws = draws.select(
-        *by, "replicate", F.pmod(F.conv(F.substring(digest, 1, 12), 16, 10).cast("long"), F.col("_n")).alias("_at"),
-    )
-    return draws.join(
-        F.broadcast(at.drop("_n")) if total <= small else at.drop("_n").hint("merge"), [*by, "_at"],
-    ).drop("_at")
+    chances = np.zeros(sum(doubled) + 1)
+    chances[0], reach = 1.0, 0
+    for rank in doubled:
+        reach += rank
+        chances[rank : reach + 1] += chances[: reach + 1 - rank].copy()
+        chances *= 0.5
+    return min(1.0, 2 * min(chances[: w_plus + 1].sum(), chances[w_plus:].sum()))
 
 
-def wilcoxon(df: DataFrame, difference: str, by: list[str], least: int = 5) -> DataFrame:
-    """n, w_plus, z and p: signed-rank sums without zeros, average ranks for ties, and the normal two-sided p with tie correction.
+def wilcoxon(
+    df: DataFrame, difference: str, by: list[str], least: int = 5, exact: int = EXACT_PAIRS, range_rows: int = RANGE_ROWS,
+) -> DataFrame:
+    """n, w_plus, z and p of the signed-rank test: zeros left out, average ranks for ties, two-sided p.
 
-    z and p are null under ``least`` pairs. Equal sizes are added up first; a group's distinct sizes are ranked by running
-    counts, so that what a task orders is the group's distinct sizes, not its rows.
+    With at most ``exact`` pairs p is exact, from the distribution of the sum of these very ranks under fair signs, ties
+    included; with more it is the normal p with tie correction. z and p are null under ``least`` pairs. Sizes are ranked by a scan, so
+    that no group is in one task; of a group, at most ``exact`` ranks come together.
     """
     d = df.where((F.col(difference) != 0) & F.col(difference).isNotNull()).withColumn("_abs", F.abs(difference))
     sizes = d.groupBy(*by, "_abs").agg(F.count("*").alias("_ties"), F.count_if(F.col(difference) > 0).alias("_up"))
-    upward = Window.partitionBy(*by).orderBy("_abs").rowsBetween(Window.unboundedPreceding, 0)
-    rank = F.sum("_ties").over(upward) - (F.col("_ties") - 1) / 2
-    t = F.col("_ties").cast("double")
-    sums = sizes.withColumn("_rank", rank).groupBy(*by).agg(
-        F.sum("_ties").alias("n"), F.sum(F.col("_up") * F.col("_rank")).alias("w_plus"),
-        F.sum(t * (t * t - 1)).alias("_t"),
+    upto = scanned(sizes, by, ["_abs"], {"_upto": ("sum", F.col("_ties"))}, range_rows)
+    t, doubled = F.col("_ties").cast("double"), 2 * F.col("_upto") - F.col("_ties") + 1
+    few = F.when(F.col("_upto") <= exact, F.struct(doubled.alias("rank"), F.col("_ties").alias("ties")))
+    sums = upto.groupBy(*by).agg(
+        F.sum("_ties").alias("n"), F.sum(F.col("_up") * doubled).alias("_doubled"), F.sum(t * (t * t - 1)).alias("_t"),
+        F.collect_list(few).alias("_ranks"),
     )
+
+    @F.arrow_udf("double")
+    def exact_p(ranks: pa.Array, doubled: pa.Array) -> pa.Array:
+        both = zip(ranks.to_pylist(), doubled.to_pylist(), strict=True)
+        every = [None if x is None else signed_rank_p([r["rank"] for r in x for _ in range(r["ties"])], w) for x, w in both]
+        return pa.array(every, pa.float64())
+
     n = F.col("n").cast("double")
     z = (F.col("w_plus") - n * (n + 1) / 4) / F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("_t") / 48)
-    out = sums.withColumn("z", F.when(n >= least, z)).drop("_t")
-    return out.withColumn("p", stats.normal_two_sided(F.col("z")))
+    out = sums.withColumn("w_plus", F.col("_doubled") / 2).withColumn("z", F.when(n >= least, z))
+    p = F.coalesce(exact_p(F.when((F.col("n") <= exact) & (n >= least), F.col("_ranks")), F.col("_doubled")), stats.normal_two_sided(F.col("z")))
+    return out.withColumn("p", p).select(*by, "n", "w_plus", "z", "p")
+
+
+#: Discordant counts whose chances are added up; where more are likely, as many evenly spaced ones stand for all.
+POWER_COUNTS = 4_096
+
+
+def critical_values(d: np.ndarray, alpha: float) -> np.ndarray:
+    """The least k with P(X >= k) <= alpha for X ~ Binomial(d, 1/2), from a normal guess by steps of one; d + 1 where there is none."""
+    k = np.clip(np.rint(d / 2 + NormalDist().inv_cdf(1 - alpha) * np.sqrt(d) / 2 + 0.5), 0, d + 1)
+    holds = lambda k, at: (k > d[at]) | (stats.tail(k, d[at], 0.5, True) <= alpha)
+    at = np.arange(len(d))
+    while len(at):
+        at = at[holds(k[at] - 1, at)]
+        k[at] -= 1
+    at = np.arange(len(d))
+    while len(at):
+        at = at[~holds(k[at], at)]
+        k[at] += 1
+    return k
+
+
+def power_of(n: int, q: float, share: float, alpha: float) -> float:
+    """Power with n pairs, each discordant with chance q, and b among those with chance ``share``."""
+    width = 9 * (n * q * (1 - q)) ** 0.5 + 40  # what is outside has a chance under 1e-15
+    low, high = max(1.0, np.floor(n * q - width)), min(float(n), np.ceil(n * q + width))
+    if n < 1 or low > high:
+        return 0.0
+    d = np.unique(np.rint(np.linspace(low, high, int(min(high - low + 1, POWER_COUNTS)))))
+    # Logarithms of the counts' chances but for a constant: of the distance from n q, and the density's square root.
+    off = (d - n * q) / n
+    with np.errstate(divide="ignore", invalid="ignore"):
+        log_weight = -d * np.log1p(off / q) - np.where(d < n, (n - d) * np.log1p(-off / (1 - q)) if q < 1 else 0.0, 0.0)
+    log_weight += _stirling_rest(n, d)
+    weight = np.exp(log_weight - log_weight.max())
+    none = 0.0 if low > 1 else np.exp(n * np.log1p(-q) - log_weight.max() - _stirling_constant(n)) if q < 1 else 0.0
+    reach = stats.tail(critical_values(d, alpha), d, share, True)
+    return float((weight * reach).sum() / (weight.sum() + none))
+
+
+def _correction(x: np.ndarray) -> np.ndarray:
+    """ln x! less x ln x - x + ln(2 pi x) / 2, for x >= 1."""
+    big = np.maximum(x, 16.0)
+    series = 1 / (12 * big) - 1 / (360 * big**3) + 1 / (1260 * big**5)
+    few = np.array([0.0] + [lgamma(i + 1) - i * log(i) + i - log(2 * pi * i) / 2 for i in range(1, 16)])
+    return np.where(x < 16, few[np.minimum(x, 15).astype(int)], series)
+
+
+def _stirling_constant(n: int) -> float:
+    return float(_correction(np.array([float(n)]))[0]) - 0.5 * log(2 * pi) + 0.5 * log(n)
+
+
+def _stirling_rest(n: int, d: np.ndarray) -> np.ndarray:
+    """What ln C(n, d) has beside n ln n - d ln d - (n - d) ln (n - d) and a constant of n."""
+    rest = n - d
+    out = -0.5 * np.log(d) - _correction(d)
+    inner = rest > 0
+    out[inner] -= 0.5 * np.log(rest[inner]) + _correction(rest[inner])
+    out[~inner] += 0.5 * log(2 * pi)
+    return out
 
 
 def mcnemar_power(pairs: Column, discordance: Column, share: Column, alpha: float = 0.05) -> Column:
     """Power of the one-sided exact test: a mixture over the number of discordant pairs of the chance to reach its critical value.
 
-    One pass over 0..pairs, for any number of pairs: with one more discordant pair the critical value stays or rises by one,
-    so both tails (of 1/2 and of ``share``) follow from those before. Point masses are kept as logarithms.
+    The work for a row is bounded, for any number of pairs: only numbers of discordant pairs with a chance worth adding are
+    taken, at most ``POWER_COUNTS`` of them (all, up to some 200,000 pairs).
     """
-    log_half = F.lit(-0.6931471805599453)
-    # at: critical value - 1; half, own: tails from the critical value on; log_half, log_own: masses at ``at``; log_weight: mass of d discordant pairs.
-    start = F.struct(
-        F.lit(0).cast("long").alias("at"), *[F.lit(0.0).alias(x) for x in ("half", "own", "log_half", "log_own")],
-        (pairs * F.log(1 - discordance)).cast("double").alias("log_weight"), F.lit(0.0).alias("reached"),
-        F.lit(0.0).alias("whole"),
-    )
 
-    def step(s: Column, d: Column) -> Column:
-        # From d - 1 to d discordant pairs at the same critical value ...
-        half, own = s["half"] + F.exp(s["log_half"] + log_half), s["own"] + F.exp(s["log_own"] + F.log(share))
-        grown = F.log(d.cast("double")) - F.log((d - s["at"]).cast("double"))
-        at_half, at_own = s["log_half"] + grown + log_half, s["log_own"] + grown + F.log(1 - share)
-        # ... and to the next one where that no longer holds the level.
-        rises = half > alpha
-        odds = F.log((d - s["at"]).cast("double")) - F.log((s["at"] + 1).cast("double"))
-        next_half, next_own = at_half + odds, at_own + odds + F.log(share) - F.log(1 - share)
-        own = F.when(rises, F.greatest(F.lit(0.0), own - F.exp(next_own))).otherwise(own)
-        weight = s["log_weight"] + F.log(
-            (pairs - d + 1).cast("double")
-        ) - F.log(d.cast("double")) + F.log(discordance) - F.log(1 - discordance)
-        return F.struct(
-            (s["at"] + rises.cast("long")).alias("at"), F.when(
-                rises, F.greatest(F.lit(0.0), half - F.exp(next_half)),
-            ).otherwise(half).alias("half"), own.alias("own"),
-            F.when(
-                rises, next_half,
-            ).otherwise(at_half).alias("log_half"), F.when(rises, next_own).otherwise(at_own).alias("log_own"),
-            weight.alias("log_weight"), (
-                s["reached"] + F.exp(weight) * own
-            ).alias("reached"), (s["whole"] + F.exp(weight)).alias("whole"),
-        )
-
-    # No discordant pair reaches no critical value; its weight is left to add. Weights are over their sum, 1 but for rounding.
-    done = F.aggregate(F.sequence(F.lit(1).cast("long"), pairs.cast("long")), start, step)
-    return F.when(pairs == 0, 0.0).otherwise(done["reached"] / (done["whole"] + F.exp(pairs * F.log(1 - discordance))))
+    @F.arrow_udf("double")
+    def run(pairs: pa.Array, discordance: pa.Array, share: pa.Array) -> pa.Array:
+        rows = zip(pairs.to_pylist(), discordance.to_pylist(), share.to_pylist(), strict=True)
+        return pa.array([None if None in x else power_of(*x, alpha) for x in rows], pa.float64())
+
+    return run(pairs.cast("long"), discordance.cast("double"), share.cast("double"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import stats
-from ..operators import contained, contracts, pairs, sampling
+from ..operators import contained, contracts, pairs, sampling, scans
 from ..streaming import resume
 from .base import Registry, table
 
@@ -525,13 +525,11 @@ def p06_p08_cross_table(spark, d):
   ORDER BY value) AS rk, round((2 * rank() OVER (PARTITION BY user_id
   ORDER BY value) + count(*) OVER (PARTITION BY user_id, value) - 1) / 2, 1) AS average_rank FROM events""")
 def w01_ranks(spark, d):
-    rank = F.rank().over(Window.partitionBy("user_id").orderBy("value"))
-    return events(spark, d).select(
-        "event_id", rank.alias("rk"),
-        F.round(
-            (2 * rank + F.count("*").over(Window.partitionBy("user_id", "value")) - 1) / 2, 1,
-        ).alias("average_rank"),
-    )
+    rows = events(spark, d).select("event_id", "user_id", "value")
+    ranks = scans.ranks(rows, "value", ["user_id"])
+    same = rows.user_id.eqNullSafe(ranks.user_id) & rows.value.eqNullSafe(ranks.value)
+    average = F.round((2 * F.col("rank") + F.col("ties") - 1) / 2, 1)
+    return rows.join(ranks, same).select("event_id", F.col("rank").cast("int").alias("rk"), average.alias("average_rank"))
 
 
 @query("""SELECT o_orderpriority, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority
@@ -547,25 +545,22 @@ def w02_first_of_group(spark, d):
   ORDER BY ts, event_id) % 3 AS third
   FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)""")
 def w03_w05_w07_running(spark, d):
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
-    return events(spark, d).select(
-        "event_id", F.max("value").over(so_far).alias("most"), F.min("value").over(so_far).alias("least"),
-        F.sum(F.when(F.col("event_type") == "signup", 1).otherwise(0)).over(so_far).alias("record"),
-        (F.row_number().over(order) % 3).cast("bigint").alias("third"),
-    )
+    signup = F.when(F.col("event_type") == "signup", 1).otherwise(0)
+    found = scans.scanned(
+        events(spark, d).select("event_id", "user_id", "ts", "event_type", "value"), ["user_id"], ["ts", "event_id"], {
+            "most": ("max", F.col("value")), "least": ("min", F.col("value")), "record": ("sum", signup),
+            "place": ("sum", F.lit(1)),
+        },
+    )
+    return found.select("event_id", "most", "least", "record", (F.col("place") % 3).alias("third"))
 
 
 @query("""SELECT event_id, last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER (PARTITION
   BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS header FROM events""")
 def w06_carry_forward(spark, d):
-    so_far = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return events(spark, d).select(
-        "event_id",
-        F.last(
-            F.when(F.col("event_type") == "signup", F.col("event_id")), ignorenulls=True,
-        ).over(so_far).alias("header"),
-    )
+    header = F.when(F.col("event_type") == "signup", F.col("event_id"))
+    rows = events(spark, d).select("event_id", "user_id", "ts", "event_type")
+    return scans.scanned(rows, ["user_id"], ["ts", "event_id"], {"header": ("last", header)}).select("event_id", "header")
 
 
 @query("""SELECT event_id, row_number() OVER (PARTITION BY user_id

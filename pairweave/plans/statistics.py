@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import stats
-from ..operators import pairs, tests
-from .base import Registry, table
+from ..operators import bootstrap, pairs, scans, tests
+from .base import Registry, table, written
 from .relational import PAIRS_SQL, day_pairs, events
 
 query = Registry()
@@ -102,8 +102,10 @@ round(min(least(1.0, p * m / rk)) OVER (PARTITION BY {{part}}
 
 
 def _adjusted(spark, d, family):
-    p = suppliers(spark, d).select(
-        "supplier", "family", F.round(stats.upper_tail(F.col("b"), F.col("n")), 9).alias("p"),
+    p = written(
+        suppliers(spark, d).select(
+            "supplier", "family", F.round(stats.upper_tail(F.col("b"), F.col("n")), 9).alias("p"),
+        )
     )
     return tests.adjusted(p, "p", "supplier", family).select(
         "supplier", "family", "p", F.round("holm", 8).alias("holm"), F.round("bh", 8).alias("bh"),
@@ -164,12 +166,16 @@ def x12_sign_test(spark, d):
   FROM events GROUP BY 1, 2),
   z AS (SELECT grp, diff, abs(diff) AS a FROM u WHERE diff <> 0), r AS (SELECT *, rank() OVER (PARTITION BY grp
   ORDER BY a) + (count(*) OVER (PARTITION BY grp, a) - 1) / 2 AS rk, count(*) OVER (PARTITION BY grp, a) AS t FROM z),
-  s AS (SELECT grp, count(*) AS n, sum(CASE WHEN diff > 0 THEN rk ELSE 0 END) AS w, sum(t * t - 1) AS ties FROM r
-  GROUP BY 1),
-  q AS (SELECT grp, n, w, CASE WHEN n >= 5 THEN (w - n * (n + 1) / 4) / sqrt(CAST(n AS DOUBLE) * (n + 1) * (2 * n + 1)
+  s AS (SELECT grp, count(*) AS n, sum(CASE WHEN diff > 0 THEN rk ELSE 0 END) AS w, sum(t * t - 1) AS ties,
+  list(CAST(2 * rk AS BIGINT)) AS ranks FROM r GROUP BY 1),
+  q AS (SELECT *, CASE WHEN n >= 5 THEN (w - n * (n + 1) / 4) / sqrt(CAST(n AS DOUBLE) * (n + 1) * (2 * n + 1)
   / 24 - ties / 48) END AS z FROM s),
-  e AS (SELECT *, abs(z) / sqrt(2) AS x FROM q)
-  SELECT grp, n, round(w, 3) AS w_plus, round(z, 6) AS z, round(CASE
+  e AS (SELECT *, abs(z) / sqrt(2) AS x, CASE WHEN n BETWEEN 5 AND 50 THEN list_reduce(list_prepend(list_prepend(1.0::DOUBLE,
+    list_transform(range(CAST(list_sum(ranks) AS BIGINT)), lambda s: 0.0::DOUBLE)), list_transform(ranks, lambda r: [r::DOUBLE])),
+    lambda acc, r: list_transform(range(len(acc)), lambda s: 0.5 * acc[s + 1] + CASE WHEN s >= r[1] THEN
+      0.5 * acc[s - CAST(r[1] AS BIGINT) + 1] ELSE 0 END)) END AS chances FROM q)
+  SELECT grp, n, round(w, 3) AS w_plus, round(z, 6) AS z, round(CASE WHEN chances IS NOT NULL THEN least(1, 2 * least(
+    list_sum(chances[1:CAST(2 * w AS BIGINT) + 1]), list_sum(chances[CAST(2 * w AS BIGINT) + 1:])))
   WHEN x < 3 THEN 1 - 2 / sqrt(pi()) * x * list_sum(list_transform(range(80), lambda k: exp(2 * k * ln(greatest(x,
   1e-300)) - lgamma(k + 1)) * CASE WHEN k % 2 = 0 THEN 1 ELSE -1 END / (2 * k + 1)))
     ELSE 2 / sqrt(pi()) * (4.0 / 4000) * list_sum(list_transform(range(4000),
@@ -179,7 +185,7 @@ def x13_wilcoxon(spark, d):
     users = events(spark, d).groupBy((F.col("user_id") % 7).alias("grp"), "user_id").agg(
         F.round(side("view") - side("click"), 6).alias("diff")
     )
-    found = tests.wilcoxon(users, "diff", ["grp"])
+    found = tests.wilcoxon(written(users), "diff", ["grp"])
     return found.select(
         "grp", "n", F.round("w_plus", 3).alias("w_plus"), F.round("z", 6).alias("z"), F.round("p", 5).alias("p"),
     )
@@ -213,72 +219,42 @@ def x14_leave_two_out(spark, d):
     return tests.leave_two_out(frames(spark, d), "frame", ["n", "b", "c"])
 
 
-BOOT = f"""{FRAMES}, o AS (SELECT *, row_number() OVER (ORDER BY frame) - 1 AS place, count(*) OVER () AS groups
-  FROM f),
-draw AS (SELECT replicate, CAST(('0x' || left(sha256(concat_ws('|', 'frames', replicate, place)),
-  8)) AS BIGINT) % groups AS pick FROM o, (SELECT unnest(range(500)) AS replicate)),
-rd AS (SELECT replicate, sum(b - c) / sum(n) AS rd FROM draw JOIN o ON pick = place
-  GROUP BY 1), l AS (SELECT list_sort(list(round(rd, 9))) AS v FROM rd)"""
+def _interval(values: str, label: str = "") -> str:
+    """SQL of ``bootstrap.interval`` of the risk differences of a table of replicates."""
+    v = "v[CAST(round_even({q} * (len(v) - 1), 0) AS BIGINT) + 1] AS {n}"
+    at = ", ".join(v.format(q=q, n=n) for n, q in (("low", 0.025), ("middle", 0.5), ("high", 0.975)))
+    return f"""SELECT {label}CAST(len(v) AS INTEGER) AS replicates, {at}, v[CAST(floor(0.025 * len(v)) AS BIGINT) + 1] AS index_low,
+  v[CAST(floor(0.975 * len(v)) AS BIGINT)] AS index_high
+  FROM (SELECT list_sort(list(round(coalesce((b - c) / nullif(n, 0), 0), 9))) AS v FROM {values})"""
 
 
-def replicates(spark, d):
-    drawn = tests.hash_draws(frames(spark, d), "frame", 500, "frames")
-    return drawn.groupBy("replicate").agg((F.sum(F.col("b") - F.col("c")) / F.sum("n")).alias("rd"))
+def risk_difference():
+    return F.round(F.coalesce(F.try_divide(F.col("b") - F.col("c"), "n"), F.lit(0.0)), 9)
 
 
-@query(f"""WITH {BOOT} SELECT v[CAST(round_even(0.025 * (len(v) - 1), 0) AS BIGINT) + 1] AS low,
-  v[CAST(round_even(0.5 * (len(v) - 1), 0) AS BIGINT) + 1] AS middle, v[CAST(round_even(0.975 * (len(v) - 1),
-  0) AS BIGINT) + 1] AS high,
-  v[CAST(floor(0.025 * len(v)) AS BIGINT) + 1] AS index_low, v[CAST(floor(0.975 * len(v)) AS BIGINT)] AS index_high
-  FROM l""")
+@query(f"WITH RECURSIVE {FRAMES}, {bootstrap.sql('r', 'f', 'frame', REPLICATES, 'frames')} {_interval('r')}")
 def x15_x18_x19_frame_bootstrap(spark, d):
-    values = replicates(spark, d).agg(
-        F.array_sort(F.collect_list(F.round("rd", 9))).alias("v")
-    )  # as many values as replicates
-    v = F.col("v")
-    low, high = stats.index_interval(v)
-    return values.select(
-        stats.nearest_rank(v, 0.025).alias("low"), stats.nearest_rank(v, 0.5).alias("middle"),
-        stats.nearest_rank(v, 0.975).alias("high"), low.alias("index_low"), high.alias("index_high"),
-    )
-
+    """Intervals of 10,000 replicates that draw frames."""
+    drawn = bootstrap.summed_replicates(frames(spark, d), "frame", ["n", "b", "c"], REPLICATES, "frames")
+    return bootstrap.interval(drawn, risk_difference())
 
-def _boot(name: str, label: str, by: str) -> str:
-    """SQL CTEs of the intervals of the bootstrap over users, drawn within groups of ``by`` (or over all)."""
-    part, keys = (f"PARTITION BY {by}", f"{by}, ") if by else ("", "")
-    pick = f"CAST(('0x' || left(sha256(concat_ws('|', 'users', {keys}replicate, place)), 12)) AS BIGINT) % groups"
-    same = f"x.{by} = y.{by} AND " if by else ""
-    v = "CAST(round_even({q} * (len(v) - 1), 0) AS BIGINT) + 1"
-    at = ", ".join(f"v[{v.format(q=q)}] AS {n}" for n, q in (("low", 0.025), ("middle", 0.5), ("high", 0.975)))
-    return f"""o_{name} AS (SELECT *, row_number() OVER ({part} ORDER BY user_id) - 1 AS place, count(*) OVER ({part}) AS groups FROM u),
-  d_{name} AS (SELECT {keys}replicate, {pick} AS pick FROM o_{name}, (SELECT unnest(range({REPLICATES})) AS replicate)),
-  r_{name} AS (SELECT replicate, round(coalesce(sum(b - c) / nullif(sum(n), 0), 0), 9) AS rd FROM d_{name} x JOIN o_{name} y ON {same}pick = place GROUP BY 1),
-  q_{name} AS (SELECT '{label}' AS drawn, CAST(len(v) AS INTEGER) AS replicates, {at},
-  v[CAST(floor(0.025 * len(v)) AS BIGINT) + 1] AS index_low, v[CAST(floor(0.975 * len(v)) AS BIGINT)] AS index_high
-  FROM (SELECT list_sort(list(rd)) AS v FROM r_{name}))"""
 
-
-@query(f"""WITH {PAIRS_SQL}, u AS (SELECT user_id, user_id % 8 AS frame, count(*) AS n,
+@query(f"""WITH RECURSIVE {PAIRS_SQL}, u AS (SELECT user_id, user_id % 8 AS frame, count(*) AS n,
   count(*) FILTER (v AND NOT c) AS b, count(*) FILTER (c AND NOT v) AS c FROM pair
   WHERE v IS NOT NULL AND c IS NOT NULL GROUP BY 1, 2),
-  {_boot('f', 'within frames', 'frame')}, {_boot('a', 'over all', '')} SELECT * FROM q_f UNION ALL SELECT * FROM q_a""")
+  {bootstrap.sql('w', 'u', 'user_id', REPLICATES, 'users', 'frame')}, {bootstrap.sql('a', 'u', 'user_id', REPLICATES, 'users')}
+  {_interval('w', "'within frames' AS drawn, ")} UNION ALL {_interval('a', "'over all' AS drawn, ")}""")
 def x16_x17_cluster_bootstrap(spark, d):
     """Intervals of 10,000 replicates that draw users within frames (X16) and over all (X17)."""
-    users = pairs.discordant(day_pairs(spark, d), F.col("view"), F.col("click"), ["user_id"]).withColumn(
-        "frame", F.col("user_id") % 8,
+    users = written(
+        pairs.discordant(day_pairs(spark, d), F.col("view"), F.col("click"), ["user_id"]).withColumn(
+            "frame", F.col("user_id") % 8,
+        )
     )
-    v = F.col("v")
-    low, high = stats.index_interval(v)
 
     def interval(kind: str, by: list[str]):
-        drawn = tests.cluster_draws(users, "user_id", REPLICATES, "users", by).groupBy("replicate")
-        rd = drawn.agg(F.coalesce(F.try_divide(F.sum(F.col("b") - F.col("c")), F.sum("n")), F.lit(0.0)).alias("rd"))
-        values = rd.agg(F.array_sort(F.collect_list(F.round("rd", 9))).alias("v"))  # as many values as replicates
-        ranks = {name: stats.nearest_rank(v, q) for name, q in (("low", 0.025), ("middle", 0.5), ("high", 0.975))}
-        return values.select(
-            F.lit(kind).alias("drawn"), F.size(v).alias("replicates"), *[x.alias(name) for name, x in ranks.items()],
-            low.alias("index_low"), high.alias("index_high"),
-        )
+        drawn = bootstrap.summed_replicates(users, "user_id", ["n", "b", "c"], REPLICATES, "users", by)
+        return bootstrap.interval(drawn, risk_difference()).select(F.lit(kind).alias("drawn"), "*")
 
     return interval("within frames", ["frame"]).union(interval("over all", []))
 
@@ -287,7 +263,7 @@ def x16_x17_cluster_bootstrap(spark, d):
   l[CAST(round_even(0.5 * (len(l) - 1), 0) AS BIGINT) + 1] AS p50
   FROM (SELECT o_orderstatus, list_sort(list(o_totalprice)) AS l FROM orders GROUP BY 1)""")
 def x18_nearest_rank(spark, d):
-    return tests.nearest_ranks(table(spark, d, "orders"), "o_totalprice", ["o_orderstatus"], {"p10": 0.1, "p50": 0.5})
+    return scans.nearest_ranks(table(spark, d, "orders"), "o_totalprice", ["o_orderstatus"], {"p10": 0.1, "p50": 0.5})
 
 
 @query(f"""WITH {FRAMES} SELECT frame, round((b - c) / nullif(n, 0), 6) AS risk_difference, round(b / nullif(b + c,

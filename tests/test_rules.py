@@ -258,19 +258,6 @@ def test_power_of_a_thousand_pairs(spark):
         assert r.p == pytest.approx(r.want, abs=2e-3)
 
 
-def test_wilcoxon_against_all_signs(spark):
-    """Ranks with ties; z and its p for a group of known sums, null for a small one."""
-    values = [1.0, -1.0, 2.5, 3.0, -4.0, 5.0, 5.0, 0.0, None]
-    got = operators.wilcoxon(
-        spark.createDataFrame([(1, v) for v in values] + [(2, 1.0)], "g int, d double"), "d", ["g"],
-    ).collect()
-    by = {r.g: r for r in got}
-    assert (by[1].n, by[1].w_plus) == (7, 1.5 + 3 + 4 + 6.5 + 6.5)
-    variance = 7 * 8 * 15 / 24 - 2 * (2 * 3) / 48
-    assert by[1].z == pytest.approx((21.5 - 14) / variance**0.5) and by[1].p == pytest.approx(0.2026, abs=1e-3)
-    assert by[2].z is None and by[2].p is None
-
-
 def test_tiers_take_what_earlier_ones_left(spark):
     df = spark.createDataFrame([(i, "x" if i % 2 else "y") for i in range(10)], "id int, s string")
     both = F.col("id") >= 0
@@ -283,49 +270,6 @@ def test_tiers_take_what_earlier_ones_left(spark):
     assert shown.columns == ["gid", "s"] and key.columns == ["gid", "id"] and shown.join(key, "gid").count() == 10
 
 
-def test_places_are_the_order_in_any_number_of_ranges(spark):
-    rows = [(k * 7 % 101, k % 3) for k in range(101)]
-    for size in (1000, 10):
-        out, total = operators.placed(spark.createDataFrame(rows, "k long, g long"), "k", ["g"], size)
-        got = {(r.g, r.k): (r._at, r._n) for r in out.collect()}
-        want = {
-            (g, k): (i, len(ks))
-            for g in range(3)
-            for ks in [sorted(k for k, x in rows if x == g)]
-            for i, k in enumerate(ks)
-        }
-        assert got == want and total == 101
-
-
-def test_adjusted_and_ranks_in_any_number_of_ranges(spark):
-    rng = __import__("random").Random(3)
-    rows = [(i, i % 2, rng.choice([0.001, 0.02, 0.2, round(rng.random(), 3)])) for i in range(90)]
-    df = spark.createDataFrame(rows, "k int, f int, p double")
-
-    def brute(some):
-        order = sorted(some, key=lambda r: (r[2], r[0]))
-        m, holm, bh, top, low = len(order), {}, {}, 0.0, 1.0
-        for i, (k, _, p) in enumerate(order):
-            top = max(top, min(1.0, (m - i) * p))
-            holm[k] = top
-        for i, (k, _, p) in reversed(list(enumerate(order))):
-            low = min(low, min(1.0, p * m / (i + 1)))
-            bh[k] = low
-        return {k: (holm[k], bh[k]) for k in holm}
-
-    for size in (1000, 7):
-        for family, groups in ((None, [rows]), (["f"], [[r for r in rows if r[1] == f] for f in (0, 1)])):
-            got = {r.k: (r.holm, r.bh) for r in operators.adjusted(df, "p", "k", family, size).collect()}
-            want = {k: v for some in groups for k, v in brute(some).items()}
-            assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
-        ranks = operators.nearest_ranks(df, "p", ["f"], {"a": 0.0, "b": 0.25, "c": 0.5, "d": 1.0}, size).collect()
-        for r in ranks:
-            values = sorted(p for _, f, p in rows if f == r.f)
-            assert [r.a, r.b, r.c, r.d] == [values[round(q * (len(values) - 1))] for q in (0.0, 0.25, 0.5, 1.0)]
-    with pytest.raises(ValueError, match="over 5 groups"):
-        operators.hash_draws(df, "k", 2, "s", most=5)
-
-
 def test_kappa_with_excluded_classes(spark):
     rows = [("a", "a")] * 4 + [("a", "b"), ("b", "b"), ("c", "a"), (None, "a")]
     r = operators.binary_kappa(spark.createDataFrame(rows, "x string, y string"), "x", "y", ("a", "b")).first()

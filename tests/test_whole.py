@@ -3,6 +3,7 @@
 import hashlib
 from collections import Counter
 from math import comb, exp, lgamma, log
+from statistics import NormalDist
 
 import pytest
 from pyspark.sql import functions as F
@@ -44,6 +45,16 @@ def test_mcnemar_power_of_any_number_of_pairs(spark):
         assert got[case] == pytest.approx(power(*case), abs=1e-9)
 
 
+def test_mcnemar_power_takes_bounded_work(spark):
+    """The power of a fixed effect in deviations hardly depends on the number of pairs, whichever counts are added up."""
+    cases = [(300_000, 0.3, 0.5 + 2 / 300_000**0.5), (3_000_000_000, 0.3, 0.5 + 2 / 3_000_000_000**0.5)]
+    df = spark.createDataFrame(cases, "n bigint, q double, s double")
+    rows = df.select(operators.mcnemar_power(F.col("n"), F.col("q"), F.col("s")).alias("power")).collect()
+    # b - c has mean 4 n q d and variance n q: the normal power at 4 (n q)^.5 d = 4 * .3^.5, to the size of a step.
+    want = NormalDist().cdf(4 * 0.3**0.5 - NormalDist().inv_cdf(0.95))
+    assert rows[0].power == pytest.approx(want, abs=3e-3) and rows[1].power == pytest.approx(want, abs=1e-4)
+
+
 def test_x21_keeps_frames_of_over_400_pairs(spark):
     rows = entry_module.queries()["x21_mcnemar_power"](spark, LARGER).collect()
     assert sorted(r.frame for r in rows) == list(range(8))
@@ -120,24 +131,11 @@ def test_x04_x05_count_all_line_items_and_give_both_bounds(spark):
         assert (r.upper_bound, r.lower, r.upper) == pytest.approx(want, abs=1e-7)
 
 
-@pytest.mark.parametrize("by", [["frame"], []])
-def test_cluster_draws_against_brute_force(spark, by):
-    users = [(u, u % 3, u * u) for u in range(40)]
-    draws = operators.cluster_draws(
-        spark.createDataFrame(users, "user_id bigint, frame bigint, x bigint"), "user_id", 200, "s", by, bucket_rows=7,
-    ).collect()
-    size = Counter((r.replicate, r.frame) for r in draws)
-    if by:
-        assert size == {(k, f): sum(u % 3 == f for u in range(40)) for k in range(200) for f in range(3)}
-    assert Counter(r.replicate for r in draws) == dict.fromkeys(range(200), 40)
-    assert all(r.x == r.user_id**2 and r.frame == r.user_id % 3 for r in draws)
-    seen = Counter(r.user_id for r in draws)  # 200 draws of each are expected, with a deviation of about 14
-    assert len(seen) == 40 and all(120 < n < 280 for n in seen.values())
-
-
 def test_x16_x17_give_intervals_of_10000_replicates(spark):
     rows = {r.drawn: r for r in entry_module.queries()["x16_x17_cluster_bootstrap"](spark, SMALL).collect()}
     assert set(rows) == {"within frames", "over all"}
+    frames = entry_module.queries()["x15_x18_x19_frame_bootstrap"](spark, SMALL).collect()
+    rows["frames"] = frames[0]
     assert all(r.replicates == 10_000 and -1 <= r.low <= r.middle <= r.high <= 1 for r in rows.values())
 
 
