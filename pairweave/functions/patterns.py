@@ -36,3 +36,17 @@ GAP_DAYS = {"fresh": 2, "near": 42, "boundary": 60, "stale": 245, "stale_long":
 
 #: Where Python's splitlines() cuts.
 LINE_BREAK = "\\r\\n|[\\n\\r\\x0B\\f\\x1C-\\x1E\\x85\\u2028\\u2029]"
+
+MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
+#: Category, name, pattern, and whether case is ignored: marks of facts that hold for a time.
+TEMPORARY_FACTS = [
+    ("PROG", "im_prog_residence", r"\bI'?a?m (?:currently |now )?(?:staying|living|crashing|subletting|house[- ]?sitting) (?:at|in|with|near|over|on)\b", False),
+    ("PROG", "im_prog_use", r"\bI'?a?m (?:currently |now )?(?:renting|borrowing|using|driving)\b", False),
+    ("PROG", "im_prog_role", r"\bI'?a?m (?:currently |now )?(?:working (?:at|for|from|out of)|interning|volunteering|taking (?:a|an|the|this) |enrolled in)\b", False),
+    ("PERF_PROG", "ive_been", r"\bI'?(?:ve| have) been (?:staying|living|renting|using|driving|working|taking|volunteering|interning)\b", False),
+    ("BOUND", "until_month", rf"\b(?:until|till|through) (?:{MONTHS}|next (?:week|month|year)|the end of)\b", True),
+    ("BOUND", "for_the_next", r"\bfor the next (?:few|couple|\d+)\b", True),
+    ("TEMP_ADV", "temp_adv", r"\b(?:temporarily|for now|for the time being|for a (?:few|couple of) (?:weeks|months|days)|short[- ]term)\b", True),
+    ("TEMP_ADV", "while_clause", r"\bwhile (?:my|our|the) \w+ (?:is|are|gets?|is being)\b", True),
+    ("THIRD_PROG", "third_staying", r"\b(?:is|are) (?:staying|living) with (?:me|us)\b", True),
+]

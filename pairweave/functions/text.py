@@ -20,22 +20,19 @@ def has(text: Column, pattern: str) -> Column:
     return F.rlike(text, F.lit(P.FLAGS + pattern))
 
 
+def folded(x: str) -> str:
+    if x.isascii():
+        return x
+    plain = unicodedata.normalize("NFKD", x.replace("’", "'").replace("‘", "'"))
+    return "".join(c for c in plain if not unicodedata.combining(c))
+
+
 def norm(text: Column) -> Column:
     """Curly quotes straightened, NFKD, combining marks dropped. Null stays null."""
 
     @F.arrow_udf("string")
     def fold(values: pa.Array) -> pa.Array:
-        def one(x: str) -> str:
-            if x.isascii():
-                return x
-            return "".join(
-                c
-                for c in unicodedata.normalize(
-                    "NFKD", x.replace("’", "'").replace("‘", "'"),
-                ) if not unicodedata.combining(c)
-            )
-
-        return pa.array([None if x is None else one(x) for x in values.to_pylist()], pa.string())
+        return pa.array([None if x is None else folded(x) for x in values.to_pylist()], pa.string())
 
     return fold(text)
 

@@ -10,14 +10,17 @@ Occurrences are counted from the left without overlap, as ``replace`` finds them
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
 BLOCK_BYTES = 32 << 20
 #: Bytes of texts that are brought together, and that are hashed at once.
 SHARD_BYTES, CHUNK = 4 << 20, 1 << 20
@@ -90,27 +93,49 @@ class Probes:
         return out
 
 
+def by_blocks(
+    probes: DataFrame, block_bytes: int, plain: Callable[[Row], object], search: Callable[[Broadcast], DataFrame],
+) -> DataFrame:
+    """``search`` over blocks of about ``block_bytes`` of ``probes`` (by their ``text``), put together.
+
+    One block at a time is on the driver: it is broadcast, its result is written, and it goes before the next one comes.
+    """
+    spark = probes.sparkSession
+    total = probes.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
+    blocks = max(1, -(-int(total) // block_bytes))
+    block = F.pmod(F.xxhash64("text"), F.lit(blocks))
+
+    def shared(i: int) -> Broadcast:
+        return spark.sparkContext.broadcast([plain(r) for r in probes.where(block == i).toLocalIterator()])
+
+    if blocks == 1:
+        return search(shared(0))
+    parts = []
+    for i in range(blocks):
+        one = shared(i)
+        parts.append(written(search(one)))
+        one.destroy()
+    return reduce(DataFrame.union, parts)
+
+
 def counts(
     df: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
-    block_bytes: int = BLOCK_BYTES,
+    block_bytes: int = BLOCK_BYTES, least: int | None = None,
 ) -> DataFrame:
-    """item_id, n (occurrences) and documents (rows that hold it) of each item that occurs; several items of one id are added up."""
-    spark, kind = df.sparkSession, items.schema[item_id].dataType
+    """item_id, n (occurrences) and documents (rows that hold it) of each item that occurs; several items of one id are added up.
+
+    With ``least``, ``flagged`` tells items that occur at least so often.
+    """
+    kind = items.schema[item_id].dataType
     probes = items.where(F.octet_length(item_text) > 0).groupBy(
         F.col(item_id).cast("string").alias("item_id"), F.col(item_text).alias("text"),
     ).agg(F.count("*").alias("copies"))
-    total = probes.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
-    blocks = max(1, -(-int(total) // block_bytes))
-    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
-
-    def searched(rows: list) -> DataFrame:
-        shared = spark.sparkContext.broadcast(
-            (Probes([r["text"].encode() for r in rows]), [(r["item_id"], r["copies"]) for r in rows])
-        )
 
+    def search(shared) -> DataFrame:
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            probes, names = shared.value
-            tables = probes.tables()
+            rows = shared.value
+            own = Probes([x.encode() for x, _, _ in rows])
+            tables = own.tables()
             for batch in batches:
                 held: list[bytes] = []
                 size = 0
@@ -118,20 +143,21 @@ def counts(
                     held.append(x.as_py() or b"")
                     size += len(held[-1])
                     if size >= SHARD_BYTES or i == batch.num_rows - 1:
-                        found = probes.count(held, tables)
+                        found = own.count(held, tables)
                         held, size = [], 0
                         yield pa.RecordBatch.from_pydict({
-                            "item_id": pa.array([names[i][0] for i in found], pa.string()), "n": pa.array(
-                                [n * names[i][1] for i, (n, _) in found.items()], pa.int64(),
+                            "item_id": pa.array([rows[i][1] for i in found], pa.string()), "n": pa.array(
+                                [n * rows[i][2] for i, (n, _) in found.items()], pa.int64(),
                             ),
-                            "documents": pa.array([k * names[i][1] for i, (_, k) in found.items()], pa.int64()),
+                            "documents": pa.array([k * rows[i][2] for i, (_, k) in found.items()], pa.int64()),
                         })
 
         return df.select(F.col(text).cast("binary").alias("text")).mapInArrow(
             run, "item_id string, n bigint, documents bigint",
         )
 
-    found = reduce(DataFrame.union, [searched(probes.where(block == i).collect()) for i in range(blocks)])
-    return found.groupBy(F.col("item_id").cast(kind).alias("item_id")).agg(
+    found = by_blocks(probes, block_bytes, lambda r: (r["text"], r["item_id"], r["copies"]), search)
+    total = found.groupBy(F.col("item_id").cast(kind).alias("item_id")).agg(
         F.sum("n").alias("n"), F.sum("documents").alias("documents"),
     )
+    return total if least is None else total.withColumn("flagged", F.col("n") >= least)

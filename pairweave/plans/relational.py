@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import stats
 from ..operators import contained, contracts, pairs, sampling, scans
+from ..operators import tokens as token_tables
 from ..streaming import resume
 from .base import Registry, table
 
@@ -421,29 +422,29 @@ def j12_cross_grid(spark, d):
     )
 
 
-@query("""WITH w AS (SELECT DISTINCT split_part(text, ' ', 2) AS token FROM benchmark
-  WHERE length(split_part(text, ' ', 2)) >= 4 AND NOT regexp_matches(split_part(text, ' ', 2), '[^a-z]'))
-  SELECT token, count(DISTINCT doc_id) AS documents FROM w
-  JOIN (SELECT doc_id, unnest(list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z]+'),
-  lambda x: lower(x)))) AS word FROM documents) ON word = token GROUP BY 1""")
+@query("""WITH f AS (SELECT conv_id, turn, lower(strip_accents(text)) AS text, lower(strip_accents(split_part(text, ' ', 1))) AS own
+  FROM conversations WHERE role = 'assistant'),
+  w AS (SELECT list_filter(str_split(text, ' '), lambda x: x <> '') AS w FROM benchmark),
+  t AS (SELECT DISTINCT lower(strip_accents(token)) AS token FROM (SELECT unnest(w) AS token FROM w UNION ALL
+    SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM w))
+  SELECT conv_id, turn, token FROM f JOIN t ON contains(text, token) AND token <> own
+    AND regexp_matches(text, '(^|[^a-z])' || regexp_escape(token) || '($|[^a-z])')""")
 def j13_tokens_in_responses(spark, d):
-    # Whole-word tokens: an equi-join on words instead of every token against every text.
-    second = F.element_at(F.split("text", " "), 2)
-    tokens = table(spark, d, "benchmark").select(second.alias("word")).where(
-        F.rlike("word", F.lit("^[a-z]{4,}$"))
-    ).distinct()
-    found = F.transform(F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), F.lit(1)), F.lower)
-    words = table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(found)).alias("word"))
-    return words.join(tokens, "word").groupBy(F.col("word").alias("token")).agg(
-        F.count_distinct("doc_id").alias("documents")
-    )
-
-
-@query("""WITH t AS (SELECT item_id, text AS probe FROM benchmark)
-  SELECT item_id, CAST(sum((length(text) - length(replace(text, probe, ''))) // length(probe)) AS BIGINT) AS n,
-  count(*) AS documents FROM documents JOIN t ON contains(text, probe) GROUP BY 1""")
+    """Every other row's token in every response: the words, and each two words, of all items; a response's own token is its first word."""
+    words = F.filter(F.split("text", " "), lambda x: x != "")
+    two = F.transform(F.slice(words, 2, F.size(words)), lambda x, i: F.concat(words[i], F.lit(" "), x))
+    tokens = table(spark, d, "benchmark").where("text IS NOT NULL").select(F.explode(F.concat(words, two)).alias("token"))
+    responses = table(spark, d, "conversations").where(F.col("role") == "assistant")
+    responses = responses.withColumn("own", F.substring_index("text", " ", 1))
+    return token_tables.token_hits(responses, tokens.distinct(), ["conv_id", "turn"], own="own")
+
+
+@query("""WITH t AS (SELECT item_id, text AS probe FROM benchmark),
+  n AS (SELECT item_id, CAST(sum((length(text) - length(replace(text, probe, ''))) // length(probe)) AS BIGINT) AS n,
+  count(*) AS documents FROM documents JOIN t ON contains(text, probe) GROUP BY 1)
+  SELECT *, n >= 3 AS flagged FROM n""")
 def j14_contained_counts(spark, d):
-    return contained.counts(table(spark, d, "documents"), table(spark, d, "benchmark"))
+    return contained.counts(table(spark, d, "documents"), table(spark, d, "benchmark"), least=3)
 
 
 @query("""SELECT n_name, o_orderpriority, count(*) AS n, round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue

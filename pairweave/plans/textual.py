@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import dates, text
+from ..functions import dates, inventory, text
+from ..functions import patterns as P
 from ..functions.patterns import GAP_DAYS
 from ..operators import contracts, sampling
 from ..sources import records
@@ -64,18 +65,43 @@ def t01_fold(spark, d):
     return table(spark, d, "documents").select("doc_id", text.norm(F.col("text")).alias("folded"))
 
 
-@query("""SELECT conv_id, turn, regexp_extract(text, '([Tt]hat|[Ww]ith|[Ff]rom)', 1) AS first_match, CASE
-  WHEN regexp_matches(text, '[Tt]hat') THEN 'THAT' WHEN regexp_matches(text, '[Ww]ith') THEN 'WITH'
-  ELSE 'NONE' END AS category FROM conversations WHERE role = 'user' AND length(text) <= 2000""")
+#: The fixed inventory, and marks that occur in the tables' invented languages.
+SCREEN = [inventory.Named(*x) for x in P.TEMPORARY_FACTS] + [
+    inventory.Named("REFERENCE", "that_article", r"\b(?:that|this) (?:the|an?)\b", True),
+    inventory.Named("REFERENCE", "of_the", r"\b(?:of|from) the [a-z]+ing\b", True),
+    inventory.Named("PAST", "was_place", r"\bwas (?:in|on|at|of|with)\b", False),
+    inventory.Named("PAST", "sentence_was", r"(?:^|[.] )Was\b", False),
+    inventory.Named("GERMAN", "article_und", r"\b(?:und|zu) (?:der|die|das|den)\b", True),
+    inventory.Named("FRENCH", "clitic", r"\b(?:que|qui) (?:le|la|les)\b", True),
+    inventory.Named("SPANISH", "de_la", r"\bde (?:la|los|el)\b", True),
+    inventory.Named("END", "last_words", r"[.] (?:In|On|At|The) [a-z]+[.]$", False),
+]
+
+
+def _screen_sql() -> str:
+    """One row for each turn and pattern that it matches."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    table = ", ".join(
+        f"({quoted(x.category)}, {quoted(x.name)}, {quoted(('(?i)' if x.ignore_case else '') + x.pattern)})" for x in SCREEN
+    )
+    return f"""WITH p(category, name, pattern) AS (VALUES {table}),
+  t AS (SELECT DISTINCT conv_id, turn, replace(strip_accents(text), 'ß', 's') AS text FROM conversations WHERE role = 'user' AND length(text) <= 2000)
+  SELECT conv_id, turn, category, name, regexp_extract(text, pattern) AS match FROM t JOIN p ON regexp_matches(text, pattern)"""
+
+
+@query(_screen_sql())
 def t13_f14_pattern_screen(spark, d):
+    """Every pattern of the inventory that a user's folded turn matches, with its first match; repeated turns count once."""
     turns = table(spark, d, "conversations").where((F.col("role") == "user") & (F.length("text") <= 2000))
-    label = F.when(F.rlike("text", F.lit("[Tt]hat")), "THAT").when(
-        F.rlike("text", F.lit("[Ww]ith")), "WITH",
-    ).otherwise("NONE")
-    return turns.select(
-        "conv_id", "turn", F.regexp_extract("text", "([Tt]hat|[Ww]ith|[Ff]rom)", 1).alias("first_match"),
-        label.alias("category"),
-    )
+    folded = turns.select("conv_id", "turn", text.norm(F.col("text")).alias("text")).distinct()
+    found = folded.withColumn("hits", inventory.hits(F.col("text"), SCREEN))
+    return found.select("conv_id", "turn", F.inline("hits"))
+
+
+@query(f"""WITH h AS ({_screen_sql()}) SELECT category, count(DISTINCT (conv_id, turn)) AS turns, count(*) AS hits FROM h GROUP BY 1""")
+def t13_category_counts(spark, d):
+    found = t13_f14_pattern_screen(spark, d).groupBy("category", "conv_id", "turn").agg(F.count("*").alias("hits"))
+    return found.groupBy("category").agg(F.count("*").alias("turns"), F.sum("hits").alias("hits"))
 
 
 @query("""SELECT doc_id, substr(text, greatest(position('the' IN text) - 200, 1),
