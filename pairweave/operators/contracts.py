@@ -25,22 +25,24 @@ def unique(df: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def complete_grid(
-    df: DataFrame, rows: DataFrame, columns: DataFrame, keys: list[str], most: int = 100_000,
-) -> DataFrame:
-    """Exactly one row for each of ``rows`` x ``columns``; ``columns`` is a dimension of at most ``most`` rows, else an error.
+def complete_grid(df: DataFrame, rows: DataFrame, columns: DataFrame, keys: list[str], most: int = 2_000_000) -> DataFrame:
+    """Exactly one row for each of ``rows`` x ``columns``; no key is null. ``keys`` names both sides' columns.
 
-    A row is expanded by the dimension's values where it stands, and counts are found by an equi-join.
+    The grid itself is not made: a row that has as many different columns as there are lacks none. Only rows that lack some
+    meet the columns, so that what is made is what is missing or stands in such a row. Up to ``most`` columns are broadcast.
     """
-    values = columns.distinct().limit(most + 1).collect()
-    if len(values) > most:
-        raise ValueError(f"over {most} rows in the grid's columns")
-    grid = rows.select(
-        "*", F.inline(F.array(*[F.struct(*[F.lit(v[c]).alias(c) for c in columns.columns]) for v in values])),
-    ) if values else rows.join(columns.limit(0))
+    own, wanted = rows.distinct(), columns.distinct()
+    n_columns = wanted.count()
     counted = df.groupBy(*keys).agg(F.count("*").alias("_n"))
-    found = F.coalesce("_n", F.lit(0))
-    return _report(grid.join(counted, keys, "left").where(found != 1), "grid", F.concat_ws("|", *keys), found)
+    # Cells of the grid only, so that a row's number of cells tells whether it is complete.
+    inside = counted.join(F.broadcast(wanted) if n_columns <= most else wanted, wanted.columns, "left_semi")
+    inside = inside.join(own, own.columns, "left_semi")
+    repeated = inside.where("_n > 1")
+    cells = inside.groupBy(*own.columns).agg(F.count("*").alias("_cells"))
+    short = own.join(cells, own.columns, "left").where(F.coalesce("_cells", F.lit(0)) < n_columns).drop("_cells")
+    missing = short.crossJoin(F.broadcast(wanted) if n_columns <= most else wanted).join(inside, keys, "left_anti")
+    both = missing.select(*keys, F.lit(0).cast("long").alias("_n")).unionByName(repeated.select(*keys, "_n"))
+    return _report(both, "grid", F.concat_ws("|", *keys), F.col("_n"))
 
 
 def unique_folded(df: DataFrame, column: str) -> DataFrame:

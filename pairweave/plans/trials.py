@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text, tools
-from ..operators import attempts, contracts, generation, sampling
+from ..operators import attempts, contracts, digests, generation, sampling
 from ..sources import records
 from .base import Registry, scratch, table
 from .relational import events
@@ -87,7 +87,7 @@ SEEKS = f"""list_bool_or(list_transform(range(1, len(s) + 1), lambda i:
 USED = f"list_bool_or(list_transform(s, lambda x: {token('x', 'tok')} AND (NOT regexp_matches(x, '\\?\\s*$') OR {has('x', P.THIRD_PARTY_USE)}) AND NOT {has('x', P.META_MENTION)}))"
 TEMPLATE = f"list_bool_or(list_transform(s, lambda x: {has('x', P.PLACEHOLDER, '')} AND {has('x', f'(?:{TOPIC}|name|address)')}))"
 PROGRESSIVE = f"({has('kept', P.PROGRESSIVE)} OR {has('kept', P.PERFECT_PROGRESSIVE)})"
-RULES = f"""{MARKED}, parts AS (SELECT *, {sentences('t')} AS s, {LINES.format(x='t')} AS l FROM marked),
+LABELS = f"""parts AS (SELECT *, {sentences('t')} AS s, {LINES.format(x='t')} AS l FROM marked),
 rules AS (SELECT *, {token('t', 'tok')} AS found, coalesce({SEEKS}, false) AS seeks, coalesce({USED}, false) AS used, coalesce({TEMPLATE}, false) AS template,
   array_to_string(list_filter(l, lambda x: {token('x', 'tok')}), ' ') AS kept FROM parts),
 labels AS (SELECT *, CASE WHEN found AND NOT used AND seeks THEN 'HEDGE'
@@ -104,11 +104,26 @@ labels AS (SELECT *, CASE WHEN found AND NOT used AND seeks THEN 'HEDGE'
  coalesce(nullif(upper(regexp_extract(t, '(?i)^\\s*[^a-zA-Z]*(yes|no)\\b', 1)), ''), 'UNPARSED') AS explicit,
  list_distinct(list_transform(regexp_extract_all(t, {quoted('(?i)' + P.ANCHOR)}, 1), lambda x: CASE
   WHEN upper(x) LIKE 'CHECK%' THEN 'CHECK-FIRST' ELSE 'SEND' END)) AS anchors FROM rules)"""
+RULES = f"{MARKED}, {LABELS}"
+CASE_LABEL = """CASE WHEN arm IN ('behavioral', 'e2', 'l2e2') THEN behavioural WHEN arm IN ('e1', 'l2') THEN note
+  WHEN arm = 'explicit' THEN explicit WHEN len(anchors) = 1 THEN anchors[1] ELSE 'UNPARSED' END"""
 
 
-@query(f"""WITH {RULES} SELECT conv_id, turn, arm, CASE WHEN arm IN ('behavioral', 'e2', 'l2e2') THEN behavioural
-  WHEN arm IN ('e1', 'l2') THEN note WHEN arm = 'explicit' THEN explicit
-  WHEN len(anchors) = 1 THEN anchors[1] ELSE 'UNPARSED' END AS label FROM labels""")
+def labelled(source: str, prefix: str) -> str:
+    """SQL CTEs of the rules over another table; the last is ``prefix``labels."""
+    out = LABELS.replace("FROM marked)", f"FROM {source})")
+    for name in ("parts", "rules", "labels"):
+        out = out.replace(f"{name} AS (", f"{prefix}{name} AS (").replace(f"FROM {name})", f"FROM {prefix}{name})")
+    return out
+
+
+def around_token(change: str) -> str:
+    """SQL of ``t`` with each letter-bounded token changed; twice, as two tokens may share the sign between them."""
+    one = lambda t: f"regexp_replace({t}, '(?i)(^|[^A-Za-z])' || regexp_escape(tok) || '($|[^A-Za-z])', '\\1{change}\\2', 'g')"
+    return one(one("t"))
+
+
+@query(f"WITH {RULES} SELECT conv_id, turn, arm, {CASE_LABEL} AS label FROM labels")
 def f07_f08_t05_t06_t07_t08_t09_t10_case_labels(spark, d):
     label = text.case_label(F.col("arm"), F.col("t"), F.array("tok"), F.lit(TOPIC), F.col("form"))
     return marked_turns(spark, d).select("conv_id", "turn", "arm", label.alias("label"))
@@ -238,33 +253,105 @@ def p07_t30_writer_measures(spark, d):
     )
 
 
-@query(f"""WITH {RULES}, base AS (SELECT conv_id, turn, tok, form, t, behavioural FROM labels WHERE arm = 'behavioral'),
- edited AS (SELECT conv_id, turn, 'prepend-filler' AS edit, tok, form, behavioural AS original,
-  'Sure thing! ' || t AS t FROM base UNION ALL SELECT conv_id, turn, 'append-closer', tok, form, behavioural,
-  t || chr(10) || chr(10) || 'Hope that helps!' FROM base
-  UNION ALL SELECT conv_id, turn, 'curly-quotes', tok, form, behavioural, t FROM base
-  UNION ALL SELECT conv_id, turn, 'bold-token', tok, form, behavioural, regexp_replace(regexp_replace(t,
+@query(f"""WITH {RULES}, base AS (SELECT conv_id, turn, arm, tok, form, t, {CASE_LABEL} AS original FROM labels
+  WHERE arm <> 'explicit'),
+ edited AS (SELECT * EXCLUDE (t), 'prepend-filler' AS edit, 'Sure thing! ' || t AS t FROM base
+  UNION ALL SELECT * EXCLUDE (t), 'append-closer', t || chr(10) || chr(10) || 'Hope that helps!' FROM base
+  UNION ALL SELECT * EXCLUDE (t), 'curly-quotes', t FROM base
+  UNION ALL SELECT * EXCLUDE (t), 'bold-token', regexp_replace(regexp_replace(t,
   '(?i)(^|[^A-Za-z])(' || regexp_escape(tok) || ')($|[^A-Za-z])', '\\1**\\2**\\3', 'g'),
   '(?i)(^|[^A-Za-z*])(' || regexp_escape(tok) || ')($|[^A-Za-z*])', '\\1**\\2**\\3', 'g') FROM base),
- again AS (SELECT *, {sentences('t')} AS s FROM edited), flags AS (SELECT *, {token('t', 'tok')} AS found, coalesce({SEEKS}, false) AS seeks, coalesce({USED}, false) AS used, coalesce({TEMPLATE}, false) AS template FROM again)
- SELECT edit, count(*) AS n, count(*) FILTER (original <> CASE WHEN found AND NOT used AND seeks THEN 'HEDGE'
-  WHEN found AND ({has('t', P.CAVEAT)} OR seeks) THEN 'PROCEED-WITH-CAVEAT' WHEN found THEN 'PROCEED'
-   WHEN {has('t', P.ADDRESS_SHAPE, '')} THEN 'CONFAB-COMMIT' WHEN seeks THEN 'HEDGE' WHEN template THEN 'TEMPLATE'
-  ELSE 'RESIDUAL' END) AS flips FROM flags GROUP BY 1""")
+ {labelled('edited', 'again_')}
+ SELECT edit, arm, count(*) AS n, count(*) FILTER (original <> {CASE_LABEL}) AS flips FROM again_labels GROUP BY 1, 2""")
 def t26_perturbation_flips(spark, d):
-    """Edits that keep the meaning, relabelled: how often a label flips."""
-    turns = marked_turns(spark, d).where("arm = 'behavioral'")
-    label = lambda t: text.behavioural_label(t, F.array("tok"), F.lit(TOPIC))
+    """Edits that keep the meaning, relabelled in every arm but the explicit one: how often a label flips."""
+    turns = marked_turns(spark, d).where("arm <> 'explicit'")
+    label = lambda t: text.case_label(F.col("arm"), t, F.array("tok"), F.lit(TOPIC), F.col("form"))
     edits = turns.select(
-        "conv_id", "turn", "tok", label(F.col("t")).alias("original"),
+        "arm", "form", "tok", label(F.col("t")).alias("original"),
         F.explode(text.perturbed(F.col("t"), F.array("tok"))).alias("edit", "edited"),
     )
-    again = edits.select("tok", "original", "edit", text.norm(F.col("edited")).alias("t"))
-    return again.groupBy("edit").agg(
+    again = edits.select("arm", "form", "tok", "original", "edit", text.norm(F.col("edited")).alias("t"))
+    return again.groupBy("edit", "arm").agg(
         F.count("*").alias("n"), F.count_if(label(F.col("t")) != F.col("original")).alias("flips"),
     )
 
 
+#: Name, how sure the rules are to know it, and the label that it must have.
+MUTATIONS = [
+    ("hedge", "canonical", "HEDGE"), ("caveat", "canonical", "PROCEED-WITH-CAVEAT"), ("flagged", "adversarial", "PROCEED-WITH-CAVEAT"),
+    ("respelled", "adversarial", "PROCEED"), ("template", "canonical", "TEMPLATE"), ("in-question", "canonical", "HEDGE"),
+    ("on-file", "canonical", "HEDGE"), ("invented", "canonical", "CONFAB-COMMIT"), ("unnamed", "adversarial", "CONFAB-COMMIT"),
+]
+CLOSERS = {
+    "hedge": "Could you confirm the address before I go on?", "caveat": "Assuming you are still at the same place.",
+    "flagged": "This is what you told me a while back; tell me if things have moved on.",
+    "in-question": "Are you still at {w}? Once you confirm the place I will finish the draft.",
+    "on-file": "The place I have on file, {w}, may be outdated. Could you confirm it before I send anything?",
+}
+IN_PLACE = {"template": "[your address]", "invented": "14 Long Street", "unnamed": "Cormorant Analytics"}
+_STRIPPED = f"array_to_string(list_filter({sentences('t')}, lambda x: NOT {token('x', 'tok')}), ' ')"
+
+
+def _mutated_sql(name: str) -> str:
+    if name in IN_PLACE:
+        return around_token(IN_PLACE[name])
+    if name == "respelled":
+        return around_token("' || left(tok, 2) || ' ' || substr(tok, 3) || '")
+    body = "t" if name in ("caveat", "flagged") else _STRIPPED
+    return f"{body} || chr(10) || chr(10) || replace({quoted(CLOSERS[name])}, '{{w}}', tok)"
+
+
+SCORED = f"""{RULES}, seeds AS (SELECT * FROM labels WHERE arm = 'behavioral' AND behavioural IN ('PROCEED', 'PROCEED-WITH-CAVEAT') AND length(tok) > 2),
+ mutated AS ({' UNION ALL '.join(f"SELECT conv_id, turn, arm, form, tok, '{m}' AS mutation, '{tier}' AS tier, '{gold}' AS gold, {_mutated_sql(m)} AS t FROM seeds" for m, tier, gold in MUTATIONS)}),
+ {labelled('mutated', 'again_')}"""
+
+
+def scored_mutations(spark: SparkSession, d: str) -> DataFrame:
+    """Every turn whose text uses its token, with every mutation, the label that it must have and the one that the rules give."""
+    label = lambda t: text.behavioural_label(t, F.array("tok"), F.lit(TOPIC))
+    seeds = marked_turns(spark, d).where("arm = 'behavioral' AND length(tok) > 2").where(
+        label(F.col("t")).isin("PROCEED", "PROCEED-WITH-CAVEAT")
+    )
+    t, tok = F.col("t"), F.array(text.fold_token(F.col("tok")))
+    stripped = text.drop_units(t, tok)
+
+    def change(name: str):
+        if name in IN_PLACE:
+            return text.replace_tokens(t, tok, F.lit(IN_PLACE[name]))
+        if name == "respelled":
+            return text.replace_tokens(t, tok, F.concat(F.substring(tok[0], 1, 2), F.lit(" "), F.expr("substring(tok, 3)")))
+        closer = F.replace(F.lit(CLOSERS[name]), F.lit("{w}"), tok[0])
+        return F.concat(t if name in ("caveat", "flagged") else stripped, F.lit("\n\n"), closer)
+
+    tiers = F.create_map(*[F.lit(x) for m, tier, _ in MUTATIONS for x in (m, tier)])
+    made = generation.mutated(seeds, {m: (gold, change(m)) for m, _, gold in MUTATIONS}, "t")
+    return made.select("mutation", F.element_at(tiers, F.col("mutation")).alias("tier"), "gold", label(F.col("t")).alias("label"))
+
+
+@query(f"WITH {SCORED} SELECT tier, mutation, gold, behavioural AS label, count(*) AS n FROM again_labels GROUP BY ALL")
+def g06_confusions(spark, d):
+    return scored_mutations(spark, d).groupBy("tier", "mutation", "gold", "label").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {SCORED}, c AS (SELECT tier, gold, behavioural AS label, count(*) AS n FROM again_labels GROUP BY ALL)
+ SELECT tier, gold, CAST(sum(n) AS BIGINT) AS n, round(sum(n) FILTER (label = gold) / (SELECT sum(n) FROM c p WHERE p.tier = c.tier AND p.label = c.gold), 6) AS precision,
+  round(coalesce(sum(n) FILTER (label = gold), 0) / sum(n), 6) AS recall FROM c GROUP BY tier, gold""")
+def g06_precision_recall(spark, d):
+    """Of each gold label of a tier: rows, precision (null if the rules never give it) and recall."""
+    cells = scored_mutations(spark, d).groupBy("tier", "gold", "label").agg(F.count("*").alias("n"))
+    sides = cells.select("tier", F.explode(F.array(
+        F.struct(F.col("gold").alias("name"), F.col("n").alias("gold"), F.lit(0).cast("long").alias("given"), F.when(F.col("gold") == F.col("label"), F.col("n")).otherwise(0).alias("hit")),
+        F.struct(F.col("label").alias("name"), F.lit(0).cast("long").alias("gold"), F.col("n").alias("given"), F.lit(0).cast("long").alias("hit")),
+    )).alias("s")).select("tier", "s.*")
+    sums = sides.groupBy("tier", "name").agg(*[F.sum(c).alias(c) for c in ("gold", "given", "hit")]).where("gold > 0")
+    return sums.select(
+        "tier", F.col("name").alias("gold"), F.col("gold").alias("n"),
+        F.round(F.when(F.col("hit") > 0, F.col("hit") / F.col("given")).when(F.col("given") > 0, F.lit(None)), 6).alias("precision"),
+        F.round(F.col("hit") / F.col("gold"), 6).alias("recall"),
+    )
+
+
 @query("""SELECT page_id, substr(html, 1, position('<body>' IN html) - 1) AS prefix, length(substr(html,
   position('<body>' IN html) + 6)) AS suffix_length FROM pages WHERE contains(html, '<body>')""")
 def t21_residue(spark, d):
@@ -460,6 +547,59 @@ def v10_bound_digests(spark, d):
     return attempts.unbound(recorded, actual.where("key % 10 <> 1"), "key", "digest")
 
 
+def _row_digests_sql(t: str, key: str, body: str) -> str:
+    return f"SELECT {key} AS key, sha256({body}) AS digest FROM {t}"
+
+
+def _root_sql(rows: str) -> str:
+    """SQL of a tree's root, for one byte of depth."""
+    leaves = f"SELECT left(sha256(CAST(key AS VARCHAR)), 2) AS node, sha256(string_agg(key || ':' || digest, chr(10) ORDER BY key || ':' || digest)) AS digest FROM {rows} GROUP BY 1"
+    return f"(SELECT sha256(coalesce(string_agg(node || ':' || digest, chr(10) ORDER BY node), '')) FROM ({leaves}))"
+
+
+@query(f"""WITH o AS ({_row_digests_sql('orders', 'CAST(o_orderkey AS VARCHAR)', "concat_ws('|', o_orderkey, o_custkey, o_orderstatus)")}),
+  e AS ({_row_digests_sql('events', 'CAST(event_id AS VARCHAR)', "concat_ws('|', event_id, user_id, event_type)")}),
+  c AS ({_row_digests_sql('customer', 'CAST(c_custkey AS VARCHAR)', "concat_ws('|', c_custkey, c_name)")}),
+  again_o AS ({_row_digests_sql("(SELECT * REPLACE (CASE WHEN o_orderstatus = 'P' THEN 'F' ELSE o_orderstatus END AS o_orderstatus) FROM orders)", 'CAST(o_orderkey AS VARCHAR)', "concat_ws('|', o_orderkey, o_custkey, o_orderstatus)")}),
+  again_e AS ({_row_digests_sql("(SELECT * FROM events WHERE NOT (event_type = 'purchase' AND value > 10))", 'CAST(event_id AS VARCHAR)', "concat_ws('|', event_id, user_id, event_type)")}),
+  d AS (SELECT 'orders' AS bound, coalesce(o.key, a.key) AS key, CASE WHEN a.key IS NULL THEN 'gone' WHEN o.key IS NULL THEN 'not recorded' ELSE 'changed' END AS problem
+    FROM o FULL JOIN again_o a ON o.key = a.key WHERE o.digest IS DISTINCT FROM a.digest
+  UNION ALL SELECT 'events', coalesce(e.key, a.key), CASE WHEN a.key IS NULL THEN 'gone' WHEN e.key IS NULL THEN 'not recorded' ELSE 'changed' END
+    FROM e FULL JOIN again_e a ON e.key = a.key WHERE e.digest IS DISTINCT FROM a.digest)
+  SELECT * FROM d UNION ALL SELECT 'customer', {_root_sql('c')}, 'root'
+  UNION ALL SELECT 'orders', {_root_sql('again_o')}, 'root' WHERE EXISTS (SELECT 1 FROM d WHERE bound = 'orders')
+  UNION ALL SELECT 'events', {_root_sql('again_e')}, 'root' WHERE EXISTS (SELECT 1 FROM d WHERE bound = 'events')""")
+def v10_bound_chain(spark, d):
+    """A gate binds three tables by the roots of their digest trees: each root that is another now, and the rows that make it so.
+
+    Orders change (an order that was partly shipped is shipped), events are lost (larger purchases), and the gate names a
+    wrong root for customers, whose rows are as recorded.
+    """
+    def rows(df, key: list[str], columns: list[str]) -> DataFrame:
+        body = F.concat_ws("|", *[F.col(c).cast("string") for c in columns])
+        return df.select(F.concat_ws("-", *[F.col(c).cast("string") for c in key]).alias("key"), F.sha2(body, 256).alias("digest"))
+
+    orders, seen, customers = (table(spark, d, t) for t in ("orders", "events", "customer"))
+    shipped = F.when(F.col("o_orderstatus") == "P", "F").otherwise(F.col("o_orderstatus"))
+    bound = {
+        "orders": (["o_orderkey"], ["o_orderkey", "o_custkey", "o_orderstatus"], orders, orders.withColumn("o_orderstatus", shipped)),
+        "events": (
+            ["event_id"], ["event_id", "user_id", "event_type"], seen, seen.where("NOT (event_type = 'purchase' AND value > 10)"),
+        ),
+        "customer": (["c_custkey"], ["c_custkey", "c_name"], customers, customers),
+    }
+    out = []
+    for name, (key, columns, before, now) in bound.items():
+        recorded, actual = rows(before, key, columns), rows(now, key, columns)
+        trees = digests.tree(recorded, "key", "digest"), digests.tree(actual, "key", "digest")
+        gate = digests.root(trees[0]).select(F.lit("0" * 64).alias("gate") if name == "customer" else F.col("digest").alias("gate"))
+        broken = digests.root(trees[1]).join(gate, F.col("digest") != F.col("gate"))
+        out.append(broken.select(F.lit(name).alias("bound"), F.col("digest").alias("key"), F.lit("root").alias("problem")))
+        found = digests.differences(recorded, actual, "key", "digest", trees)
+        out.append(found.select(F.lit(name).alias("bound"), "key", "problem"))
+    return contracts.all_of(*out)
+
+
 # Generated items: every part is a witness, its brand the frame and its number modulo 20 the cluster.
 CELLS = [
     generation.Cell("core", "behavioral", 20, ("prog", "simple", "bound"), ("fresh", "stale")),
@@ -758,44 +898,28 @@ def s03_s07_wrapped_array(spark, d):
 def s06_report_lines(spark, d):
     """Reports, one for each thousand orders, read back: each line with the header above it."""
     path = scratch(spark)
-    rows = table(spark, d, "orders").groupBy((F.col("o_orderkey") % 97).alias("report"), "o_orderstatus").agg(
-        F.array_join(
-            F.transform(F.collect_list("o_orderkey"), lambda k: F.concat(F.lit("item "), k.cast("string"))), "\n",
-        ).alias("items")
-    )
-    report = rows.groupBy("report").agg(
-        F.array_join(
-            F.transform(
-                F.collect_list(F.struct("o_orderstatus", "items")),
-                lambda x: F.concat(F.lit("### "), x["o_orderstatus"], F.lit("\nnothing\n"), x["items"]),
-            ),
-            "\n",
-        ).alias("value")
-    )
-    report.write.partitionBy("report").text(path)
-    read = records.read_report(spark, f"{path}/*", r"^### (\w+)", r"^item \d+")
+    item = F.transform(F.collect_list("o_orderkey"), lambda k: F.concat(F.lit("item "), k.cast("string")))
+    sections = table(spark, d, "orders").groupBy(F.expr("o_orderkey DIV 1000").alias("report"), "o_orderstatus").agg(
+        F.concat(F.lit("### "), "o_orderstatus", F.lit("\nnothing\n"), F.array_join(item, "\n")).alias("section")
+    )
+    sections.groupBy("report").agg(F.array_join(F.collect_list("section"), "\n").alias("value")).select("value").write.text(path)
+    read = records.read_report(spark, path, r"^### (\w+)", r"^item \d+")
     return read.select("section", F.regexp_extract("line", r"^item (\d+)", 1).alias("item"))
 
 
 @query("""SELECT event_type AS shard, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events
-  WHERE event_type <> 'error' GROUP BY 1""")
+  WHERE event_type NOT LIKE '%error%' GROUP BY 1""")
 def s05_s10_s11_appended_shards(spark, d):
-    """Shards written in two appends; files whose names hold a part are left out."""
+    """A shard for each kind, whichever kinds there are, written in two appends; shards whose names hold a part are not read."""
     path = scratch(spark)
-    seen = events(spark, d).select("event_id", F.col("event_type").alias("kind"))
+    seen = events(spark, d).select("event_id", F.col("event_type").alias("shard"))
     for half in (0, 1):
-        for kind in ("click", "error", "purchase", "signup", "view"):  # a vocabulary of five
-            records.write_jsonl(
-                seen.where((F.col("kind") == kind) & (F.col("event_id") % 2 == half)).select("event_id"),
-                f"{path}/{kind}.jsonl", "append",
-            )
-    read = records.read_shards(spark, f"{path}/*", "event_id bigint", leave_out=["error"], depth=1)
+        records.append_shards(seen.where(F.col("event_id") % 2 == half), path, "shard")
+    read = records.read_shard_folders(spark, path, "event_id bigint", "shard", leave_out=["error"])
     return read.groupBy("shard").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
 
 
 @query()
 def h01_file_digests(spark, d):
-    """SHA-256 and size of each file of the dimension tables (no SQL: DuckDB's views don't show files)."""
-    return records.file_digests(
-        spark, [f"{d}/{t}.parquet" for t in ("region", "nation", "supplier", "customer", "part")],
-    )
+    """SHA-256 and size of each file of all tables (no SQL: DuckDB's views don't show files)."""
+    return records.file_digests(spark, [d])

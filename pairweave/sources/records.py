@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
+
+from ..operators.scans import RANGE_ROWS, scanned
 
 
 def read_jsonl(
@@ -37,6 +43,21 @@ def read_shards(
     return out.withColumn("shard", F.substring_index("shard", ".", 1))
 
 
+def append_shards(df: DataFrame, path: str, by: str) -> None:
+    """JSON lines in a folder for each value of ``by``, whichever values there are; files that are there stay."""
+    df.write.mode("append").partitionBy(by).option("ignoreNullFields", False).json(path)
+
+
+def read_shard_folders(
+    spark: SparkSession, path: str, schema: str, by: str, leave_out: list[str] | None = None,
+) -> DataFrame:
+    """What ``append_shards`` wrote, with ``by``; folders whose value holds a ``leave_out`` part are not read at all."""
+    out = spark.read.schema(f"{schema}, `{by}` string").json(path)
+    for part in leave_out or []:
+        out = out.where(F.col(by).isNull() | ~F.contains(by, F.lit(part)))
+    return out
+
+
 def read_assigned_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The rows of a ``name = [...];`` script."""
     text = spark.read.text(path, wholetext=True)
@@ -44,27 +65,21 @@ def read_assigned_array(spark: SparkSession, path: str, schema: str) -> DataFram
     return text.select(F.inline(F.from_json(body, f"array<struct<{schema}>>")))
 
 
-def read_report(spark: SparkSession, path: str, header: str, line: str) -> DataFrame:
-    """Lines of a report that match ``line``, each with the last header above it (the text of its group 1).
+def read_report(spark: SparkSession, path: str, header: str, line: str, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """Lines of reports that match ``line``, each with the last header above it in its file (the text of the header's group 1).
 
-    A report is one small file; its lines are numbered within the file.
+    Large files are read in splits. Only headers and wanted lines go on; a split's last header is carried to the splits after
+    it by a scan over the splits, so that neither a file nor a section is in one task.
     """
-    text = spark.read.text(path, wholetext=True).select(
-        F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("n", "line"),
+    text = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"),
+        F.monotonically_increasing_id().alias("n"), F.col("value").alias("line"),
     )
-    above = Window.partitionBy("file").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    titled = text.withColumn(
-        "section",
-        F.last(
-            F.when(F.rlike("line", F.lit(header)), F.regexp_extract("line", header, 1)), ignorenulls=True,
-        ).over(above),
-    )
-    return titled.where(F.rlike("line", F.lit(line)))
-
-
-def with_ordinal(df: DataFrame, name: str = "ordinal") -> DataFrame:
-    """A number that rises with the order of files and lines."""
-    return df.withColumn(name, F.monotonically_increasing_id())
+    title = F.when(F.rlike("line", F.lit(header)), F.regexp_extract("line", header, 1))
+    wanted = text.withColumns({"title": title, "wanted": F.rlike("line", F.lit(line))}).where("wanted OR title IS NOT NULL")
+    # Within a split, n rises line by line.
+    titled = scanned(wanted, ["file"], ["split", "n"], {"section": ("last", F.col("title"))}, range_rows)
+    return titled.where("wanted").select("file", "line", "section")
 
 
 def canonical_json(df: DataFrame) -> Column:
@@ -111,8 +126,32 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).option("ignoreNullFields", False).json(path)
 
 
-def file_digests(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """file (its last two names), n_bytes and sha256 of each file under the paths; Spark reads a file of up to 2 GB as one value."""
+#: Files up to this size are hashed as one value, larger ones block by block.
+WHOLE_BYTES, BLOCK = 64 << 20, 8 << 20
+
+
+def file_digests(spark: SparkSession, paths: list[str], whole_bytes: int = WHOLE_BYTES) -> DataFrame:
+    """file (its last two names), n_bytes and sha256 of each file under the paths.
+
+    A task holds ``whole_bytes`` or a block of a file, whatever its size. Large files are streamed through the file system that
+    their path's scheme names (local, HDFS, S3, GCS).
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths)
     name = F.regexp_extract("path", "([^/]+/[^/]+)$", 1)
-    return files.select(name.alias("file"), F.col("length").alias("n_bytes"), F.sha2("content", 256).alias("sha256"))
+    small = files.where(F.col("length") <= whole_bytes).select(
+        name.alias("file"), F.col("length").alias("n_bytes"), F.sha2("content", 256).alias("sha256"),
+    )
+    large = files.where(F.col("length") > whole_bytes).select(name.alias("file"), F.col("length").alias("n_bytes"), "path")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                store, place = fs.FileSystem.from_uri(row["path"].replace("file:///", "/") if row["path"].startswith("file:") else row["path"])
+                digest = hashlib.sha256()
+                with store.open_input_stream(place) as stream:
+                    while block := stream.read(BLOCK):
+                        digest.update(block)
+                yield pa.RecordBatch.from_pylist([{"file": row["file"], "n_bytes": row["n_bytes"], "sha256": digest.hexdigest()}])
+
+    spread = large.repartition("path")  # a file is one piece of work
+    return small.union(spread.mapInArrow(run, "file string, n_bytes long, sha256 string"))

@@ -313,8 +313,6 @@ def test_errors_of_lookups_and_subsets(spark):
     with pytest.raises(Exception, match="stay in dev"):
         generation.subset(grid, [("core", 9, (), ())]).collect()
     assert generation.subset(grid, [("core", 4, (), ())]).count() == 0
-    with pytest.raises(ValueError, match="over 2 rows"):
-        contracts.complete_grid(a, a, spark.range(3).withColumnRenamed("id", "c"), ["k"], most=2)
 
 
 def test_contracts_on_small_tables(spark):

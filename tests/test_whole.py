@@ -1,16 +1,19 @@
 """Queries do the whole job: against brute force, where SQL can't show it or is too slow on larger tables."""
 
 import hashlib
+import random
 from collections import Counter
 from math import comb, exp, lgamma, log
+from pathlib import Path
 from statistics import NormalDist
 
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_module
-from pairweave.operators import contained
+from pairweave.operators import contained, contracts, digests
 from pairweave.operators import tests as operators
+from pairweave.sources import records
 
 SMALL = "/root/testdata/sf0.001"
 LARGER = "/root/testdata/sf0.1"
@@ -140,10 +143,82 @@ def test_x16_x17_give_intervals_of_10000_replicates(spark):
 
 
 def test_h01_digests_every_file(spark):
-    tables = ("region", "nation", "supplier", "customer", "part")
-    got = {
-        r.file.rpartition("/")[2]: (r.n_bytes, r.sha256)
-        for r in entry_module.queries()["h01_file_digests"](spark, SMALL).collect()
-    }
-    data = {f"{t}.parquet": open(f"{SMALL}/{t}.parquet", "rb").read() for t in tables}
-    assert got == {name: (len(x), hashlib.sha256(x).hexdigest()) for name, x in data.items()}
+    files = {p.name: p.read_bytes() for p in Path(SMALL).glob("*.parquet")}
+    want = {name: (len(x), hashlib.sha256(x).hexdigest()) for name, x in files.items()}
+    name_of = lambda rows: {r.file.rpartition("/")[2]: (r.n_bytes, r.sha256) for r in rows}
+    assert name_of(entry_module.queries()["h01_file_digests"](spark, SMALL).collect()) == want
+    streamed = records.file_digests(spark, [SMALL], whole_bytes=100_000)  # larger ones block by block
+    assert name_of(streamed.collect()) == want and any(len(x) > 100_000 for x in files.values())
+
+
+def test_reports_in_many_splits(spark, tmp_path):
+    """Headers carry over the splits of a file, and stop at its end."""
+    rng, want = random.Random(6), Counter()
+    for f in range(3):
+        lines, section = [], None
+        for _ in range(3_000):
+            kind = rng.random()
+            if kind < 0.01:
+                section = f"s{rng.randint(0, 99)}"
+                lines.append(f"### {section}")
+            elif kind < 0.6:
+                lines.append(f"item {rng.randint(0, 9)}")
+                want[(section, lines[-1])] += 1
+            else:
+                lines.append("nothing of interest")
+        tmp_path.joinpath(f"{f}.txt").write_text("\n".join(lines))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        for rows in (1_000_000, 500):
+            read = records.read_report(spark, str(tmp_path), r"^### (\w+)", r"^item \d", rows)
+            assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 20
+            assert Counter((r.section, r.line) for r in read.collect()) == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_shards_of_any_kind(spark, tmp_path):
+    rows = [(1, "click"), (2, "a new kind"), (3, "an error kind"), (4, None), (5, "click")]
+    df = spark.createDataFrame(rows, "n long, shard string")
+    for _ in range(2):
+        records.append_shards(df, str(tmp_path), "shard")
+    read = records.read_shard_folders(spark, str(tmp_path), "n long", "shard", ["error"])
+    assert Counter((r.n, r.shard) for r in read.collect()) == {r: 2 for r in rows if r[0] != 3}
+    assert not any("error" in f for f in read.inputFiles()) or "PartitionFilters" in read._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("depth", [1, 2])
+def test_digest_trees_find_what_differs(spark, depth):
+    def of(rows):
+        return spark.createDataFrame(rows, "key string, digest string")
+
+    before = [(str(i), hashlib.sha256(str(i).encode()).hexdigest()) for i in range(3_000)]
+    now = [(k, "x" if k == "17" else d) for k, d in before if k not in ("5", "999")] + [("new", "y")]
+    trees = digests.tree(of(before), "key", "digest", depth), digests.tree(of(now).repartition(7), "key", "digest", depth)
+    leaves = [r.node for r in digests.differing_leaves(*trees, depth).collect()]
+    assert set(leaves) == {hashlib.sha256(k.encode()).hexdigest()[: 2 * depth] for k in ("17", "5", "999", "new")}
+    found = digests.differences(of(before), of(now), "key", "digest", trees, depth).collect()
+    assert {tuple(r) for r in found} == {("17", "changed"), ("5", "gone"), ("999", "gone"), ("new", "not recorded")}
+    same = digests.tree(of(before[::-1]), "key", "digest", depth)
+    assert digests.differing_leaves(trees[0], same, depth).count() == 0
+    assert digests.root(trees[0]).first() == digests.root(same).first() != digests.root(trees[1]).first()
+    empty = digests.tree(of([]), "key", "digest", depth)
+    assert [tuple(r) for r in digests.root(empty).collect()] == [(hashlib.sha256(b"").hexdigest(),)]
+    assert digests.differences(of(before[:2]), of([]), "key", "digest", (digests.tree(of(before[:2]), "key", "digest", depth), empty), depth).count() == 2
+
+
+def test_complete_grids_without_making_them(spark):
+    cells = [(u, k) for u in range(5) for k in "abc" if (u, k) not in {(1, "a"), (4, "c"), (4, "b")}] + [(2, "b"), (9, "a"), (0, "z")]
+    df = spark.createDataFrame(cells, "u int, k string")
+    rows, columns = spark.range(6).selectExpr("CAST(id AS INT) AS u"), spark.createDataFrame([("a",), ("b",), ("c",), ("a",)], "k string")
+    for most in (1_000, 0):
+        got = {(r.key, r.detail) for r in contracts.complete_grid(df, rows, columns, ["u", "k"], most).collect()}
+        assert got == {("1|a", "0"), ("4|c", "0"), ("4|b", "0"), ("5|a", "0"), ("5|b", "0"), ("5|c", "0"), ("2|b", "2")}
+
+
+def test_a_grid_of_a_million_columns(spark):
+    columns = spark.range(1_000_000).selectExpr("id AS k")
+    rows = spark.range(3).selectExpr("id AS u")
+    df = columns.crossJoin(rows).where("NOT (u = 1 AND k = 77)").select("u", "k")
+    assert [tuple(r) for r in contracts.complete_grid(df, rows, columns, ["u", "k"]).collect()] == [("grid", "1|77", "0")]
