@@ -5,8 +5,8 @@ hashed byte n-grams (1 to 3 bytes, A-Z lower-cased, other ASCII signs as a space
 of the bits, each weighted by how well its classifier did on that language in training, and takes the nearest codeword;
 a text whose two nearest codewords are almost as near is flagged.
 
-Only the training sample is bounded: about ``SAMPLE`` documents of least hash, equally many of each language, of the
-``LANGUAGES`` languages with the most documents (ties by name). Counts go to the driver as 4,096 numbers a document; the
+Only the training sample is bounded: about ``SAMPLE`` documents of least hash, equally many of each language. Over
+``LANGUAGES`` languages are an error: so few documents of each would be left that nothing could be learnt. Counts go to the driver as 4,096 numbers a document; the
 weights go to the tasks. Every whole text is predicted, however long, without a shuffle.
 
 A text that is null or has no letter is ``und`` with score 0; so is every text if nothing could be learnt (an empty
@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SAMPLE, LANGUAGES = 4_000, 512
+#: Bytes of a text that are hashed at once: a text of any length takes 60 times as many bytes, beside itself.
+CHUNK = 1 << 20
 DIMENSIONS = 4096
 AMBIGUOUS = 0.2
 UNDETERMINED = "und"
@@ -35,15 +37,16 @@ def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
-def counts(data: bytes) -> np.ndarray:
-    """Hashed counts of n-grams of 1 to 3 bytes."""
-    b = LETTER_BYTES[np.frombuffer(b" " + data + b" ", dtype=np.uint8)]
-    two = b[:-1] * np.uint64(257) + b[1:]
-    three = two[:-1] * np.uint64(257) + b[2:]
-    total = np.zeros(DIMENSIONS, dtype=np.int64)
-    for n, code in enumerate((b, two, three)):
-        slot = ((code + np.uint64(n << 40)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(52)
-        total += np.bincount(slot.astype(np.int64), minlength=DIMENSIONS)
+def counts(data: bytes, chunk: int = CHUNK) -> np.ndarray:
+    """Hashed counts of n-grams of 1 to 3 bytes, ``chunk`` bytes of the text at a time."""
+    data, total = b" " + data + b" ", np.zeros(DIMENSIONS, dtype=np.int64)
+    for at in range(0, len(data), chunk):
+        b = LETTER_BYTES[np.frombuffer(data, np.uint8, min(chunk + 2, len(data) - at), at)]
+        two = b[:-1] * np.uint64(257) + b[1:]
+        three = two[:-1] * np.uint64(257) + b[2:]
+        for n, code in enumerate((b, two, three)):
+            slot = ((code[:chunk] + np.uint64(n << 40)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(52)
+            total += np.bincount(slot.astype(np.int64), minlength=DIMENSIONS)
     return total
 
 
@@ -138,8 +141,10 @@ def fit(
         r["lang"]: r["n"]
         for r in rows.groupBy("lang").agg(
             F.count("*").alias("n")
-        ).orderBy(F.desc("n"), "lang").limit(languages).collect()
+        ).limit(languages + 1).collect()
     }
+    if len(sizes) > languages:
+        raise ValueError(f"over {languages} languages to learn: raise languages and sample")
     if not sizes:
         return None
     each = sample / len(sizes)

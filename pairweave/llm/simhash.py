@@ -13,11 +13,15 @@ shards are, not what is found. Texts are read once and never shuffled. Hot finge
 looked up where their rows are (``looked_up``).
 
 Null and empty texts have fingerprint zero and are linked like any other. A null id is ignored in the smallest id of a
-class. Repeated rows repeat. Only the id and the text are carried.
+class. Repeated rows repeat. Only the id and the text are carried. Texts of any length are hashed whole, chunk by chunk. An
+empty table gives an empty one.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -31,13 +35,13 @@ SAMPLE = 1 << 18
 #: Fingerprints that live in one shard, about: an eighth of all, but no fewer or more than these. The fewer shards, the fewer
 #: are sent to several of them. And fingerprints in a block that is compared whole.
 SHARDS, SHARD, BLOCK = 8, (20_000, 1 << 20), 512
+#: Bytes of a text whose words are hashed at once: a text of any length takes some 30 times as many bytes, beside itself.
+CHUNK = 1 << 20
+WHITE = re.compile(rb"[\t-\r ]")
 
 
-def fingerprint(data: bytes, shingle: int = SHINGLE) -> int:
-    """The 64-bit fingerprint of a text's UTF-8 bytes."""
-    words = data.lower().split()  # bytes: A-Z only; parted at space and \t to \r
-    if not words:
-        return 0
+def shingle_bits(words: list[bytes], shingle: int) -> tuple[np.ndarray, int]:
+    """How often each bit is set in the hashes of the shingles (of all words, if they are fewer), and how many those are."""
     joined = b" ".join(words)
     spaces = np.flatnonzero(np.frombuffer(joined, dtype=np.uint8) == 32)
     starts = np.concatenate(([0], spaces + 1))[: max(1, len(words) - shingle + 1)]
@@ -46,8 +50,32 @@ def fingerprint(data: bytes, shingle: int = SHINGLE) -> int:
     hashes = np.array(
         [digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], dtype="<u8",
     )
-    set_bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * set_bits > len(hashes), bitorder="little").view("<u8")[0])
+    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return bits, len(hashes)
+
+
+def chunks_of_words(data: bytes, size: int) -> Iterator[list[bytes]]:
+    """The words of a text, from about ``size`` bytes at a time; a chunk ends with white space."""
+    at = 0
+    while at < len(data):
+        white = WHITE.search(data, at + size) if at + size < len(data) else None
+        end = white.end() if white else len(data)
+        yield data[at:end].lower().split()  # bytes: A-Z only; parted at space and \t to \r
+        at = end
+
+
+def fingerprint(data: bytes, shingle: int = SHINGLE, chunk: int = CHUNK) -> int:
+    """The 64-bit fingerprint of a text's UTF-8 bytes; a chunk's last words go on to the next chunk."""
+    set_bits, n, held = np.zeros(64, np.int64), 0, []
+    for words in chunks_of_words(data, chunk):
+        held += words
+        if len(held) >= shingle:
+            bits, more = shingle_bits(held, shingle)
+            set_bits, n = set_bits + bits, n + more
+            held = held[len(held) - shingle + 1 :]
+    if not n and held:
+        set_bits, n = shingle_bits(held, shingle)
+    return int(np.packbits(2 * set_bits > n, bitorder="little").view("<u8")[0])
 
 
 def fingerprinter(shingle: int = SHINGLE):

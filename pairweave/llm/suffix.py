@@ -20,7 +20,8 @@ strings of whole windows. Text of a short period repeats one piece again and aga
 number, whatever its length, so rows stay under 1 of 20 bytes or so for any text.
 
 Texts that are null or shorter than ``LENGTH`` lose nothing; empty tables give empty results. Rows with equal ids or a
-null id are told apart by their text; rows with equal text are copies of each other and lose all their windows.
+null id are told apart by their text; rows with equal text are copies of each other and lose all their windows. Ids are of any
+type. Texts of any length are cut chunk by chunk. Of other columns nothing is read, and names that clash are kept apart.
 """
 
 from __future__ import annotations
@@ -32,11 +33,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import by_slices, bytes_list, fresh, groups_of, looked_up, mix64, sliding_min, written
 
 LENGTH, GRAM = 200, 64
 SHARD_BYTES = 1 << 20
+#: Windows of a text that are hashed at once: a text of any length takes some 50 times as many bytes, beside itself and a
+#: number for each piece.
+CHUNK = 1 << 19
 #: A shard sorts whole anchors together until they hold so many bytes: windows of different anchors differ.
 SORTED_BYTES = 1 << 18
 
@@ -46,7 +51,7 @@ _POWERS: list[np.ndarray] = []
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The powers of the rolling base and of its inverse, modulo 2^64."""
+    """The powers of the rolling base and of its inverse, modulo 2^64; no more than a chunk needs."""
     if not _POWERS or len(_POWERS[0]) < n:
         size = max(1 << 16, 1 << n.bit_length())
         _POWERS[:] = [
@@ -65,25 +70,31 @@ def grams(data: bytes, gram: int) -> tuple[np.ndarray, np.ndarray]:
     return prefix, mix64((prefix[gram:] - prefix[:-gram]) * up[: n - gram + 1])
 
 
-def pieces(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """first window, windows, anchor hash, piece hash and times of each piece of a text.
+def pieces(data: bytes, length: int = LENGTH, gram: int = GRAM, chunk: int = CHUNK) -> tuple[np.ndarray, ...]:
+    """first window, windows, anchor hash, piece hash and times of each piece of a text, ``chunk`` windows at a time.
 
     ``times``: the piece is followed by itself so many times in all, each time ``windows`` bytes further.
     """
     n = len(data)
     if n < length:
         return tuple(np.zeros(0, dtype=np.int64) for _ in range(5))
-    prefix, hashes = grams(data, gram)
-    up, _ = powers(n + 1)
-    least = sliding_min(hashes, length - gram + 1)
-    begins = np.flatnonzero(
-        np.concatenate(([True], (least[1:] != least[:-1]) | (hashes[: len(least) - 1] == least[:-1])))
-    )
-    ends = np.concatenate((begins[1:], [len(least)]))
-    windows, anchor = ends - begins, least[begins].view(np.int64)
-    whole = mix64(
-        (prefix[ends - 1 + length] - prefix[begins]) * up[begins] + windows.astype(np.uint64) * np.uint64(_ROLL)
-    ).view(np.int64)
+    found = []
+    for start in range(0, n - length + 1, chunk):
+        # The window before a chunk tells whether the chunk's first one begins a piece.
+        low = max(0, start - 1)
+        part = data[low : start + chunk - 1 + length] if n - length + 1 > chunk else data
+        hashes = grams(part, gram)[1]
+        least = sliding_min(hashes, length - gram + 1)
+        own = np.flatnonzero((least[1:] != least[:-1]) | (hashes[: len(least) - 1] == least[:-1])) + 1
+        own = own if start else np.concatenate(([0], own))
+        found.append((own + low, least[own]))
+    begins, least = (np.concatenate(x) for x in zip(*found, strict=True))
+    ends = np.concatenate((begins[1:], [n - length + 1]))
+    windows, anchor = ends - begins, least.view(np.int64)
+    # Of another kind than the anchor's hash, and independent of it.
+    digest = xxhash.xxh3_64_intdigest
+    bounds = zip(begins.tolist(), (ends - 1 + length).tolist(), strict=True)
+    whole = np.fromiter((digest(data[a:b]) for a, b in bounds), np.uint64, len(begins)).view(np.int64)
     again = (windows[1:] == windows[:-1]) & (anchor[1:] == anchor[:-1]) & (whole[1:] == whole[:-1])
     heads = np.flatnonzero(np.concatenate(([True], ~again)))
     times = np.diff(np.append(heads, len(begins)))
@@ -322,7 +333,7 @@ def _round(docs: DataFrame, every: DataFrame, length: int, shard_bytes: int, hot
 ]:
     """Spans (k, span) of the windows that repeat among pieces, but for the anchors that are too large; those pieces, or None."""
     kind = docs.schema["k"].dataType.simpleString()
-    arrow_kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    arrow_kind = to_arrow_type(docs.schema["k"].dataType)
     span = F.struct(F.col("first").alias("b"), (F.col("first") + F.col("covers") + (length - 1)).alias("e"))
     # An anchor may stand in a large share of all pieces: its rows are found where they are.
     anchors = written(

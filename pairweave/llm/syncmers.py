@@ -6,10 +6,10 @@ holds the anchors of least hash (a bottom sketch) with their byte positions; two
 anchors that lie on one common shift, which is what keeps chance anchors of unrelated texts out.
 
 Texts without any syncmer (under ``K`` bytes, mostly) have one anchor, the hash of the whole text; empty and null texts
-have an empty fingerprint, which is 1.0 like another empty one and 0.0 like any other. Ids are whole numbers or texts (by
+have an empty fingerprint, which is 1.0 like another empty one and 0.0 like any other. Ids are integers, decimals or texts (by
 code points). Ids are meant to be unique: repeated ids are taken in the order of their texts and rows with a null id
 follow the smallest id, each such group as one stream through one task. A single row is its own next row. Texts of any
-length are fingerprinted whole. Other columns are not carried, so none can clash.
+length are fingerprinted whole, chunk by chunk. An empty table gives an empty one. Other columns are not carried, so none can clash.
 """
 
 from __future__ import annotations
@@ -25,31 +25,48 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import mix64, sliding_min
 
 K, S, SKETCH = 16, 8, 48
+#: Bytes of a text that are hashed at once: a text of any length takes some 40 times as many bytes, beside itself.
+CHUNK = 1 << 20
 
 
-def anchors(data: bytes, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray]:
+def syncmers(data: bytes, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray]:
     """Hashes (32 bits) and byte positions of all closed syncmers. ``s`` is 8, so that an s-mer is one 64-bit word; k is twice s."""
     n = len(data)
-    if n >= k:
-        words = np.ndarray((n - s + 1,), dtype="<u8", buffer=data, strides=(1,)).copy()
-        hashes = mix64(words)
-        width = k - s + 1
-        least = sliding_min(hashes, width)
-        at = np.flatnonzero((hashes[: len(least)] == least) | (hashes[width - 1 :] == least))
-        if len(at):
-            return mix64(hashes[at] ^ (hashes[at + s] << np.uint64(1))) >> np.uint64(32), at
-    if not n:
+    if n < k:
         return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+    hashes = mix64(np.ndarray((n - s + 1,), dtype="<u8", buffer=data, strides=(1,)).copy())
+    width = k - s + 1
+    least = sliding_min(hashes, width)
+    at = np.flatnonzero((hashes[: len(least)] == least) | (hashes[width - 1 :] == least))
+    return mix64(hashes[at] ^ (hashes[at + s] << np.uint64(1))) >> np.uint64(32), at
+
+
+def anchors(data: bytes, k: int = K, s: int = S, chunk: int = CHUNK, size: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """A text's closed syncmers, or the hash of the whole text if it has none, ``chunk`` bytes at a time.
+
+    With ``size``, of each chunk only those that can be among so many different ones of least hash.
+    """
+    found = []
+    for start in range(0, max(1, len(data) - k + 1), chunk):
+        hashes, at = syncmers(data[start : start + chunk + k - 1] if len(data) > chunk else data, k, s)
+        if size and len(data) > chunk:
+            few, where = np.unique(hashes, return_index=True)
+            hashes, at = few[:size], at[where[:size]]
+        found.append((hashes, at + start))
+    hashes, at = (np.concatenate(x) for x in zip(*found, strict=True)) if len(found) > 1 else found[0]
+    if len(at) or not data:
+        return hashes, at
     return np.array([xxhash.xxh64_intdigest(data) >> 32], dtype=np.uint64), np.zeros(1, dtype=np.int64)
 
 
-def sketch(data: bytes, size: int = SKETCH) -> list[tuple[int, int]]:
+def sketch(data: bytes, size: int = SKETCH, chunk: int = CHUNK) -> list[tuple[int, int]]:
     """The ``size`` anchors of least hash, each at its first position, by position."""
-    hashes, at = anchors(data)
+    hashes, at = anchors(data, chunk=chunk, size=size)
     if len(hashes) > 4 * size:
         keep = hashes <= np.partition(hashes, 4 * size - 1)[4 * size - 1]
         few, where = np.unique(hashes[keep], return_index=True)
@@ -96,9 +113,11 @@ def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", part
     So each text crosses the network once and no task sees more than its range, as a stream.
     """
     spark = df.sparkSession
-    whole = isinstance(df.schema[doc_id].dataType, T.IntegralType)
+    kept = df.schema[doc_id].dataType
+    whole = isinstance(kept, (T.IntegralType, T.DecimalType))
+    kind = kept if isinstance(kept, T.DecimalType) else T.LongType() if whole else T.StringType()
     source = df.select(
-        F.col(doc_id).cast("long" if whole else "string").alias("doc_id"),
+        F.col(doc_id).cast(kind).alias("doc_id"),
         F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"),
     )
     parts = parts or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -144,7 +163,7 @@ def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", part
         "place", F.expr("at % 2"), F.desc_nulls_last("doc_id"), "text",
     )
     names = [
-        ("doc_id", pa.int64() if whole else pa.string()), ("n_chars", pa.int64()),
+        ("doc_id", to_arrow_type(kind)), ("n_chars", pa.int64()),
         *[(n, pa.string()) for n in ("edited_sha256", "fingerprint", "edited_fingerprint")],
     ]
     schema = pa.schema([*names, ("near_edited", pa.float64()), ("near_next", pa.float64())])
@@ -177,6 +196,5 @@ def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", part
                 schema=schema,
             )
 
-    kind = "bigint" if whole else "string"
-    out = f"doc_id {kind}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    out = f"doc_id {kind.simpleString()}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return ordered.select("at", "doc_id", "text").mapInArrow(run, out)
