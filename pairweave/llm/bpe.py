@@ -31,8 +31,8 @@ from .common import Memo, by_slices, fresh, text_list
 
 #: Pieces up to this many characters are remembered.
 REMEMBERED_LENGTH = 64
-REMEMBERED_CHUNKS = 300_000
-REMEMBERED_PAIRS = 250_000
+REMEMBERED_CHUNKS = 150_000
+REMEMBERED_PAIRS = 200_000
 #: Unicode's White_Space characters: before a run of them, after any other character, the pattern always ends a piece.
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A word of Latin letters with only punctuation between it and the next white space, and that punctuation, are pieces by

@@ -239,9 +239,11 @@ def _searcher(shared):
 
     @F.arrow_udf(RESULT)
     def run(texts: pa.Array) -> pa.Array:
-        data, found = bytes_list(texts), []
-        for a, b in groups_of(data, SHARD_BYTES):
-            found += search(data[a:b], shared.value)
+        found = []
+        for at in range(0, len(texts), 1_000):  # a task holds the Python values of these rows only
+            data = bytes_list(texts.slice(at, 1_000))
+            for a, b in groups_of(data, SHARD_BYTES):
+                found += search(data[a:b], shared.value)
         columns = list(zip(*found, strict=True)) if found else [[]] * len(_KIND)
         columns[1] = [[{"begin": a, "end": b} for a, b in x] for x in columns[1]]
         return pa.StructArray.from_arrays(

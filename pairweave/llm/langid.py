@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import by_slices, bytes_list
+
 SAMPLE, LANGUAGES = 4_000, 512
 #: Bytes of a text that are hashed at once: a text of any length takes 60 times as many bytes, beside itself.
 CHUNK = 1 << 20
@@ -122,9 +124,8 @@ def train(x: np.ndarray, languages: list[str]) -> CodedClassifier:
 def count_bytes(text: str) -> Column:
     @F.arrow_udf("binary")
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array(
-            [counts(x or b"").astype("<u4").tobytes() for x in texts.cast(pa.large_binary()).to_pylist()], pa.binary(),
-        )
+        of = lambda some: [counts(x).astype("<u4").tobytes() for x in bytes_list(some)]
+        return by_slices(texts, pa.binary(), lambda some: pa.array(of(some), pa.binary()))
 
     return run(text)
 
@@ -173,9 +174,8 @@ def predictor(model: CodedClassifier | None, spark):
     @F.arrow_udf("struct<lang:string,score:double,ambiguous:boolean>")
     def run(texts: pa.Array) -> pa.Array:
         model, found = shared.value, []
-        values = texts.to_pylist()
-        for at in range(0, len(values), 256):
-            block = values[at : at + 256]
+        for at in range(0, len(texts), 256):
+            block = texts.slice(at, 256).to_pylist()
             lettered = [i for i, x in enumerate(block) if model is not None and x and has_letter(x)]
             rows = [{"lang": UNDETERMINED, "score": 0.0, "ambiguous": True} for _ in block]
             if lettered:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_list, fresh, looked_up, written
+from .common import by_slices, bytes_list, fresh, looked_up, written
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
 SAMPLE = 1 << 18
@@ -83,7 +83,8 @@ def fingerprinter(shingle: int = SHINGLE):
 
     @F.arrow_udf("bigint")
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array(np.array([fingerprint(x, shingle) for x in bytes_list(texts)], dtype=np.uint64).view(np.int64))
+        of = lambda some: np.array([fingerprint(x, shingle) for x in bytes_list(some)], dtype=np.uint64)
+        return by_slices(texts, pa.int64(), lambda some: pa.array(of(some).view(np.int64)))
 
     return run
 

@@ -259,7 +259,7 @@ def repeated_spans(
     columns = f"k {kind}, first int, windows int, anchor bigint, piece bigint, times int, covers int, low smallint, high smallint"
 
     def cut(batches):
-        for batch in batches:
+        for batch in (b.slice(at, 500) for b in batches for at in range(0, len(b), 500)):
             keys, data = batch.column(0), bytes_list(batch.column(1))
             for start, end in groups_of(data, 1 << 20):
                 found = [pieces(x, length, gram) for x in data[start:end]]

@@ -263,8 +263,8 @@ def test_language_edge_cases(spark):
     assert langid.fit(frame.limit(0), F.lit(True)) is None
     none = frame.select(langid.predictor(None, spark)("text").alias("f")).collect()
     assert {r.f.lang for r in none} == {langid.UNDETERMINED}
-    few = langid.fit(frame, F.lit(True), languages=2)
-    assert len(few.languages) == 2 and "en" in few.languages
+    with pytest.raises(ValueError, match="over 2 languages"):
+        langid.fit(frame, F.lit(True), languages=2)
     alone = langid.fit(frame.where("lang = 'de'"), F.lit(True))
     assert alone.languages == ["de"]
 
