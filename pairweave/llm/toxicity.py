@@ -64,6 +64,38 @@ def feature_buckets(text: str) -> Column:
     return run(text)
 
 
+def sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+class Risk:
+    """The non-negative risk of a linear score: prior x loss of positives as positive, plus what the unlabelled lose as negative
+    less the positives' share of that, where this is not below zero. Documents are (row, feature) pairs."""
+
+    def __init__(self, p: tuple[np.ndarray, np.ndarray], n_p: int, u: tuple[np.ndarray, np.ndarray], n_u: int, features: int, prior: float):
+        self.p, self.n_p, self.u, self.n_u, self.features, self.prior = p, n_p, u, n_u, features, prior
+
+    def scores(self, weights: np.ndarray, bias: float) -> tuple[np.ndarray, np.ndarray]:
+        return tuple(bias + np.bincount(r, weights[c], n) for (r, c), n in ((self.p, self.n_p), (self.u, self.n_u)))
+
+    def parts(self, weights: np.ndarray, bias: float) -> tuple[float, float]:
+        """The positive part, and the negative one before it is held at zero."""
+        zp, zu = self.scores(weights, bias)
+        positive = self.prior * np.logaddexp(0, -zp).mean()
+        return float(positive), float(np.logaddexp(0, zu).mean() - self.prior * np.logaddexp(0, zp).mean())
+
+    def slope(self, weights: np.ndarray, bias: float) -> np.ndarray:
+        """Of the whole risk, by weights and bias; where the negative part fell below zero, what undoes that part alone."""
+        zp, zu = self.scores(weights, bias)
+        up_p, up_u = self.prior * sigmoid(zp) / self.n_p, sigmoid(zu) / self.n_u
+        if self.parts(weights, bias)[1] >= 0:
+            gp, gu = -self.prior * (1 - sigmoid(zp)) / self.n_p - up_p, up_u
+        else:
+            gp, gu = up_p, -up_u
+        by_feature = sum(np.bincount(c, g[r], self.features) for (r, c), g in ((self.p, gp), (self.u, gu)))
+        return np.append(by_feature, gp.sum() + gu.sum())
+
+
 def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> tuple[dict[int, float], float]:
     """Weights of buckets, and the bias."""
     share = lambda docs: np.bincount(np.concatenate(docs), minlength=BUCKETS)
@@ -83,23 +115,12 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
         rows, cols = np.repeat(np.arange(len(docs)), [len(d) for d in docs]), column[np.concatenate(docs)]
         return rows[cols >= 0], cols[cols >= 0]
 
-    (rp, cp), (ru, cu) = sparse(positive), sparse(unlabelled)
+    risk = Risk(sparse(positive), len(positive), sparse(unlabelled), len(unlabelled), len(chosen), prior)
     weights, bias = np.zeros(len(chosen)), -2.0
-    moment, square, n_p, n_u = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1), len(positive), len(unlabelled)
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    moment, square = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
     for step in range(1, ROUNDS + 1):
-        zp = bias + np.bincount(rp, weights[cp], n_p)
-        zu = bias + np.bincount(ru, weights[cu], n_u)
-        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        down_p, up_p, up_u = -prior * (1 - sigmoid(zp)) / n_p, prior * sigmoid(zp) / n_p, sigmoid(zu) / n_u
-        if negative >= 0:
-            gp, gu = down_p - up_p, up_u
-        else:  # the corrected risk fell below zero: undo that part only
-            gp, gu = up_p, -up_u
-        slope = np.append(
-            np.bincount(cp, gp[rp], len(chosen)) + np.bincount(cu, gu[ru], len(chosen)) + DECAY * weights,
-            gp.sum() + gu.sum(),
-        )
+        slope = risk.slope(weights, bias)
+        slope[:-1] += DECAY * weights
         moment, square = 0.9 * moment + 0.1 * slope, 0.999 * square + 0.001 * slope**2
         move = RATE * (moment / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
         weights, bias = weights - move[:-1], bias - move[-1]
