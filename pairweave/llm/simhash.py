@@ -4,8 +4,9 @@ A document's fingerprint is the bitwise majority of the XXH64 hashes of its word
 ones are grouped first, so copies cost nothing) are dealt to shards by a vantage-point tree: each inner node splits by
 the Hamming distance to a vantage point. A fingerprint lives in one leaf and is also sent, as a query, to every leaf
 that the triangle bound cannot rule out, so each pair within the radius meets in the home leaf of either. A leaf that no
-vantage point splits is dealt into parts of a bounded number of home points, each of which meets the whole leaf. A
-shard's own vantage-point tree prunes again, down to blocks that are compared whole. A shard returns each member's local
+vantage point splits is dealt into parts of a bounded number of home points, each of which meets the whole leaf. The more
+shards, the more points are sent to each, so a shard is a grid of cells: parts of its home points by parts of what is
+sent; a group is a cell, and bounded. A shard's own vantage-point tree prunes again, down to blocks that are compared whole. A shard returns each member's local
 root, a forest rather than all pairs; large-star/small-star rounds join the forests of all shards.
 
 The tree is fitted on a bounded sample (at most ``SAMPLE`` fingerprints of least hash), which decides how even the
@@ -35,6 +36,8 @@ SAMPLE = 1 << 18
 #: Fingerprints that live in one shard, about: an eighth of all, but no fewer or more than these. The fewer shards, the fewer
 #: are sent to several of them. And fingerprints in a block that is compared whole.
 SHARDS, SHARD, BLOCK = 8, (20_000, 1 << 20), 512
+#: Home points, and points sent, in one group.
+CELL = 1 << 21
 #: Bytes of a text whose words are hashed at once: a text of any length takes some 30 times as many bytes, beside itself.
 CHUNK = 1 << 20
 WHITE = re.compile(rb"[\t-\r ]")
@@ -177,10 +180,12 @@ class Forest:
             np.minimum.at(self.parent, np.maximum(a, b), np.minimum(a, b))
 
 
-def join_near(points: np.ndarray, home: np.ndarray, radius: int, block: int = BLOCK) -> Forest:
-    """The forest of links within ``radius`` between points at home and all points of a shard."""
+def join_near(
+    points: np.ndarray, home: np.ndarray, radius: int, block: int = BLOCK, sent: np.ndarray | None = None,
+) -> Forest:
+    """The forest of links within ``radius`` between points at home and those sent to a shard (all, if not told)."""
     forest, every = Forest(len(points)), np.arange(len(points))
-    todo = [(every[home], every)]
+    todo = [(every[home], every if sent is None else every[sent])]
     while todo:
         own, sent = todo.pop()
         if not len(own) or not len(sent):
@@ -204,8 +209,28 @@ def join_near(points: np.ndarray, home: np.ndarray, radius: int, block: int = BL
     return forest
 
 
-def local_links(fps: DataFrame, radius: int, shard: int | None = None) -> DataFrame:
-    """Edges (a, b) of a forest for each shard over the distinct fingerprints of column fp."""
+def cells_of(dealt: DataFrame, cell: int) -> DataFrame:
+    """``dealt`` (leaf, fp, home) with ``h``, ``s`` and ``sent``: a grid of a leaf's home points in parts of ``cell`` and of all its
+    points in parts of ``cell``, so that each home point meets each other point in one cell, and no cell holds over about
+    twice ``cell`` points, however many a leaf has. Nearly all leaves are one cell."""
+    # One row a leaf: the tree that is broadcast has as many.
+    sizes = dealt.groupBy("leaf").agg(
+        F.ceil(F.count_if("home") / cell).cast("int").alias("hs"), F.ceil(F.count("*") / cell).cast("int").alias("ss"),
+    ).where("hs > 0")
+    own = dealt.join(F.broadcast(sizes), "leaf").withColumns({
+        "own_h": F.pmod(F.xxhash64("fp", F.lit(1)), "hs").cast("int"), "own_s": F.pmod(F.xxhash64("fp", F.lit(2)), "ss").cast("int"),
+    })
+    place = lambda h, s, home, sent: F.struct(h.alias("h"), s.alias("s"), home.alias("home"), sent.alias("sent"))
+    yes, no, every = F.lit(True), F.lit(False), lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    at_home = F.transform(every("ss"), lambda s: place(F.col("own_h"), s, yes, s == F.col("own_s")))
+    sent_to = lambda hs: F.transform(hs, lambda h: place(h, F.col("own_s"), no, yes))
+    others = F.filter(every("hs"), lambda h: h != F.col("own_h"))
+    cells = F.when(F.col("home"), F.concat(at_home, sent_to(others))).otherwise(sent_to(every("hs")))
+    return own.select("leaf", "fp", F.inline(cells))
+
+
+def local_links(fps: DataFrame, radius: int, shard: int | None = None, cell: int = CELL) -> DataFrame:
+    """Edges (a, b) of a forest for each cell of a shard over the distinct fingerprints of column fp."""
     spark = fps.sparkSession
     total = fps.count()
     shard = shard or min(SHARD[1], max(SHARD[0], total // SHARDS))
@@ -227,13 +252,14 @@ def local_links(fps: DataFrame, radius: int, shard: int | None = None) -> DataFr
 
     def link(table: pa.Table) -> pa.Table:
         points = table.column("fp").to_numpy().view(np.uint64)
-        forest = join_near(points, table.column("home").to_numpy().astype(bool), radius)
+        home, sent = (table.column(c).to_numpy().astype(bool) for c in ("home", "sent"))
+        forest = join_near(points, home, radius, sent=sent)
         root = forest.roots(np.arange(len(points)))
         joined = np.flatnonzero(root != np.arange(len(points)))
         return pa.table({"a": points[joined].view(np.int64), "b": points[root[joined]].view(np.int64)})
 
-    dealt = fps.select("fp").mapInArrow(deal, "leaf bigint, fp bigint, home boolean")
-    return dealt.groupBy("leaf").applyInArrow(link, "a bigint, b bigint")
+    dealt = written(fps.select("fp").mapInArrow(deal, "leaf bigint, fp bigint, home boolean"), "dealt")
+    return cells_of(dealt, cell).groupBy("leaf", "h", "s").applyInArrow(link, "a bigint, b bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -272,12 +298,12 @@ def _state(pairs: DataFrame) -> tuple:
 
 def classes(
     df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS,
-    shard: int | None = None,
+    shard: int | None = None, cell: int = CELL,
 ) -> DataFrame:
     """doc_id, fp (signed 64-bit fingerprint), component_id (least id of the class), root (least fingerprint of the class) of each row."""
     docs = written(df.select(F.col(doc_id).alias("doc_id"), fingerprinter(shingle)(F.col(text)).alias("fp")), "simhash")
     fps = docs.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
-    linked = components(local_links(fps.select("fp"), radius, shard))
+    linked = components(local_links(fps.select("fp"), radius, shard, cell))
     of_root = written(linked.join(fps, linked["node"] == fps["fp"]).select("node", "root", "least"), "roots")
     least = of_root.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
     of_root = looked_up(of_root, least, ["root"]).select(F.col("node").alias("fp"), "component_id", "root")
