@@ -5,6 +5,11 @@
 3. suffix_dedup: bytes of repeated 200-byte strings go; documents stay, with the rest of their text and its n_chars.
 4. decontamination: documents that hold a window of the benchmark go.
 5. encode: the digests of the byte-level BPE ids of what is left.
+
+Null and empty texts are scored like any text without words; they share a fingerprint, so one of them stays; they lose no
+bytes, hold no window, and have no tokens. Repeated rows are copies of each other: the first of a class by id stays, and of
+rows that tie in id one, by its text. Texts of any length are taken whole. An empty table gives an empty one, and without
+labels no document is rejected. Further columns are carried up to the last stage; working columns take names that are free.
 """
 
 from __future__ import annotations
