@@ -37,6 +37,20 @@ GAP_DAYS = {"fresh": 2, "near": 42, "boundary": 60, "stale": 245, "stale_long":
 #: Where Python's splitlines() cuts.
 LINE_BREAK = "\\r\\n|[\\n\\r\\x0B\\f\\x1C-\\x1E\\x85\\u2028\\u2029]"
 
+STORED_PROGRESSIVE = r"\b(?:is|are|am|'s|'re|'m|has been|have been|been)\s+(?:currently\s+|now\s+)?\w+ing\b"
+STORED_DURATION = r"\b(?:for (?:about |approximately |almost |the (?:past|last) )?(?:\d+|a|an|one|two|three|four|five|six|seven|eight|nine|ten|several|few|couple)\b[\w\s-]{0,12}(?:days?|weeks?|months?|years?)|since\s+\S+|until\b|for the past|for the last|recently|ago)\b"
+STORED_ANCHOR = r"\b(?:20\d\d|january|february|march|april|may|june|july|august|september|october|november|december|as of|since)\b"
+#: By frame: progressive phrases and the simple ones that stand for them, in order.
+VERB_EDITS = {
+    "lodging": [("is staying at", "lives at"), ("is currently staying at", "lives at"), ("is living at", "lives at")],
+    "workplace": [("is working at", "works at"), ("is currently working at", "works at"), ("is employed at", "works at")],
+    "vehicle": [("is driving a", "drives a"), ("is currently driving a", "drives a"), ("is driving an", "drives an"), ("is renting a", "rents a"), ("is driving", "drives")],
+    "class": [("is taking a", "takes a"), ("is currently taking a", "takes a"), ("is attending a", "attends a"), ("is enrolled in a", "takes a")],
+    "equipment": [("is using a", "uses a"), ("is currently using a", "uses a"), ("is playing a", "plays a"), ("is borrowing a", "borrows a"), ("is borrowing an", "borrows an")],
+    "affiliate_role": [("is lecturing at", "lectures at"), ("is currently lecturing at", "lectures at")],
+    "project": [("is working on", "works on"), ("is currently working on", "works on")],
+    "household": [("is staying with", "lives with"), ("is currently staying with", "lives with"), ("is living with", "lives with")],
+}
 MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
 #: Category, name, pattern, and whether case is ignored: marks of facts that hold for a time.
 TEMPORARY_FACTS = [

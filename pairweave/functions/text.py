@@ -197,11 +197,11 @@ def writer_label(text: Column) -> Column:
     return F.when(has(text, P.WRITER_PROGRESSIVE) | has(text, P.WRITER_ONGOING), "PRESERVED").otherwise("FLATTENED")
 
 
-def first_edit(text: Column, pairs: list[tuple[str, str]]) -> Column:
-    """The first pair (phrase, replacement) whose phrase occurs, applied once; null if none does."""
+def first_edit(text: Column, pairs: list[tuple[str, str]], at_word: bool = False) -> Column:
+    """The first pair (phrase, replacement) whose phrase occurs, applied once; null if none does. ``at_word``: where a word begins."""
     out = F.lit(None).cast("string")
     for phrase, replacement in reversed(pairs):
-        pattern = "(?iu)\\Q" + phrase + "\\E"
+        pattern = "(?iuU)" + "\\b" * at_word + "\\Q" + phrase + "\\E"
         cut = F.regexp_instr(text, F.lit(pattern))
         once = F.concat(
             F.substring(text, F.lit(1), cut - 1), F.lit(replacement),
@@ -211,6 +211,17 @@ def first_edit(text: Column, pairs: list[tuple[str, str]]) -> Column:
     return out
 
 
+def verb_edit(text: Column, frame: Column, to: str, table: dict[str, list[tuple[str, str]]]) -> Column:
+    """A frame's first rule that fits, applied once: ``FLAT`` turns a progressive phrase into the simple one, ``PROG`` the other way."""
+    if to not in ("FLAT", "PROG"):
+        raise ValueError(f"no direction {to}")
+    out = F.lit(None).cast("string")
+    for name, pairs in table.items():
+        rules = pairs if to == "FLAT" else [(simple, prog) for prog, simple in pairs]
+        out = F.when(frame == name, first_edit(text, rules, to == "PROG")).otherwise(out)
+    return out
+
+
 def percent(text: Column) -> Column:
     """The first integer of 0 to 100 that stands alone; null if there is none."""
     return F.try_to_number(F.regexp_extract(text, r"(?<![\d.])(100|\d{1,2})(?![\d.])", 1), F.lit("999")).cast("int")
@@ -284,11 +295,10 @@ def has_ing_form(text: Column) -> Column:
 
 
 def stored_flags(text: Column) -> Column:
-    """struct(progressive, temporary, anchored): what a stored text keeps of the marking (of a folded text)."""
+    """struct(progressive, duration, temporary, anchored): what a stored text keeps of the marking (of a folded text)."""
     return F.struct(
-        (has(text, P.PROGRESSIVE) | has(text, P.PERFECT_PROGRESSIVE)).alias("progressive"),
-        has(text, P.TEMPORARY_CLASS).alias("temporary"),
-        has(text, P.DATE_ANCHOR).alias("anchored"),
+        has(text, P.STORED_PROGRESSIVE).alias("progressive"), has(text, P.STORED_DURATION).alias("duration"),
+        has(text, P.TEMPORARY_CLASS).alias("temporary"), has(text, P.STORED_ANCHOR).alias("anchored"),
     )
 
 
@@ -391,14 +401,14 @@ def field_records(text: Column) -> Column:
         ),
         lambda p: p["k"] != "",
     )
-    empty = F.array().cast("array<map<string,string>>")
-
-    def step(records: Column, p: Column) -> Column:
-        one = F.create_map(p["k"], p["v"])
-        last = F.element_at(records, -1)
-        grown = F.map_concat(F.map_filter(last, lambda k, _: k != p["k"]), one)
-        return F.when((F.size(records) == 0) | (p["k"] == "said"), F.concat(records, F.array(one))).otherwise(
-            F.concat(F.slice(records, F.lit(1), F.size(records) - 1), F.array(grown))
-        )
+    n = F.size(pairs)
+    # A record begins at the first line and at each later ``said``; of a key's lines in a record the last one counts.
+    begins = F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | (F.get(pairs, i - 1)["k"] == "said"))
+
+    def record(begin: Column, i: Column) -> Column:
+        own = F.slice(pairs, begin, F.coalesce(F.get(begins, i + 1), n + 1) - begin)
+        keys = F.array_distinct(F.transform(own, lambda p: p["k"]))
+        last = lambda k: F.element_at(F.filter(own, lambda p: p["k"] == k), -1)["v"]
+        return F.map_from_arrays(keys, F.transform(keys, last))
 
-    return F.aggregate(pairs, empty, step)
+    return F.when(n > 0, F.transform(begins, record)).otherwise(F.array().cast("array<map<string,string>>"))

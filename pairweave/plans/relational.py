@@ -522,6 +522,20 @@ def p06_p08_cross_table(spark, d):
     ).groupBy("view", "click").agg(F.count("*").alias("n"))
 
 
+@query(f"""WITH {PAIRS_SQL}, c AS (SELECT user_id % 8 AS frame, weekday, count(*) FILTER (v AND NOT c) AS k, count(*) AS n
+  FROM (SELECT *, CAST(isodow(day) AS INTEGER) AS weekday FROM pair) WHERE v IS NOT NULL AND c IS NOT NULL GROUP BY 1, 2)
+  SELECT frame, '{{' || string_agg('"' || weekday || '":[' || k || ',' || n || ']', ',' ORDER BY weekday) || '}}' AS forms FROM c GROUP BY 1""")
+def p06_nested_table(spark, d):
+    """frame -> form -> [k, n] as one object a frame: discordant and all pairs by weekday."""
+    pair = day_pairs(spark, d).where("view IS NOT NULL AND click IS NOT NULL").withColumns({
+        "frame": F.col("user_id") % 8, "weekday": F.weekday("day") + 1,
+    })
+    cells = pair.groupBy("frame", "weekday").agg(F.count_if(F.col("view") & ~F.col("click")).alias("k"), F.count("*").alias("n"))
+    entries = F.array_sort(F.collect_list(F.struct(F.col("weekday"), F.array("k", "n").alias("kn"))))
+    nested = F.map_from_entries(F.transform(entries, lambda e: F.struct(e["weekday"].cast("string"), e["kn"])))
+    return cells.groupBy("frame").agg(F.to_json(nested).alias("forms"))
+
+
 @query("""SELECT event_id, rank() OVER (PARTITION BY user_id
   ORDER BY value) AS rk, round((2 * rank() OVER (PARTITION BY user_id
   ORDER BY value) + count(*) OVER (PARTITION BY user_id, value) - 1) / 2, 1) AS average_rank FROM events""")

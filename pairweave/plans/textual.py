@@ -153,6 +153,32 @@ def t18_first_edit(spark, d):
     return table(spark, d, "documents").select("doc_id", text.first_edit(F.col("text"), edits).alias("edited"))
 
 
+#: By language: phrases of the invented texts, and what stands for them.
+EDITS = {
+    "en": [("is the", "was the"), ("of the", "by the"), ("and", "or")], "de": [("und die", "oder die"), ("und", "oder")],
+    "fr": [("que le", "qui le"), ("dans", "chez"), ("et", "ou")], "es": [("de la", "en la"), ("que", "como")],
+}
+
+
+def _edit_sql(to: str) -> str:
+    """The first rule of a text's language that fits; back only where a word begins."""
+    cases = []
+    for lang, pairs in EDITS.items():
+        for flat_from, flat_to in pairs:
+            found, put = (flat_from, flat_to) if to == "FLAT" else (flat_to, flat_from)
+            before = "()" if to == "FLAT" else "(^|[^A-Za-z0-9_À-ÿ])"
+            pattern = f"'(?i){before}{found}'"
+            cases.append(f"WHEN lang = '{lang}' AND regexp_matches(text, {pattern}) THEN regexp_replace(text, {pattern}, '\\1{put}')")
+    return f"CASE {' '.join(cases)} END"
+
+
+@query(f"SELECT doc_id, {_edit_sql('FLAT')} AS flat, {_edit_sql('PROG')} AS prog FROM documents")
+def t18_verb_edits(spark, d):
+    """A language's table of phrases in both directions, each text's first rule that fits."""
+    edit = lambda to: text.verb_edit(F.col("text"), F.col("lang"), to, EDITS)
+    return table(spark, d, "documents").select("doc_id", edit("FLAT").alias("flat"), edit("PROG").alias("prog"))
+
+
 @query("""SELECT doc_id, 'Doc ' || doc_id || ' in ' || lang || ' from ' || CASE
   WHEN left(source, 1) IN ('a', 'e', 'i', 'o', 'u') THEN 'an' ELSE 'a' END || ' ' || source AS filled FROM documents""")
 def t20_t28_template(spark, d):

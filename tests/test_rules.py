@@ -165,8 +165,18 @@ def test_text_functions(spark):
     assert of(text.writer_label(lit("She is currently walking"))) == "PRESERVED" and of(
         text.writer_label(lit("She walks"))
     ) == "FLATTENED"
-    assert of(text.stored_flags(lit("They are working there for now, until May"))) == (True, True, True)
+    flags = lambda x: tuple(of(text.stored_flags(lit(x))))
+    assert flags("They are working there for now, until May") == (True, True, True, True)
+    assert flags("They have worked there for about three months") == (False, True, False, False)
+    assert flags("He's now moving; as of 2024") == (True, False, False, True)
+    edit = lambda x, frame, to: of(text.verb_edit(lit(x), lit(frame), to, patterns.VERB_EDITS))
+    assert edit("She Is Staying at the inn, is staying at it", "lodging", "FLAT") == "She lives at the inn, is staying at it"
+    assert edit("He works at a bank", "workplace", "PROG") == "He is working at a bank"
+    assert edit("He reworks at night", "workplace", "PROG") is None and edit("He works at a bank", "lodging", "PROG") is None
+    assert edit("She is driving an old van", "vehicle", "FLAT") == "She drives an old van"
     found = of(text.field_records(lit("- **Said:** a\n> fact: b\nnone\nsaid: c\nFORM: d")))
+    twice = of(text.field_records(lit("fact: a\nfact: b\nsaid: c\nsaid: d\nfact: e\nfact: f")))
+    assert twice == [{"fact": "b"}, {"said": "c"}, {"said": "d", "fact": "f"}]
     assert found == [{"said": "a", "fact": "b"}, {"said": "c", "form": "d"}] and of(text.field_records(lit(""))) == []
     persons = [("The user lives", "I live")]
     assert of(
