@@ -50,7 +50,8 @@ VERB_EDITS = {
     "affiliate_role": [("is lecturing at", "lectures at"), ("is currently lecturing at", "lectures at")],
     "project": [("is working on", "works on"), ("is currently working on", "works on")],
     "household": [("is staying with", "lives with"), ("is currently staying with", "lives with"), ("is living with", "lives with")],
-}
+}  # fmt: skip#: Sentences that perturbations put before and after a text.
+FILLER, CLOSER = "Sure thing! ", "Hope that helps!"
 MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
 #: Category, name, pattern, and whether case is ignored: marks of facts that hold for a time.
 TEMPORARY_FACTS = [

@@ -347,9 +347,9 @@ def writer_measures(sentence: Column, form: Column, record: Column) -> Column:
 def perturbed(text: Column, tokens: Column) -> Column:
     """map: edit -> text after it, for edits that must not change a label (of a folded text)."""
     edits = {
-        "prepend-filler": F.concat(F.lit("Sure thing! "), text),
+        "prepend-filler": F.concat(F.lit(P.FILLER), text),
         "curly-quotes": F.replace(text, F.lit("'"), F.lit("’")),
-        "append-closer": F.concat(text, F.lit("\n\nHope that helps!")),
+        "append-closer": F.concat(text, F.lit("\n\n" + P.CLOSER)),
         "bold-token": bold_tokens(text, tokens),
     }
     return F.create_map(*[x for name, edit in edits.items() for x in (F.lit(name), edit)])

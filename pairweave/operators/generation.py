@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Cell:
-    """A component of a grid: in which arm, for which clusters (below ``below``), and with which forms, gaps and carriers."""
+    """A component of a grid: in which arm, for which clusters (from ``least`` to below ``below``), and with which forms, gaps and carriers."""
 
     component: str
     arm: str
@@ -23,12 +23,13 @@ class Cell:
     gaps: tuple[str, ...]
     carriers: tuple[str, ...] = ("plain",)
     frames: tuple[str, ...] = ()  # none: all
+    least: int = 0
 
 
 def expanded(witnesses: DataFrame, cells: list[Cell], frame: str = "frame", cluster: str = "cluster") -> DataFrame:
     """``witnesses`` x the cells that their cluster and frame belong to: component, arm, form, gap, carrier."""
     rows = [
-        (c.component, c.arm, c.below, c.frames, form, gap, carrier)
+        (c.component, c.arm, c.least, c.below, c.frames, form, gap, carrier)
         for c in cells
         for form in c.forms
         for gap in c.gaps
@@ -38,11 +39,11 @@ def expanded(witnesses: DataFrame, cells: list[Cell], frame: str = "frame", clus
     table = F.array(*[
         F.struct(
             *[F.lit(v).alias(n) for n, v in zip(names, (component, arm, form, gap, carrier), strict=True)],
-            F.lit(below).alias("below"), F.array(*map(F.lit, frames)).cast("array<string>").alias("frames"),
+            F.lit(least).alias("least"), F.lit(below).alias("below"), F.array(*map(F.lit, frames)).cast("array<string>").alias("frames"),
         )
-        for component, arm, below, frames, form, gap, carrier in rows
+        for component, arm, least, below, frames, form, gap, carrier in rows
     ])
-    fits = lambda c: (F.col(cluster) < c["below"]) & (
+    fits = lambda c: (F.col(cluster) >= c["least"]) & (F.col(cluster) < c["below"]) & (
         (F.size(c["frames"]) == 0) | F.array_contains(c["frames"], F.col(frame))
     )
     return witnesses.withColumn("_cell", F.explode(F.filter(table, fits))).select(

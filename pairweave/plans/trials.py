@@ -600,20 +600,32 @@ def v10_bound_chain(spark, d):
 
 
 # Generated items: every part is a witness, its brand the frame and its number modulo 20 the cluster.
+BOTH, ALL = ("prog", "simple"), ("prog", "simple", "bound")
+CARRIERS, OLDER_FRAMES = ("c1", "c2", "c3", "c4", "c5"), ("Brand#11", "Brand#12", "Brand#13", "Brand#21", "Brand#22")
 CELLS = [
-    generation.Cell("core", "behavioral", 20, ("prog", "simple", "bound"), ("fresh", "stale")),
-    generation.Cell("edge", "behavioral", 20, ("prog", "simple", "bound"), ("boundary",)),
-    generation.Cell("gradient", "behavioral", 15, ("prog", "simple", "bound"), ("near", "expired_soon", "stale_long")),
-    generation.Cell("choice", "anchor", 20, ("prog", "simple", "bound"), ("fresh", "stale")),
-    generation.Cell("notes", "e1", 16, ("prog", "simple"), ("stale", "boundary")),
-    generation.Cell("layers", "l2", 16, ("prog", "simple"), ("stale",)),
-    generation.Cell("asked", "explicit", 6, ("prog", "simple"), ("stale",)),
-    generation.Cell("carried", "e1", 5, ("prog", "simple"), ("stale",), ("c1", "c2", "c3")),
+    generation.Cell("core", "behavioral", 20, ALL, ("fresh", "stale")),
+    generation.Cell("edge", "behavioral", 20, ALL, ("boundary",)),
+    generation.Cell("gradient", "behavioral", 15, ALL, ("near", "expired_soon", "stale_long")),
+    generation.Cell("choice", "anchor", 20, ALL, ("fresh", "stale")),
+    generation.Cell("notes", "e1", 16, BOTH, ("stale",)),
+    generation.Cell("notes-edge", "e1", 16, BOTH, ("boundary",)),
+    generation.Cell("gate", "e1", 16, ("simple",), ("fresh",)),
+    generation.Cell("layers", "l2", 16, BOTH, ("stale",)),
+    generation.Cell("asked", "explicit", 6, BOTH, ("stale",)),
+    generation.Cell("carried", "e1", 5, BOTH, ("stale",), CARRIERS),
+    generation.Cell("carried-use", "behavioral", 2, BOTH, ("stale",), CARRIERS),
+    generation.Cell("carried-fresh", "behavioral", 2, ("simple",), ("fresh",), CARRIERS),
+    generation.Cell("perfect", "behavioral", 5, ("perf_prog",), ("fresh", "stale")),
+    generation.Cell("perfect", "e1", 10, ("perf_prog", "perf_sim"), ("stale",)),
     generation.Cell("lexical", "e1", 16, ("same",), ("stale",), ("plain",), ("Brand#1", "Brand#11", "Brand#21")),
+    # What an older grid had beyond these.
+    *[generation.Cell("older", arm, 20, ("bound",), ("stale",), ("plain",), OLDER_FRAMES) for arm in ("e1", "l2")],
+    *[generation.Cell("older", arm, 20, BOTH, ("stale",), ("plain",), OLDER_FRAMES, 16) for arm in ("e1", "l2")],
+    generation.Cell("older", "explicit", 20, BOTH, ("stale",), ("plain",), OLDER_FRAMES, 6),
 ]
 QUERIES = ["Book a car.", "Send the form.", "Order lunch.", "Write to them."]
 RULE_VALUES = ", ".join(
-    f"({quoted(c.component)}, {quoted(c.arm)}, {c.below}, {quoted(f)}, {quoted(g)}, {quoted(k)}, [{', '.join(map(quoted, c.frames))}]::VARCHAR[])"
+    f"({quoted(c.component)}, {quoted(c.arm)}, {c.least}, {c.below}, {quoted(f)}, {quoted(g)}, {quoted(k)}, [{', '.join(map(quoted, c.frames))}]::VARCHAR[])"
     for c in CELLS
     for f in c.forms
     for g in c.gaps
@@ -624,8 +636,8 @@ GRID = f"""grid AS (SELECT p_brand AS frame, CAST(p_partkey % 20 AS BIGINT) AS c
   WHEN p_partkey % 2 = 0 THEN ' SEND or CHECK-FIRST?' ELSE ' CHECK-FIRST or SEND?' END ELSE '' END AS query,
   CASE WHEN p_partkey % 20 % 5 = 4 THEN 'test' ELSE 'dev' END AS split, concat_ws('-', 'v2', arm, p_brand, p_partkey,
   carrier, form, gap, component) AS case_id
-  FROM part, (VALUES {RULE_VALUES}) r(component, arm, below, form, gap, carrier, frames)
-  WHERE p_partkey % 20 < below AND (len(frames) = 0 OR list_contains(frames, p_brand)))"""
+  FROM part, (VALUES {RULE_VALUES}) r(component, arm, least, below, form, gap, carrier, frames)
+  WHERE p_partkey % 20 >= least AND p_partkey % 20 < below AND (len(frames) = 0 OR list_contains(frames, p_brand)))"""
 
 
 def grid(spark, d):
@@ -665,7 +677,7 @@ def f11_smoke_subset(spark, d):
     return generation.subset(grid(spark, d), SMOKE).select("case_id")
 
 
-V1 = "carrier = 'plain' AND gap IN ('fresh', 'stale') AND form IN ('prog', 'simple', 'bound') AND component <> 'carried'"
+V1 = "carrier = 'plain' AND gap IN ('fresh', 'stale') AND form IN ('prog', 'simple', 'bound')"
 
 
 @query(f"""WITH {GRID} SELECT CASE arm WHEN 'behavioral' THEN concat_ws('-', 'beh', frame, witness, form, gap)
@@ -687,15 +699,17 @@ _LOST = "frame = 'Brand#13' AND gap = 'stale' AND form = 'bound'"
 
 
 @query(f"""WITH {GRID} SELECT 'rows' AS "check", '{{"cluster":' || cluster || ',"form":"' || form || '","frame":"' || frame || '","gap":"' || gap || '"}}' AS key,
-  CAST(count(*) AS VARCHAR) AS detail FROM grid WHERE component IN ('core', 'notes', 'layers', 'asked', 'choice') AND gap IN ('fresh', 'stale') AND {_LOST} GROUP BY cluster, form, frame, gap""")
+  CAST(count(*) AS VARCHAR) AS detail FROM grid WHERE {V1} AND {_LOST} GROUP BY cluster, form, frame, gap""")
 def v13_v15_containment_and_determinism(spark, d):
     """The older view against a golden grid, made by joining a table of rules, that has lost some rows; and two builds of the grid."""
     rules = spark.createDataFrame(
-        [(c.component, c.below, f, g) for c in CELLS for f in c.forms for g in c.gaps if c.carriers == ("plain",) and c.component != "lexical"],
-        "component string, below int, form string, gap string",
-    ).where("gap IN ('fresh', 'stale')")
+        [(c.least, c.below, list(c.frames), f, g) for c in CELLS for f in c.forms for g in c.gaps if c.carriers == ("plain",)],
+        "least int, below int, frames array<string>, form string, gap string",
+    ).where("gap IN ('fresh', 'stale') AND form IN ('prog', 'simple', 'bound')")
     parts = table(spark, d, "part").select(F.col("p_brand").alias("frame"), (F.col("p_partkey") % 20).cast("bigint").alias("cluster"))
-    golden = parts.join(F.broadcast(rules), F.col("cluster") < F.col("below")).select("frame", "cluster", "form", "gap")
+    named = (F.size("frames") == 0) | F.expr("array_contains(frames, frame)")
+    fits = (F.col("cluster") >= F.col("least")) & (F.col("cluster") < F.col("below")) & named
+    golden = parts.join(F.broadcast(rules), fits).select("frame", "cluster", "form", "gap")
     view = f13_g02_older_view(spark, d).select("frame", "cluster", "form", "gap")
     first, second = contracts.fingerprint(grid(spark, d)), contracts.fingerprint(grid(spark, d).repartition(3))
     return contracts.all_of(contracts.same_rows(view, golden.where(f"NOT ({_LOST})")), contracts.same_rows(first, second))
