@@ -21,6 +21,7 @@ from array import array
 
 import ahocorasick
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import regex
 from pyspark import Broadcast
@@ -56,6 +57,8 @@ class BytePairs:
         self.ranks = ranks
         self.bytes_of = {i: t for t, i in ranks.items()}
         self.pieces = regex.compile(pattern).findall
+        # Chunks and pieces without the pattern are known of this one only; texts under others are split as a whole.
+        self.by_chunks = pattern == public_tokenizers.PATTERN
         # The last merge that makes each token; tokens that merging never makes stay out of the automaton.
         self.halves: dict[int, tuple[int, int]] = {}
         self.lengths: dict[int, int] = {}
@@ -143,7 +146,7 @@ class BytePairs:
         return out
 
     def _chunk(self, chunk: str) -> bytes:
-        if PIECE(chunk):
+        if self.by_chunks and PIECE(chunk):
             return array("I", self.encode_piece(chunk.encode())).tobytes()
         ids: list[int] = []
         for piece in self.pieces(chunk):
@@ -152,6 +155,8 @@ class BytePairs:
 
     def encode(self, text: str) -> bytes:
         """The ids of a whole text as little-endian unsigned 32-bit integers."""
+        if not self.by_chunks:
+            return self._chunk(text)
         chunks = CHUNK.findall(text)
         if chunks and max(map(len, chunks)) > REMEMBERED_LENGTH:
             return b"".join([self.chunks[c] if len(c) <= REMEMBERED_LENGTH else self._chunk(c) for c in chunks])

@@ -560,3 +560,13 @@ def test_kept_text_stays_text(spark, texts):
     assert Counter(r.doc_id for r in out.collect()) == Counter(i for i, _ in texts)
     assert "�" not in "".join(r.text or "" for r in out.collect())
     assert sum(r.text is None for r in out.collect()) == sum(t is None for _, t in texts)
+
+
+@pytest.mark.parametrize("pattern", [r"\w+|\W", r"[a-z]{1,3}|[^a-z]+", r"\s*\S+|\s+"])
+def test_other_patterns_split_as_they_say(pattern):
+    with open(RANKS, "rb") as f:
+        ranks = bpe.parse_ranks(f.read())
+    own = bpe.BytePairs(ranks, pattern)
+    other = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    for text in (prose(5, 200), "", "Straße 12, the end...\n\n x\tyz", " a  b "):
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == other.encode_ordinary(text)
