@@ -13,6 +13,7 @@ of its own, one at a time, and what is found (spans and names, by the text's dig
 
 Null and empty texts have no words. Items without words have no window. Rows with equal text get equal results. A null
 item id marks words but is not listed. Empty tables give empty results or no match. Texts of any length are searched whole.
+New columns take names that are free, so none can clash.
 """
 
 from __future__ import annotations

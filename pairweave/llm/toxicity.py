@@ -11,7 +11,8 @@ tasks. Every whole text is scored, however long, without a shuffle.
 
 Null and empty texts have no features: their score is the bias alone. Without positives every score is 0. Labels that
 contradict each other count as toxic, null labels as none. Repeated rows repeat; an id that repeats is learnt from by its
-least text. Only the id, the text and the label are read, so other columns can't clash.
+least text. A score equal to the threshold is a rejection. An empty table gives an empty one. Only the id, the text and the
+label are read, so other columns can't clash.
 """
 
 from __future__ import annotations

@@ -15,7 +15,7 @@ the others are joined by shuffle.
 
 Null or malformed urls have an empty host and path and fit no rule; they are still scored (a null as an empty url).
 Without training urls of both kinds every ratio is 0 and the verdict is allow. Repeated rows repeat. Very long urls are
-scored whole. Columns other than the id and the url are not carried, so none can clash.
+scored whole. An empty table gives an empty one. Columns other than the id and the url are not carried, so none can clash.
 """
 
 from __future__ import annotations

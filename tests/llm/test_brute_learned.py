@@ -7,6 +7,7 @@ from math import exp, log
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pairweave.llm import langid, queries, toxicity
 
@@ -174,3 +175,23 @@ def test_bits_fall_by_their_logistic_loss():
     loss = lambda w, b: np.log1p(np.exp(-target * (x @ w + b))).mean(0)
     start = loss(np.zeros_like(model.weights), np.zeros_like(model.bias))
     assert (loss(model.weights, model.bias) < start).all()
+
+
+def test_toxicity_beside_clashing_names_and_nothing(spark, tables):
+    path, _, _ = tables
+    docs, labels = (spark.read.parquet(f"{path}/{t}.parquet") for t in ("documents", "labels"))
+    learn = F.col("doc_id") % 4 != 2
+    clash = docs.selectExpr("*", "1.0 AS score", "2 AS toxic", "'x' AS positive", "3 AS buckets", "4 AS n", "5 AS marked")
+    plain, other = (toxicity.fit(d, labels.selectExpr("*", "9 AS score", "'t' AS text"), learn) for d in (docs, clash))
+    assert plain.known and plain.weights == other.weights and plain.bias == other.bias
+    scored = clash.select(plain.score(F.col("text"), spark).alias("s"))
+    assert scored.count() == docs.count() and clash.limit(0).select(plain.score(F.col("text"), spark)).count() == 0
+    for nothing in (toxicity.fit(docs.limit(0), labels, learn), toxicity.fit(docs, labels.limit(0), learn)):
+        assert not nothing.known and nothing.score_text("vile scum") == 0.0
+
+
+def test_a_score_at_the_threshold_is_a_rejection():
+    """The threshold is the sigmoid of a bias alone."""
+    bias = log(toxicity.THRESHOLD / (1 - toxicity.THRESHOLD))
+    score = toxicity.Toxicity({}, bias + 1e-12, True).score_text("any text")
+    assert score >= toxicity.THRESHOLD and toxicity.Toxicity({}, bias - 1e-9, True).score_text("") < toxicity.THRESHOLD

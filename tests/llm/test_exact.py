@@ -570,3 +570,14 @@ def test_other_patterns_split_as_they_say(pattern):
     other = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
     for text in (prose(5, 200), "", "Straße 12, the end...\n\n x\tyz", " a  b "):
         assert np.frombuffer(own.encode(text), "<u4").tolist() == other.encode_ordinary(text)
+
+
+def test_decontamination_beside_clashing_names_and_empty_tables(spark):
+    docs = spark.createDataFrame([(1, "one two three", 9, "x", "y"), (2, None, 8, "x", "y")], "doc_id long, text string, matches int, digest string, m string")
+    bench = spark.createDataFrame([("a", "Two, three", 1)], "item_id string, text string, matches int")
+    for size in (1 << 20, 1):
+        found, name = decontam.matches(docs, bench.union(spark.createDataFrame([("b", "none of it", 2)], bench.schema)), block_bytes=size)
+        assert found.columns == [*docs.columns, name] and name not in docs.columns
+        assert {r.doc_id: r[name]["n_words"] for r in found.collect()} == {1: 3, 2: 0}
+    assert decontam.digests(docs.limit(0), bench).count() == 0
+    assert [r.contaminated for r in decontam.digests(docs, bench.limit(0)).collect()] == [False, False]
