@@ -20,8 +20,19 @@ SO_FAR, ONWARD = (Window.unboundedPreceding, 0), (0, Window.unboundedFollowing)
 EARLIER, LATER = (Window.unboundedPreceding, -1), (1, Window.unboundedFollowing)
 
 
+def as_number(df: DataFrame, key: str) -> Column:
+    """A key as a double that rises with it. Times without a zone are read off the clock: a zone's lost hour has none."""
+    kind, at = df.schema[key].dataType.typeName(), F.col(key)
+    if kind not in ("timestamp_ntz", "date"):
+        return at.cast("double")
+    days = F.unix_date(at.cast("date")).cast("double") * 86400
+    if kind == "date":
+        return days
+    return days + F.hour(at) * 3600 + F.minute(at) * 60 + F.extract(F.lit("SECOND"), at).cast("double")
+
+
 def ranged(df: DataFrame, key: str, range_rows: int = RANGE_ROWS) -> tuple[DataFrame, int]:
-    """``df`` with ``_bucket``, the range of its key (a number or a time) in rising order, and the number of rows.
+    """``df`` with ``_bucket``, the range of its key (a number, a date or a time) in rising order, and the number of rows.
 
     The ranges' ends are approximate quantiles, found by bisection for each row: they decide how even the ranges are, not what
     is computed from them. Equal keys share a range. Nulls are a range before all others, NaN after.
@@ -30,8 +41,7 @@ def ranged(df: DataFrame, key: str, range_rows: int = RANGE_ROWS) -> tuple[DataF
     buckets = max(1, -(-total // range_rows))
     if buckets == 1:
         return df.withColumn("_bucket", F.lit(0)), total
-    number = F.col(key).cast("double")
-    spread = df.withColumn("_key", number)
+    spread = df.withColumn("_key", as_number(df, key))
     ends = spread.where(~F.isnan("_key")).approxQuantile("_key", [i / buckets for i in range(1, buckets)], 0.2 / buckets)
     splits = [float("-inf"), *sorted({e for e in ends if abs(e) != float("inf")}), float("inf")]
     spread = spread.withColumn("_known", F.when(F.col("_key").isNull() | F.isnan("_key"), 0.0).otherwise(F.col("_key")))
@@ -58,7 +68,7 @@ def scanned(
     """``df`` with a running value for each name: (kind, column), of the rows of its group up to it, itself included.
 
     Kinds are ``sum``, ``max``, ``min`` and ``last`` (the last value that is not null); with ``onward`` before, as in ``onward
-    min``, of the rows from it on. The first column of ``order`` is a number or a time; nulls come first. Groups may be null.
+    min``, of the rows from it on. The first column of ``order`` is a number, a date or a time; nulls come first. Groups may be null.
     """
     spread, total = ranged(df, order[0], range_rows)
     own = Window.partitionBy(*by, "_bucket").orderBy(*order)

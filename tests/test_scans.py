@@ -1,5 +1,6 @@
 """Scans, ranks, signed ranks and the bootstrap by multiplicities, against brute force."""
 
+import datetime as dt
 import itertools
 import random
 from collections import Counter
@@ -46,6 +47,32 @@ def test_scans_of_hot_groups(spark, size):
     assert set(map(tuple, got.collect())) == want
 
 
+def clock_rows(spark):
+    """Rows by times without a zone, of a week in which Berlin's clocks lose an hour; every eleventh time is null."""
+    base = dt.datetime(2026, 3, 27)
+    times = [None if i % 11 == 0 else base + dt.timedelta(minutes=17 * (i * 37 % 500), microseconds=i) for i in range(400)]
+    rows = [(i, i % 3, str(t) if t else None, i * 7 % 29 if i % 4 == 0 else None) for i, t in enumerate(times)]
+    return list(zip(rows, times)), spark.createDataFrame(rows, "id int, g int, t string, x int").withColumn("t", F.col("t").cast("timestamp_ntz"))
+
+
+def own_rows(rows, g):
+    return sorted((r for r in rows if r[0][1] == g), key=lambda r: (r[1] is not None, r[1] or dt.datetime.min, r[0][0]))
+
+
+@pytest.mark.parametrize("size", SIZES)
+def test_running_values_by_times_without_a_zone(spark, size):
+    rows, df = clock_rows(spark)
+    x, one = F.coalesce("x", F.lit(0)), F.lit(1)
+    got = scans.scanned(df, ["g"], ["t", "id"], {"most": ("max", x), "least": ("min", x), "record": ("sum", x), "place": ("sum", one)}, size)
+    want = set()
+    for g in range(3):
+        own = own_rows(rows, g)
+        for k, (r, _) in enumerate(own):
+            before = [v[3] or 0 for v, _ in own[: k + 1]]
+            want.add((r[0], max(before), min(before), sum(before), k + 1))
+    assert {(r.id, r.most, r.least, r.record, r.place) for r in got.collect()} == want
+
+
 def test_ranges_hold_equal_keys_and_all_rows(spark):
     rows = [(None,), (float("nan"),), (float("inf"),), (float("-inf"),)] + [(float(i % 37),) for i in range(500)]
     spread, total = scans.ranged(spark.createDataFrame(rows, "k double"), "k", 20)
