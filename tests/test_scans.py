@@ -73,6 +73,23 @@ def test_running_values_by_times_without_a_zone(spark, size):
     assert {(r.id, r.most, r.least, r.record, r.place) for r in got.collect()} == want
 
 
+def test_headers_by_times_without_a_zone(spark):
+    """Carried on in the clock's order also where the session's zone lacks some of the times."""
+    rows, df = clock_rows(spark)
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+    try:
+        got = {r.id: r.header for r in scans.scanned(df, ["g"], ["t", "id"], {"header": ("last", F.col("x"))}, 10).collect()}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    want = {}
+    for g in range(3):
+        header = None
+        for r, _ in own_rows(rows, g):
+            header = want[r[0]] = header if r[3] is None else r[3]
+    assert got == want
+
+
 def test_ranges_hold_equal_keys_and_all_rows(spark):
     rows = [(None,), (float("nan"),), (float("inf"),), (float("-inf"),)] + [(float(i % 37),) for i in range(500)]
     spread, total = scans.ranged(spark.createDataFrame(rows, "k double"), "k", 20)
