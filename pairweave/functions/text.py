@@ -20,6 +20,11 @@ def has(text: Column, pattern: str) -> Column:
     return F.rlike(text, F.lit(P.FLAGS + pattern))
 
 
+def has_ascii(text: Column, pattern: str) -> Column:
+    """``has`` with words of ASCII letters, digits and _ alone, as in SQL: any other letter ends a word."""
+    return F.rlike(text, F.lit("(?iu)" + pattern.replace(r"\b", P.ASCII_EDGE)))
+
+
 def folded(x: str) -> str:
     if x.isascii():
         return x
@@ -160,8 +165,8 @@ def anchor_label(text: Column) -> Column:
     return F.when(F.size(hits) == 1, F.element_at(hits, 1)).otherwise("UNPARSED")
 
 
-def marker_label(text: Column, token: Column, marker: Column) -> Column:
-    """What became of an adverbial marker of class T (temporary) or C (current)."""
+def marker_label(text: Column, token: Column, marker: Column, has=has) -> Column:
+    """What became of an adverbial marker of class T (temporary) or C (current); ``has`` tells what a word is."""
     kept = token_lines(text, token)
     temporary, current = has(kept, P.TEMPORARY_CLASS), has(kept, P.CURRENT_CLASS)
     return (

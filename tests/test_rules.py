@@ -9,6 +9,8 @@ from math import comb
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry_module
+from oracle import connection, differences
 from pairweave.functions import patterns, stats, text, tools
 from pairweave.operators import attempts, contracts, generation, pairs, sampling
 from pairweave.operators import tests as operators
@@ -435,3 +437,15 @@ def test_configuration_problems(spark):
         F.lit("x"), F.lit("y"),
     )
     assert spark.range(1).select(messages, named).first()[:] == ([("user", "hi")], ["x", "y"])
+
+
+def test_marker_fates_have_the_words_of_their_sql(spark, tmp_path):
+    """A letter beyond ASCII ends a word there; the rule itself has Unicode words."""
+    texts = ["Er ßteach hier\nund dort.", "Er ist Ørtuses da, ßtakes.", "Sie uses dem.", "Nein, oнlives oder livesо in 20٣٤.", "Es ist so for nowß."]
+    rows = [(3 * i, turn, "user", t) for i, t in enumerate(texts * 5) for turn in range(4)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/one")
+    next((tmp_path / "one").glob("*.parquet")).rename(tmp_path / "conversations.parquet")
+    df = entry_module.queries()["t12_marker_fates"](spark, str(tmp_path))
+    assert not differences(df, connection(tmp_path), entry_module.oracle_sql()["t12_marker_fates"])
+    label = text.marker_label(F.lit("At Marlow he ßteach."), F.lit("Marlow"), F.lit("T"))
+    assert spark.range(1).select(label).first()[0] == "RESIDUAL"
