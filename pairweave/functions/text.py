@@ -394,9 +394,14 @@ def fill(template: Column, values: dict[str, Column]) -> Column:
     return template
 
 
+def named(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once: a column that a lambda mentions is worked out at each mention, for each element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def field_records(text: Column) -> Column:
     """``key: value`` lines as an array of maps; a ``said`` line begins a new record once the current one holds anything."""
-    pairs = F.filter(
+    found = F.filter(
         F.transform(
             lines(text),
             lambda s: F.struct(
@@ -406,14 +411,19 @@ def field_records(text: Column) -> Column:
         ),
         lambda p: p["k"] != "",
     )
-    n = F.size(pairs)
-    # A record begins at the first line and at each later ``said``; of a key's lines in a record the last one counts.
-    begins = F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | (F.get(pairs, i - 1)["k"] == "said"))
 
-    def record(begin: Column, i: Column) -> Column:
-        own = F.slice(pairs, begin, F.coalesce(F.get(begins, i + 1), n + 1) - begin)
+    def record(own: Column) -> Column:
         keys = F.array_distinct(F.transform(own, lambda p: p["k"]))
         last = lambda k: F.element_at(F.filter(own, lambda p: p["k"] == k), -1)["v"]
         return F.map_from_arrays(keys, F.transform(keys, last))
 
-    return F.when(n > 0, F.transform(begins, record)).otherwise(F.array().cast("array<map<string,string>>"))
+    def records(pairs: Column) -> Column:
+        # A record begins at the first line and at each later ``said``; of a key's lines in a record the last one counts.
+        n = F.size(pairs)
+        begins = F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | (F.get(pairs, i - 1)["k"] == "said"))
+        owns = named(begins, lambda begins: F.transform(
+            begins, lambda begin, i: F.slice(pairs, begin, F.coalesce(F.get(begins, i + 1), n + 1) - begin),
+        ))
+        return F.when(n > 0, F.transform(owns, record)).otherwise(F.array().cast("array<map<string,string>>"))
+
+    return named(found, records)

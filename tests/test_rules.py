@@ -2,6 +2,7 @@
 
 import json
 import os
+import random
 import unicodedata
 from fractions import Fraction
 from math import comb
@@ -449,3 +450,17 @@ def test_marker_fates_have_the_words_of_their_sql(spark, tmp_path):
     assert not differences(df, connection(tmp_path), entry_module.oracle_sql()["t12_marker_fates"])
     label = text.marker_label(F.lit("At Marlow he ßteach."), F.lit("Marlow"), F.lit("T"))
     assert spark.range(1).select(label).first()[0] == "RESIDUAL"
+
+
+def test_records_of_long_notes_are_read_once(spark):
+    rnd = random.Random(2)
+    pairs = [(rnd.choice(["said", "fact", "form", "observed"]), str(i)) for i in range(400)]
+    want = []
+    for k, v in pairs:
+        if k == "said" or not want:
+            want.append({})
+        want[-1][k] = v
+    note = "\n".join(f"- {k}: {v}" for k, v in pairs)
+    df = spark.createDataFrame([(note,), (None,), ("none",)], "note string").select(text.field_records(F.col("note")).alias("r"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract(") == 2
+    assert [r.r for r in df.collect()] == [want, [], []]
