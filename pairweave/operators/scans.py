@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 #: Rows that one task orders, about.
 RANGE_ROWS = 500_000
 
-SO_FAR, ONWARD = (Window.unboundedPreceding, 0), (0, Window.unboundedFollowing)
+SO_FAR = (Window.unboundedPreceding, 0)
 EARLIER, LATER = (Window.unboundedPreceding, -1), (1, Window.unboundedFollowing)
 
 
@@ -73,10 +73,13 @@ def scanned(
     spread, total = ranged(df, order[0], range_rows)
     own = Window.partitionBy(*by, "_bucket").orderBy(*order)
     kinds = {name: (kind.removeprefix("onward "), kind.startswith("onward ")) for name, (kind, _) in columns.items()}
-    local = spread.withColumns({
-        name: KINDS[kind][0](columns[name][1]).over(own.rowsBetween(*(ONWARD if onward else SO_FAR)))
-        for name, (kind, onward) in kinds.items()
-    })
+    # Spark adds up a frame that ends at the last row anew for each row. Read from the last place back, it grows row by row.
+    local = spread.withColumn("_place", F.row_number().over(own))
+    back = Window.partitionBy(*by, "_bucket").orderBy(F.desc("_place"))
+    local = local.withColumns({
+        name: (F.first(x, ignorenulls=True) if onward and kind == "last" else KINDS[kind][0](x)).over((back if onward else own).rowsBetween(*SO_FAR))
+        for (name, (kind, onward)), (_, x) in zip(kinds.items(), columns.values(), strict=True)
+    }).drop("_place")
     if total <= range_rows:
         return local.drop("_bucket")
     place = F.struct(*order)
@@ -89,7 +92,7 @@ def scanned(
     same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by] + [F.col("_bucket") == F.col("_of__bucket")]
     both = local.join(carried, same)
     return both.select(
-        *df.columns, *[KINDS[k][3](F.col(f"_carried_{n}"), F.col(n)).alias(n) for n, (k, _) in kinds.items()],
+        *df.columns, *[KINDS[k][3](*((F.col(n), F.col(f"_carried_{n}"))[:: 1 if o else -1])).alias(n) for n, (k, o) in kinds.items()],
     )
 
 

@@ -47,6 +47,27 @@ def test_scans_of_hot_groups(spark, size):
     assert set(map(tuple, got.collect())) == want
 
 
+@pytest.mark.parametrize("size", SIZES)
+def test_onward_values_grow_row_by_row(spark, size):
+    """No frame ends at a group's last row: Spark adds those up anew for each row, which is quadratic in a range."""
+    rows = rows_of_groups()
+    x = F.col("x")
+    df = scans.scanned(
+        spark.createDataFrame(rows, "id int, g string, t int, x int"), ["g"], ["t", "id"], {
+            "most": ("onward max", x), "total": ("onward sum", F.coalesce(x, F.lit(0))), "last": ("onward last", x),
+        }, size,
+    )
+    frames = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "currentrow$(), unboundedfollowing$()" not in frames
+    want = set()
+    for g in {r[1] for r in rows}:
+        own = sorted((r for r in rows if r[1] == g), key=lambda r: (r[2], r[0]))
+        for k, r in enumerate(own):
+            after = [v[3] for v in own[k:] if v[3] is not None]
+            want.add((*r, max(after, default=None), sum(after), after[-1] if after else None))
+    assert set(map(tuple, df.collect())) == want
+
+
 def clock_rows(spark):
     """Rows by times without a zone, of a week in which Berlin's clocks lose an hour; every eleventh time is null."""
     base = dt.datetime(2026, 3, 27)
