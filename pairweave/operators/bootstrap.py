@@ -6,13 +6,19 @@ blocks of clusters, then dealt out from cluster to cluster within a block. Each
 a hash of seed, group, replicate and place, so that a task that holds a block finds its draws by itself, and the result is
 the same at any parallelism.
 
-A row of a block and some replicates is one piece of work: its clusters (at most ``BLOCK``) times its replicates
-(``AT_ONCE``) numbers, in numpy. A task sums up what its pieces give to each replicate; those sums alone are shuffled.
+In a group of more than a block, clusters stand by their counts instead, and those with equal counts are one run: what a
+replicate adds up only depends on how many of its draws fall to the run, and that is binomial as well. So the work follows
+the number of different counts, and no replicate is left out or drawn otherwise. (SQL repeats groups of one block.)
+
+A row of a block and some replicates is one piece of work: its runs (at most ``BLOCK``) times its replicates (``AT_ONCE``)
+numbers, in numpy. A task sums up what its pieces give to each replicate; those sums alone are shuffled.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
+from math import lgamma
 from statistics import NormalDist
 
 import numpy as np
@@ -21,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import stats
-from .scans import placed
+from .scans import placed, scanned
 
 BLOCK = 1 << 13
 AT_ONCE = 2_500
@@ -30,6 +36,8 @@ REPLICATE, PLACE, SPLIT = 0x9E3779B1, 0x85EBCA6B, 0x27D4EB2F
 MIX, BITS32 = 0x45D9F3B, 0xFFFFFFFF
 #: Means up to which a binomial quantile is found by adding up its masses from 0.
 SMALL_MEAN = 40.0
+#: Beyond, for draws up to so many, it is found in a table of masses, if that has at most so many for each number sought.
+TABLED, TABLE_ENTRIES = 1 << 15, 256
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -71,8 +79,31 @@ def quantile(u: np.ndarray, n: np.ndarray, p: float) -> np.ndarray:
     return k
 
 
+@cache
+def _log_factorials() -> np.ndarray:
+    return np.array([lgamma(i + 1) for i in range(TABLED + 1)])
+
+
+def _quantile_by_table(u: np.ndarray, n: np.ndarray, p: float) -> np.ndarray | None:
+    """From a row of masses for each different n, nine deviations wide; None where the rows are dearer than tails."""
+    different, row = np.unique(n, return_inverse=True)
+    deviation = np.sqrt(different * p * (1 - p))
+    width = int(18 * deviation[-1]) + 6
+    if different[-1] > TABLED or width * len(different) > TABLE_ENTRIES * len(u):
+        return None
+    base = np.maximum(0, np.floor(different * p - 9 * deviation - 2)).astype(np.int64)
+    k, of = base[:, None] + np.arange(width), _log_factorials()
+    most = different[:, None]
+    least = np.minimum(k, most)
+    mass = np.exp(of[most] - of[least] - of[most - least] + least * np.log(p) + (most - least) * np.log1p(-p))
+    reach = np.cumsum(np.where(k <= most, mass, 0.0), axis=1)
+    return np.minimum(base[row] + (reach[row] < u[:, None]).sum(axis=1), n)
+
+
 def _quantile_of_many(u: np.ndarray, n: np.ndarray, p: float) -> np.ndarray:
-    """From a normal deviate with its first correction, by steps of one at exact tails."""
+    """From a table, or from a normal deviate with its first correction, by steps of one at exact tails."""
+    if (found := _quantile_by_table(u, n, p)) is not None:
+        return found
     z = np.fromiter(map(NormalDist().inv_cdf, u.tolist()), np.float64, len(u))
     guess = np.rint(n * p + z * np.sqrt(n * p * (1 - p)) + (1 - 2 * p) * (z * z - 1) / 6 - 0.5)
     k = np.clip(guess, 0, n).astype(np.int64)
@@ -103,19 +134,36 @@ def draws_of_block(stream: np.ndarray, block: int, clusters: int, size: int) ->
 
 
 def sums_of_block(
-    stream: np.ndarray, block: int, clusters: int, counts: np.ndarray, size: int,
+    stream: np.ndarray, block: int, clusters: int, counts: np.ndarray, size: int, runs: list[int] | None = None,
 ) -> np.ndarray:
-    """The drawn clusters' counts (one row a cluster), summed up for each replicate."""
-    left, rest = draws_of_block(stream, block, clusters, size), len(counts)
+    """The drawn clusters' counts, summed up for each replicate: one row a cluster, or a run of as many as ``runs`` says."""
+    runs = runs or [1] * len(counts)
+    left, rest, at = draws_of_block(stream, block, clusters, size), sum(runs), block * size
     out = np.zeros((len(stream), counts.shape[1]), np.int64)
-    for i, own in enumerate(counts):
-        times = quantile(uniform(stream, block * size + i), left, 1.0 / (rest - i))
-        left = left - times
+    for own, many in zip(counts, runs, strict=True):
+        times = quantile(uniform(stream, at), left, many / rest)
+        left, rest, at = left - times, rest - many, at + many
         if own.any():
             out += times[:, None] * own
     return out
 
 
+def blocks_of_runs(clusters: DataFrame, key: str, counts: list[str], by: list[str], block: int = BLOCK) -> DataFrame:
+    """``by``, ``block``, ``clusters`` (of the whole group) and ``rows``: the block's runs in order, each with ``_w`` clusters."""
+    at = placed(clusters.select(*by, key, *counts), key, by)
+    one = F.lit(1).cast("long")
+    few = at.where(F.col("_n") <= block).select(*by, "_n", "_at", one.alias("_w"), *counts, F.lit(0).cast("long").alias("block"))
+    equal = at.where(F.col("_n") > block).groupBy(*by, "_n", *counts).agg(F.count("*").alias("_many"))
+    upto = scanned(equal, by, counts, {"_end": ("sum", F.col("_many"))}).withColumn("_begin", F.col("_end") - F.col("_many"))
+    parts = upto.withColumn("block", F.explode(F.expr(f"sequence(_begin DIV {block}, (_end - 1) DIV {block})")))
+    begin = F.greatest("_begin", F.col("block") * block)
+    width = F.least(F.col("_end"), (F.col("block") + 1) * block) - begin
+    runs = few.unionByName(parts.select(*by, "_n", begin.alias("_at"), width.alias("_w"), *counts, "block"))
+    return runs.groupBy(*by, "block").agg(
+        F.array_sort(F.collect_list(F.struct("_at", "_w", *counts))).alias("rows"), F.first("_n").alias("clusters"),
+    )
+
+
 def summed_replicates(
     clusters: DataFrame, key: str, counts: list[str], replicates: int, seed: str, by: list[str] | None = None,
     block: int = BLOCK,
@@ -126,16 +174,16 @@ def summed_replicates(
     not null. Without clusters there are no replicates.
     """
     by, named = by or [], [F.coalesce(F.col(c).cast("long"), F.lit(0)).alias(c) for c in counts]
-    at = placed(clusters.select(*by, key, *named), key, by)
     name = F.concat_ws("|", F.lit(seed), *[F.col(c).cast("string") for c in by])
-    blocks = at.groupBy(*by, F.expr(f"_at DIV {block}").alias("block")).agg(
-        F.array_sort(F.collect_list(F.struct("_at", *counts))).alias("rows"), F.first("_n").alias("clusters"),
-    )
+    blocks = blocks_of_runs(clusters.select(*by, key, *named), key, counts, by, block)
     chunks = F.explode(F.sequence(F.lit(0), F.lit(replicates - 1), F.lit(AT_ONCE))).alias("first")
     work = blocks.select(
         F.conv(F.substring(F.sha2(name, 256), 1, 8), 16, 10).cast("long").alias("group"), "block", "clusters",
-        *[F.col("rows").getField(c).alias(f"rows_{i}") for i, c in enumerate(counts)], chunks,
-    ).repartition("group", "block", "first")
+        F.col("rows").getField("_w").alias("runs"), *[F.col("rows").getField(c).alias(f"rows_{i}") for i, c in enumerate(counts)], chunks,
+    )
+    # A number of tasks is given, as rows are few but dear: Spark would put small partitions together.
+    tasks = int(clusters.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    work = work.repartition(tasks, "group", "block", "first")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -144,7 +192,7 @@ def summed_replicates(
                 group, own, n, first = (batch.column(c)[i].as_py() for c in ("group", "block", "clusters", "first"))
                 table = np.stack([batch.column(f"rows_{k}")[i].values.to_numpy() for k in range(len(counts))], axis=1)
                 stream = streams(group, np.arange(first, min(first + AT_ONCE, replicates)))
-                found = sums_of_block(stream, own, n, table, block)
+                found = sums_of_block(stream, own, n, table, block, batch.column("runs")[i].as_py())
                 sums[first] = sums[first] + found if first in sums else found
         for first, found in sums.items():
             columns = [pa.array(np.arange(first, first + len(found))), *(pa.array(found[:, k]) for k in range(len(counts)))]

@@ -253,5 +253,28 @@ def test_intervals_are_those_of_resampling(spark, by, block):
     assert (answer.replicates, answer.low, answer.index_low, answer.index_high) == (6_000, got[150], got[150], got[5849])
 
 
+@pytest.mark.parametrize("by", [["f"], []])
+def test_clusters_of_equal_counts_are_one_run(spark, by):
+    """A group beyond a block has as many runs as different counts, and one more a block; its replicates are those of resampling."""
+    n, block = 40_000, 1_000
+    df = spark.range(n).select("id", (F.col("id") % 2).alias("f"), (F.col("id") % 5 + 1).alias("n"), (F.col("id") % 3 + 1).cast("int").alias("b"))
+    rows = bootstrap.blocks_of_runs(df, "id", ["n", "b"], by, block).collect()
+    assert sum(len(r.rows) for r in rows) <= (2 if by else 1) * 15 + n / block and sum(x._w for r in rows for x in r.rows) == n
+    assert len(rows) == n / block and all(sum(x._w for x in r.rows) == block and r.clusters == (n // 2 if by else n) for r in rows)
+    assert sum(x._w * x.n for r in rows for x in r.rows) == 3 * n and sum(x._w * x.b for r in rows for x in r.rows) == df.agg(F.sum("b")).first()[0]
+    drawn = bootstrap.summed_replicates(df, "id", ["n", "b"], 3_000, "s", by, block).orderBy("replicate").toPandas()
+    deviation = (2 * n) ** 0.5  # of n, 1 to 5 evenly; the frames have all of them
+    assert abs(drawn.n.mean() - 3 * n) < 5 * deviation / 3_000**0.5 and abs(drawn.n.std() / deviation - 1) < 0.07
+    assert abs(drawn.b.std() / (2 / 3 * n) ** 0.5 - 1) < 0.07 and abs(drawn[["n", "b"]].corr().iloc[0, 1]) < 0.1
+
+
+def test_quantiles_by_table_are_those_by_tails(monkeypatch):
+    rng = np.random.default_rng(5)
+    cases = [(np.full(400, many) - rng.integers(0, 40, 400), rng.random(400), p) for many, p in [(8192, 0.01), (500, 0.5), (90, 0.97), (41, 0.999)]]
+    tabled = [bootstrap.quantile(u, n, p) for n, u, p in cases]
+    monkeypatch.setattr(bootstrap, "TABLED", 0)
+    assert all((x == bootstrap.quantile(u, n, p)).all() for x, (n, u, p) in zip(tabled, cases, strict=True))
+
+
 def test_no_clusters_no_replicates(spark):
     assert bootstrap.summed_replicates(spark.createDataFrame([], "u int, n int"), "u", ["n"], 50, "s").count() == 0
