@@ -79,9 +79,34 @@ def merged(base: DataFrame, changes: dict[str, Column]) -> DataFrame:
     return base.withColumns(changes)
 
 
-def unseen_pairs(left: DataFrame, right: DataFrame, on: list[str], seen: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of ``left`` with those of ``right`` that share ``on``, but for pairs of keys that were seen."""
-    return left.join(right, on).join(seen.select(*keys).distinct(), keys, "left_anti")
+#: Rows of a group that stand together in one list, about.
+LIST_ROWS = 1024
+
+
+def unseen_pairs(
+    left: DataFrame, right: DataFrame, on: list[str], seen: DataFrame, keys: list[str], list_rows: int = LIST_ROWS,
+) -> DataFrame:
+    """Rows of ``left`` with those of ``right`` that share ``on``, but for pairs of keys that were seen.
+
+    ``right`` has ``on`` and one of the keys. Pairs are never shuffled: ``right``'s keys stand in lists of a bounded length,
+    what was seen of a list is taken out of it beside its row of ``left``, and the rest is listed where it stands.
+    """
+    (other,) = (k for k in keys if k in right.columns)
+    own = [k for k in keys if k != other]
+    counted = right.groupBy(*on, other).agg(F.count("*").alias("_copies"))  # equal rows keep their number
+    most = counted.groupBy(*on).count().agg(F.max("count")).first()[0] or 0
+    part = F.pmod(F.xxhash64(other), F.lit(max(1, -(-most // list_rows)))).alias("_part")
+    lists = counted.groupBy(*on, part, "_copies").agg(
+        F.transform(F.collect_list(F.struct(other)), lambda x: x[other]).alias("_all"),
+    )
+    met = seen.select(*keys).join(right.select(*on, other).distinct(), other)
+    met = met.join(left.select(*on, *own).distinct(), [*on, *own], "left_semi")
+    known = met.groupBy(*on, *own, part).agg(F.collect_set(other).alias("_seen"))
+    rows = left.join(lists.select(*on, "_part", "_copies"), on).join(known, [*on, *own, "_part"], "left")
+    rows = rows.join(lists, [*on, "_part", "_copies"])
+    rest = F.when(F.col("_seen").isNull(), F.col("_all")).otherwise(F.array_except("_all", "_seen"))
+    rows = rows.withColumn("_rest", rest).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies")))
+    return rows.select(*left.columns, F.explode("_rest").alias(other))
 
 
 def mutated(seeds: DataFrame, mutations: dict[str, tuple[str, Column]], text: str) -> DataFrame:

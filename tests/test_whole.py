@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_module
-from pairweave.operators import contained, contracts, digests
+from pairweave.operators import contained, contracts, digests, generation
 from pairweave.operators import tests as operators
 from pairweave.sources import records
 
@@ -241,3 +241,19 @@ def test_a_grid_of_a_million_columns(spark):
     rows = spark.range(3).selectExpr("id AS u")
     df = columns.crossJoin(rows).where("NOT (u = 1 AND k = 77)").select("u", "k")
     assert [tuple(r) for r in contracts.complete_grid(df, rows, columns, ["u", "k"]).collect()] == [("grid", "1|77", "0")]
+
+
+@pytest.mark.parametrize("list_rows", [1024, 3])
+def test_unseen_pairs_stay_where_they_are_listed(spark, list_rows):
+    """Equal rows keep their number, null keys were never seen, null groups have no pairs; no pair is shuffled."""
+    left = [(p, p % 3 if p % 11 else None) for p in range(40)] + [(7, 1), (None, 2)]
+    right = [(s, s % 4) for s in range(60)] + [(5, 1), (5, 1), (5, 2), (None, 1), (None, 1), (9, None)]
+    seen = [(p, s) for p in range(41) for s in range(61) if (p * s) % 5 == 1] + [(1, None), (None, 6), (7, 5), (7, 5)]
+    pairs = generation.unseen_pairs(
+        spark.createDataFrame(left, "part int, nation int"), spark.createDataFrame(right, "supplier int, nation int"), ["nation"],
+        spark.createDataFrame(seen, "part int, supplier int"), ["part", "supplier"], list_rows,
+    )
+    want = Counter((p, n, s) for p, n in left for s, m in right if n is not None and n == m and not (None not in (p, s) and (p, s) in set(seen)))
+    assert Counter((r.part, r.nation, r.supplier) for r in pairs.collect()) == want
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode(_rest") < plan.index("Join")
