@@ -9,7 +9,8 @@ training (one in five by SHA-256).
 Everything counted is a table that grows with the input; there is no fixed alphabet and no cap. Equal URLs are counted
 once with their number. A URL's grams (a context and its character) are counted once, and shorter grams are summed from
 longer ones, so only distinct grams move. Levels are joined from the empty context up, each by the gram without its
-first character, so no key holds more rows than there are characters. Ratios come to URLs by ``looked_up``: keys that
+first character, so no key holds more rows than there are characters. Each level is written, so that no plan holds them all,
+and joins but those of hot keys are told to be by shuffle: a small file may be a large table in the driver. Ratios come to URLs by ``looked_up``: keys that
 hold more than 1 of ``HOT`` of all rows, of which there are at most ``HOT``, are broadcast and summed where they stand,
 the others are joined by shuffle.
 
@@ -90,7 +91,7 @@ def log_ratios(counts: DataFrame) -> DataFrame:
     level = {ORDER: counts}
     for j in range(ORDER - 1, -1, -1):
         sums = [F.sum(c).alias(c) for c in ("n1", "n0")]
-        level[j] = level[j + 1].groupBy(F.substring("gram", 2, j + 1).alias("gram")).agg(*sums)
+        level[j] = written(level[j + 1].groupBy(F.substring("gram", 2, j + 1).alias("gram")).agg(*sums), f"level{j}")
     total1, total0, signs = level[0].agg(
         F.sum("n1"), F.sum("n0"), F.count_if((F.col("n1") > 0) | (F.col("n0") > 0)) + 1,
     ).first()
@@ -108,8 +109,8 @@ def log_ratios(counts: DataFrame) -> DataFrame:
             for x in (F.sum(f"n{k}").alias(f"of{k}"), F.count_if(F.col(f"n{k}") > 0).alias(f"kinds{k}"))
         ]
         contexts = level[j].groupBy(context).agg(*of)
-        joined = level[j].select("*", context, shorter).join(contexts, "context").join(
-            known.withColumnRenamed("gram", "shorter"), "shorter",
+        joined = level[j].select("*", context, shorter).join(contexts.hint("merge"), "context").join(
+            known.withColumnRenamed("gram", "shorter").hint("merge"), "shorter",
         )
         mixed = [
             F.expr(
@@ -118,6 +119,8 @@ def log_ratios(counts: DataFrame) -> DataFrame:
             for k in (1, 0)
         ]
         known = joined.select("gram", *(["n"] if j == ORDER else []), *mixed)
+        if j < ORDER:
+            known = written(known, f"known{j}")
     return known.select("gram", "n", (F.ln("p1") - F.ln("p0")).alias("ratio"))
 
 
@@ -126,7 +129,7 @@ def looked_up(rows: DataFrame, table: DataFrame, key: str, reduced) -> DataFrame
     total = table.agg(F.sum("n")).first()[0] or 0
     hot, others = table.where(F.col("n") * HOT > total).drop("n"), table.where(F.col("n") * HOT <= total).drop("n")
     return reduced(rows.join(F.broadcast(hot), key)).unionByName(
-        reduced(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(others, key))
+        reduced(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(others.hint("merge"), key))
     )
 
 
@@ -169,7 +172,7 @@ def judge(pages: DataFrame, rules: list[Rule], page_id: str = "page_id", url: st
     distinct = written(known.groupBy("url").agg(F.count("*").alias("n"), F.any_value(allowed).alias("allowed")), "urls")
     counts = written(counted(distinct.withColumn("trains", F.when(~left_out, F.col("allowed")))), "grams")
     ratios = written(log_ratios(counts), "ratios")  # written, as several plans below read it
-    found = written(scores(distinct, ratios).join(distinct, "url"), "scores")
+    found = written(scores(distinct, ratios).join(distinct.hint("merge"), "url"), "scores")
     limit = threshold(found.where(left_out & F.col("allowed").isNotNull())).scalar()
     own = F.when(F.round("score", 9) >= F.coalesce(limit, F.lit(0.0)), "allow").otherwise("block")
     out = looked_up(known, found.select("url", "n", "score"), "url", lambda x: x)

@@ -136,6 +136,18 @@ def test_urls_without_training(spark):
     assert urls.judge(pages.limit(0), queries.URL_RULES).count() == 0
 
 
+def test_urls_hold_no_table_in_the_driver(spark):
+    """Of tables that grow with the input, none is broadcast, however small; a plan joins one level only."""
+    grams = spark.createDataFrame([("abcdef", 3, 2, 1), ("abcdeg", 1, 0, 1), ("bbcdef", 2, 2, 0)], "gram string, n long, n1 long, n0 long")
+    ratios = urls.log_ratios(grams)
+    seen = ratios._jdf.queryExecution()
+    assert seen.optimizedPlan().toString().count("Join Inner") == 2 and "Broadcast" not in seen.executedPlan().toString()
+    found = urls.looked_up(grams.select("gram"), ratios, "gram", lambda x: x)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin [gram") == 2 and plan.count("SortMergeJoin [gram") == 1
+    assert {r.gram for r in found.collect()} == {"abcdef", "abcdeg", "bbcdef"}
+
+
 def test_urls_stay_native(spark):
     plan = queries.op5_url_verdicts(spark, SF)._jdf.queryExecution().toString()
     assert not any(word in plan for word in ("Python", "Arrow", "MapInPandas", "ExistingRDD"))
